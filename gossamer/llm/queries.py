@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from gossamer.llm import chat, warc
+from gossamer.llm import chat, decontaminate, mixing, quality, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_query,
+    "op2_source_mixing": mixing.op2_query,
+    "op4_quality_trees": quality.op4_query,
     "op6_chat_formatting": chat.op6_query,
+    "op8_benchmark_decontamination": decontaminate.op8_query,
 }
 SQL = {
     "op1_warc_transactions": warc.OP1_SQL,
+    "op2_source_mixing": mixing.OP2_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
 }
