@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gossamer.llm import chat, decontaminate, jaccard, mixing, quality, tokenbin, warc
+from gossamer.llm import chat, decontaminate, jaccard, mixing, quality, suffixes, tokenbin, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_packing": tokenbin.op7_query,
     "op8_benchmark_decontamination": decontaminate.op8_query,
     "op9_jaccard_classes": jaccard.op9_query,
+    "op10_suffix_repeats": suffixes.op10_query,
 }
 SQL = {
     "op1_warc_transactions": warc.OP1_SQL,
