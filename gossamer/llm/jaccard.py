@@ -46,6 +46,7 @@ class Bands:
         self.num, self.den = num, den
         self.counts = counts or {}
         self.edges: list[tuple[int, int]] = []
+        self.layouts: dict[int, tuple[int, int, bool]] = {}
         self._grow(1)
 
     def _grow(self, size: int) -> None:
@@ -73,11 +74,17 @@ class Bands:
         return 2 * top * (self.den - self.num) // (self.den + self.num)
 
     def layout(self, band: int) -> tuple[int, int, bool]:
+        if band not in self.layouts:
+            self.layouts[band] = self._layout(band)
+        return self.layouts[band]
+
+    def _layout(self, band: int) -> tuple[int, int, bool]:
         """(segments, how many are indexed, with one-deletion neighbourhoods?) by expected cost.
 
-        Cost is index rows plus expected pairs of unrelated sets, which agree on a segment mainly
-        where both are empty (Poisson): exact segments of mean size s agree with e^-2s, segments
-        of size 2s with one deletion with (e^-2s (1 + 2s))^2.
+        Cost is index rows plus expected pairs of unrelated sets. Those agree on a segment mainly
+        where both are empty (Poisson); the order puts empty segments last, so an exact layout
+        indexes only as many as exceed the spare ones. A segment with one deletion meets another
+        where both hold one shingle or none.
         """
         k = self.largest_difference(band)
         if k == 0:
@@ -85,9 +92,11 @@ class Bands:
         n = self.counts.get(band, 0) + self.counts.get(band - 1, 0)
         size = sum(self.edges[band]) / 2
         keep = k + 1
-        total = keep + math.ceil(SPARE * keep)
-        mean = size / total
-        exact = keep + PAIR_COST * n / 2 * keep * math.exp(-2 * mean) * (keep / total) ** 2
+        spare = math.ceil(SPARE * keep)
+        total = keep + spare
+        q = math.exp(-size / total)
+        over = sum((j - spare) * math.exp(math.lgamma(total + 1) - math.lgamma(j + 1) - math.lgamma(total - j + 1) + j * math.log(q) + (total - j) * math.log1p(-q)) for j in range(spare + 1, total + 1))
+        exact = keep + PAIR_COST * n / 2 * over**2 / total
         half = (k + 2) // 2
         wide = size / half
         deletion = half + size + PAIR_COST * n / 2 * half * (math.exp(-wide) * (1 + wide)) ** 2

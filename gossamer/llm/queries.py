@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gossamer.llm import chat, decontaminate, jaccard, mixing, quality, suffixes, tokenbin, warc
+from gossamer.llm import chat, decontaminate, jaccard, mixing, mixlm, quality, suffixes, tokenbin, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_query,
     "op2_source_mixing": mixing.op2_query,
+    "op3_context_mixing": mixlm.op3_query,
     "op4_quality_trees": quality.op4_query,
     "op6_chat_formatting": chat.op6_query,
     "op7_token_packing": tokenbin.op7_query,

@@ -9,6 +9,7 @@ shards, each followed by one line feed (written by Spark's text writer, so to an
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -133,6 +134,9 @@ class WordEncoder:
         return [b"".join(map(get, words)) + end for words in split]
 
 
+#: A run of ASCII marks (no apostrophe) that ends a word behind an ASCII letter or digit.
+_TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\s]|\Z)")
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
