@@ -26,7 +26,7 @@ BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -103,32 +103,54 @@ class WordEncoder:
 
     Such a tokenizer never joins characters across ASCII white space, so the ids of a text are
     those of its words in turn; words recur, so most are looked up. ASCII letters may be lowered
-    first because the tokenizer does so itself, save where a special token could appear by it.
+    first because the tokenizer does so itself, and marks behind a letter or digit may be cut off
+    because they start a piece of their own: save where a special token could appear or vanish by
+    it. A word of unaccented and Latin-1 letters is one piece that normalising leaves alone once it
+    is lowered; such words skip the normaliser and the splitting pattern.
     """
 
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memo: dict[bytes, bytes] = {}
 
+    def _learn(self, tokenizer, keys: list[bytes], words: list[str]) -> None:
+        for i in range(0, len(keys), 20_000):
+            part = keys[i : i + 20_000]
+            e = tokenizer.encode(words[i : i + 20_000], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            ends = 4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part)), "right")
+            at = 0
+            for k, end in zip(part, ends.tolist()):
+                self.memo[k] = raw[at:end]
+                at = end
+
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Little-endian uint32 ids of each text, each with the end id."""
         split = []
         for t in texts:
             raw = (t or "").encode("utf-8", "surrogatepass")
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+            split.append((raw if b"<|" in raw else _TAIL.sub(rb"\1 \2", raw.lower())).split())
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        fresh = list(set().union(*split) - self.memo.keys()) if split else []
-        for i in range(0, len(fresh), 20_000):
-            words = fresh[i : i + 20_000]
-            for w, e in zip(words, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        fresh = set().union(*split) - self.memo.keys() if split else set()
+        plain: tuple[list, list] = ([], [])
+        other: tuple[list, list] = ([], [])
+        for w in fresh:
+            text = w.decode("utf-8", "replace")
+            low = text.lower()
+            to = plain if _LETTERS.fullmatch(low) else other
+            to[0].append(w)
+            to[1].append(low if to is plain else text)
+        self._learn(self.letters, *plain)
+        self._learn(self.tokenizer, *other)
         end = np.array([end_id], "<u4").tobytes()
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
@@ -137,6 +159,8 @@ class WordEncoder:
 #: A run of ASCII marks (no apostrophe) that ends a word behind an ASCII letter or digit.
 _TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\s]|\Z)")
 
+_LETTERS = re.compile("[a-zà-öø-ÿ]+")
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
