@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gossamer.llm import chat, decontaminate, jaccard, mixing, mixlm, quality, suffixes, tokenbin, warc
+from gossamer.llm import chat, decontaminate, jaccard, mixing, mixlm, quality, suffixes, tokenbin, warc, webp
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_query,
     "op2_source_mixing": mixing.op2_query,
     "op3_context_mixing": mixlm.op3_query,
     "op4_quality_trees": quality.op4_query,
+    "op5_lossless_webp": webp.op5_query,
     "op6_chat_formatting": chat.op6_query,
     "op7_token_packing": tokenbin.op7_query,
     "op8_benchmark_decontamination": decontaminate.op8_query,
