@@ -55,3 +55,8 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small, so that a worker's memory does not follow their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
