@@ -12,6 +12,8 @@ difference, and (k + 1) / 2 segments suffice. What meets in a bucket is verified
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from gossamer.session import materialize, table
 SPARE = 0.5
 #: Slots of the table of frequent shingles: 2 ** HOT_BITS counters, whatever the input.
 HOT_BITS = 20
-#: A slot with this many times the mean count is hot.
-HOT_FACTOR = 8
+#: A slot is hot when its count is so many standard deviations of a chance count above the mean.
+HOT_SIGMAS = 6
 #: Up to this many sets of a bucket are paired at once; a larger bucket takes the two-step way.
 SMALL_BUCKET = 8
 #: Cost of one index row against one expected pair that fails verification.
@@ -73,6 +75,11 @@ class Bands:
         top = self.edges[band][1]
         return 2 * top * (self.den - self.num) // (self.den + self.num)
 
+    def prefix(self, size: int, band: int) -> int:
+        """Segments a set must index in a band: one more than it can differ from a linked set there."""
+        largest = min(self.edges[band][1], size * self.den // self.num)
+        return (size + largest) * (self.den - self.num) // (self.den + self.num) + 1
+
     def layout(self, band: int) -> tuple[int, int, bool]:
         if band not in self.layouts:
             self.layouts[band] = self._layout(band)
@@ -109,6 +116,10 @@ def signatures(s: np.ndarray, bands: Bands, hot: np.ndarray | None) -> np.ndarra
     own = bands.band(len(s))
     for band in (own, own + 1):
         total, keep, deletions = bands.layout(band)
+        if band > own and len(s) * bands.den // bands.num < bands.edges[band][0]:
+            continue  # no linked set is that large
+        if keep < total:
+            keep = bands.prefix(len(s), band)
         salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         h = mix64(s + salt)
         seg = ((h >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)).astype(np.int64)
@@ -147,7 +158,7 @@ def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def survey(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray | None, dict[int, int]]:
-    """Slots of shingles that are far more frequent than the mean, and documents by band.
+    """Slots of shingles that are more frequent than chance, and documents by band.
 
     Every task sends one table of 2**HOT_BITS counters; the sums are as large for any input.
     """
@@ -194,7 +205,7 @@ def survey(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray | None, di
             sizes[-1 - p] = int.from_bytes(c, "little")
     flat = table_.ravel()
     mean = flat.mean()
-    return (flat > max(32, HOT_FACTOR * mean)) if mean else None, sizes
+    return (flat > mean + HOT_SIGMAS * mean**0.5 + 16) if mean else None, sizes
 
 
 ROW, BUCKET, PAIR, MEMBER = 0, 1, 2, 3
@@ -207,6 +218,30 @@ def _rows(kind: int, route, a, b, n, name=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(np.full(size, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(name, pa.binary()) if name is not None else pa.nulls(size, pa.binary())], schema=WIDE)
 
 
+#: Key ranges a shuffle partition gets on average.
+RANGES_EACH = 6
+
+
+def pack_rows(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> bytes:
+    """Rows of one range of keys: 48 bits of each key, ids from their least, sizes; about 11 bytes a row."""
+    base = int(doc.min())
+    rest = (doc - base).astype(np.uint64)
+    width = 4 if int(rest.max()) < 1 << 32 else 8
+    docs = zlib.compress(rest.astype(f"<u{width}").tobytes(), 1)
+    sizes = zlib.compress(size.astype("<i4").tobytes(), 1)
+    k = key.view(np.uint64) >> np.uint64(16)
+    return b"".join([struct.pack("<IBqI", len(key), width, base, len(docs)), (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (k >> np.uint64(32)).astype("<u2").tobytes(), docs, sizes])
+
+
+def unpack_rows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, width, base, size = struct.unpack_from("<IBqI", raw)
+    at = struct.calcsize("<IBqI")
+    k = np.frombuffer(raw, "<u4", n, at).astype(np.uint64) | np.frombuffer(raw, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32)
+    at += 6 * n
+    docs = np.frombuffer(zlib.decompress(raw[at : at + size]), f"<u{width}").astype(np.int64) + base
+    return (k << np.uint64(16)).view(np.int64), docs, np.frombuffer(zlib.decompress(raw[at + size :]), "<i4").astype(np.int64)
+
+
 def _buckets(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows sorted by (key, doc) without repeats, each with its bucket's start and length."""
     order = np.lexsort((doc, key))
@@ -264,6 +299,8 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
     more than SMALL_BUCKET of its sets share: what the others need is found within the task.
     """
     num, den = bands.num, bands.den
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = RANGES_EACH * n
     shared = docs.sparkSession.sparkContext.broadcast((bands, hot))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +316,7 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
                 if name is None or doc[i] is None or name in seen:
                     continue
                 seen.add(name)
-                sig = signatures(s, bands, hot).view(np.int64)
+                sig = (signatures(s, bands, hot) & ~np.uint64(0xFFFF)).view(np.int64)  # 48 bits tell buckets apart
                 keys.append(sig)
                 ids.append(doc[i])
                 sizes.append((len(sig), len(s)))
@@ -294,10 +331,16 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
         first[start] = True
         big = np.repeat(length > SMALL_BUCKET, length)
         send = few | first
-        for at in range(0, int(send.sum()), 200_000):
-            part = np.nonzero(send)[0][at : at + 200_000]
-            # the sign of n says that the task has more sets of this key
-            yield _rows(BUCKET, key[part], key[part], doc[part], np.where(big[part], -size[part], size[part]))
+        # the sign of n says that the task has more sets of this key
+        kk, d, z = key[send], doc[send], np.where(big, -size, size)[send]
+        where = ((kk.view(np.uint64) >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        kk, d, z, where = kk[order], d[order], z[order], where[order]
+        cuts = [0, *(np.nonzero(np.diff(where))[0] + 1).tolist(), len(where)]
+        for at in range(0, len(cuts) - 1, 64):
+            spans = list(zip(cuts[at : at + 64], cuts[at + 1 : at + 65]))
+            none = [None] * len(spans)
+            yield _rows(BUCKET, [int(where[s]) for s, _ in spans], none, none, none, [pack_rows(kk[s:e], d[s:e], z[s:e]) for s, e in spans])
         if big.any():
             only = length > SMALL_BUCKET
             a, c = _pairs(doc, size, start[only], length[only], num, den)
@@ -312,8 +355,8 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
             other = np.nonzero(kind != BUCKET)[0]
             if len(other):
                 yield b.take(pa.array(other))
-            own = b.take(pa.array(np.nonzero(kind == BUCKET)[0]))
-            got.append((own.column(2).to_numpy(), own.column(3).to_numpy(), own.column(4).to_numpy()))
+            for i in np.nonzero(kind == BUCKET)[0].tolist():
+                got.append(unpack_rows(b.column(5)[i].as_py()))
         if not got:
             return
         key, doc, size, start, length = _buckets(*[np.concatenate([g[i] for g in got]) for i in range(3)])
@@ -326,7 +369,6 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
         large = np.repeat((length > SMALL_BUCKET) | more, length)
         yield _rows(MEMBER, key[large], key[large], doc[large], size[large])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return docs.mapInArrow(emit, WIDE_DDL).repartition(n, "route").mapInArrow(meet, WIDE_DDL).drop("route")
 
 
