@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from gossamer.llm.bytesets import mix64, slices, text_column
 from gossamer.llm.groups import attach_groups
-from gossamer.session import materialize, table
+from gossamer.session import bounded_batches, materialize, table
 
 WINDOW = 100
 KMER = 16
 #: A task sorts at most so many suffixes into one run.
-RUN_SUFFIXES = 300_000
+RUN_SUFFIXES = 80_000
 #: Hash ranges a shuffle partition gets on average.
 RANGES_EACH = 4
 #: So many ids are broadcast at most (16 bytes each); beyond it the join is shuffled.
@@ -169,7 +169,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     ds.append(ids[lo + row].astype(np.int64))
                     ps.append((crc[row] << 32) | local)
                     held += len(local)
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield from settle()
                     hs, ds, ps, held = [], [], [], 0
         if held:
@@ -470,6 +470,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before all others, null texts are empty, and texts shorter than the window lose nothing. ``kept``
     holds what is left, only where something was removed and something is left.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = materialize(anchor_rows(rows), "repeat-anchors")
     high = F.shiftright("p", 32)
