@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.session import table
+from gossamer.session import bounded_batches, table
 
 Q = 8
 #: A benchmark item is searched in pieces of this many normalised bytes, half overlapping.
@@ -183,6 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     in one narrow pass for each ``slice_items`` benchmark items; only a slice is ever broadcast.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     n_slices = max(1, -(-items.count() // slice_items))
     out = docs if keep is None else docs.select(*keep)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gossamer.session import materialize, scratch, table
+from gossamer.session import bounded_batches, materialize, scratch, table
 
 MAGIC = b"GTOKBIN1"
 HEAD = len(MAGIC) + 11 * 8
@@ -244,6 +244,7 @@ def with_starts(read: DataFrame) -> DataFrame:
 def tokenize_to_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write ``docs`` to token files in the shared folder and describe them as read back."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
     return with_starts(materialize(read_tokens(spark, path), "token-rows"))
