@@ -12,6 +12,8 @@ BROADCAST_CELLS = 100_000
 #: The query's tempering exponents: a target share is in proportion to observed share ** exponent.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS = 20
+#: Share of all tokens that a sample is expected to hold.
+BUDGET = 0.8
 #: Rounds between two writes of the cell table.
 CHUNK = 4
 SEED = "mix-1"
@@ -58,33 +60,40 @@ def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) ->
     return out.drop(*[f"_t_{d}" for d in exponents])
 
 
-def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """One row per cell with ``rate``: the calibrated inclusion probability of its documents.
 
-    The rate is weight / tokens, scaled so that the largest is 1: no probability is clipped, so
-    expected tokens meet the raked marginals. Cells without tokens have rate 1.
+    The rate is min(1, s * weight / tokens), with the s at which the expected tokens are ``budget``
+    of all: where no cell is too scarce for its weight, expected tokens meet the raked marginals;
+    scarce cells are taken whole. Cells without tokens have rate 1.
     """
     cells = materialize(docs.groupBy(*exponents).agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
     raked = rake(cells, exponents, rounds)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    return raked.withColumn("rate", F.coalesce(ratio / F.max(ratio).over(Window.partitionBy()), F.lit(1.0))).drop("tokens", "n_docs", "weight")
+    # cells by falling ratio: if all before one are taken whole, the rest shares what is left
+    order = Window.orderBy(F.col("ratio").desc_nulls_last(), *exponents)
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    out = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
+    out = out.withColumn("scale", F.when(rest > 0, (F.lit(budget) * F.sum("tokens").over(Window.partitionBy()) - before) / rest)).withColumn("place", F.row_number().over(order))
+    first = F.min(F.when(F.col("scale") * F.col("ratio") <= 1, F.struct("place", "scale"))).over(Window.partitionBy()).scale
+    return out.withColumn("rate", F.coalesce(F.least(F.lit(1.0), first * F.col("ratio")), F.lit(1.0))).select(*exponents, "rate")
 
 
-def mix(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``rate`` and ``kept``; the dimensions of ``exponents`` and ``n_tokens`` must be columns.
+def mix(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id") -> DataFrame:
+    """Adds (or replaces) ``rate`` and ``kept``; the dimensions of ``exponents`` and ``n_tokens`` must be columns.
 
     Every row of ``docs`` comes back, also ones with null dimensions or ids; rows of one id share
     their draw. The hot source costs nothing here: sums are partial, the cells are broadcast.
     """
     exponents = exponents or EXPONENTS
-    rates = materialize(mixing_rates(docs, exponents, rounds), "rates")
+    rates = materialize(mixing_rates(docs, exponents, rounds, budget), "rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    side = rates.select(*[F.col(d).alias(f"_k_{d}") for d in exponents], "rate")
+    side = rates.select(*[F.col(d).alias(f"_k_{d}") for d in exponents], F.col("rate").alias("_mix_rate"))
     on = None
     for d in exponents:
         c = docs[d].eqNullSafe(side[f"_k_{d}"])
         on = c if on is None else on & c
-    out = docs.join(F.broadcast(side) if small else side, on, "inner").drop(*[f"_k_{d}" for d in exponents])
+    out = docs.join(F.broadcast(side) if small else side, on, "inner").withColumn("rate", F.col("_mix_rate")).drop("_mix_rate", *[f"_k_{d}" for d in exponents])
     return out.withColumn("kept", unit_draw(F.col(id_col)) < F.col("rate"))
 
 
@@ -93,7 +102,7 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", (F.floor(F.col("rate") * 1e6 + 0.5) / 1e6).alias("rate"), "kept")
 
 
-def mixing_sql(docs: str, exponents: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:
+def mixing_sql(docs: str, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> str:
     """CTEs ``mix_0 ... mix_rates`` over a relation with the dimensions and n_tokens."""
     exponents = exponents or EXPONENTS
     dims = list(exponents)
@@ -109,7 +118,12 @@ def mixing_sql(docs: str, exponents: dict[str, float] | None = None, rounds: int
             ctes.append(f"mix_{n + 1} AS MATERIALIZED (SELECT {keep}, CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) ELSE 0 END AS weight FROM mix_{n})")
             n += 1
     ratio = "CASE WHEN tokens > 0 THEN weight / tokens END"
-    ctes.append(f"mix_rates AS (SELECT {', '.join(dims)}, coalesce({ratio} / max({ratio}) OVER (), 1.0) AS rate FROM mix_{n})")
+    order = f"ORDER BY ratio DESC NULLS LAST, {', '.join(d + ' NULLS FIRST' for d in dims)}"
+    ctes.append(f"mix_q AS (SELECT *, {ratio} AS ratio FROM mix_{n})")
+    ctes.append(f"mix_b AS (SELECT *, row_number() OVER ({order}) AS place, coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(tokens) OVER () AS total FROM mix_q)")
+    ctes.append(f"mix_l AS (SELECT *, CASE WHEN rest > 0 THEN ({budget} * total - taken) / rest END AS scale FROM mix_b)")
+    ctes.append("mix_f AS (SELECT arg_min(scale, place) AS s FROM mix_l WHERE scale * ratio <= 1)")
+    ctes.append(f"mix_rates AS (SELECT {', '.join(dims)}, CASE WHEN (SELECT s FROM mix_f) * ratio < 1 THEN (SELECT s FROM mix_f) * ratio ELSE 1.0 END AS rate FROM mix_l)")
     return ",\n".join(ctes)
 
 
