@@ -35,6 +35,9 @@ HOT_BITS = 20
 HOT_SIGMAS = 6
 #: Up to this many sets of a bucket are paired at once; a larger bucket takes the two-step way.
 SMALL_BUCKET = 8
+#: Sets of a block, and columns of a block's matrix that are held at once.
+BLOCK_SETS = 512
+MATRIX_COLUMNS = 2048
 #: Cost of one index row against one expected pair that fails verification.
 PAIR_COST = 20.0
 #: So many candidate ids are broadcast at most (8 bytes each); beyond it the join is shuffled.
@@ -110,7 +113,7 @@ class Bands:
         return (half, half, True) if deletion < exact else (total, keep, False)
 
 
-def signatures(s: np.ndarray, bands: Bands, hot: np.ndarray | None) -> np.ndarray:
+def signatures(s: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarray:
     """Index keys of one sorted set: for its own band, and for the next, where larger sets look."""
     out = []
     own = bands.band(len(s))
@@ -134,7 +137,7 @@ def signatures(s: np.ndarray, bands: Bands, hot: np.ndarray | None) -> np.ndarra
             out += [keys, mix64((sums[seg] - mix64(h ^ salt)) ^ name[seg])]
         elif keep < total:
             cheap = np.zeros(total, np.int64)
-            rare = seg if hot is None else seg[~hot[(s >> np.uint64(64 - HOT_BITS)).astype(np.int64)]]
+            rare = seg[~hot[(s >> np.uint64(64 - HOT_BITS)).astype(np.int64)]]
             cheap[rare] = 1
             out.append(keys[np.lexsort((keys, -cheap))[:keep]])
         else:
@@ -157,7 +160,7 @@ def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, s
 
 
-def survey(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray | None, dict[int, int]]:
+def survey(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, dict[int, int]]:
     """Slots of shingles that are more frequent than chance, and documents by band.
 
     Every task sends one table of 2**HOT_BITS counters; the sums are as large for any input.
@@ -205,7 +208,7 @@ def survey(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray | None, di
             sizes[-1 - p] = int.from_bytes(c, "little")
     flat = table_.ravel()
     mean = flat.mean()
-    return (flat > mean + HOT_SIGMAS * mean**0.5 + 16) if mean else None, sizes
+    return flat > mean + HOT_SIGMAS * mean**0.5 + 16, sizes
 
 
 ROW, BUCKET, PAIR, MEMBER = 0, 1, 2, 3
@@ -415,8 +418,9 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4,
     with one id are one node: they get the smallest class of theirs. A row with a null id has a
     null class. Exact copies meet through the name of their set, so no pair of them is formed.
 
-    Large buckets go two steps: first each set is verified against the bucket's smallest, which
-    joins near copies; then only members of different classes are paired. No pair is left out.
+    Large buckets are never paired in full. Each set is verified against the smallest it meets,
+    which joins near copies; where classes remain, all sets of the bucket are compared in blocks, as
+    differences from its smallest set (see ``block_links``), which leaves no linked pair out.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -432,27 +436,91 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4,
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "jaccard-ids")
     sets = materialize(document_sets(rows, ids, k), "jaccard-sets")
-    links = materialize(verified(one, sets, num, den).unionByName(copies), "jaccard-links")
-    first = materialize(connected_components(links), "jaccard-classes")
-    cls = first.select(F.col("node").alias("id"), "component")
+    base = materialize(ids.unionByName(copies.select(F.explode(F.array("a", "b")).alias("id"))).distinct(), "jaccard-base")
+    cls = base.withColumn("component", F.col("id"))
+    cls = merge_classes(cls, verified(one, sets, num, den).unionByName(copies))
 
     def with_class(df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(cls.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
+        return df.join(cls.select(F.col("id").alias(col), F.col("component").alias(out)), col)
 
+    def mixed_members() -> DataFrame:
+        """Members of large buckets that hold several classes."""
+        placed = materialize(with_class(members.distinct(), "id", "c"), "jaccard-members")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        return materialize(placed.join(mixed, "key"), "jaccard-mixed")
+
+    live = mixed_members()
+    pivots = live.groupBy("key").agg(F.min("id").alias("p"))
+    held = materialize(live.join(pivots, "key").select("p", "id", "c", "n").distinct(), "jaccard-held")
     rest = with_class(with_class(pairs.join(one, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    placed = materialize(with_class(members.distinct(), "id", "c"), "jaccard-members")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    live = materialize(placed.join(mixed, "key"), "jaccard-mixed")
-    x, y = live.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), live.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    cross = x.join(y, "key").where(close).select("a", "b")
-    second = materialize(rest.unionByName(cross).distinct(), "jaccard-rest")
-    late = verified(second, sets, num, den)
-    final = connected_components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(late)).select(F.col("node").alias("id"), "component")
-    out = named.select("id", "n_shingles").join(final, "id", "left")
+    near = block_links(held, sets, num, den)
+    cls = merge_classes(cls, near.unionByName(verified(materialize(rest.distinct(), "jaccard-rest"), sets, num, den)))
+    out = named.select("id", "n_shingles").join(cls, "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
+def block_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different classes among the sets that share a pivot, by exact counts.
+
+    ``held`` is (p, id, c, n): a set, its class and size, and the pivot of a large bucket it is in.
+    A set is held as D(x), its symmetric difference from the pivot: near copies have short ones, and
+    x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. Sets of one pivot are dealt to
+    blocks of about BLOCK_SETS, and each pair of blocks is one task's matrix product; a task sends
+    one link for two classes at most. No pair is ever a row.
+    """
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(4), b.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                out.append(np.setxor1d(x, y, True).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], ["p", "id", "c", "n", "d"])
+
+    def links(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, c, n, block = (t.column(x).to_numpy() for x in ("id", "c", "n", "block"))
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("d")]
+        size = np.array([len(x) for x in parts])
+        values, place = np.unique(np.concatenate(parts), return_inverse=True)
+        often = np.bincount(place, minlength=len(values)) > 1
+        column = np.where(often, np.cumsum(often) - 1, -1)[place]
+        row = np.repeat(np.arange(len(ids)), size)
+        keep = column >= 0
+        row, column = row[keep], column[keep]
+        lo = block == block.min()
+        left, right = np.nonzero(lo)[0], np.nonzero(~lo)[0] if not lo.all() else np.nonzero(lo)[0]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(often.sum()), MATRIX_COLUMNS):
+            part = (column >= at) & (column < at + MATRIX_COLUMNS)
+            m = np.zeros((len(ids), MATRIX_COLUMNS), np.float32)
+            m[row[part], column[part] - at] = 1
+            shared += m[left] @ m[right].T
+        differ_by = size[left][:, None] + size[right][None, :] - 2 * shared.astype(np.int64)
+        ok = (differ_by * (den + num) <= (den - num) * (n[left][:, None] + n[right][None, :])) & (c[left][:, None] != c[right][None, :])
+        i, j = np.nonzero(ok)
+        a, b = left[i], right[j]
+        _, first = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b])], 1), axis=0, return_index=True)
+        return pa.table({"a": pa.array(ids[a][first]), "b": pa.array(ids[b][first])})
+
+    sx, sp = sets.select("id", F.col("set").alias("x")), sets.select(F.col("id").alias("p"), F.col("set").alias("y"))
+    rows = materialize(held.join(sx, "id").join(sp, "p").select("p", "id", "c", "n", "x", "y").mapInArrow(differ, "p bigint, id bigint, c bigint, n bigint, d binary"), "jaccard-differences")
+    sizes = held.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    own = rows.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["p", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    return dealt.groupBy(*key).applyInArrow(links, "a bigint, b bigint")
+
+
+def merge_classes(cls: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after joining the classes of linked ids; ids outside ``cls`` are ignored."""
+    links = materialize(links, "jaccard-links")
+    for col in ("a", "b"):
+        links = links.join(cls.select(F.col("id").alias(col), F.col("component").alias("c" + col)), col)
+    up = connected_components(links.select("ca", "cb"), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return materialize(cls.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "jaccard-classes")
+
+
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_classes(docs).withColumnRenamed("id", "doc_id")
