@@ -26,7 +26,7 @@ BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 
 
 def bits_for(vocab_size: int) -> int:
