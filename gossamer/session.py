@@ -60,3 +60,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small, so that a worker's memory does not follow their length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def trimmed(run):
+    """Wrap a batch function so that a reused worker gives freed memory back after each task."""
+
+    def wrapped(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not glibc: nothing to give back
+
+    return wrapped
