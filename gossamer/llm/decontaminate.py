@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.session import bounded_batches, table
+from gossamer.session import bounded_batches, table, trimmed
 
 Q = 8
 #: A benchmark item is searched in pieces of this many normalised bytes, half overlapping.
@@ -199,7 +199,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 hits = [[{"item_id": i, "start": s, "edits": e} for i, s, e in find_items(t, index)] for t in b.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _HITS_ARROW)], [*b.schema.names, name])
 
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, HITS)]))
+        out = out.mapInArrow(trimmed(run), T.StructType([*out.schema.fields, T.StructField(name, HITS)]))
         merged = F.col(name) if merged is None else F.concat(merged, F.col(name))
     return out.withColumn(out_col, F.array_sort(merged)).drop(*[f"_hits_{k}" for k in range(n_slices)])
 

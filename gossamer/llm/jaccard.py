@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gossamer.llm.bytesets import mix64, shingle_sets, slices, text_column, word_hashes
 from gossamer.llm.groups import attach_groups
 from gossamer.operators.components import connected_components
-from gossamer.session import bounded_batches, materialize, table
+from gossamer.session import bounded_batches, materialize, table, trimmed
 
 #: Segments beyond the k + 1 that are indexed, as a share of them: room to leave costly ones out.
 SPARE = 0.5
@@ -35,6 +35,8 @@ HOT_BITS = 20
 HOT_SIGMAS = 6
 #: Up to this many sets of a bucket are paired at once; a larger bucket takes the two-step way.
 SMALL_BUCKET = 8
+#: A task sorts and sends its index rows when it holds so many.
+SETTLE_KEYS = 600_000
 #: Sets of a block, and columns of a block's matrix that are held at once.
 BLOCK_SETS = 512
 MATRIX_COLUMNS = 2048
@@ -198,7 +200,7 @@ def survey(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, dict[int,
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
 
-    got = docs.mapInArrow(count, "part int, counts binary").repartition(rows, "part").mapInArrow(add, "part int, counts binary").collect()
+    got = docs.mapInArrow(trimmed(count), "part int, counts binary").repartition(rows, "part").mapInArrow(trimmed(add), "part int, counts binary").collect()
     table_ = np.zeros((rows, (1 << HOT_BITS) // rows), np.int64)
     sizes = {}
     for p, c in got:
@@ -310,6 +312,33 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
         bands, hot = shared.value
         seen: set[bytes] = set()
         keys, ids, sizes = [], [], []
+        pending = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            reps = [n for n, _ in sizes]
+            key, doc, size, start, length = _buckets(np.concatenate(keys), np.repeat(np.array(ids, np.int64), reps), np.repeat(np.array([n for _, n in sizes], np.int64), reps))
+            few = np.repeat(length <= SMALL_BUCKET, length)
+            first = np.zeros(len(key), bool)
+            first[start] = True
+            big = np.repeat(length > SMALL_BUCKET, length)
+            send = few | first
+            # the sign of n says that the task has more sets of this key
+            kk, d, z = key[send], doc[send], np.where(big, -size, size)[send]
+            where = ((kk.view(np.uint64) >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            kk, d, z, where = kk[order], d[order], z[order], where[order]
+            cuts = [0, *(np.nonzero(np.diff(where))[0] + 1).tolist(), len(where)]
+            for at in range(0, len(cuts) - 1, 64):
+                spans = list(zip(cuts[at : at + 64], cuts[at + 1 : at + 65]))
+                none = [None] * len(spans)
+                yield _rows(BUCKET, [int(where[s]) for s, _ in spans], none, none, none, [pack_rows(kk[s:e], d[s:e], z[s:e]) for s, e in spans])
+            if big.any():
+                only = length > SMALL_BUCKET
+                a, c = _pairs(doc, size, start[only], length[only], num, den)
+                yield _rows(PAIR, mix64(a.view(np.uint64) ^ mix64(c.view(np.uint64))).view(np.int64), a, c, np.zeros(len(a), np.int64))
+                mk, md, ms = key[big & ~first], doc[big & ~first], size[big & ~first]
+                yield _rows(MEMBER, mix64(md.view(np.uint64) ^ mk.view(np.uint64)).view(np.int64), mk, md, ms)
+
         for b in batches:
             doc = b.column(0).to_pylist()
             rows: list[tuple] = []
@@ -323,33 +352,13 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
                 keys.append(sig)
                 ids.append(doc[i])
                 sizes.append((len(sig), len(s)))
+                pending += len(sig)
             yield _rows(ROW, mix64(np.arange(len(rows), dtype=np.uint64) + np.uint64(len(ids))).view(np.int64), [r[0] for r in rows], [None] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
-        if not keys:
-            return
-        reps = [n for n, _ in sizes]
-        key, doc, size, start, length = _buckets(np.concatenate(keys), np.repeat(np.array(ids, np.int64), reps), np.repeat(np.array([n for _, n in sizes], np.int64), reps))
-        del keys
-        few = np.repeat(length <= SMALL_BUCKET, length)
-        first = np.zeros(len(key), bool)
-        first[start] = True
-        big = np.repeat(length > SMALL_BUCKET, length)
-        send = few | first
-        # the sign of n says that the task has more sets of this key
-        kk, d, z = key[send], doc[send], np.where(big, -size, size)[send]
-        where = ((kk.view(np.uint64) >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        kk, d, z, where = kk[order], d[order], z[order], where[order]
-        cuts = [0, *(np.nonzero(np.diff(where))[0] + 1).tolist(), len(where)]
-        for at in range(0, len(cuts) - 1, 64):
-            spans = list(zip(cuts[at : at + 64], cuts[at + 1 : at + 65]))
-            none = [None] * len(spans)
-            yield _rows(BUCKET, [int(where[s]) for s, _ in spans], none, none, none, [pack_rows(kk[s:e], d[s:e], z[s:e]) for s, e in spans])
-        if big.any():
-            only = length > SMALL_BUCKET
-            a, c = _pairs(doc, size, start[only], length[only], num, den)
-            yield _rows(PAIR, mix64(a.view(np.uint64) ^ mix64(c.view(np.uint64))).view(np.int64), a, c, np.zeros(len(a), np.int64))
-            mk, md, ms = key[big & ~first], doc[big & ~first], size[big & ~first]
-            yield _rows(MEMBER, mix64(md.view(np.uint64) ^ mk.view(np.uint64)).view(np.int64), mk, md, ms)
+            if pending > SETTLE_KEYS:
+                yield from settle()
+                keys, ids, sizes, pending = [], [], [], 0
+        if keys:
+            yield from settle()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -372,7 +381,7 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
         large = np.repeat((length > SMALL_BUCKET) | more, length)
         yield _rows(MEMBER, key[large], key[large], doc[large], size[large])
 
-    return docs.mapInArrow(emit, WIDE_DDL).repartition(n, "route").mapInArrow(meet, WIDE_DDL).drop("route")
+    return docs.mapInArrow(trimmed(emit), WIDE_DDL).repartition(n, "route").mapInArrow(trimmed(meet), WIDE_DDL).drop("route")
 
 
 def document_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -388,7 +397,7 @@ def document_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     chosen = docs.withColumnRenamed(docs.columns[0], "id").join(side, "id", "left_semi")
-    return chosen.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
+    return chosen.mapInArrow(trimmed(run), "id bigint, set binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -407,7 +416,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
     sa, sb = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    return pairs.join(sa, "b").join(sb, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(sa, "b").join(sb, "a").select("a", "b", "set_a", "set_b").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -504,7 +513,7 @@ def block_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         return pa.table({"a": pa.array(ids[a][first]), "b": pa.array(ids[b][first])})
 
     sx, sp = sets.select("id", F.col("set").alias("x")), sets.select(F.col("id").alias("p"), F.col("set").alias("y"))
-    rows = materialize(held.join(sx, "id").join(sp, "p").select("p", "id", "c", "n", "x", "y").mapInArrow(differ, "p bigint, id bigint, c bigint, n bigint, d binary"), "jaccard-differences")
+    rows = materialize(held.join(sx, "id").join(sp, "p").select("p", "id", "c", "n", "x", "y").mapInArrow(trimmed(differ), "p bigint, id bigint, c bigint, n bigint, d binary"), "jaccard-differences")
     sizes = held.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
     own = rows.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

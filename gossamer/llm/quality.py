@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gossamer.session import bounded_batches, materialize, table
+from gossamer.session import bounded_batches, materialize, table, trimmed
 
 #: At most about this many labelled rows are used for fitting (drawn by a hash of the id).
-MAX_FIT_ROWS = 100_000
+MAX_FIT_ROWS = 30_000
 THRESHOLD = 0.3
 N_BINS = 64
 N_TREES = 100
@@ -167,7 +167,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("stats", T.BinaryType())]))
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(trimmed(run), T.StructType([T.StructField("id", kind), T.StructField("stats", T.BinaryType())]))
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Trees:
@@ -192,7 +192,7 @@ def score_stats(stats: DataFrame, model: Trees) -> DataFrame:
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, N_STATS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x.astype(np.float64)))], ["id", "score"])
 
-    return stats.mapInArrow(run, T.StructType([stats.schema["id"], T.StructField("score", T.DoubleType())]))
+    return stats.mapInArrow(trimmed(run), T.StructType([stats.schema["id"], T.StructField("score", T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -203,7 +203,7 @@ def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", score
             x = np.stack([document_stats(t) for t in b.column(text_col).to_pylist()]) if b.num_rows else np.zeros((0, N_STATS), np.float32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x.astype(np.float64)))], [*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:

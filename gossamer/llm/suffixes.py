@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gossamer.llm.bytesets import mix64, slices, text_column
 from gossamer.llm.groups import attach_groups
-from gossamer.session import bounded_batches, materialize, table
+from gossamer.session import bounded_batches, materialize, table, trimmed
 
 WINDOW = 100
 KMER = 16
@@ -198,7 +198,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         yield _wide(ANCHOR, h[again], d[again], p[again])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.mapInArrow(emit, WIDE_DDL).repartition(n, "route").mapInArrow(meet, WIDE_DDL).drop("route")
+    return docs.mapInArrow(trimmed(emit), WIDE_DDL).repartition(n, "route").mapInArrow(trimmed(meet), WIDE_DDL).drop("route")
 
 
 # -- sorted runs ---------------------------------------------------------------------------------
@@ -449,7 +449,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if found:
             yield _spans(found)
 
-    return docs.mapInArrow(emit, EXCHANGE_DDL).repartition(n, "route").mapInArrow(merge, EXCHANGE_DDL).select("d", "p", "e")
+    return docs.mapInArrow(trimmed(emit), EXCHANGE_DDL).repartition(n, "route").mapInArrow(trimmed(merge), EXCHANGE_DDL).select("d", "p", "e")
 
 
 def _with_text(docs: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -499,7 +499,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], ["d", "h", "r", "s", "k", "kept"])
 
-    cutout = _with_text(rows, materialize(merged, "repeat-merged")).select("d", "h", "text", "spans").mapInArrow(cut, "d bigint, h bigint, r bigint, s bigint, k string, kept binary").dropDuplicates(["d", "h"])
+    cutout = _with_text(rows, materialize(merged, "repeat-merged")).select("d", "h", "text", "spans").mapInArrow(trimmed(cut), "d bigint, h bigint, r bigint, s bigint, k string, kept binary").dropDuplicates(["d", "h"])
     joined = every.join(cutout, ["d", "h"], "left")
     whole = (F.col("first") < F.col("d")) & (F.col("n_bytes") >= WINDOW)
     zero = F.lit(0).cast("long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gossamer.session import bounded_batches, materialize, scratch, table
+from gossamer.session import bounded_batches, materialize, scratch, table, trimmed
 
 MAGIC = b"GTOKBIN1"
 HEAD = len(MAGIC) + 11 * 8
@@ -26,7 +26,7 @@ BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 500_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         if ids:
             yield flush()
 
-    dealt.mapInArrow(run, "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    dealt.mapInArrow(trimmed(run), "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -229,7 +229,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     ddl = "shard_null boolean, shard_first bigint, shard_seq bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ddl)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(run), ddl)
 
 
 def with_starts(read: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer.llm.groups import attach_groups
-from gossamer.session import materialize, scratch, table
+from gossamer.session import materialize, scratch, table, trimmed
 
 #: The digit alphabets of base 32 as conv() writes them and as RFC 4648 does.
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -168,7 +168,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, bat
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, RECORDS)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORDS_DDL)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(parse), RECORDS_DDL)
 
 
 def assemble(records: DataFrame) -> DataFrame:
