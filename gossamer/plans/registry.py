@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from gossamer.plans import site_queries, testbed
+
+
+def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: testbed.run(spark, sf_dir, sql)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: overview of a snapshot."""
+    return testbed.run(spark, sf_dir, site_queries.QUERIES["e1_overview"])
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _shared(v) for k, v in site_queries.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: testbed.for_duckdb(v) for k, v in site_queries.QUERIES.items()}
