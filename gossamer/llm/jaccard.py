@@ -37,6 +37,8 @@ HOT_SIGMAS = 6
 SMALL_BUCKET = 8
 #: A task sorts and sends its index rows when it holds so many.
 SETTLE_KEYS = 600_000
+#: Cells of a set's sketch.
+CELLS = 256
 #: Sets of a block, and columns of a block's matrix that are held at once.
 BLOCK_SETS = 512
 MATRIX_COLUMNS = 2048
@@ -265,7 +267,7 @@ def _close(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _pairs(doc, size, start, length, num, den) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within buckets of up to SMALL_BUCKET sets, and (row, smallest) in larger ones."""
+    """All pairs within buckets of up to SMALL_BUCKET sets."""
     lo, hi = [], []
     for m in range(2, SMALL_BUCKET + 1):
         s = start[length == m]
@@ -274,14 +276,6 @@ def _pairs(doc, size, start, length, num, den) -> tuple[np.ndarray, np.ndarray]:
                 ok = _close(size[s + i], size[s + j], num, den)
                 lo.append(doc[s + i][ok])
                 hi.append(doc[s + j][ok])
-    big = length > SMALL_BUCKET
-    if big.any():
-        s, m = start[big], length[big]
-        base = np.repeat(s, m - 1)
-        rest = base + np.arange(len(base)) - np.repeat(np.cumsum(m - 1) - (m - 1), m - 1) + 1
-        ok = _close(size[base], size[rest], num, den)
-        lo.append(doc[base][ok])
-        hi.append(doc[rest][ok])
     if not lo:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lo, hi = np.concatenate(lo), np.concatenate(hi)
@@ -292,11 +286,6 @@ def _pairs(doc, size, start, length, num, den) -> tuple[np.ndarray, np.ndarray]:
     return lo[fresh], hi[fresh]
 
 
-def _members(key, doc, size, start, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    big = np.repeat(length > SMALL_BUCKET, length)
-    return key[big], doc[big], size[big]
-
-
 def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
     """Rows of every document, candidate pairs, and members of large buckets; one shuffle.
 
@@ -333,9 +322,6 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
                 none = [None] * len(spans)
                 yield _rows(BUCKET, [int(where[s]) for s, _ in spans], none, none, none, [pack_rows(kk[s:e], d[s:e], z[s:e]) for s, e in spans])
             if big.any():
-                only = length > SMALL_BUCKET
-                a, c = _pairs(doc, size, start[only], length[only], num, den)
-                yield _rows(PAIR, mix64(a.view(np.uint64) ^ mix64(c.view(np.uint64))).view(np.int64), a, c, np.zeros(len(a), np.int64))
                 mk, md, ms = key[big & ~first], doc[big & ~first], size[big & ~first]
                 yield _rows(MEMBER, mix64(md.view(np.uint64) ^ mk.view(np.uint64)).view(np.int64), mk, md, ms)
 
@@ -376,7 +362,7 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
             return
         more = np.add.reduceat((size < 0).astype(np.int64), start) > 0
         size = np.abs(size)
-        a, c = _pairs(doc, size, start, length, num, den)
+        a, c = _pairs(doc, size, start[~more], length[~more], num, den)
         yield _rows(PAIR, a, a, c, np.zeros(len(a), np.int64))
         large = np.repeat((length > SMALL_BUCKET) | more, length)
         yield _rows(MEMBER, key[large], key[large], doc[large], size[large])
@@ -384,20 +370,50 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
     return docs.mapInArrow(trimmed(emit), WIDE_DDL).repartition(n, "route").mapInArrow(trimmed(meet), WIDE_DDL).drop("route")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each of CELLS cells, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(8)).astype(np.int64) & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def document_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set binary) of the documents with these ids; repeated ids keep one row."""
+    """(id, n, set, sketch) of the documents with these ids."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     side = F.broadcast(ids) if few else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [None] * b.num_rows
-            for i, s in sets_of(b, k):
-                sets[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            rows = [(len(s), s.tobytes(), sketch(s)) for _, s in sets_of(b, k)]
+            n, sets, marks = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(marks, pa.binary())], ["id", "n", "set", "sketch"])
 
     chosen = docs.withColumnRenamed(docs.columns[0], "id").join(side, "id", "left_semi")
-    return chosen.mapInArrow(trimmed(run), "id bigint, set binary").dropDuplicates(["id"])
+    return chosen.mapInArrow(trimmed(run), "id bigint, n bigint, set binary, sketch binary")
+
+
+def narrowed(sets: DataFrame, rows: DataFrame, col: str) -> DataFrame:
+    """The sets that ``rows`` name in a column; a checked number of ids is broadcast, so the others
+    are not shuffled."""
+    ids = rows.select(F.col(col).alias("id")).distinct()
+    return sets.join(F.broadcast(ids), "id", "left_semi") if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else sets
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches allow a link: sets differ at least by the sum of their cells'
+    differences (a full cell tells nothing). Only sketches are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+            apart = np.where((x < 255) & (y < 255), np.abs(x - y), 0).sum(1)
+            total = b.column(4).to_numpy() + b.column(5).to_numpy()
+            keep = pa.array(np.nonzero(apart * (den + num) <= (den - num) * total)[0])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
+
+    sa, sb = (sets.select(F.col("id").alias(i), F.col("sketch").alias("s" + i), F.col("n").alias("n" + i)) for i in ("a", "b"))
+    joined = pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb", "na", "nb")
+    return materialize(joined.mapInArrow(trimmed(run), "a bigint, b bigint"), "jaccard-plausible")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -415,8 +431,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    sa, sb = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    return pairs.join(sa, "b").join(sb, "a").select("a", "b", "set_a", "set_b").mapInArrow(trimmed(run), "a bigint, b bigint")
+    pairs = plausible(pairs, sets, num, den)
+    sa, sb = (narrowed(sets, pairs, i).select(F.col("id").alias(i), F.col("set").alias("set_" + i)) for i in ("a", "b"))
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "set_a", "set_b").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,7 +444,7 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4,
     with one id are one node: they get the smallest class of theirs. A row with a null id has a
     null class. Exact copies meet through the name of their set, so no pair of them is formed.
 
-    Large buckets are never paired in full. Each set is verified against the smallest it meets,
+    Large buckets are never paired in full. Each set is verified against the smallest id it meets,
     which joins near copies; where classes remain, all sets of the bucket are compared in blocks, as
     differences from its smallest set (see ``block_links``), which leaves no linked pair out.
     """
@@ -441,8 +458,10 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4,
     named = materialize(attach_groups(nodes, "name", {"first_id": F.min("id")}, "jaccard-names"), "jaccard-nodes")
     copies = named.where("first_id is not null and id is not null and first_id <> id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
     pairs = materialize(found.where(F.col("kind") == PAIR).select("a", "b").distinct(), "jaccard-pairs")
-    one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
+    members = materialize(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"), "n").distinct(), "jaccard-members")
+    least = members.groupBy("key").agg(F.min("id").alias("a"))
+    stars = members.join(least, "key").where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a"))
+    one = materialize(pairs.select("a", "b").unionByName(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "jaccard-ids")
     sets = materialize(document_sets(rows, ids, k), "jaccard-sets")
     base = materialize(ids.unionByName(copies.select(F.explode(F.array("a", "b")).alias("id"))).distinct(), "jaccard-base")
@@ -454,7 +473,7 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4,
 
     def mixed_members() -> DataFrame:
         """Members of large buckets that hold several classes."""
-        placed = materialize(with_class(members.distinct(), "id", "c"), "jaccard-members")
+        placed = materialize(with_class(members, "id", "c"), "jaccard-placed")
         mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         return materialize(placed.join(mixed, "key"), "jaccard-mixed")
 
@@ -512,7 +531,7 @@ def block_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         _, first = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b])], 1), axis=0, return_index=True)
         return pa.table({"a": pa.array(ids[a][first]), "b": pa.array(ids[b][first])})
 
-    sx, sp = sets.select("id", F.col("set").alias("x")), sets.select(F.col("id").alias("p"), F.col("set").alias("y"))
+    sx, sp = narrowed(sets, held, "id").select("id", F.col("set").alias("x")), narrowed(sets, held, "p").select(F.col("id").alias("p"), F.col("set").alias("y"))
     rows = materialize(held.join(sx, "id").join(sp, "p").select("p", "id", "c", "n", "x", "y").mapInArrow(trimmed(differ), "p bigint, id bigint, c bigint, n bigint, d binary"), "jaccard-differences")
     sizes = held.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
     own = rows.join(sizes, "p").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
