@@ -52,25 +52,26 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of consecutive rows, and the rows' offsets into them.
+def lowered(a: np.ndarray) -> np.ndarray:
+    return _LOWER[a]
 
-    Words are runs of bytes other than space and 9-13, with A-Z lowered.
-    """
-    a = _LOWER[data[offsets[0] : offsets[-1]]]
-    off = offsets - offsets[0]
-    n = len(a)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+
+def word_starts(a: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which bytes are in words, which start one); a row's start starts a word."""
     solid = ~_SPACE[a]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    first = off[:-1][off[:-1] < n]
+    first = off[:-1][off[:-1] < len(a)]
     begins[first] = solid[first]
-    starts = np.nonzero(begins)[0]
+    return solid, begins
+
+
+def hash_pieces(a: np.ndarray, solid: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces that start at ``starts``; bytes outside words do not count."""
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    # the place of each byte within its word
+        return np.zeros(0, np.uint64)
+    n = len(a)
+    # the place of each byte within its piece
     run = np.zeros(n, np.int64)
     run[starts] = np.diff(np.concatenate([[0], starts]))
     place = np.arange(n) - np.cumsum(run)
@@ -79,8 +80,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if long.any():
         terms[long] = mix64(terms[long] + (place[long] >> 12).astype(np.uint64))
     terms[~solid] = 0
-    h = np.add.reduceat(terms, starts)
-    return mix64(h), np.searchsorted(starts, off)
+    return mix64(np.add.reduceat(terms, starts))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of consecutive rows, and the rows' offsets into them.
+
+    Words are runs of bytes other than space and 9-13, with A-Z lowered.
+    """
+    a = lowered(data[offsets[0] : offsets[-1]])
+    off = offsets - offsets[0]
+    if len(a) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    solid, begins = word_starts(a, off)
+    starts = np.nonzero(begins)[0]
+    return hash_pieces(a, solid, starts), np.searchsorted(starts, off)
 
 
 def shingle_sets(words: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gossamer.llm.bytesets import hash_pieces, lowered, slices, text_column, word_starts
 from gossamer.session import bounded_batches, materialize, scratch, table, trimmed
 
 MAGIC = b"GTOKBIN1"
@@ -26,7 +27,7 @@ BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -51,7 +52,7 @@ def unpack(raw: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int, block: int = BLOCK_IDS, seq: int = 0) -> bytes:
+def write_shard(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK_IDS, seq: int = 0) -> bytes:
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[: len(blocks)].astype("<u8")
     n = len(doc_ids)
@@ -120,6 +121,71 @@ class WordEncoder:
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memo: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew: place 0 holds the end id of ``encode_column``."""
+        self.places: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.start, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.length[0] = 1
+        self.used, self.known = 1, 1
+
+    def _add(self, hashes: list[int], words: list[bytes]) -> None:
+        """Encode new words and keep their ids behind each other."""
+        self.memo.clear()
+        self._encode_words(set(words))
+        flat = [self.memo[w] for w in words]
+        new = np.frombuffer(b"".join(flat), "<u4")
+        n = len(words)
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + len(new), "<u4")])
+        if self.known + n > len(self.start):
+            more = np.zeros(self.known + n, np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        lengths = np.array([len(f) // 4 for f in flat], np.int64)
+        self.ids[self.used : self.used + len(new)] = new
+        self.start[self.known : self.known + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.known : self.known + n] = lengths
+        self.places.update(zip(hashes, range(self.known, self.known + n)))
+        self.used, self.known = self.used + len(new), self.known + n
+        self.memo.clear()
+
+    def encode_column(self, col: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids of each text) of slices of a string column, each text with the end id.
+
+        The same words as in ``encode``, found for a whole slice at once and told apart by 64-bit
+        hashes; a word is spelled out only when it is new.
+        """
+        data, offsets = text_column(col)
+        for lo, hi in slices(offsets):
+            off = offsets[lo : hi + 1]
+            raw = data[off[0] : off[-1]].tobytes()
+            if b"<|" in raw:
+                coded = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1] - off[0], off[1:] - off[0])], end_id)
+                yield np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
+                continue
+            hashes, starts, ends, at = word_pieces(data, off)
+            u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            if self.known > MEMO_WORDS:
+                self.forget()
+            keys = u.tolist()
+            fresh = [i for i, k in enumerate(keys) if k not in self.places]
+            if fresh:
+                low = raw.lower()
+                self._add([keys[i] for i in fresh], [low[starts[first[i]] : ends[first[i]]] for i in fresh])
+            place = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))[inverse]
+            n = hi - lo
+            pieces = np.zeros(len(place) + n, np.int64)  # place 0 ends a text
+            last = at[1:] + np.arange(n)
+            keep = np.ones(len(pieces), bool)
+            keep[last] = False
+            pieces[keep] = place
+            self.ids[0] = end_id
+            size = self.length[pieces]
+            total = np.cumsum(size)
+            ids = self.ids[np.repeat(self.start[pieces] - (total - size), size) + np.arange(int(total[-1]))]
+            yield ids, np.diff(np.concatenate([[0], total[last]]))
 
     def _learn(self, tokenizer, keys: list[bytes], words: list[str]) -> None:
         for i in range(0, len(keys), 20_000):
@@ -140,7 +206,12 @@ class WordEncoder:
             split.append((raw if b"<|" in raw else _TAIL.sub(rb"\1 \2", raw.lower())).split())
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        fresh = set().union(*split) - self.memo.keys() if split else set()
+        self._encode_words(set().union(*split) - self.memo.keys() if split else set())
+        end = np.array([end_id], "<u4").tobytes()
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) + end for words in split]
+
+    def _encode_words(self, fresh: set[bytes]) -> None:
         plain: tuple[list, list] = ([], [])
         other: tuple[list, list] = ([], [])
         for w in fresh:
@@ -151,14 +222,40 @@ class WordEncoder:
             to[1].append(low if to is plain else text)
         self._learn(self.letters, *plain)
         self._learn(self.tokenizer, *other)
-        end = np.array([end_id], "<u4").tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
 
 
 #: A run of ASCII marks (no apostrophe) that ends a word behind an ASCII letter or digit.
 _TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\s]|\Z)")
 
+_ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_MARK[39] = False
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of consecutive rows with _TAIL cut off, and the rows' offsets."""
+    a = lowered(data[offsets[0] : offsets[-1]])
+    off = offsets - offsets[0]
+    n = len(a)
+    if n == 0:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(off), np.int64)
+    solid, begins = word_starts(a, off)
+    stops = solid.copy()
+    stops[:-1] &= ~solid[1:] | begins[1:]
+    i = np.arange(n)
+    core = np.maximum.accumulate(np.where(_MARK[a] & ~begins, -1, i))
+    end = np.nonzero(stops)[0]
+    c = core[end]
+    cut = (c < end) & _ALNUM[a[c]] & solid[c]
+    begins[c[cut] + 1] = True
+    starts = np.nonzero(begins)[0]
+    stops[c[cut]] = True
+    ends = np.nonzero(stops)[0] + 1
+    return hash_pieces(a, solid, starts), starts, ends, np.searchsorted(starts, off)
+
+
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -183,23 +280,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         enc = encoder(tokenizer)
         bits = bits_for(max(enc.vocab_size, end_id + 1))
         ids: list[int | None] = []
-        chunks: list[bytes] = []
+        chunks: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         held = seq = 0
 
         def flush() -> pa.RecordBatch:
-            data = write_shard(ids, [len(c) // 4 for c in chunks], np.frombuffer(b"".join(chunks), "<u4"), bits, seq=seq)
+            data = write_shard(ids, np.concatenate(lengths), np.concatenate(chunks), bits, seq=seq)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                for d, c in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist(), end_id)):
-                    ids.append(d)
-                    chunks.append(c)
-                    held += len(c) // 4
-                    if held >= shard_ids:
-                        yield flush()
-                        ids, chunks, held, seq = [], [], 0, seq + 1
+            at = 0
+            doc_ids = b.column(0).to_pylist()
+            for coded, n in enc.encode_column(b.column(1), end_id):
+                ids += doc_ids[at : at + len(n)]
+                chunks.append(coded.astype("<u2") if bits <= 16 else coded)
+                lengths.append(n)
+                held += len(coded)
+                at += len(n)
+                if held >= shard_ids:
+                    yield flush()
+                    ids, chunks, lengths, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield flush()
 
