@@ -66,7 +66,7 @@ def h1_status(n: Column) -> Column:
 def headings(html: Column) -> Column:
     """(level, text) of every heading, in order."""
     raw = F.regexp_extract_all(html, F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>)"), 1)
-    return F.transform(raw, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), F.trim(F.regexp_replace(strip_tags(h), r"\s+", " ")).alias("text")))
+    return F.transform(raw, lambda h: F.named_struct(F.lit("level"), F.substring(h, 3, 1).cast("int"), F.lit("text"), F.trim(F.regexp_replace(strip_tags(h), r"\s+", " "))))
 
 
 def links(html: Column) -> Column:
@@ -77,7 +77,7 @@ def zone_links(html: Column) -> Column:
     """(url, weight) of links: 0.7 in nav and header, 0.4 in footer, else 1.0; the largest of each url."""
     pick = lambda t: F.flatten(F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)(<{t}[^>]*>.*?</{t}>)"), 1), links))
     rest = links(without(html, "nav", "header", "footer"))
-    give = lambda xs, w: F.transform(xs, lambda u: F.struct(u.alias("url"), F.lit(w).alias("weight")))
+    give = lambda xs, w: F.transform(xs, lambda u: F.named_struct(F.lit("url"), u, F.lit("weight"), F.lit(w)))
     return F.concat(give(pick("nav"), 0.7), give(pick("header"), 0.7), give(pick("footer"), 0.4), give(rest, 1.0))
 
 

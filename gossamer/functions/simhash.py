@@ -44,9 +44,14 @@ def simhash_one(text: str | None, cap: int = 50_000) -> int:
     return int(np.packbits((votes > 0).astype(np.uint8)).view(">i8")[0])
 
 
-@F.pandas_udf("bigint")
-def simhash(text: pd.Series) -> pd.Series:
-    return text.map(simhash_one).astype("int64")
+def simhash(text: Column | str) -> Column:
+    """Arrow-batched ``simhash_one``."""
+
+    @F.pandas_udf("bigint")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(simhash_one).astype("int64")
+
+    return run(text)
 
 
 def fnv1a_expr(token: Column) -> Column:

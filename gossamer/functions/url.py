@@ -47,7 +47,7 @@ def query_params(u: Column) -> Column:
     raw = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
     name = lambda p: F.regexp_extract(p, "^([^=]*)", 1)
     kept = F.filter(raw, lambda p: ~(name(p).startswith(TRACKING_PREFIX) | name(p).isin(*TRACKING)))
-    keyed = F.transform(kept, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    keyed = F.transform(kept, lambda p, i: F.named_struct(F.lit("k"), name(p), F.lit("i"), i, F.lit("p"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))))
     return F.transform(F.array_sort(keyed), lambda s: F.replace(s.p, F.lit("%20"), F.lit("+")))
 
 

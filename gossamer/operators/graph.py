@@ -40,7 +40,7 @@ def authority(in_links: Column, largest: Column) -> Column:
 def graph_metrics(deg: DataFrame, max_depth: int = 3) -> DataFrame:
     """One row: totals, depths, efficiency, orphan counts and out-degree entropy.
 
-    ``deg`` has id, depth, in_links, out_links. A page is near-orphan with one link in, deep
+    ``deg`` has id, depth, in_links, out_links. A page is near-orphan with one link in at ``max_depth`` or deeper, deep
     beyond ``max_depth``; depth 0 is the home page and no orphan.
     """
     spread = deg.groupBy("out_links").agg(F.count(F.lit(1)).alias("n"))
@@ -53,7 +53,7 @@ def graph_metrics(deg: DataFrame, max_depth: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("out_links"), F.lit(0)).cast("bigint").alias("edges"), F.max("depth").cast("int").alias("max_depth"),
         F.avg(F.col("depth").cast("double")).alias("avg_depth"), F.avg(F.col("out_links").cast("double")).alias("avg_out"),
         (F.count_if(F.col("depth") <= max_depth) / F.count(F.lit(1))).alias("efficiency"),
-        count((F.col("in_links") == 0) & inner).alias("orphans"), count((F.col("in_links") == 1) & inner).alias("near_orphans"), count(F.col("depth") > max_depth).alias("deep"),
+        count((F.col("in_links") == 0) & inner).alias("orphans"), count((F.col("in_links") == 1) & (F.col("depth") >= max_depth)).alias("near_orphans"), count(F.col("depth") > max_depth).alias("deep"),
     )
     return one.crossJoin(F.broadcast(entropy))  # one row each
 

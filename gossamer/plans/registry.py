@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.plans import site_queries, testbed
+from gossamer.plans import data_queries, site_queries, testbed
 
 
 def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,8 +19,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _shared(v) for k, v in site_queries.QUERIES.items()}
+    return {k: _shared(v) for k, v in site_queries.QUERIES.items()} | data_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: testbed.for_duckdb(v) for k, v in site_queries.QUERIES.items()}
+    return {k: testbed.for_duckdb(v) for k, v in site_queries.QUERIES.items()} | data_queries.SQL
