@@ -27,7 +27,7 @@ BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -158,7 +158,7 @@ class WordEncoder:
         hashes; a word is spelled out only when it is new.
         """
         data, offsets = text_column(col)
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, 1 << 20):
             off = offsets[lo : hi + 1]
             raw = data[off[0] : off[-1]].tobytes()
             if b"<|" in raw:
