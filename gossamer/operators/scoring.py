@@ -148,3 +148,43 @@ def transport_audit(tls: Column, https: Column, cert_ok: Column, days_left: Colu
     score = js_round(F.when(critical, F.least(total, F.lit(39.0))).otherwise(total))
     grade = F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 40, "D").otherwise("F")
     return F.struct(score.alias("score"), grade.alias("grade"), issues.alias("issues"))
+
+
+def og_mismatches(pages: DataFrame) -> DataFrame:
+    """(url, reason): Open Graph titles and urls that differ from the page's, trimmed, without case."""
+    same = lambda a, b: F.lower(F.trim(F.col(a))) == F.lower(F.trim(F.col(b)))
+    filled = lambda *cs: F.forall(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in cs]), lambda x: x != "")
+    found = F.array(F.when(filled("og_title", "title") & ~same("og_title", "title"), F.lit("title_mismatch")), F.when(filled("og_url", "canonical") & ~same("og_url", "canonical"), F.lit("url_mismatch")))
+    return pages.select("url", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("reason"))
+
+
+def signals_summary(records: DataFrame) -> DataFrame:
+    """One row: coverage in percent, distinct schema types, authority gap and the site's score.
+
+    ``records`` has og, lang, hreflang, jsonld (booleans), schema_types, pagerank and authority.
+    """
+    share = lambda c: grid(F.count_if(c) / F.count(F.lit(1)) * 100, 2).alias(c)
+    impact = F.col("pagerank") * 0.6 + F.col("authority") * 0.4
+    gap = records.where("not jsonld").select((impact * 2).alias("g")).orderBy(F.col("g").desc()).limit(10).agg(F.least(F.lit(100.0), F.coalesce(F.sum("g"), F.lit(0.0))).alias("gap"))
+    types = records.select(F.explode("schema_types").alias("t")).agg(F.count_distinct("t").alias("types"))
+    one = records.agg(share("og"), share("lang"), share("hreflang"), share("jsonld")).crossJoin(F.broadcast(gap)).crossJoin(F.broadcast(types))  # one row each
+    score = F.col("jsonld") * 0.35 + F.col("og") * 0.25 + F.col("lang") * 0.15 + F.col("hreflang") * 0.1 + (1 - F.col("gap") / 100) * 10 + F.least(F.lit(1.0), F.col("types") / 12) * 15
+    return one.withColumn("score", grid(clamp(score), 2))
+
+
+def issue_counts(pages: DataFrame) -> DataFrame:
+    """One row of issue counters over internal pages.
+
+    ``pages`` has internal, status, crawl_status, trap, redirects, canonical, url, noindex, in_links,
+    out_links, depth, n_h1, words, external_ratio, missing_alts and broken_links.
+    """
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("bigint")
+    c = F.col
+    broken = (c("status") >= 400) | ((c("status") == 0) & c("crawl_status").isin("network_error", "failed_after_retries", "fetched_error"))
+    bare = lambda x: F.regexp_replace(c(x), "/$", "")
+    return pages.where("internal").agg(
+        (n(broken) + F.coalesce(F.sum("broken_links"), F.lit(0))).cast("bigint").alias("broken_links"), n(c("redirects") > 1).alias("redirect_chains"), n((c("canonical") != c("url")) & (bare("canonical") != bare("url"))).alias("canonical_conflicts"),
+        n(c("noindex") & c("status").between(200, 299)).alias("noindex_misuse"), n((c("in_links") == 1) & (c("depth") > 0)).alias("low_internal_links"), n(c("out_links") > 150).alias("excessive_links"), n(c("n_h1") == 0).alias("missing_h1"),
+        n(c("words") < 200).alias("thin_content"), n(c("external_ratio") > 0.6).alias("high_external_ratio"), n(c("missing_alts") > 0).alias("image_alt_missing"), n(c("crawl_status").isin("blocked", "blocked_by_robots")).alias("blocked_by_robots"), n(c("trap")).alias("crawl_traps"),
+        n((c("in_links") > 5) & (c("out_links") < 3)).alias("strong_under_linking"),
+    )

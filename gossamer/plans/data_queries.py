@@ -19,7 +19,7 @@ from gossamer.operators import ranking as R
 from gossamer.operators import scoring as C
 from gossamer.plans import testbed
 from gossamer.plugins import blend, roll_up, signals_plugin
-from gossamer.session import table
+from gossamer.session import materialize, table
 from gossamer.sources.connectors import pagespeed_summary
 from gossamer.streaming import limiter as L
 
@@ -413,6 +413,7 @@ PAGE_NODES = f"pn AS (SELECT DISTINCT path_url AS id FROM (SELECT {NORM_PATH} AS
 def page_graph(spark, d) -> G.SiteGraph:
     """Pages and link targets by path; links with their zone's weight, self-links left out."""
     p = pages(spark, d).select(U.normalize_url(F.col("url"), to_path=True).alias("src"), F.explode(H.zone_links(F.col("html"))).alias("l")).select("src", F.col("l.url").alias("dst"), F.col("l.weight").alias("weight")).where("src is not null")
+    p = materialize(p, "page-links")
     own = pages(spark, d).select(U.normalize_url(F.col("url"), to_path=True).alias("id")).where("id is not null")
     nodes = own.unionByName(p.select(F.col("dst").alias("id"))).distinct()
     return G.build_graph(nodes, p.where("src <> dst"))
@@ -544,3 +545,191 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events")
     return L.event_counts(e).withColumn("start", F.col("start").cast(e.schema["ts"].dataType))
+
+
+# -- reports, the rest of the scores, and sinks -------------------------------------------------------
+
+from gossamer.sources import exports  # noqa: E402
+from gossamer.sources.connectors import Robots, fetch_pages, sitemap_urls  # noqa: E402
+
+
+@query("p2_enqueue_predicate", "SELECT o_orderkey FROM orders o WHERE o_orderkey % 6 <= 5 AND NOT EXISTS (SELECT 1 FROM orders v WHERE v.o_orderkey = o.o_orderkey - 1 AND v.o_orderstatus = 'F')")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    seen = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") + 1).alias("o_orderkey"))
+    return o.where(F.col("o_orderkey") % 6 <= 5).join(seen, "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("a12_robots", f"SELECT page_id, CASE WHEN {RAWPATH} LIKE '/fr/8%' THEN TRUE WHEN {RAWPATH} LIKE '/fr%' THEN FALSE ELSE TRUE END AS allowed FROM pages")
+def _(spark, d):
+    r = Robots("User-agent: *\nDisallow: /fr\nAllow: /fr/8")
+    return pages(spark, d).select("page_id", r.allowed(F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)).alias("allowed"))
+
+
+@query("a13_sitemap", "SELECT page_id, url AS loc FROM pages UNION ALL SELECT page_id, 'http://x/' || CAST(page_id AS VARCHAR) || '?a=1&b=2' FROM pages")
+def _(spark, d):
+    esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    xml = F.concat(F.lit("<urlset><url><loc>"), esc, F.lit("</loc></url><url>\n<loc> http://x/"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=2 </loc></url></urlset>"))
+    return pages(spark, d).select("page_id", F.explode(sitemap_urls(xml)).alias("loc"))
+
+
+@query("a11_p18_p20_fetched_pages", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'ConnectionError' END AS error, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN 200 END AS INT) AS status FROM orders WHERE o_orderkey < 500")
+def _(spark, d):
+    def fetch(u):
+        if int(u) % 7 == 0:
+            raise ConnectionError(u)
+        return {"status": 200, "headers": {"content-type": "text/html"}, "body": u}
+
+    urls = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").cast("string").alias("url"))
+    return fetch_pages(urls, fetch).select(F.col("url").cast("bigint").alias("o_orderkey"), "error", "status")
+
+
+@query("b2_b3_export_tables", f"WITH {PAGE_NODES}, {DEG} SELECT id AS URL, CASE WHEN in_links = 0 THEN 'Pending/Limit' ELSE '200' END AS Status, in_links AS InboundLinks, out_links AS OutboundLinks FROM dg")
+def _(spark, d):
+    n = G.degrees(page_graph(spark, d)).select(F.col("id").alias("url"), F.lit(0).alias("depth"), F.when(F.col("in_links") == 0, 0).otherwise(200).alias("status"), "in_links", "out_links", F.lit(0.0).alias("score"))
+    return exports.nodes_table(n).select("URL", "Status", "InboundLinks", "OutboundLinks")
+
+
+def analysis(spark, d):
+    """One row a page with what the reports count."""
+    h = F.col("html")
+    c = H.content(h)
+    n1 = F.size(H.h1s(h))
+    base = pages(spark, d).select("page_id", "url", H.title(h).alias("title"), H.text_status(H.title(h), 50, 60).alias("title_status"), n1.alias("n_h1"), c.words.alias("words"), X.grid(c.ratio).alias("ratio"), F.size(H.links(h)).alias("links"), F.struct(H.image_alts(h).total.alias("total"), (H.image_alts(h).missing + H.image_alts(h).blank).alias("bad")).alias("img"))
+    base = D.mark_duplicates(base, "title", "same").withColumn("title_status", F.when(F.col("same"), "duplicate").otherwise(F.col("title_status")))
+    thin = C.thin_content(F.col("words").cast("double"), F.col("ratio"), F.lit(0.0))
+    h1 = F.when(F.col("n_h1") == 1, 100.0).when(F.col("n_h1") > 1, 60.0).otherwise(10.0)
+    return base.withColumn("thin", thin).withColumn("seo", C.page_seo(F.col("title_status"), F.lit("missing"), h1, F.col("words"), F.col("ratio"), F.col("thin"), F.col("img.total"), F.col("img.bad"), F.lit("none"), F.lit(0.0), F.lit(False)))
+
+
+ANALYSIS = f"""a0 AS (SELECT page_id, {TITLE} AS title, CAST(len({H1S}) AS INT) AS n_h1, {WORDS.format(x=body_sql('nav', 'footer'))} AS words, {grid_sql('length(' + body_sql('nav', 'footer') + ') / length(html)')} AS ratio, CAST(len({LINKS.format(x='html')}) AS INT) AS links FROM pages),
+    a1 AS (SELECT *, CASE WHEN coalesce(lower(trim(title)), '') <> '' AND count(*) OVER (PARTITION BY lower(trim(title))) > 1 THEN 'duplicate' ELSE {status_sql('title', 50, 60)} END AS title_status,
+      floor(greatest(0e0, least(1e2, 4e-1 * (CASE WHEN words >= 300 THEN 0e0 ELSE 100 - least(1e2, words / 3e2 * 100) END) + 35e-2 * (CASE WHEN ratio >= 2e-1 THEN 0e0 ELSE 100 - least(1e2, ratio / 2e-1 * 100) END))) * 1e2 + 5e-1) / 1e2 AS thin FROM a0),
+    a2 AS (SELECT *, floor(greatest(0e0, least(1e2, CASE title_status WHEN 'ok' THEN 100 WHEN 'duplicate' THEN 45 WHEN 'missing' THEN 0 ELSE 60 END / 2e0 * 15e-2 + CASE WHEN n_h1 = 1 THEN 100 WHEN n_h1 > 1 THEN 60 ELSE 10 END * 1e-1
+      + (least(1e2, words / 6e2 * 100) * 7e-1 + least(1e2, ratio * 500) * 3e-1) * 2e-1 + (100 - thin) * 2e-1 + 100 * 1e-1 + 30 * 1e-1 + greatest(0e0, 100 - 3e-1 * 200) * 15e-2)) * 1e2 + 5e-1) / 1e2 AS seo FROM a1)"""
+
+
+@query("l2_page_seo", f"WITH {ANALYSIS} SELECT page_id, title_status, thin, round(seo, 1) AS seo FROM a2")
+def _(spark, d):
+    return analysis(spark, d).select("page_id", "title_status", "thin", F.round("seo", 1).alias("seo"))
+
+
+@query("b12_analysis_report", f"WITH {ANALYSIS} SELECT count(*) FILTER (WHERE title_status = 'missing') AS missing_titles, count(*) FILTER (WHERE thin >= 70) AS severe_thin, count(*) FILTER (WHERE n_h1 = 0) AS missing_h1, count(*) FILTER (WHERE thin >= 40) AS thin, count(*) FILTER (WHERE words < 300) AS low_words, count(*) FILTER (WHERE links < 3) AS low_links FROM a2")
+def _(spark, d):
+    n = lambda c: F.count_if(c)
+    return analysis(spark, d).agg(n(F.col("title_status") == "missing").alias("missing_titles"), n(F.col("thin") >= 70).alias("severe_thin"), n(F.col("n_h1") == 0).alias("missing_h1"), n(F.col("thin") >= 40).alias("thin"), n(F.col("words") < 300).alias("low_words"), n(F.col("links") < 3).alias("low_links"))
+
+
+@query("e22_l3_site_score")
+def _(spark, d):
+    site = analysis(spark, d).agg(F.avg("seo").alias("seo"))
+    return site.select(C.site_score(F.col("seo"), F.lit(0.7), F.lit(1.8), F.lit(0.05), F.lit(False)).alias("overall"))
+
+
+@query("e15_issue_counters")
+def _(spark, d):
+    deg = G.degrees(page_graph(spark, d)).select(F.col("id").alias("path"), "in_links", "out_links")
+    a = analysis(spark, d).withColumn("path", U.normalize_url(F.col("url"), to_path=True)).join(deg, "path", "left")
+    k = F.col("page_id")
+    full = a.select(F.lit(True).alias("internal"), F.when(k % 10 == 0, 404).otherwise(200).alias("status"), F.lit("fetched").alias("crawl_status"), (k % 19 == 0).alias("trap"), (k % 3).cast("int").alias("redirects"), F.lit(None).cast("string").alias("canonical"), "url", (k % 17 == 0).alias("noindex"), "in_links", "out_links", (k % 5).alias("depth"), "n_h1", "words", F.lit(0.0).alias("external_ratio"), F.col("img.bad").alias("missing_alts"), F.lit(0).alias("broken_links"))
+    return C.issue_counts(full)
+
+
+@query("e20_e21_l7_heading_health")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    hs = H.headings(F.col("html"))
+    p = pages(spark, d).select("page_id", hs.alias("hs")).withColumn("h1", F.lower(F.try_element_at(F.transform(F.filter("hs", lambda x: x.level == 1), lambda x: x.text), F.lit(1)))).withColumn("pattern", F.array_join(F.transform("hs", lambda x: x.level.cast("string")), "-"))
+    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
+    z = F.lit(0)
+    n1 = F.size(F.filter("hs", lambda x: x.level == 1))
+    s = C.heading_score(n1 == 0, n1 > 1, z, z, F.lit(0.0), F.lit(0.0), F.lit(0.0), z, n("h1"), n("h1"), F.lit(1), n("pattern"))
+    return p.select("page_id", s.alias("score"), C.heading_status(s).alias("status"))
+
+
+@query("e23_l9_signals_summary", "SELECT floor(count(*) FILTER (WHERE doc_id % 2 = 0) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS og, floor(count(*) FILTER (WHERE lang IS NOT NULL) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS lang, count(DISTINCT lang) AS types FROM documents")
+def _(spark, d):
+    k = F.col("doc_id")
+    r = table(spark, d, "documents").select((k % 2 == 0).alias("og"), F.col("lang").isNotNull().alias("lang"), F.lit(False).alias("hreflang"), (k % 3 == 0).alias("jsonld"), F.array("lang").alias("schema_types"), (k % 10 / 10).alias("pagerank"), F.lit(0.1).alias("authority"))
+    return C.signals_summary(r).select("og", "lang", "types")
+
+
+@query("l8_signals_page_score", "SELECT doc_id, CAST(greatest(0, least(100, CASE WHEN doc_id % 2 = 0 THEN 35 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 25 ELSE 0 END + 20 + CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END - CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 0 END)) AS DOUBLE) AS score FROM documents")
+def _(spark, d):
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", C.signals_page_score(k % 2 == 0, k % 3 == 0, F.lit(True), k % 5 == 0, k % 7 == 0).cast("double").alias("score"))
+
+
+@query("l10_og_mismatches", "SELECT CAST(c_custkey AS VARCHAR) AS url, 'title_mismatch' AS reason FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'url_mismatch' FROM customer WHERE c_custkey % 6 = 0")
+def _(spark, d):
+    k = F.col("c_custkey")
+    p = table(spark, d, "customer").select(k.cast("string").alias("url"), F.col("c_name").alias("title"), F.when(k % 4 == 0, "other").otherwise(F.upper(F.concat(F.col("c_name"), F.lit(" ")))).alias("og_title"), F.lit("/c").alias("canonical"), F.when(k % 6 == 0, "/d").when(k % 6 == 1, "/C").alias("og_url"))
+    return C.og_mismatches(p)
+
+
+@query("e30_cluster_types", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 AND avg(c_custkey % 10 / 1e1) OVER (PARTITION BY c_nationkey) < 3e-1 THEN 'template_heavy' WHEN c_custkey % 2 = 0 THEN 'near' ELSE 'exact' END AS type FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("cluster"), F.when(k % 2 == 0, "near").otherwise("exact").alias("kind"), (k % 10 / 10).alias("unique_token_ratio"))
+    return D.cluster_type(c).select("id", "type")
+
+
+@query("e6_depth_lists", "SELECT c_nationkey AS depth, string_agg(c_name, ',' ORDER BY c_acctbal DESC, c_name) AS pages FROM customer GROUP BY c_nationkey")
+def _(spark, d):
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("depth")).agg(F.array_sort(F.collect_list(F.struct((-F.col("c_acctbal")).alias("a"), "c_name"))).alias("p"))
+    return c.select("depth", F.array_join(F.transform("p", lambda x: x.c_name), ",").alias("pages"))
+
+
+@query("e32_e33_medians_and_scaling", "WITH o AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT max(CASE WHEN i = n // 2 THEN v END) AS upper_median, min(v) AS lo, max(v) AS hi FROM o")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    n = c.count()
+    mid = c.orderBy("c_acctbal", "c_custkey").offset(n // 2).limit(1).select(F.col("c_acctbal").alias("upper_median"))
+    return mid.crossJoin(F.broadcast(c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))))
+
+
+@query("g7_duplicate_pipeline")
+def _(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.col("text"), 256).alias("content_hash"), S.simhash("text").alias("h"))
+    exact = D.exact_clusters(docs)
+    members = docs.join(exact, "content_hash").select("id", F.col("representative").alias("cluster"), F.lit("exact").alias("type"))
+    near = D.near_clusters(docs.join(exact, "content_hash", "left_anti").select("id", "h")).select("id", "cluster", F.lit("near").alias("type"))
+    return members.unionByName(near)
+
+
+@query("g13_m6_incremental_copy", "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 4 = 0 THEN 'cached' ELSE 'fetched' END AS state FROM orders")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    fresh = o.where("o_orderkey % 4 <> 0").withColumn("state", F.lit("fetched"))
+    return M.replace_rows(o.withColumn("state", F.lit("cached")), fresh, ["o_orderkey"])
+
+
+@query("g15_followed_redirects", "SELECT 'u' || CAST(p_partkey AS VARCHAR) AS url, CASE WHEN p_partkey % 5 = 0 THEN 'loop' ELSE 'ok' END AS outcome FROM part")
+def _(spark, d):
+    p = table(spark, d, "part")
+    name = lambda k, x: F.concat(F.lit(k), x.cast("string"))
+    k = F.col("p_partkey")
+    hops = p.select(name("u", k).alias("src"), name("v", k).alias("dst")).unionByName(p.where(k % 5 == 0).select(name("v", k).alias("src"), F.concat(name("u", k), F.lit("#f")).alias("dst")))
+    return G.follow_redirects(hops, p.select(name("u", k).alias("url"))).select("url", "outcome")
+
+
+@query("m9_cache_through_compute", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'cache' ELSE 'computed' END AS source FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    return M.cache_through(c, c.where("c_custkey % 3 = 0").withColumn("source", F.lit("cache")), "c_custkey", lambda m: m.withColumn("source", F.lit("computed")))
+
+
+@query("r3_throttle")
+def _(spark, d):
+    return L.throttle(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts"), gap_ms=86_400_000)
+
+
+@query("r4_backoff", "SELECT n_nationkey, 500 * pow(2e0, n_nationkey % 4) AS delay_ms FROM nation")
+def _(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", L.backoff_ms(F.col("n_nationkey") % 4).alias("delay_ms"))
+
+
+@query("h9_jsonld_types")
+def _(spark, d):
+    return pages(spark, d).select("page_id", parse_html(F.col("html"), F.col("url")).alias("p")).select("page_id", "p.jsonld", "p.jsonld_valid", "p.schema_types")
