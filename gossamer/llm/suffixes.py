@@ -1,7 +1,8 @@
 """Removal of repeated substrings by a distributed merge of front-coded, sorted suffix runs.
 
 Which suffixes matter is settled first. In every window of WINDOW bytes the k-mer with the smallest
-hash is its anchor; equal windows have their anchors at equal places. A window whose anchor's k-mer
+hash is its anchor (common k-mers
+come last); equal windows have their anchors at equal places. A window whose anchor's k-mer
 occurs once in the corpus occurs once itself. What is left are stretches of windows with one
 repeated anchor. The text of such a stretch, from its anchor on, is a suffix to be sorted: tasks
 sort theirs into runs, front-code them (length of the prefix shared with the one before, and the
@@ -31,6 +32,8 @@ KMER = 16
 RUN_SUFFIXES = 80_000
 #: Hash ranges a shuffle partition gets on average.
 RANGES_EACH = 4
+#: Slots of the table of common k-mers: 2 ** HOT_BITS.
+HOT_BITS = 20
 #: So many ids are broadcast at most (16 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 NULL_ID = -(1 << 63)
@@ -44,8 +47,8 @@ def text_tag(raw: bytes) -> int:
     return zlib.crc32(raw) & 0x7FFFFFFF
 
 
-def kmer_hashes(a: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the KMER-byte strings at every place."""
+def kmer_hashes(a: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the KMER-byte strings at every place; hot ones are larger than all others."""
     n = len(a) - KMER + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -57,9 +60,55 @@ def kmer_hashes(a: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    if hot is not None:
+        h = (h >> np.uint64(1)) | (hot[(h >> np.uint64(64 - HOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
     return h
 
 
+def hot_kmers(docs: DataFrame) -> np.ndarray:
+    """Slots of k-mers that are more frequent than chance, in a table that is as large for any input.
+
+    A common phrase makes a bad anchor: very many different stretches would meet at it. Which
+    k-mers are hot changes the order of anchors only, never what is found.
+    """
+    rows = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.zeros(1 << HOT_BITS, np.int64)
+        held, n = [], 0
+        for b in batches:
+            data, offsets = text_column(b.column(0))
+            for lo, hi in slices(offsets):
+                held.append((kmer_hashes(data[offsets[lo] : offsets[hi]]) >> np.uint64(64 - HOT_BITS)).astype(np.int32))
+                n += len(held[-1])
+                if n > 2_000_000:
+                    t += np.bincount(np.concatenate(held), minlength=len(t))
+                    held, n = [], 0
+        if held:
+            t += np.bincount(np.concatenate(held), minlength=len(t))
+        if t.any():
+            parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in t.reshape(rows, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
+                sums[p] = sums[p] + v if p in sums else v
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
+
+    got = docs.select("text").mapInArrow(trimmed(count), "part int, counts binary").repartition(rows, "part").mapInArrow(trimmed(add), "part int, counts binary").collect()
+    table_ = np.zeros((rows, (1 << HOT_BITS) // rows), np.int64)
+    for p, c in got:
+        table_[p] = np.frombuffer(c, "<i8")
+    flat = table_.ravel()
+    # the median stands for chance: common phrases do not move it
+    usual = float(np.median(flat))
+    return flat > usual + 6 * usual**0.5 + 16
+
+
 def anchors(h: np.ndarray) -> np.ndarray:
     """For the window at each place, the place of its anchor (leftmost of the smallest hashes)."""
     width = WINDOW - KMER + 1
@@ -86,16 +135,16 @@ def pieces(n: int) -> Iterator[tuple[int, int]]:
             return
 
 
-def text_anchors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def text_anchors(a: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(anchor place of each window of one text, the anchors' hashes)."""
     if len(a) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     place, value = [], []
     for s, e in pieces(len(a)):
-        h = kmer_hashes(a[s:e])
+        h = kmer_hashes(a[s:e], hot)
         m = anchors(h)
         place.append(m + s)
-        value.append(h[m])
+        value.append(mix64(h[m]))
     return np.concatenate(place), np.concatenate(value)
 
 
@@ -112,12 +161,13 @@ def _wide(kind: int, route, d, p, n=None, name=None) -> pa.RecordBatch:
     ], schema=WIDE)
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, shared) -> DataFrame:
     """A ROW of every document, and an ANCHOR for every anchor whose k-mer occurs again anywhere.
 
     ``docs`` is (d, text) with d never null. ``p`` holds the text's tag in its high half (rows
     of one id are told apart by it) and a place in its low half. A task sends one row for a k-mer
-    that it has many times: those places are known to be repeated without it.
+    that it has many times: those places are known to be repeated without it. ``shared`` is a
+    broadcast of ``hot_kmers``.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,17 +201,17 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 crc = np.array([text_tag(r) for r in raws], np.int64)
                 yield _wide(ROW, mix64(ids[lo:hi].astype(np.int64).view(np.uint64)).view(np.int64), ids[lo:hi], crc << 32, np.diff(off), [hashlib.sha256(r).digest() for r in raws])
                 if hi - lo > 1:
-                    h = kmer_hashes(a)
+                    h = kmer_hashes(a, shared.value)
                     m = anchors(h)
                     at = np.arange(len(m))
                     row = np.searchsorted(off, at, "right") - 1
                     inside = at + WINDOW <= off[row + 1]
                     m = np.unique(m[inside])
-                    v = h[m]
+                    v = mix64(h[m])
                     row = np.searchsorted(off, m, "right") - 1
                     local = m - off[row]
                 else:
-                    m, v = text_anchors(a)
+                    m, v = text_anchors(a, shared.value)
                     local, first = np.unique(m, return_index=True)
                     v, row = v[first], np.zeros(len(local), np.int64)
                 if len(local):
@@ -355,7 +405,7 @@ def _spans(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(route), pa.array(np.full(n, SPAN, np.int8)), pa.nulls(n, pa.int64()), pa.array(d), pa.array(p), pa.array(e), pa.nulls(n, pa.binary())], schema=EXCHANGE)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, shared) -> DataFrame:
     """(d, p, e): spans covered by windows that occur earlier. ``docs`` is (d, text, ps) with the
     repeated anchors of each text; spans may overlap, and p and e bear the tag as above."""
     spark = docs.sparkSession
@@ -384,7 +434,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for d, text, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 a = np.frombuffer(raw, np.uint8)
-                m, v = text_anchors(a)
+                m, v = text_anchors(a, shared.value)
                 if not len(m):
                     continue
                 base = text_tag(raw) << 32
@@ -472,14 +522,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = materialize(anchor_rows(rows), "repeat-anchors")
+    shared = rows.sparkSession.sparkContext.broadcast(hot_kmers(rows))
+    found = materialize(anchor_rows(rows, shared), "repeat-anchors")
     high = F.shiftright("p", 32)
     every = found.where(F.col("kind") == ROW).select("d", high.alias("h"), F.col("n").alias("n_bytes"), F.lower(F.hex("name")).alias("sha"))
     every = materialize(attach_groups(every, "sha", {"first": F.min("d")}, "repeat-texts"), "repeat-rows")
     copies = every.where("first < d")
     listed = found.where(F.col("kind") == ANCHOR).select("d", high.alias("h"), "p").join(copies.select("d", "h").distinct(), ["d", "h"], "left_anti")
     listed = materialize(listed.groupBy("d", "h").agg(F.collect_set("p").alias("ps")), "repeat-lists")
-    spans = materialize(repeated_spans(_with_text(rows, listed).select("d", "text", "ps")), "repeat-spans")
+    spans = materialize(repeated_spans(_with_text(rows, listed).select("d", "text", "ps"), shared), "repeat-spans")
     merged = spans.groupBy("d", F.shiftright("p", 32).alias("h")).agg(F.collect_list(F.struct("p", "e")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
