@@ -32,7 +32,8 @@ def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     Turns are sorted by (turn, role, text). Adjacent turns of one role share a header; the
     segments between them keep the turns apart, so nothing is lost. A run of turns reads
     ``<s>[INST]role[/INST]text<|seg|>text</s>``. Null roles and texts are empty, a null turn
-    sorts first, rows that are equal throughout stay, and a null key is one conversation.
+    sorts first, rows that are equal throughout stay, and a null key is one conversation. A
+    conversation is one row of the result, so it has to fit one.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chats = turns.groupBy(F.col(key)).agg(F.array_sort(F.collect_list(row)).alias("turns"))

@@ -413,8 +413,9 @@ def repeated_spans(docs: DataFrame, shared) -> DataFrame:
     n_ranges = RANGES_EACH * n
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from pyspark import TaskContext
 
+        task = TaskContext.get().partitionId()
         best: dict[bytes, tuple[int, int]] = {}
         found: list[tuple[int, int, int]] = []
         runs = 0
@@ -425,7 +426,7 @@ def repeated_spans(docs: DataFrame, shared) -> DataFrame:
             value = np.array([int.from_bytes(s[:8], "big") for s in strings], np.uint64)
             where = ((value >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
             cuts = np.nonzero(np.diff(where))[0] + 1
-            name = int.from_bytes(os.urandom(7), "little")  # runs are told apart, in no order
+            name = task << 20 | runs
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(strings)]):
                 block = front_code(strings[s:e], d[s:e], p[s:e])
                 yield pa.RecordBatch.from_arrays([pa.array([int(where[s])], pa.int64()), pa.array([RUN], pa.int8()), pa.array([name], pa.int64()), *[pa.nulls(1, pa.int64())] * 3, pa.array([block], pa.binary())], schema=EXCHANGE)

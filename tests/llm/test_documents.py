@@ -269,7 +269,7 @@ def test_lm_bucket_probabilities_sum_to_one():
     counts = rng.integers(1, 50, mixlm.NODES)
     alls = rng.integers(0, 60, (mixlm.CONTEXTS, size))
     model = mixlm.Model(int(counts.sum()), 100, 5, counts, np.zeros(0, np.uint64), (alls * rng.random(alls.shape)).astype(int), alls, np.ones((256, 256)))
-    first = mixlm.mix64(np.arange(1, 9, dtype=np.uint64))
+    first = bytesets.mix64(np.arange(1, 9, dtype=np.uint64))
     total = 0.0
     for b in range(mixlm.NODES):
         h = np.concatenate([first, [np.uint64(b) << np.uint64(64 - mixlm.BITS)]]).astype(np.uint64)
