@@ -26,8 +26,8 @@ def attach_groups(df: DataFrame, key: str, aggs: dict[str, Column], label: str)
     light = facts.where(F.col("_n") < least).drop("_n")
     names = list(aggs)
     out = df.join(F.broadcast(heavy.drop("_n").select(key, "_heavy", *[F.col(c).alias(f"_h_{c}") for c in names])), key, "left")
-    # a heavy row looks for nothing in the second join, so it gets a key of its own there
-    out = out.withColumn("_probe", F.when(F.col("_heavy"), F.concat(F.lit("heavy-"), F.xxhash64(*[c for c in df.columns]).cast("string"))).otherwise(F.col(key)))
+    # a heavy row and a row without a key look for nothing in the second join, so they are spread
+    out = out.withColumn("_probe", F.when(F.col("_heavy") | F.col(key).isNull(), F.concat(F.lit("spread-"), F.xxhash64(*[c for c in df.columns]).cast("string"))).otherwise(F.col(key)))
     out = out.join(light.withColumnRenamed(key, "_probe"), "_probe", "left")
     merged = [F.coalesce(F.col(f"_h_{c}"), F.col(c)).alias(c) for c in names]
     return out.select(*[F.col(c) for c in df.columns], *merged)
