@@ -15,6 +15,8 @@ from gossamer.session import materialize, table
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, NUM, DEN = 5, 80, 100
+#: Words a worker remembers in the last stage: few, as workers hold memory of earlier stages.
+MEMO_WORDS = 150_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, described as read back."""
-    return tokenbin.tokenize_to_files(docs, tokenbin.default_tokenizer(), 2).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenbin.tokenize_to_files(docs, tokenbin.default_tokenizer(), 2, memo_words=MEMO_WORDS).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [

@@ -36,7 +36,7 @@ HOT_SIGMAS = 6
 #: Up to this many sets of a bucket are paired at once; a larger bucket takes the two-step way.
 SMALL_BUCKET = 8
 #: A task sorts and sends its index rows when it holds so many.
-SETTLE_KEYS = 600_000
+SETTLE_KEYS = 400_000
 #: Cells of a set's sketch.
 CELLS = 256
 #: Sets of a block, and columns of a block's matrix that are held at once.
@@ -347,25 +347,27 @@ def index_rows(docs: DataFrame, k: int, bands: Bands, hot) -> DataFrame:
             yield from settle()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        packed: dict[int, list[bytes]] = {}
         for b in batches:
             kind = b.column(1).to_numpy()
             other = np.nonzero(kind != BUCKET)[0]
             if len(other):
                 yield b.take(pa.array(other))
             for i in np.nonzero(kind == BUCKET)[0].tolist():
-                got.append(unpack_rows(b.column(5)[i].as_py()))
-        if not got:
-            return
-        key, doc, size, start, length = _buckets(*[np.concatenate([g[i] for g in got]) for i in range(3)])
-        if not len(key):
-            return
-        more = np.add.reduceat((size < 0).astype(np.int64), start) > 0
-        size = np.abs(size)
-        a, c = _pairs(doc, size, start[~more], length[~more], num, den)
-        yield _rows(PAIR, a, a, c, np.zeros(len(a), np.int64))
-        large = np.repeat((length > SMALL_BUCKET) | more, length)
-        yield _rows(MEMBER, key[large], key[large], doc[large], size[large])
+                packed.setdefault(b.column(0)[i].as_py(), []).append(b.column(5)[i].as_py())
+        # one range of keys at a time; the others stay packed
+        for route in sorted(packed):
+            got = [unpack_rows(x) for x in packed.pop(route)]
+            key, doc, size, start, length = _buckets(*[np.concatenate([g[i] for g in got]) for i in range(3)])
+            del got
+            more = np.add.reduceat((size < 0).astype(np.int64), start) > 0
+            size = np.abs(size)
+            a, c = _pairs(doc, size, start[~more], length[~more], num, den)
+            if len(a):
+                yield _rows(PAIR, a, a, c, np.zeros(len(a), np.int64))
+            large = np.repeat((length > SMALL_BUCKET) | more, length)
+            if large.any():
+                yield _rows(MEMBER, key[large], key[large], doc[large], size[large])
 
     return docs.mapInArrow(trimmed(emit), WIDE_DDL).repartition(n, "route").mapInArrow(trimmed(meet), WIDE_DDL).drop("route")
 

@@ -151,7 +151,7 @@ class WordEncoder:
         self.used, self.known = self.used + len(new), self.known + n
         self.memo.clear()
 
-    def encode_column(self, col: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode_column(self, col: pa.Array, end_id: int, memo_words: int = MEMO_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids of each text) of slices of a string column, each text with the end id.
 
         The same words as in ``encode``, found for a whole slice at once and told apart by 64-bit
@@ -167,7 +167,7 @@ class WordEncoder:
                 continue
             hashes, starts, ends, at = word_pieces(data, off)
             u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            if self.known > MEMO_WORDS:
+            if self.known > memo_words:
                 self.forget()
             keys = u.tolist()
             fresh = [i for i, k in enumerate(keys) if k not in self.places]
@@ -267,7 +267,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS, memo_words: int = MEMO_WORDS) -> None:
     """Encode whole texts and write shards in ascending document order.
 
     Null texts are empty, null document ids come first, rows of one id follow each other in the
@@ -291,7 +291,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         for b in batches:
             at = 0
             doc_ids = b.column(0).to_pylist()
-            for coded, n in enc.encode_column(b.column(1), end_id):
+            for coded, n in enc.encode_column(b.column(1), end_id, memo_words):
                 ids += doc_ids[at : at + len(n)]
                 chunks.append(coded.astype("<u2") if bits <= 16 else coded)
                 lengths.append(n)
@@ -341,12 +341,15 @@ def with_starts(read: DataFrame) -> DataFrame:
     return read.withColumn("shard", name).join(base, "shard").withColumn("start", F.col("base") + F.col("local_start")).drop("shard", "base", "local_start", *key)
 
 
-def tokenize_to_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write ``docs`` to token files in the shared folder and describe them as read back."""
+def tokenize_to_files(docs: DataFrame, tokenizer: str, end_id: int, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Write ``docs`` to token files in the shared folder and describe them as read back.
+
+    ``memo_words`` trades a worker's memory (about 200 bytes a word) for time, nothing else.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     path = scratch(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, memo_words=memo_words)
     return with_starts(materialize(read_tokens(spark, path), "token-rows"))
 
 
