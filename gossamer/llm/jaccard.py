@@ -489,6 +489,24 @@ def jaccard_classes(docs: DataFrame, num: int = 85, den: int = 100, k: int = 4,
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
+def spanning(a: list[int], b: list[int]) -> list[int]:
+    """Places of the links that join two trees when taken in order."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = x = top.get(top[x], top[x])
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        x, y = find(x), find(y)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            keep.append(i)
+    return keep
+
+
 def block_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between different classes among the sets that share a pivot, by exact counts.
 
@@ -496,7 +514,7 @@ def block_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     A set is held as D(x), its symmetric difference from the pivot: near copies have short ones, and
     x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. Sets of one pivot are dealt to
     blocks of about BLOCK_SETS, and each pair of blocks is one task's matrix product; a task sends
-    one link for two classes at most. No pair is ever a row.
+    a spanning forest of its classes, so fewer links than it has sets. No pair is ever a row.
     """
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,6 +549,7 @@ def block_links(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         i, j = np.nonzero(ok)
         a, b = left[i], right[j]
         _, first = np.unique(np.stack([np.minimum(c[a], c[b]), np.maximum(c[a], c[b])], 1), axis=0, return_index=True)
+        first = first[spanning(c[a][first].tolist(), c[b][first].tolist())]
         return pa.table({"a": pa.array(ids[a][first]), "b": pa.array(ids[b][first])})
 
     sx, sp = narrowed(sets, held, "id").select("id", F.col("set").alias("x")), narrowed(sets, held, "p").select(F.col("id").alias("p"), F.col("set").alias("y"))
