@@ -584,6 +584,19 @@ def _(spark, d):
     return fetch_pages(urls, fetch).select(F.col("url").cast("bigint").alias("o_orderkey"), "error", "status")
 
 
+@query("a11_p18_p20_fetched_orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'ConnectionError' END AS error, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN 200 END AS INT) AS status FROM orders")
+def _(spark, d):
+    """The same over the whole table."""
+
+    def fetch(u):
+        if int(u) % 7 == 0:
+            raise ConnectionError(u)
+        return {"status": 200, "headers": {"content-type": "text/html"}, "body": u}
+
+    urls = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("url"))
+    return fetch_pages(urls, fetch).select(F.col("url").cast("bigint").alias("o_orderkey"), "error", "status")
+
+
 @query("b2_b3_export_tables", f"WITH {PAGE_NODES}, {DEG} SELECT id AS URL, CASE WHEN in_links = 0 THEN 'Pending/Limit' ELSE '200' END AS Status, in_links AS InboundLinks, out_links AS OutboundLinks FROM dg")
 def _(spark, d):
     n = G.degrees(page_graph(spark, d)).select(F.col("id").alias("url"), F.lit(0).alias("depth"), F.when(F.col("in_links") == 0, 0).otherwise(200).alias("status"), "in_links", "out_links", F.lit(0.0).alias("score"))

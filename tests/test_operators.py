@@ -152,3 +152,14 @@ def test_plugins(spark):
     with pytest.raises(ValueError):
         Plugin("c", {"score": "REAL"}).schema()
     assert [x[0] for x in spark.createDataFrame([("no",), ("yes",)], "u string").select(r.should_enqueue(F.col("u"), F.lit(1))).collect()] == [False, True]
+
+
+def test_a_registered_query_fetches_every_order(spark):
+    from gossamer.plans import registry
+    from gossamer.session import table
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["a11_p18_p20_fetched_orders"](spark, sf).select("o_orderkey")
+    want = table(spark, sf, "orders").select("o_orderkey")
+    assert want.where("o_orderkey >= 500").count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
