@@ -277,6 +277,22 @@ def test_lm_bucket_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_lm_has_a_context_of_two_words_and_learns_within_short_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    h = np.unique(rng.integers(1, 1 << 63, 40, dtype=np.uint64))
+    text = h[rng.integers(0, len(h), 100)]
+    off, row = np.array([0, 100]), np.zeros(100, np.int64)
+    other = text.copy()
+    other[[10, 30]] = h[0], h[1]
+    same = [a[0][12] == b[0][12] for a, b in zip(mixlm.contexts(text, off, h), mixlm.contexts(other, off, h))]
+    assert same == [True, False, False] and mixlm.BITS >= 12
+    alls = rng.integers(0, 60, (mixlm.CONTEXTS, 1 << mixlm.TABLE_BITS))
+    model = mixlm.Model(1000, 100, 5, np.ones(mixlm.NODES, np.int64), h, alls // 3, alls, np.ones((256, 256)))
+    learnt = mixlm.mixed_bits(model, text, off, row, np.ones(100, bool))
+    monkeypatch.setattr(mixlm, "LEARN", 0.0)
+    assert not np.allclose(learnt, mixlm.mixed_bits(model, text, off, row, np.ones(100, bool)))
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     from gossamer.session import table
 
