@@ -14,6 +14,7 @@ from gossamer.functions import url as U
 from gossamer.functions.html_udf import parse_html
 from gossamer.operators import duplicates as D
 from gossamer.operators import graph as G
+from gossamer.operators import headings as N
 from gossamer.operators import mutations as M
 from gossamer.operators import ranking as R
 from gossamer.operators import scoring as C
@@ -648,17 +649,18 @@ def _(spark, d):
     return C.issue_counts(full)
 
 
+def heading_rows(spark, d):
+    return N.heading_health(pages(spark, d).select(F.col("page_id").alias("id"), "url", "html")).withColumnRenamed("id", "page_id")
+
+
 @query("e20_e21_l7_heading_health")
 def _(spark, d):
-    from pyspark.sql import Window
+    return heading_rows(spark, d)
 
-    hs = H.headings(F.col("html"))
-    p = pages(spark, d).select("page_id", hs.alias("hs")).withColumn("h1", F.lower(F.try_element_at(F.transform(F.filter("hs", lambda x: x.level == 1), lambda x: x.text), F.lit(1)))).withColumn("pattern", F.array_join(F.transform("hs", lambda x: x.level.cast("string")), "-"))
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
-    z = F.lit(0)
-    n1 = F.size(F.filter("hs", lambda x: x.level == 1))
-    s = C.heading_score(n1 == 0, n1 > 1, z, z, F.lit(0.0), F.lit(0.0), F.lit(0.0), z, n("h1"), n("h1"), F.lit(1), n("pattern"))
-    return p.select("page_id", s.alias("score"), C.heading_status(s).alias("status"))
+
+@query("e21_heading_summary")
+def _(spark, d):
+    return N.heading_summary(heading_rows(spark, d))
 
 
 @query("e23_l9_signals_summary", "SELECT floor(count(*) FILTER (WHERE doc_id % 2 = 0) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS og, floor(count(*) FILTER (WHERE lang IS NOT NULL) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS lang, count(DISTINCT lang) AS types FROM documents")

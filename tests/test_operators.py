@@ -163,3 +163,62 @@ def test_a_registered_query_fetches_every_order(spark):
     want = table(spark, sf, "orders").select("o_orderkey")
     assert want.where("o_orderkey >= 500").count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def heading_health_by_hand(pages):
+    """The formulas in plain Python: {id: (metrics and groups, score)}."""
+    import re
+    from collections import Counter
+
+    from gossamer.functions.text import STOPWORDS
+
+    plain = lambda x: re.sub(r"\s+", " ", re.sub(r"<[^<>]*>", " ", x).replace("&nbsp;", " ").replace("&amp;", "&")).strip()
+    tokens = lambda x: [w for w in re.sub(r"[^a-z0-9\s]", " ", plain(x).lower()).split() if len(w) > 2 and w not in STOPWORDS]
+    half_up = lambda x: math.floor(x + 0.5)
+    fixed = lambda x: half_up(x * 1000) / 1000
+    seen = {}
+    for i, html in pages.items():
+        found = list(re.finditer(r"<h([1-6])\b[^<>]*>([\s\S]*?)</h\1>", html, re.I))
+        ends = [m.start() for m in found[1:]] + [len(html)]
+        secs = [(int(m[1]), plain(m[2]), len(tokens(html[m.end() : e]))) for m, e in zip(found, ends)]
+        lv = [s[0] for s in secs]
+        steps = [b - a for a, b in zip(lv, lv[1:])]
+        h = -sum(c / len(lv) * math.log2(c / len(lv)) for c in Counter(lv).values())
+        first = next((s[1].lower() for s in secs if s[0] == 1), "")
+        m = [fixed(h), fixed(sum(x <= 2 for x in lv) / len(lv)) if lv else 0, fixed(sum(map(abs, steps)) / len(steps)) if steps else 0, sum(x > 1 for x in steps), sum(x < -1 for x in steps), sum(0 < s[2] < 80 for s in secs)]
+        seen[i] = (lv, m, first, tuple(sorted(s[1].lower() for s in secs if s[0] == 2 and s[1])), [(s[1].lower(), s[2]) for s in secs])
+    sizes = [Counter(v[2] for v in seen.values()), Counter(v[3] for v in seen.values()), Counter(tuple(v[0]) for v in seen.values()), Counter(k for v in seen.values() for k in v[4])]
+    out = {}
+    for i, (lv, m, first, h2, keys) in seen.items():
+        like = 0
+        for o in {v[2] for v in seen.values()} - {""} if first else ():
+            a, b = set(tokens(first)), set(tokens(o))
+            like += o == first or bool(a and b and len(a & b) / len(a | b) >= 0.7)
+        g = [sizes[0][first] if first else 0, like, sizes[1][h2], sizes[2][tuple(lv)]]
+        risk = fixed(max(0, min(1, (g[1] - 1) * 0.15 + (g[2] - 1) * 0.2 + (g[3] - 1) * 0.2)))
+        s = 100 - 20 * (1 not in lv) - 6 * (lv.count(1) > 1) - 8 * m[3] - 6 * m[4] - half_up(m[0] * 7) - half_up(m[1] * 20) - half_up(m[2] * 6) - 4 * m[5] - half_up(risk * 12)
+        s -= sum(min(most, (n - 1) * each) for n, most, each in zip(g, (16, 8, 10, 12), (3, 2, 2, 2)) if n > 1)
+        out[i] = (m, g, [fixed(min(1, (sizes[3][k] - 1) / 5)) for k in keys], max(0, min(100, s)))
+    return out
+
+
+def test_heading_health_matches_the_formulas(spark):
+    from gossamer.operators import headings as N
+    from gossamer.plans import registry
+    from gossamer.session import table
+
+    sf = "/root/testdata/sf0.001"
+    made = {
+        -1: "<H1 class=a>Green apple pie recipes</H1>words here<h3>Deep</h3>" + "word " * 90 + "<h2>Two &amp; more</h2><h6>x</h6>", -2: "<h1>Green apple pie recipes today</h1><h2>B</h2>t<h2>A</h2>", -3: "<h2>A</h2>one<h2>B</h2>",
+        -4: "no headings", -5: "none at all", -6: "<h1> </h1><h1>Green <b>apple</b> pie recipes</h1><h2>open<h3>in</h3></h2>", -7: "<h1>Green apple pie recipes</h1>words here", -8: "<h4>a</h4><h1></h1>",
+    }
+    pages = {r["page_id"]: r["html"] for r in table(spark, sf, "pages").collect()} | made
+    df = spark.createDataFrame([(k, f"u{k}", v) for k, v in pages.items()] + [(-90, "u", None), (-91, None, "<h1>a</h1>")], "id long, url string, html string")
+    health = N.heading_health(df)
+    got = {r["id"]: ([r[x] for x in ("entropy", "fragmentation", "volatility", "hierarchy_skips", "reverse_jumps", "thin_sections")], [r[x] for x in ("duplicate_h1_group", "similar_h1_group", "identical_h2_set_group", "duplicate_pattern_group")], r["section_risk"], r["score"]) for r in health.collect()}
+    want = heading_health_by_hand(pages)
+    assert got.keys() == want.keys() and [(k, got[k], want[k]) for k in want if got[k] != want[k]] == []
+    s = N.heading_summary(health).first()
+    assert s["evaluated_pages"] == len(want) and s["avg_score"] == math.floor(sum(w[3] for w in want.values()) / len(want) + 0.5) and s["total_thin_sections"] == sum(w[0][5] for w in want.values())
+    rows = {r["page_id"]: r["score"] for r in registry.queries()["e20_e21_l7_heading_health"](spark, sf).collect()}
+    assert rows == {k: w[3] for k, w in heading_health_by_hand({k: v for k, v in pages.items() if k >= 0}).items()}
