@@ -60,13 +60,8 @@ def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) ->
     return out.drop(*[f"_t_{d}" for d in exponents])
 
 
-def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
-    """One row per cell with ``rate``: the calibrated inclusion probability of its documents.
-
-    The rate is min(1, s * weight / tokens), with the s at which the expected tokens are ``budget``
-    of all: where no cell is too scarce for its weight, expected tokens meet the raked marginals;
-    scarce cells are taken whole. Cells without tokens have rate 1.
-    """
+def cell_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """The cells with ``tokens``, raked ``weight`` and ``rate``, as ``mixing_rates`` defines it."""
     cells = materialize(docs.groupBy(*exponents).agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
     raked = rake(cells, exponents, rounds)
     # cells by falling ratio: if all before one are taken whole, the rest shares what is left
@@ -76,7 +71,31 @@ def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROU
     out = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
     out = out.withColumn("scale", F.when(rest > 0, (F.lit(budget) * F.sum("tokens").over(Window.partitionBy()) - before) / rest)).withColumn("place", F.row_number().over(order))
     first = F.min(F.when(F.col("scale") * F.col("ratio") <= 1, F.struct("place", "scale"))).over(Window.partitionBy()).scale
-    return out.withColumn("rate", F.coalesce(F.least(F.lit(1.0), first * F.col("ratio")), F.lit(1.0))).select(*exponents, "rate")
+    return out.withColumn("rate", F.coalesce(F.least(F.lit(1.0), first * F.col("ratio")), F.lit(1.0))).select(*exponents, "tokens", "weight", "rate")
+
+
+def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """One row per cell with ``rate``: the calibrated inclusion probability of its documents.
+
+    The rate is min(1, s * weight / tokens), with the s at which the expected tokens are ``budget``
+    of all: where no cell is too scarce for its weight, expected tokens meet the raked marginals;
+    scarce cells are taken whole, and the marginals are missed by what they lack: ``marginals``
+    tells by how much. Cells without tokens have rate 1.
+    """
+    return cell_rates(docs, exponents, rounds, budget).select(*exponents, "rate")
+
+
+def marginals(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+    """(dimension, value, observed, target, reached): shares of all tokens, in the raked weights, and expected of the sample.
+
+    ``whole`` is how many of the value's ``cells`` are taken whole.
+    """
+    exponents = exponents or EXPONENTS
+    cells = materialize(cell_rates(docs, exponents, rounds, budget), "cell-rates")
+    each = cells.select("tokens", "weight", "rate", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in exponents])).alias("x"))
+    sums = each.groupBy("x.dimension", "x.value").agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"), F.sum(F.col("tokens") * F.col("rate")).alias("r"), F.count_if((F.col("rate") >= 1) & (F.col("tokens") > 0)).alias("whole"), F.count_if(F.col("tokens") > 0).alias("cells"))
+    part = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy("dimension"))
+    return sums.select("dimension", "value", part("t").alias("observed"), part("w").alias("target"), part("r").alias("reached"), "whole", "cells")
 
 
 def mix(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id") -> DataFrame:

@@ -403,6 +403,18 @@ def test_raking_meets_its_marginals(spark):
     assert abs(got[1] / got[0] - mixing.BUDGET) < 1e-6 and abs(got[2] / got[0] - mixing.BUDGET) < 0.05 and got[3] <= 1
 
 
+def test_marginals_tell_what_a_sample_misses(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "p", 900), (2, "b", "x", "p", 50), (3, "b", "y", "p", 50)], "doc_id long, source string, lang string, topic string, n_tokens long")
+    got = {(r["dimension"], r["value"]): r for r in mixing.marginals(docs).collect()}
+    a, b = 0.9**0.5, 0.1**0.5
+    assert abs(got["source", "b"]["target"] - b / (a + b)) < 1e-6
+    # both cells of b are taken whole and a fills the budget
+    assert got["source", "b"]["whole"] == got["source", "b"]["cells"] == 2 and got["source", "a"]["whole"] == 0
+    assert abs(got["source", "b"]["reached"] - 100 / 800) < 1e-9 and abs(got["source", "b"]["observed"] - 0.1) < 1e-9
+    low = {(r["dimension"], r["value"]): r for r in mixing.marginals(docs, budget=0.2).collect()}
+    assert all(abs(r["reached"] - r["target"]) < 1e-6 for r in low.values() if r["dimension"] == "source")
+
+
 def test_mixing_odd_rows(spark, odd, nothing):
     df, texts = odd
     rows = df.withColumn("topic", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") > 3, F.col("source"))).withColumn("n_tokens", mixing.n_words(F.col("text")))
