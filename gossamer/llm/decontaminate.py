@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from gossamer.session import bounded_batches, table, trimmed
 
 Q = 8
-#: A benchmark item is searched in pieces of this many normalised bytes, half overlapping.
+#: A benchmark item is searched in pieces of this many normalised bytes, one every STRIDE bytes:
+#: a verbatim quote of PIECE bytes lacks at most STRIDE / 2 bytes of a piece, within its budget.
 PIECE = 96
+STRIDE = 16
 #: Edits allowed per byte of a piece.
 EDIT_SHARE = 0.1
 #: Items a pass over the documents holds at once, and so broadcasts; more items take more passes.
@@ -33,7 +35,10 @@ def grams(raw: bytes) -> np.ndarray:
 
 
 def budget(m: int) -> int:
-    """Edits a piece of m bytes may have: a tenth, and few enough for the lemma to bite."""
+    """Edits a piece of m bytes may have: a tenth, and few enough for the lemma to bite.
+
+    Under 32 bytes that is less than a tenth for some: 0 up to 15 bytes, 1 up to 23, 2 up to 31.
+    """
     return max(0, min(int(m * EDIT_SHARE), (m - Q) // Q))
 
 
@@ -44,7 +49,7 @@ def pieces(raw: bytes) -> list[tuple[int, int]]:
         return []
     if n <= PIECE:
         return [(0, n)]
-    starts = [*range(0, n - PIECE, PIECE // 2), n - PIECE]
+    starts = [*range(0, n - PIECE, STRIDE), n - PIECE]
     return [(s, s + PIECE) for s in starts]
 
 
@@ -133,21 +138,36 @@ def candidates(raw: bytes, index: Index) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def banded(piece: bytes, region: bytes, limit: int) -> int | None:
-    """Smallest edit distance of ``piece`` to any substring of ``region``; None above ``limit``."""
-    a, b = np.frombuffer(piece, np.uint8), np.frombuffer(region, np.uint8)
-    n = len(b)
-    row = np.zeros(n + 1, np.int64)
-    steps = np.arange(n + 1)
-    for i in range(len(a)):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        np.minimum(row[:-1] + (b != a[i]), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > limit:
-            return None
-    best = int(row.min())
-    return best if best <= limit else None
+def banded(pieces: list[bytes], regions: list[bytes], limits: list[int]) -> np.ndarray:
+    """Smallest edit distance of each piece to any substring of its region; -1 above its limit.
+
+    The pieces have one length. Regions are padded with a value that no byte equals.
+    """
+    a = np.array([np.frombuffer(p, np.uint8) for p in pieces], np.int16)
+    n = max(map(len, regions))
+    b = np.full((len(regions), n), -1, np.int16)
+    for k, r in enumerate(regions):
+        b[k, : len(r)] = np.frombuffer(r, np.uint8)
+    out = np.full(len(a), -1)
+    live, limit = np.arange(len(a)), np.array(limits)
+    row = np.zeros((len(a), n + 1), np.int32)
+    steps = np.arange(n + 1, dtype=np.int32)
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (b != a[:, i, None]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= steps
+        row = np.minimum.accumulate(new, axis=1)
+        row += steps
+        if i % 8 == 7:
+            ok = row.min(1) <= limit
+            if not ok.all():
+                a, b, row, live, limit = a[ok], b[ok], row[ok], live[ok], limit[ok]
+                if not len(live):
+                    return out
+    best = row.min(1)
+    out[live] = np.where(best <= limit, best, -1)
+    return out
 
 
 def find_items(text: str | None, index: Index) -> list[tuple[int, int, int]]:
@@ -155,6 +175,7 @@ def find_items(text: str | None, index: Index) -> list[tuple[int, int, int]]:
     raw = normalise(text)
     best: dict[int, tuple[int, int]] = {}
     tried: set[tuple[int, int, int]] = set()
+    inexact: dict[int, list[tuple[int, int, int, bytes, bytes]]] = {}
     for k, s, e, bud, start in candidates(raw, index):
         lo, hi = max(0, s + start - bud), min(len(raw), e + start + 2 * index.band + bud)
         if (k, s, lo) in tried or hi <= lo:
@@ -162,10 +183,19 @@ def find_items(text: str | None, index: Index) -> list[tuple[int, int, int]]:
         tried.add((k, s, lo))
         piece, region = index.raws[k][s:e], raw[lo:hi]
         at = region.find(piece)
-        edits = 0 if at >= 0 else banded(piece, region, bud)
-        if edits is not None:
-            got = (edits, lo + max(at, 0))
-            best[k] = min(best.get(k, got), got)
+        if at >= 0:
+            best[k] = min(best.get(k, (0, lo + at)), (0, lo + at))
+        else:
+            inexact.setdefault(e - s, []).append((k, lo, bud, piece, region))
+    for jobs in inexact.values():
+        # beside an exact piece of the item no other can be the best
+        jobs = [j for j in jobs if best.get(j[0], (1, 0))[0] > 0]
+        for x in range(0, len(jobs), 256):
+            some = jobs[x : x + 256]
+            edits = banded([j[3] for j in some], [j[4] for j in some], [j[2] for j in some])
+            for (k, lo, *_), n in zip(some, edits.tolist()):
+                if n >= 0:
+                    best[k] = min(best.get(k, (n, lo)), (n, lo))
     return sorted((int(index.ids[k]), at, edits) for k, (edits, at) in best.items())
 
 
@@ -177,8 +207,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """Adds ``hits``: the benchmark items a text holds, each with where and with how many edits.
 
     Texts and items are compared in lower case with white space collapsed, as bytes. A text holds
-    an item if one of the item's pieces (96 bytes, or the whole of a shorter item) is within a
-    tenth of its length in edits of a stretch of the text. Items of fewer than 8 such bytes, null
+    an item if one of the item's pieces (96 bytes every 16, or the whole of a shorter item) is within
+    ``budget`` edits of a stretch of the text. Items of fewer than 8 such bytes, null
     items and items with a null id match nothing; null texts are empty. Whole texts are searched
     in one narrow pass for each ``slice_items`` benchmark items; only a slice is ever broadcast.
     """

@@ -352,6 +352,17 @@ def edit_distance_in(piece: bytes, text: bytes) -> int:
     return min(row)
 
 
+def test_every_verbatim_quote_of_a_piece_is_found():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghij") for _ in range(240))
+    index = decontaminate.Index([(7, item), (8, item[:140])])
+    pad = "".join(rng.choice("klmnopq") for _ in range(200))
+    assert [i for i, *_ in decontaminate.find_items(pad + item[20:120] + pad, index)] == [7, 8]
+    for at in range(0, 240 - decontaminate.PIECE + 1):
+        assert decontaminate.find_items(pad + item[at : at + decontaminate.PIECE] + pad, index)
+    assert decontaminate.find_items(pad + item[20:80] + pad, index) == []
+
+
 def test_contamination_matches_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
