@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -247,6 +248,199 @@ def test_word_encoder_agrees_on_odd_words():
 # -- 3: language model ----------------------------------------------------------------------------
 
 
+class PlainModel:
+    """The context-mixing model with dictionaries and loops, from the same definitions."""
+
+    def __init__(self, texts):
+        self.train = [(i, t or "") for i, t in texts if not mixlm.held_out(i)]
+        self.c, self.slots, self.pairs, self.gaps, self.cases = (collections.Counter() for _ in range(5))
+        self.after = collections.defaultdict(dict)
+        hashes = [self.tokens(t) for _, t in self.train]
+        for h in hashes:
+            self.c.update(h)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.escape = (sum(x == 1 for x in self.c.values()) + 1) / (self.n + 2)
+        self.frequent = {h for h, c in self.c.items() if c * mixlm.FREQUENT >= self.n and h != int(mixlm.END_HASH)}
+        self.tree = collections.Counter()
+        for h, c in self.c.items():
+            for k in range(mixlm.BITS + 1):
+                self.tree[self.code(h) >> k] += c
+        for d, (h, (_, t)) in enumerate(zip(hashes, self.train)):
+            for k in range(len(h)):
+                for j, ctx in enumerate(self.contexts(h, k)):
+                    if ctx is not None:
+                        for s, bit, _ in self.path(ctx, h[k]):
+                            self.slots[j, s, bit] += 1
+            seen = {}
+            for k, key in self.anchors(h):
+                seen.setdefault(key, self.following(h, k))
+            for key, f in seen.items():
+                self.after[key][d] = f
+            raw = bytes(mixlm._FOLD[np.frombuffer(t.encode(), np.uint8)].astype(np.uint8))
+            self.pairs.update((x, y) for x, y in zip(raw, raw[1:]) if (x, y) != (32, 32))
+            gaps, cases = self.forms(t)
+            self.gaps.update((g[:3]) for g in gaps)
+            self.cases.update((c[:2]) for c in cases)
+
+    def tokens(self, t):
+        data, off = bytesets.text_column(pa.array([t]))
+        return [*bytesets.word_hashes(data, off)[0].tolist(), int(mixlm.END_HASH)]
+
+    def code(self, h):
+        return (h >> (64 - mixlm.BITS)) | mixlm.NODES
+
+    def contexts(self, h, k):
+        w = (1 << 64) - 1
+        c1, c2, c3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+        f = [x for x in reversed(h[:k]) if x in self.frequent][:2] + [0, 0]
+        one = k >= 1 and h[k - 1] in self.frequent
+        two = one and k >= 2 and h[k - 2] in self.frequent
+        return [h[k - 1] * c1 & w if one else None, (f[0] * c2 + f[1] * c3 + 1) & w if f[0] else None, (h[k - 1] * c3 + h[k - 2] * c1 + 7) & w if two else None]
+
+    def path(self, ctx, h):
+        """(slot, bit, node) of each level."""
+        code, out = self.code(h), []
+        for level in range(mixlm.BITS):
+            start = level - level % 4
+            x = (ctx ^ ((code >> (mixlm.BITS - start)) * 0x165667B19E3779F9)) * 0xC2B2AE3D27D4EB4F & ((1 << 64) - 1)
+            x ^= x >> 32
+            x = (x * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)) >> (64 - mixlm.TABLE_BITS + 4)
+            node = code >> (mixlm.BITS - level)
+            within = 1 << (level - start) | node & ((1 << (level - start)) - 1)
+            out.append((x * 16 + within, code >> (mixlm.BITS - 1 - level) & 1, node))
+        return out
+
+    def anchors(self, h):
+        for k in range(2, len(h)):
+            if h[k] != int(mixlm.END_HASH):
+                x = np.array([h[k] * 0x9E3779B97F4A7C15 + h[k - 1] * 0xC2B2AE3D27D4EB4F + h[k - 2] * 0x165667B19E3779F9 & ((1 << 64) - 1)], np.uint64)
+                key = int(bytesets.mix64(x)[0])
+                if key % mixlm.ANCHOR_EVERY == 0:
+                    yield k, key
+
+    def following(self, h, k):
+        c = [x >> (64 - mixlm.BITS) for x in h[k + 1 : k + 1 + mixlm.REACH]]
+        c += [0] * (mixlm.REACH - len(c))
+        return tuple(c[:5]), tuple(c[5:])
+
+    def forms(self, t):
+        gaps, cases = [], []
+        raw = t.encode()
+        pieces = re.split(rb"([ \t-\r]+)", raw)
+        words = [(raw_at, x) for raw_at, x in enumerate(pieces) if raw_at % 2 == 0 and x]
+        kind = lambda g: {b" ": 0, b"\n": 1, b"\n\n": 2, b"": 3}.get(g, 4)
+        before, opens = 3, True
+        for n, (at, x) in enumerate(words):
+            g = pieces[at - 1] if at else b""
+            gaps.append((0 if n == 0 else 1, before, kind(g), len(g) if kind(g) == 4 else 0))
+            before = kind(g)
+            letters, ups = re.findall(rb"[A-Za-z]", x), re.findall(rb"[A-Z]", x)
+            case = 0 if not ups else 1 if len(ups) == 1 and x[:1].isupper() else 2 if len(ups) == len(letters) else 3
+            cases.append((int(opens), case, len(letters) if case == 3 else 0))
+            opens = x[-1:] in b".!?"
+        tail = (pieces[-1] or pieces[-2] if len(pieces) > 1 and not pieces[-1] else b"") if words else raw
+        gaps.append((2, before, kind(tail), len(tail) if kind(tail) == 4 else 0))
+        return gaps, cases
+
+    def score(self, i, t):
+        """(symbol score, spelled score, log10 probability of the whole text)."""
+        t = t or ""
+        h, held = self.tokens(t), mixlm.held_out(i)
+        own, guess, run = {}, {}, {}
+        for k, key in self.anchors(h):
+            own.setdefault(key, self.following(h, k))
+        for k, key in self.anchors(h):
+            f = list(self.after.get(key, {}).values())
+            if len(f) > (0 if held else 1):
+                c = []
+                for half in range(2):
+                    lo, hi = min(x[half] for x in f), max(x[half] for x in f)
+                    c += hi if not held and lo == own[key][half] else lo
+                for r, x in enumerate(c):
+                    if k + 1 + r >= len(h):
+                        break
+                    guess[k + 1 + r], run[k + 1 + r] = x, r
+                    if x != h[k + 1 + r] >> (64 - mixlm.BITS):
+                        break
+        weights = {(g, j): float(mixlm.START[g % 3][j]) for g in range(mixlm.GATES) for j in range(5)}
+        centres = np.linspace(-8, 8, mixlm.APM_BINS)
+        apm = (1 / (1 + np.exp(-centres))).tolist()
+        grad, hits = collections.Counter(), collections.defaultdict(list)
+        total, fresh = 0.0, 0
+        words = t.encode().lower().split()
+        spelled = 0.0
+        for k, x in enumerate(h):
+            if k in (1, 2, 4, 8, 16, 32) or (k and k % 64 == 0):
+                for w, g in grad.items():
+                    weights[w] += min(0.1, max(-0.1, mixlm.LEARN * g))
+                for b, bits in hits.items():
+                    apm[b] += (sum(bits) - len(bits) * apm[b]) / (len(bits) + 60)
+                grad, hits = collections.Counter(), collections.defaultdict(list)
+            p = min(1 - 1e-9, max(1e-9, (fresh + mixlm.ESCAPE_PRIOR * self.escape) / (k + mixlm.ESCAPE_PRIOR)))
+            if x not in self.c:
+                total += math.log10(p)
+                fresh += 1
+                raw = b" " + words[k] + b" "
+                spelled += sum(math.log10((self.pairs[a, b] + 0.05) / (sum(self.pairs[a, z] for z in range(256)) + 12.8)) for a, b in zip(raw, raw[1:]))
+                continue
+            total += math.log10(1 - p) + math.log10(self.c[x]) - math.log10(self.tree[self.code(x)])
+            paths = [None if ctx is None else self.path(ctx, x) for ctx in self.contexts(h, k)]
+            code, right = self.code(x), 1.0
+            for level in range(mixlm.BITS):
+                node, bit = code >> (mixlm.BITS - level), code >> (mixlm.BITS - 1 - level) & 1
+                q = (self.tree[2 * node + 1] + 0.02) / (self.tree[node] + 0.04)
+                xs, grades = [min(12, max(-12, math.log(q / (1 - q))))], []
+                for j, path in enumerate(paths):
+                    n1, n0 = (self.slots[j, path[level][0], b] if path else 0 for b in (1, 0))
+                    first = sum(self.slots[j, path[level - level % 4][0], b] for b in (0, 1)) if path else 0
+                    grades.append((first >= 3) + (first >= 40))
+                    q = (n1 + 0.1) / (n1 + n0 + 0.2)
+                    xs.append(round(min(10, max(-10, math.log(q / (1 - q)))) * mixlm.SCALE) / mixlm.SCALE if n1 + n0 >= 3 else 0.0)
+                agree = lambda n: k in guess and (guess[k] | mixlm.NODES) >> (mixlm.BITS - n) == code >> (mixlm.BITS - n)
+                xs.append(((guess[k] >> (mixlm.BITS - 1 - level) & 1) * 2 - 1) * (2 + min(run[k], 4)) if agree(level) else 0.0)
+                gate = grades[0] * 9 + max(grades[1:]) * 3 + ((2 if run[k] >= 2 else 1) if agree(level - level % 4) else 0)
+                z = min(12, max(-12, sum(weights[gate, j] * v for j, v in enumerate(xs))))
+                p1 = 1 / (1 + math.exp(-z))
+                cell = min(mixlm.APM_BINS - 1.001, max(0, (z + 8) * (mixlm.APM_BINS - 1) / 16))
+                low, frac = int(cell), cell - int(cell)
+                final = 0.6 * p1 + 0.4 * (apm[low] * (1 - frac) + apm[low + 1] * frac)
+                right *= min(1, max(1e-7, final if bit else 1 - final))
+                for j, v in enumerate(xs):
+                    grad[gate, j] += (bit - p1) * v
+                hits[low + (frac > 0.5)].append(bit)
+            total += math.log10(right)
+        gaps, cases = self.forms(t)
+        form = 0.0
+        for place, before, g, n in gaps:
+            form += math.log10((self.gaps[place, before, g] + 0.5) / (sum(self.gaps[place, before, x] for x in range(5)) + 2.5)) - n * math.log10(12)
+        for o, c, n in cases:
+            form += math.log10((self.cases[o, c] + 0.5) / (sum(self.cases[o, x] for x in range(4)) + 2)) - n * math.log10(2)
+        return total, total + spelled, total + spelled + form
+
+
+def test_lm_scores_match_a_plain_model(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixlm, "FREQUENT", 200)
+    _, texts = odd
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    write = lambda n: "".join(rng.choice([w, w, w.title(), w.upper(), w[:1] + w[1:].upper()]) + rng.choice([" ", " ", " ", ". ", "\n", "\n\n", " \t"]) for w in (rng.choice(words) for _ in range(n)))
+    quoted = write(60)
+    small = [(i, t) for i, t in texts if len(t or "") < 3000 and (i or 0) < 16]
+    more = [(100 + k, write(rng.choice([1, 3, 20, 70, 150]))) for k in range(36)] + [(200 + k, write(5) + quoted + write(6)) for k in range(6)] + [(300, quoted), (301, quoted), (302, write(20))]
+    texts = small + more
+    plain = PlainModel(texts)
+    got = mixlm.score_corpus(spark.createDataFrame(rows_of(texts), DOCS)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    have = sorted(((r["doc_id"], r["n_tokens"], r["score"], r["spelled_score"], -r["bits_per_byte"] * max(1, r["n_bytes"]) / math.log2(10)) for r in got), key=key)
+    want = sorted(((i, len(plain.tokens(t or "")), *plain.score(i, t)) for i, t in texts), key=key)
+    assert len(have) == len(want) > 50
+    for a, b in zip(have, want):
+        assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], rtol=1e-4, atol=1e-4)
+    # the quoted texts are known from others, also the ones held out
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in got}
+    assert max(bits[300], bits[301]) < 0.8 * bits[302]
+
+
 def test_lm_counts_base_and_normal_scores(spark, odd, nothing):
     df, texts = odd
     got = mixlm.score_corpus(df).collect()
@@ -265,19 +459,19 @@ def test_lm_counts_base_and_normal_scores(spark, odd, nothing):
 
 def test_lm_bucket_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    size = 1 << mixlm.TABLE_BITS
     counts = rng.integers(1, 50, mixlm.NODES)
-    alls = rng.integers(0, 60, (mixlm.CONTEXTS, size))
-    model = mixlm.Model(int(counts.sum()), 100, 5, counts, np.zeros(0, np.uint64), (alls * rng.random(alls.shape)).astype(int), alls, np.ones((256, 256)))
+    alls = rng.integers(0, 60, (mixlm.CONTEXTS, 1 << mixlm.TABLE_BITS))
     first = bytesets.mix64(np.arange(1, 9, dtype=np.uint64))
-    total = 0.0
-    for b in range(mixlm.NODES):
-        h = np.concatenate([first, [np.uint64(b) << np.uint64(64 - mixlm.BITS)]]).astype(np.uint64)
-        total += 10 ** mixlm.mixed_bits(model, h, np.array([0, 9]), np.zeros(9, np.int64), np.ones(9, bool))[-1]
-    assert abs(total - 1) < 1e-4
+    model = mixlm.Model(int(counts.sum()), 100, 5, counts, (np.sort(first), np.ones(8)), (alls * rng.random(alls.shape)).astype(int), alls, np.ones((256, 256)), np.ones(75), np.ones(8))
+    for guess in (-1, 1234):
+        total = 0.0
+        for b in range(mixlm.NODES):
+            h = np.concatenate([first, [np.uint64(b) << np.uint64(64 - mixlm.BITS)]]).astype(np.uint64)
+            total += 10 ** mixlm.mixed_bits(model, h, np.array([0, 9]), np.zeros(9, np.int64), np.ones(9, bool), np.array([-1] * 8 + [guess]), np.full(9, 3))[-1]
+        assert abs(total - 1) < 1e-4
 
 
-def test_lm_has_a_context_of_two_words_and_learns_within_short_texts(monkeypatch):
+def test_lm_learns_from_the_first_token(monkeypatch):
     rng = np.random.default_rng(5)
     h = np.unique(rng.integers(1, 1 << 63, 40, dtype=np.uint64))
     text = h[rng.integers(0, len(h), 100)]
@@ -286,11 +480,14 @@ def test_lm_has_a_context_of_two_words_and_learns_within_short_texts(monkeypatch
     other[[10, 30]] = h[0], h[1]
     same = [a[0][12] == b[0][12] for a, b in zip(mixlm.contexts(text, off, h), mixlm.contexts(other, off, h))]
     assert same == [True, False, False] and mixlm.BITS >= 12
+    assert mixlm.steps(np.arange(200)).tolist() == [0, 1, 2, 2, 3, 3, 3, 3, *[4] * 8, *[5] * 16, *[6] * 32, *[7] * 64, *[8] * 64, *[9] * 8]
     alls = rng.integers(0, 60, (mixlm.CONTEXTS, 1 << mixlm.TABLE_BITS))
-    model = mixlm.Model(1000, 100, 5, np.ones(mixlm.NODES, np.int64), h, alls // 3, alls, np.ones((256, 256)))
-    learnt = mixlm.mixed_bits(model, text, off, row, np.ones(100, bool))
+    model = mixlm.Model(1000, 100, 5, np.ones(mixlm.NODES, np.int64), (h, np.ones(len(h))), alls // 3, alls, np.ones((256, 256)), np.ones(75), np.ones(8))
+    run = lambda: mixlm.mixed_bits(model, text, off, row, np.ones(100, bool), np.full(100, -1), np.zeros(100, int))
+    learnt = run()
     monkeypatch.setattr(mixlm, "LEARN", 0.0)
-    assert not np.allclose(learnt, mixlm.mixed_bits(model, text, off, row, np.ones(100, bool)))
+    rest = run()
+    assert learnt[0] == rest[0] and (learnt[1:4] != rest[1:4]).any() and (learnt[4:64] != rest[4:64]).sum() > 30
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
