@@ -10,37 +10,65 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "gossamer", master: str | None = None, shuffle: int = 8) -> SparkSession:
-    """A UTC, AQE-enabled session. On a cluster the submitter's settings win."""
+    """A UTC, AQE-enabled session. What the submitter has set (also the master) wins."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("GOSSAMER_DRIVER_MEMORY", "8g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+    mine = {
+        "spark.master": master or f"local[{cpus}]",
+        "spark.app.name": app,
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.driver.memory": os.environ.get("GOSSAMER_DRIVER_MEMORY", "8g"),
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    builder = SparkSession.builder
+    for key, value in unset(mine, submitted()).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def submitted() -> dict[str, str]:
+    """The settings that spark-submit hands to this process, if it runs under it."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return dict(active.sparkContext.getConf().getAll())
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return {}
+    from pyspark import SparkConf, SparkContext
+
+    SparkContext._ensure_initialized()
+    return dict(SparkConf().getAll())
+
+
+def unset(mine: dict[str, str], theirs: dict[str, str]) -> dict[str, str]:
+    """What of ``mine`` is not in ``theirs``."""
+    return {k: v for k, v in mine.items() if k not in theirs}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) is a temporary one set.
+    Only where one machine is all there is (a local master) a temporary one is set.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if root is None:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gossamer-")
         sc.setCheckpointDir(root)
     return root
 
 
+def is_local(master: str) -> bool:
+    """Do driver and executors run in one process (local, local[...])?"""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -57,9 +85,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, so that a worker's memory does not follow their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Keep Arrow batches of whole texts small in rows and bytes, so that a worker's memory does not
+    follow their length. A session that has set smaller ones keeps them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def trimmed(run):
