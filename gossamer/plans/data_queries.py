@@ -574,21 +574,8 @@ def _(spark, d):
     return pages(spark, d).select("page_id", F.explode(sitemap_urls(xml)).alias("loc"))
 
 
-@query("a11_p18_p20_fetched_pages", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'ConnectionError' END AS error, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN 200 END AS INT) AS status FROM orders WHERE o_orderkey < 500")
-def _(spark, d):
-    def fetch(u):
-        if int(u) % 7 == 0:
-            raise ConnectionError(u)
-        return {"status": 200, "headers": {"content-type": "text/html"}, "body": u}
-
-    urls = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").cast("string").alias("url"))
-    return fetch_pages(urls, fetch).select(F.col("url").cast("bigint").alias("o_orderkey"), "error", "status")
-
-
 @query("a11_p18_p20_fetched_orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'ConnectionError' END AS error, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN 200 END AS INT) AS status FROM orders")
 def _(spark, d):
-    """The same over the whole table."""
-
     def fetch(u):
         if int(u) % 7 == 0:
             raise ConnectionError(u)

@@ -6,21 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.plans import data_queries, site_queries, testbed
-
-
-def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: testbed.run(spark, sf_dir, sql)
+from gossamer.plans import data_queries, site_queries, store_queries, testbed
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: overview of a snapshot."""
-    return testbed.run(spark, sf_dir, site_queries.QUERIES["e1_overview"])
+    return store_queries.QUERIES["e1_overview"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _shared(v) for k, v in site_queries.QUERIES.items()} | data_queries.QUERIES
+    return store_queries.QUERIES | data_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: testbed.for_duckdb(v) for k, v in site_queries.QUERIES.items()} | data_queries.SQL
+    return {k: testbed.for_duckdb(v) for k, v in site_queries.SQL.items()} | data_queries.SQL

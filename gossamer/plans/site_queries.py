@@ -1,10 +1,11 @@
-"""The queries that the reference serves over its store, one SQL text for both engines.
+"""What the store's operators have to return, as SQL for DuckDB.
 
-Keys start with the survey's operator ids.
+Keys start with the survey's operator ids; the operators that answer are in ``operators.store``.
 """
 
 from __future__ import annotations
 
+ORIGIN = "https://alpha.example.com"
 BROKEN = "(p.http_status >= 400 OR (p.http_status = 0 AND m.crawl_status IN ('network_error', 'failed_after_retries', 'fetched_error')) OR p.security_error IS NOT NULL)"
 VISIBLE = "JOIN snapshots s ON s.site_id = p.site_id AND coalesce(p.first_seen, p.last_seen) <= s.id"
 
@@ -13,14 +14,14 @@ ISSUES = f"""SELECT p.id, p.normalized_url AS url, m.pagerank_score, s.created_a
       WHEN p.redirect_chain IS NOT NULL THEN 'Redirect Chain' WHEN p.noindex = 1 THEN 'Indexability Risk' WHEN m.word_count > 0 AND m.thin_content_score > 70 THEN 'Thin Content'
       WHEN m.word_count > 0 AND m.word_count < 200 THEN 'Low Word Count' WHEN m.word_count > 0 AND m.duplicate_type IS NOT NULL AND m.duplicate_type <> 'none' THEN 'Duplicate Content'
       WHEN m.link_role = 'orphan' THEN 'Orphan Page'
-      WHEN p.canonical_url IS NOT NULL AND p.canonical_url <> p.normalized_url AND regexp_replace(p.canonical_url, '/$', '') <> regexp_replace(p.normalized_url, '/$', '') THEN 'Canonical Conflict'
+      WHEN p.canonical_url NOT IN ('', p.normalized_url, '{ORIGIN}' || p.normalized_url) AND regexp_replace(p.canonical_url, '/$', '') <> regexp_replace('{ORIGIN}' || p.normalized_url, '/$', '') THEN 'Canonical Conflict'
       ELSE 'Page' END AS issue_type
     FROM metrics m JOIN site_pages p ON p.id = m.page_id JOIN snapshots s ON s.id = m.snapshot_id WHERE m.snapshot_id = 40"""
 SCORED = f"""SELECT i.*, CASE issue_type WHEN 'Broken Link' THEN 'Critical' WHEN 'Page' THEN 'Info' WHEN 'Duplicate Content' THEN 'Info' ELSE 'Warning' END AS severity,
     CAST(floor((CASE issue_type WHEN 'Broken Link' THEN 80 WHEN 'Redirect Chain' THEN 40 WHEN 'Indexability Risk' THEN 30 WHEN 'Thin Content' THEN 25 WHEN 'Low Word Count' THEN 30
       WHEN 'Duplicate Content' THEN 10 WHEN 'Orphan Page' THEN 20 WHEN 'Canonical Conflict' THEN 15 ELSE 0 END) * (5e-1 + coalesce(pagerank_score, 0) / 2e2) + 5e-1) AS BIGINT) AS impact_score FROM ({ISSUES}) i"""
 
-QUERIES: dict[str, str] = {
+SQL: dict[str, str] = {
     # scans
     "a1_pages_cumulative": f"SELECT p.id, p.normalized_url, p.http_status FROM site_pages p {VISIBLE} WHERE s.id = 20",
     "a1_pages_single": "SELECT p.id, p.normalized_url, p.http_status FROM site_pages p WHERE EXISTS (SELECT 1 FROM metrics m WHERE m.page_id = p.id AND m.snapshot_id = 21)",
@@ -48,8 +49,8 @@ QUERIES: dict[str, str] = {
     "p8_rank_eligible": "SELECT id FROM site_pages WHERE noindex = 0 AND http_status < 400 AND http_status <> 0 AND (canonical_url IS NULL OR canonical_url = normalized_url)",
     "p9_hits_eligible": "SELECT id FROM site_pages WHERE http_status IN (200, 0) AND redirect_chain IS NULL AND noindex = 0",
     "p11_issue_classifier": f"SELECT url, issue_type, severity, impact_score FROM ({SCORED}) t",
-    "p12_canonical_conflicts": """SELECT id, CASE WHEN canonical_url IS NOT NULL AND canonical_url <> normalized_url AND regexp_replace(canonical_url, '/$', '') <> regexp_replace(normalized_url, '/$', '') THEN 1 ELSE 0 END AS by_slash,
-        CASE WHEN canonical_url IS NOT NULL AND canonical_url <> normalized_url AND replace(canonical_url, '/', '') <> replace(normalized_url, '/', '') THEN 1 ELSE 0 END AS by_all_slashes FROM site_pages""",
+    "p12_canonical_conflicts": f"""SELECT id, CASE WHEN canonical_url NOT IN ('', normalized_url, '{ORIGIN}' || normalized_url) AND regexp_replace(canonical_url, '/$', '') <> regexp_replace('{ORIGIN}' || normalized_url, '/$', '') THEN 1 ELSE 0 END AS by_slash,
+        CASE WHEN canonical_url NOT IN (normalized_url, '{ORIGIN}' || normalized_url, '{ORIGIN}' || normalized_url || '/') AND replace(canonical_url, '/', '') <> replace('{ORIGIN}' || normalized_url, '/', '') THEN 1 ELSE 0 END AS by_all_slashes FROM site_pages""",
     "p13_search": "SELECT id, normalized_url FROM site_pages WHERE lower(normalized_url) LIKE lower('%U/1%')",
     "p14_problems_only": f"SELECT url, severity FROM ({SCORED}) t WHERE issue_type <> 'Page' AND NOT (url LIKE 'http%' AND severity = 'Info')",
     "p16_page_badges": """SELECT p.id, CASE WHEN p.http_status >= 400 OR p.http_status = 0 THEN 'Critical' WHEN m.pagerank_score >= 80 THEN 'Good' WHEN m.pagerank_score >= 50 THEN 'Warning' ELSE 'Critical' END AS badge
@@ -79,7 +80,7 @@ QUERIES: dict[str, str] = {
     # aggregates
     "e1_overview": f"""SELECT count(*) AS total_pages, count(*) FILTER (WHERE m.crawl_status IN ('fetched', 'cached', 'fetched_error')) AS crawled, count(*) FILTER (WHERE {BROKEN}) AS broken,
         count(*) FILTER (WHERE p.http_status >= 500) AS server_errors, count(*) FILTER (WHERE p.redirect_chain IS NOT NULL AND json_array_length(p.redirect_chain) > 1) AS redirect_chains,
-        count(*) FILTER (WHERE p.noindex = 1) AS noindex_pages, count(*) FILTER (WHERE p.canonical_url IS NOT NULL AND p.canonical_url <> p.normalized_url AND replace(p.canonical_url, '/', '') <> replace(p.normalized_url, '/', '')) AS canonical_issues,
+        count(*) FILTER (WHERE p.noindex = 1) AS noindex_pages, count(*) FILTER (WHERE p.canonical_url NOT IN (p.normalized_url, '{ORIGIN}' || p.normalized_url, '{ORIGIN}' || p.normalized_url || '/') AND replace(p.canonical_url, '/', '') <> replace('{ORIGIN}' || p.normalized_url, '/', '')) AS canonical_issues,
         count(*) FILTER (WHERE m.crawl_status = 'blocked_by_robots') AS blocked_robots, count(*) FILTER (WHERE p.crawl_trap_flag = 1) AS crawl_traps
         FROM metrics m JOIN site_pages p ON p.id = m.page_id WHERE m.snapshot_id = 20 AND p.is_internal = 1""",
     "e2_duplicate_pages": "SELECT snapshot_id, count(*) FILTER (WHERE duplicate_cluster_id IS NOT NULL AND is_cluster_primary = 0) AS duplicates FROM metrics GROUP BY snapshot_id",
@@ -106,16 +107,29 @@ QUERIES: dict[str, str] = {
     "t5_retention": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY site_id, CASE WHEN run_type = 'single' THEN 1 ELSE 0 END ORDER BY created_at DESC, id DESC) AS rn FROM snapshots) t WHERE rn > 5",
     "t8_history": "SELECT id, created_at, node_count, health_score FROM snapshots WHERE site_id = 1",
     "t9_dashboard_site": "SELECT domain FROM sites d JOIN snapshots s ON s.site_id = d.id ORDER BY s.created_at DESC NULLS LAST, s.id DESC LIMIT 1",
+    "t10_sorted_issues": f"SELECT url, issue_type, impact_score FROM ({SCORED}) t ORDER BY impact_score DESC NULLS LAST, url LIMIT 50",
     "h_url_set_difference": "SELECT page_id FROM metrics WHERE snapshot_id = 20 EXCEPT SELECT page_id FROM metrics WHERE snapshot_id = 22",
     # comparisons
-    "g10_compare_graphs": """WITH a AS (SELECT m.page_id, m.crawl_status, m.duplicate_cluster_id AS c FROM metrics m WHERE snapshot_id = 20), b AS (SELECT m.page_id, m.crawl_status, m.duplicate_cluster_id AS c FROM metrics m WHERE snapshot_id = 22)
-        SELECT coalesce(a.page_id, b.page_id) AS id, CASE WHEN a.page_id IS NULL THEN 'added' WHEN b.page_id IS NULL THEN 'removed' WHEN a.crawl_status <> b.crawl_status THEN 'changed_status' ELSE 'same' END AS change FROM a FULL OUTER JOIN b ON a.page_id = b.page_id""",
+    "g10_compare_graphs": """WITH a AS (SELECT page_id, crawl_status, duplicate_cluster_id AS c FROM metrics WHERE snapshot_id = 20), b AS (SELECT page_id, crawl_status, duplicate_cluster_id AS c FROM metrics WHERE snapshot_id = 22),
+        j AS (SELECT coalesce(a.page_id, b.page_id) AS id, a.page_id AS x, b.page_id AS y, a.crawl_status IS DISTINCT FROM b.crawl_status AS s, a.c IS DISTINCT FROM b.c AS c FROM a FULL OUTER JOIN b ON a.page_id = b.page_id)
+        SELECT id, 'added' AS change FROM j WHERE x IS NULL UNION ALL SELECT id, 'removed' FROM j WHERE y IS NULL UNION ALL SELECT id, 'changed_status' FROM j WHERE x = y AND s
+        UNION ALL SELECT id, 'changed_canonical' FROM j WHERE x = y AND c UNION ALL SELECT id, 'same' FROM j WHERE x = y AND NOT s AND NOT c""",
+    "g10_metric_deltas": """WITH n AS (SELECT m.snapshot_id AS s, p.id, p.depth FROM metrics m JOIN site_pages p ON p.id = m.page_id WHERE m.snapshot_id IN (20, 22)),
+        e AS (SELECT DISTINCT x.snapshot_id AS s, x.source_page_id AS src, x.target_page_id AS dst FROM edges x JOIN n a ON a.s = x.snapshot_id AND a.id = x.source_page_id JOIN n b ON b.s = x.snapshot_id AND b.id = x.target_page_id),
+        g AS (SELECT n.s, n.id, n.depth, (SELECT count(*) FROM e WHERE e.s = n.s AND e.dst = n.id) AS i, (SELECT count(*) FROM e WHERE e.s = n.s AND e.src = n.id) AS o FROM n),
+        t AS (SELECT s, count(*) AS n FROM g GROUP BY s), h AS (SELECT g.s, -sum(1e0 / t.n * log2(k.c / CAST(t.n AS DOUBLE))) AS entropy FROM g JOIN t ON t.s = g.s JOIN (SELECT s, o, count(*) AS c FROM g GROUP BY s, o) k ON k.s = g.s AND k.o = g.o GROUP BY g.s),
+        v AS (SELECT s, 'entropy' AS metric, entropy AS v FROM h UNION ALL SELECT s, 'orphans', CAST(count(*) FILTER (WHERE i = 0 AND depth > 0) AS DOUBLE) FROM g GROUP BY s UNION ALL SELECT s, 'efficiency', count(*) FILTER (WHERE depth <= 3) / CAST(count(*) AS DOUBLE) FROM g GROUP BY s)
+        SELECT a.metric, floor(a.v * 1e6 + 5e-1) / 1e6 AS old, floor(b.v * 1e6 + 5e-1) / 1e6 AS new, floor((b.v - a.v) * 1e6 + 5e-1) / 1e6 AS delta FROM v a JOIN v b ON a.metric = b.metric AND a.s = 20 AND b.s = 22""",
     "g12_compare_counts": f"""WITH x AS (SELECT m.snapshot_id, p.id, coalesce({BROKEN}, FALSE) AS broken FROM site_pages p JOIN metrics m ON m.page_id = p.id),
         j AS (SELECT a.id AS a, b.id AS b, a.broken AS ba, b.broken AS bb FROM (SELECT * FROM x WHERE snapshot_id = 20) a FULL OUTER JOIN (SELECT * FROM x WHERE snapshot_id = 22) b ON a.id = b.id)
         SELECT count(*) FILTER (WHERE a IS NULL) AS added, count(*) FILTER (WHERE b IS NULL) AS removed, count(*) FILTER (WHERE bb AND NOT coalesce(ba, FALSE)) AS newly_broken, count(*) FILTER (WHERE ba AND b IS NOT NULL AND NOT bb) AS resolved FROM j""",
     # state after changes
     "m2_metrics_replace": "SELECT page_id, word_count FROM metrics WHERE snapshot_id = 22 UNION ALL SELECT page_id, word_count FROM metrics o WHERE snapshot_id = 20 AND NOT EXISTS (SELECT 1 FROM metrics n WHERE n.snapshot_id = 22 AND n.page_id = o.page_id)",
     "m4_snapshot_delete": "SELECT p.id FROM site_pages p WHERE EXISTS (SELECT 1 FROM metrics m WHERE m.page_id = p.id AND m.snapshot_id <> 20)",
+    "m6_snapshot_status": "SELECT id, site_id, run_type, CASE WHEN id = 20 THEN 'failed' ELSE status END AS status FROM snapshots UNION ALL SELECT max(id) + 1, 2, 'completed', 'running' FROM snapshots",
+    "m8_score_write_back": "SELECT s.id, floor((s.health_score * 100 + coalesce((SELECT sum(score * weight) FROM plugin_rows r WHERE r.snapshot_id = s.id), 0)) / (100 + coalesce((SELECT sum(weight) FROM plugin_rows r WHERE r.snapshot_id = s.id AND score IS NOT NULL), 0)) * 10 + 5e-1) / 10 AS total_score FROM snapshots s",
+    "m10_site_changes": "SELECT id, domain, 'https' AS preferred FROM sites WHERE id <> 1 UNION ALL SELECT max(id) + 1, 'gamma.example.net', NULL FROM sites WHERE id <> 1",
+    "m10_pages_after_site_delete": "SELECT page_id, snapshot_id FROM metrics WHERE snapshot_id NOT IN (SELECT id FROM snapshots WHERE site_id = 1)",
     "m7_edges_delete_by_source": "SELECT id FROM edges WHERE NOT (snapshot_id = 20 AND source_page_id % 3 = 0)",
     "m9_cache_through": "SELECT p.id, CASE WHEN c.url_id IS NULL THEN 'compute' ELSE 'cached' END AS source FROM site_pages p LEFT JOIN (SELECT DISTINCT url_id FROM plugin_rows WHERE plugin = 'signals') c ON c.url_id = p.id",
     "r6_trend_series": "SELECT dayofmonth(ts) AS day, event_type, count(*) AS n FROM events GROUP BY dayofmonth(ts), event_type",

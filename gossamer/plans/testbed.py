@@ -1,11 +1,13 @@
-"""Site tables derived from the test tables, as SQL that both engines read.
+"""Site tables derived from the test tables, as SQL that both engines read, and the store made of them.
 
 Users are pages, days are snapshots (one per day and site), consecutive events are links.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from gossamer.operators.store import Store
 
 VIEWS: dict[str, str] = {
     "ev": "SELECT event_id, ts, user_id, event_type, value, CAST(user_id % 2 + 1 AS BIGINT) AS site_id, CAST(dayofmonth(ts) * 2 + user_id % 2 AS BIGINT) AS snapshot_id FROM events",
@@ -15,7 +17,8 @@ VIEWS: dict[str, str] = {
         CAST(count(*) % 101 AS DOUBLE) AS health_score, CAST(count(*) % 7 AS BIGINT) AS orphan_count FROM ev GROUP BY snapshot_id, site_id""",
     "site_pages": """SELECT user_id AS id, site_id, '/u/' || CAST(user_id AS STRING) AS normalized_url, min(snapshot_id) AS first_seen, max(snapshot_id) AS last_seen,
         CAST(CASE user_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 WHEN 3 THEN 0 ELSE 200 END AS BIGINT) AS http_status,
-        CASE WHEN user_id % 7 = 0 THEN '/u/' || CAST(user_id - 1 AS STRING) WHEN user_id % 7 = 1 THEN '/u/' || CAST(user_id AS STRING) || '/' END AS canonical_url,
+        CASE WHEN user_id % 7 = 0 THEN '/u/' || CAST(user_id - 1 AS STRING) WHEN user_id % 7 = 1 THEN '/u/' || CAST(user_id AS STRING) || '/'
+        WHEN user_id % 7 = 2 THEN 'https://alpha.example.com/u/' || CAST(user_id AS STRING) WHEN user_id % 7 = 3 THEN 'https://alpha.example.com/u/' || CAST(user_id AS STRING) || '/' WHEN user_id % 7 = 4 THEN '/u/' || CAST(user_id AS STRING) END AS canonical_url,
         CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END AS noindex, CASE WHEN user_id % 10 = 1 THEN '[{"url":"/a"},{"url":"/b"}]' WHEN user_id % 10 = 4 THEN '[{"url":"/a"}]' END AS redirect_chain,
         CASE WHEN user_id % 23 = 0 THEN 'blocked_ip' END AS security_error, CAST(user_id % 6 AS BIGINT) AS depth, CASE WHEN user_id % 13 = 0 THEN 0 ELSE 1 END AS is_internal,
         CASE WHEN user_id % 19 = 0 THEN 1 ELSE 0 END AS crawl_trap_flag, CASE WHEN user_id % 5 = 0 THEN 'h' || CAST(user_id % 8 AS STRING) ELSE 'u' || CAST(user_id AS STRING) END AS content_hash
@@ -42,9 +45,9 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = BASE) ->
         spark.sql(sql).createOrReplaceTempView(name)
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def store(spark: SparkSession, sf_dir: str) -> Store:
     register(spark, sf_dir)
-    return spark.sql(sql)
+    return Store(*[spark.table(t) for t in ("sites", "snapshots", "site_pages", "metrics", "edges", "plugin_rows")])
 
 
 def for_duckdb(sql: str) -> str:
