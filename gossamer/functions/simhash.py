@@ -33,23 +33,35 @@ def fnv1a(tokens: list[str]) -> np.ndarray:
     return h
 
 
-def simhash_one(text: str | None, cap: int = 50_000) -> int:
-    """Signed 64 bits; a bit is set if more tokens (with repeats) have it than not."""
-    tokens = _WORD.findall((text or "")[:cap].lower())
-    if not tokens:
-        return 0
-    names, counts = np.unique(np.array(tokens, object), return_counts=True)
-    bits = np.unpackbits(fnv1a(names.tolist()).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    votes = ((2 * bits - 1) * counts[:, None]).sum(0)
-    return int(np.packbits((votes > 0).astype(np.uint8)).view(">i8")[0])
-
-
-def simhash(text: Column | str) -> Column:
-    """Arrow-batched ``simhash_one``."""
+def simhashes(texts: list[str | None], cap: int | None = None) -> np.ndarray:
+    """Signed 64 bits of each text; a bit is set if more tokens (with repeats) have it than not.
+
+    Every distinct token of the batch is hashed once. ``cap`` cuts texts to so many characters.
+    """
+    found = [_WORD.findall((t or "")[:cap].lower()) for t in texts]
+    sizes = np.array([len(f) for f in found], np.int64)
+    out = np.zeros(len(texts), np.int64)
+    some = np.nonzero(sizes)[0]
+    if not len(some):
+        return out
+    code, names = pd.factorize(np.array([w for f in found for w in f], object))
+    bits = np.unpackbits(fnv1a(names.tolist()).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+    start = np.cumsum(sizes[some]) - sizes[some]
+    # bounded slices: votes of many tokens would not fit memory at once
+    cuts = [0, *(np.nonzero(np.diff(start // 200_000))[0] + 1).tolist(), len(some)]
+    for i, j in zip(cuts, cuts[1:]):
+        lo, hi = start[i], start[j] if j < len(some) else len(code)
+        votes = np.add.reduceat(bits[code[lo:hi]], start[i:j] - lo, axis=0, dtype=np.int64)
+        out[some[i:j]] = np.packbits(votes > 0, axis=1).view(">i8").ravel()
+    return out
+
+
+def simhash(text: Column | str, cap: int | None = None) -> Column:
+    """Arrow-batched ``simhashes`` of whole texts (or of their first ``cap`` characters)."""
 
     @F.pandas_udf("bigint")
     def run(t: pd.Series) -> pd.Series:
-        return t.map(simhash_one).astype("int64")
+        return pd.Series(simhashes(t.tolist(), cap))
 
     return run(text)
 

@@ -15,9 +15,9 @@ def clean(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(x, UNICODE_SPACE + "+", " ")), F.lit(""))
 
 
-def word_tokens(x: Column, cap: int = 50_000) -> Column:
-    """Lower-case runs of ASCII word characters in the first ``cap`` characters."""
-    return F.filter(F.split(F.lower(F.substring(x, 1, cap)), r"\W+"), lambda t: t != "")
+def word_tokens(x: Column, cap: int | None = None) -> Column:
+    """Lower-case runs of ASCII word characters (in the first ``cap`` characters, if it is given)."""
+    return F.filter(F.split(F.lower(x if cap is None else F.substring(x, 1, cap)), r"\W+"), lambda t: t != "")
 
 
 def heading_tokens(x: Column) -> Column:

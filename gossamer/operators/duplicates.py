@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import simhash as S
 from gossamer.operators.components import connected_components
+from gossamer.operators.graph import SiteGraph, collapse
+from gossamer.session import materialize
 
 
 def exact_clusters(pages: DataFrame, key: str = "content_hash") -> DataFrame:
@@ -14,18 +16,52 @@ def exact_clusters(pages: DataFrame, key: str = "content_hash") -> DataFrame:
     return pages.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("representative")).where("size > 1")
 
 
+#: A band value with more distinct hashes than this is split by further bits, or dealt to blocks.
+HOT_BAND = 512
+#: Up to this distance the bits outside a band are split into pieces of which one must be equal.
+PIECES_UP_TO = 5
+
+
 def similar_pairs(hashes: DataFrame, distance: int) -> DataFrame:
     """(a, b): ids whose SimHashes share a 16-bit band and differ in at most ``distance`` bits.
 
     Equal hashes are one row of the join, so copies do not multiply; they are linked to the
-    smallest id of their hash.
+    smallest id of their hash. Bands that very many hashes share are split further, with nothing
+    lost: of distance + 1 pieces of the other 48 bits one is equal in every pair that counts; where
+    the distance is too large for that, the band's hashes are dealt to blocks, and blocks meet.
     """
-    classes = hashes.groupBy("h").agg(F.min("id").alias("id"))
+    hashes = materialize(hashes.select("id", "h"), "simhashes")
+    classes = materialize(hashes.groupBy("h").agg(F.min("id").alias("id")), "simhash-classes")
     bands = classes.select("id", "h", F.posexplode(S.bands(F.col("h"))).alias("band", "value"))
-    x, y = bands.select("band", "value", F.col("id").alias("a"), F.col("h").alias("ha")), bands.select("band", "value", F.col("id").alias("b"), F.col("h").alias("hb"))
-    pairs = x.join(y, ["band", "value"]).where((F.col("a") < F.col("b")) & (S.hamming(F.col("ha"), F.col("hb")) <= distance)).select("a", "b").distinct()
+    sizes = materialize(bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BAND), "hot-bands")
+
+    def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
+        x = rows.select(*keys, F.col("id").alias("a"), F.col("h").alias("ha"))
+        y = rows.select(*keys, F.col("id").alias("b"), F.col("h").alias("hb"))
+        return x.join(y, keys).where((F.col("a") < F.col("b")) & (S.hamming(F.col("ha"), F.col("hb")) <= distance)).select("a", "b")
+
+    if sizes.isEmpty():
+        pairs = meet(bands, ["band", "value"])
+    else:
+        pairs = meet(bands.join(sizes, ["band", "value"], "left_anti"), ["band", "value"])
+        hot = bands.join(sizes, ["band", "value"])
+        if distance <= PIECES_UP_TO:
+            # the bits below the band and those above it, side by side
+            low = F.col("h").bitwiseAND(F.expr("shiftleft(1L, 16 * band) - 1"))
+            high = F.when(F.col("band") == S.BANDS - 1, F.lit(0).cast("bigint")).otherwise(F.expr("shiftrightunsigned(h, 16 * (band + 1))"))
+            rest = low.bitwiseOR(F.expr("shiftleft(_high, 16 * band)"))
+            wide = -(-16 * (S.BANDS - 1) // (distance + 1))
+            split = F.array(*[F.shiftrightunsigned("_rest", wide * j).bitwiseAND((1 << wide) - 1) for j in range(distance + 1)])
+            split_rows = hot.withColumn("_high", high).withColumn("_rest", rest).select("id", "h", "band", "value", F.posexplode(split).alias("piece", "bits"))
+            pairs = pairs.unionByName(meet(split_rows, ["band", "value", "piece", "bits"]))
+        else:
+            n = F.ceil(F.col("n") / HOT_BAND).cast("int")
+            own = hot.withColumn("_blocks", n).withColumn("_own", F.pmod(F.xxhash64("h"), F.col("_blocks")).cast("int"))
+            key = F.struct(F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
+            dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("id", "h", "band", "value", key.alias("block"))
+            pairs = pairs.unionByName(meet(dealt, ["band", "value", "block"]))
     copies = hashes.join(classes.select("h", F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"))
-    return pairs.unionByName(copies)
+    return pairs.distinct().unionByName(copies)
 
 
 def near_clusters(hashes: DataFrame, distance: int = 3, least: int = 2) -> DataFrame:
@@ -43,9 +79,9 @@ def content_clusters(hashes: DataFrame, distance: int = 10, least: int = 3) -> D
 
 
 def cluster_type(df: DataFrame, kind: str = "kind", ratio: str = "unique_token_ratio", cluster: str = "cluster") -> DataFrame:
-    """template_heavy where a near cluster's mean token ratio (null is 0) is under 0.3."""
+    """template_heavy where a cluster's mean token ratio (null is 0) is under 0.3, else its kind."""
     mean = F.avg(F.coalesce(F.col(ratio), F.lit(0.0))).over(Window.partitionBy(cluster))
-    return df.withColumn("type", F.when((F.col(kind) == "near") & (mean < 0.3), "template_heavy").otherwise(F.col(kind)))
+    return df.withColumn("type", F.when(mean < 0.3, "template_heavy").otherwise(F.col(kind)))
 
 
 def severity(members: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -61,6 +97,27 @@ def representatives(members: DataFrame, cluster: str = "cluster") -> DataFrame:
     return members.groupBy(cluster).agg(F.min_by("id", F.struct(own, -F.col("in_links"), F.length("url"), F.col("id"))).alias("representative"))
 
 
+def duplicate_pipeline(g: SiteGraph, distance: int = 3, collapse_edges: bool = True) -> tuple[DataFrame, SiteGraph]:
+    """(members, graph): exact clusters, then near ones among the rest, with all that follows from them.
+
+    ``g.nodes`` has id, url, content_hash, h, unique_token_ratio, canonical and in_links. Members
+    have id, cluster (its smallest id), size, type (exact, near or template_heavy), severity, representative, is_primary
+    and collapse_into (null for representatives, and everywhere without ``collapse_edges``). With it
+    the graph's edges point at representatives.
+    """
+    facts = materialize(g.nodes.select("id", "url", "content_hash", "h", "unique_token_ratio", "canonical", "in_links"), "duplicate-nodes")
+    exact = exact_clusters(facts)
+    same = facts.join(exact, "content_hash").select("id", F.col("representative").alias("cluster"), "size", F.lit("exact").alias("kind"))
+    rest = facts.join(exact.select("content_hash"), "content_hash", "left_anti").where("h is not null")
+    near = near_clusters(rest.select("id", "h"), distance).select("id", "cluster", "size", F.lit("near").alias("kind"))
+    members = materialize(cluster_type(same.unionByName(near).join(facts, "id")), "duplicate-members")
+    one = representatives(members).join(severity(members), "cluster")
+    primary = F.col("id") == F.col("representative")
+    out = members.join(one, "cluster").select("id", "cluster", "size", "type", "severity", "representative", primary.alias("is_primary"), F.when(~primary & F.lit(collapse_edges), F.col("representative")).alias("collapse_into"))
+    out = materialize(out, "duplicates")
+    return out, collapse(g, out.select("id", "representative")) if collapse_edges else g
+
+
 def shared_prefix(members: DataFrame, cluster: str = "cluster", path: str = "path") -> DataFrame:
     """Longest run of leading path segments that all pages of a cluster have."""
     n = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))

@@ -86,9 +86,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, limit: int | No
     return seen if limit is None else seen.orderBy("depth", "id").limit(limit)
 
 
-def redirect_edges(pages: DataFrame, chain: str = "redirect_chain") -> DataFrame:
-    """Each hop of a chain of (url, status, target) as an edge."""
-    return pages.select(F.posexplode(chain).alias("hop", "r")).select("hop", F.col("r.url").alias("src"), F.col("r.target").alias("dst"), F.col("r.status").alias("status"))
+def redirect_edges(pages: DataFrame, chain: str = "redirect_chain", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each hop of a chain of (url, status, target) as an edge, with the ``keep`` columns of its page."""
+    return pages.select(*keep, F.posexplode(chain).alias("hop", "r")).select(*keep, "hop", F.col("r.url").alias("src"), F.col("r.target").alias("dst"), F.col("r.status").alias("status"))
 
 
 def follow_redirects(hops: DataFrame, starts: DataFrame, max_hops: int = 5) -> DataFrame:

@@ -57,6 +57,19 @@ def delete_snapshot(snapshot_id: int, snapshots: DataFrame, pages: DataFrame, ed
     }
 
 
+def incremental(answers: DataFrame, links: DataFrame, before: DataFrame, old_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) of a second crawl.
+
+    ``answers`` has id, status and attributes, ``before`` the attributes of the first crawl. A page
+    that answers 304 takes its attributes from ``before`` (crawl_status cached) and its links out
+    from ``old_links``, with weight 1; without a row there it is left out. Others are fetched.
+    """
+    same = answers.where(F.col("status") == 304).select("id").join(before, "id").withColumn("crawl_status", F.lit("cached"))
+    fresh = answers.where(F.col("status") != 304).withColumn("crawl_status", F.lit("fetched")).drop("status")
+    replayed = old_links.join(same.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").distinct().withColumn("weight", F.lit(1.0))
+    return same.unionByName(fresh, allowMissingColumns=True), replayed.unionByName(links.select("src", "dst", "weight"))
+
+
 def cache_through(wanted: DataFrame, cache: DataFrame, key: str, compute) -> DataFrame:
     """Cached rows where there are any, computed ones elsewhere."""
     misses = compute(wanted.join(cache.select(key).distinct(), key, "left_anti"))

@@ -2,6 +2,7 @@
 
 Up to LOCAL_EDGES edges (a checked count) the iterations run as array operations in one task;
 beyond it each iteration is one join and one aggregation over edges that stay partitioned by source.
+Both ways stop after the same round.
 """
 
 from __future__ import annotations
@@ -88,20 +89,32 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tol: floa
         total = inner.groupBy("src").agg(F.sum("weight").alias("total"))
         flow = inner.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
         ranks = nodes.select("id").withColumn("rank", F.lit(1.0 / max(n, 1)))
-        for i in range(rounds):
+        for _ in range(rounds):
             sent = flow.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             new = materialize(nodes.select("id").join(sent.withColumnRenamed("dst", "id"), "id", "left").join(ranks, "id").select("id", F.coalesce("got", F.lit(0.0)).alias("got"), F.col("rank").alias("old")), "pagerank")
             # what did not arrive was held by sinks
             lost = 1.0 - (new.agg(F.sum("got")).first()[0] or 0.0)
             ranks = new.select("id", (F.lit((1 - damping) / n) + damping * (F.col("got") + lost / n)).alias("rank"), "old")
-            if tol > 0 and i % 5 == 4 and ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tol:
+            if tol > 0 and ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tol:
                 break
             ranks = ranks.drop("old")
         ranks = materialize(ranks.select("id", "rank"), "pagerank")
         flow.unpersist()
     inner.unpersist()
-    ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-    return ranks.crossJoin(F.broadcast(ends)).select("id", "rank", scaled(F.col("rank"), F.col("lo"), F.col("hi")).alias("score"))
+    return scale_column(ranks, "rank").select("id", "rank", "score")
+
+
+def upper_median(df: DataFrame, column: str, *ties: str) -> float | None:
+    """The value at place n // 2 of n in rising order; null of an empty table."""
+    n = df.where(F.col(column).isNotNull()).count()
+    got = df.where(F.col(column).isNotNull()).orderBy(column, *ties).offset(n // 2).limit(1).select(column).collect() if n else []
+    return got[0][0] if got else None
+
+
+def scale_column(df: DataFrame, column: str, out: str = "score", digits: int = 3) -> DataFrame:
+    """Adds ``out``: the column from 0 to 100 between its extremes."""
+    ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, scaled(F.col(column), F.col("_lo"), F.col("_hi"), digits)).drop("_lo", "_hi")  # one row
 
 
 def hits(nodes: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -133,14 +146,9 @@ def hits(nodes: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, local_ed
             hub = materialize(unit(nodes.select("id").join(materialize(h, "hits"), "id", "left").fillna(0.0), "hub"), "hits")
         out = materialize(auth.join(hub, "id"), "hits")
     inner.unpersist()
-    n = out.count()
-
-    def upper_median(c: str) -> float:
-        got = out.orderBy(c).offset(n // 2).limit(1).select(c).collect() if n else []
-        return got[0][0] if got else 0.0
-
+    middle = {c: upper_median(out, c) or 0.0 for c in ("auth", "hub")}
     top = out.agg(F.max("auth"), F.max("hub")).first()
     high = lambda c, m, t: (F.col(c) > 1e-5) & ((F.col(c) > m) | (F.col(c) == F.lit(t)))
-    a, h = high("auth", upper_median("auth"), top[0]), high("hub", upper_median("hub"), top[1])
+    a, h = high("auth", middle["auth"], top[0]), high("hub", middle["hub"], top[1])
     role = F.when(a & h, "power").when(a, "authority").when(h, "hub").when((F.col("auth") > 1e-5) & (F.col("hub") > 1e-5), "balanced").otherwise("peripheral")
     return out.select("id", "auth", "hub", role.alias("role"))

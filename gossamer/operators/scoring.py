@@ -172,6 +172,30 @@ def signals_summary(records: DataFrame) -> DataFrame:
     return one.withColumn("score", grid(clamp(score), 2))
 
 
+def schema_groups(records: DataFrame) -> DataFrame:
+    """(schema_hash, size, urls): pages by the hash of their structured data; no hash, no group."""
+    g = records.where(F.coalesce(F.col("schema_hash"), F.lit("")) != "").groupBy("schema_hash")
+    return g.agg(F.count(F.lit(1)).alias("size"), F.min("url").alias("first"))
+
+
+def top_schema_types(records: DataFrame, limit: int = 10) -> DataFrame:
+    return records.select(F.explode("schema_types").alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "type").limit(limit)
+
+
+def same_og(records: DataFrame, limit: int = 10) -> DataFrame:
+    """(og_hash, size): the largest groups of pages that say the same in Open Graph."""
+    g = records.where(F.col("og_hash").isNotNull()).groupBy("og_hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return g.orderBy(F.col("size").desc(), "og_hash").limit(limit)
+
+
+def signals_fixes(records: DataFrame, limit: int = 10) -> DataFrame:
+    """(impact, type, url): pages whose missing signals cost most, the worst first in each kind."""
+    weigh = F.col("pagerank") * 0.6 + F.col("authority") * 0.4
+    kinds = [("high", "missing_jsonld", ~F.col("jsonld"), weigh), ("high", "missing_og", ~F.col("og"), F.col("authority")), ("medium", "missing_lang", ~F.col("lang"), weigh)]
+    parts = [records.where(c).select(F.lit(i).alias("impact"), F.lit(t).alias("type"), "url", w.alias("w")).orderBy(F.col("w").desc(), "url").limit(limit) for i, t, c, w in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("impact", "type", "url")
+
+
 def issue_counts(pages: DataFrame) -> DataFrame:
     """One row of issue counters over internal pages.
 

@@ -18,8 +18,9 @@ from gossamer.operators import headings as N
 from gossamer.operators import mutations as M
 from gossamer.operators import ranking as R
 from gossamer.operators import scoring as C
+from gossamer.operators import store as O
 from gossamer.plans import testbed
-from gossamer.plugins import blend, roll_up, signals_plugin
+from gossamer.plugins import Plugin, Registry, blend, roll_up, signals_plugin
 from gossamer.session import materialize, table
 from gossamer.sources.connectors import pagespeed_summary
 from gossamer.streaming import limiter as L
@@ -79,7 +80,7 @@ def body_sql(*skip: str) -> str:
 
 WORDS = "CAST(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) AS INT)"
 SENTENCES = "CAST(len(list_distinct(list_filter(list_transform(regexp_split_to_array({x}, '[.!?]+'), lambda s: lower(trim(regexp_replace(s, '^\\s+|\\s+$', '', 'g')))), lambda s: s <> ''))) AS INT)"
-TOKENS = "list_filter(regexp_split_to_array(lower(substr({x}, 1, 50000)), '\\W+'), lambda w: w <> '')"
+TOKENS = "list_filter(regexp_split_to_array(lower({x}), '\\W+'), lambda w: w <> '')"
 H1S = "list_filter(list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda h: " + _clean_tags("h") + "), lambda h: h <> '')"
 LINKS = "regexp_extract_all({x}, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1)"
 HEADS = "regexp_extract_all(html, '(?is)(<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>|<h4[^>]*>.*?</h4>|<h5[^>]*>.*?</h5>|<h6[^>]*>.*?</h6>)', 1)"
@@ -366,6 +367,15 @@ def dense(spark, d) -> G.SiteGraph:
     return G.SiteGraph(nodes, one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
 
 
+def ranked():
+    none = F.lit(None)
+    return R.rank_eligible(F.col("noindex"), none.cast("boolean"), none.cast("double"), none.cast("string"), F.lit(""), F.col("status"))
+
+
+def hub_pages():
+    return R.hits_eligible(F.col("status"), F.lit(None).cast("boolean"), F.col("noindex"))
+
+
 def pagerank_sql(rounds: int) -> str:
     ctes = [DENSE, "k AS MATERIALIZED (SELECT id FROM n WHERE status < 400 AND NOT noindex)", "f AS MATERIALIZED (SELECT e.* FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k))", "g AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM f)", "r0 AS MATERIALIZED (SELECT id, 1e0 / (SELECT count(*) FROM k) AS r FROM k)"]
     for i in range(rounds):
@@ -377,13 +387,13 @@ def pagerank_sql(rounds: int) -> str:
 @query("g3_pagerank", pagerank_sql(10))
 def _(spark, d):
     g = dense(spark, d)
-    return R.pagerank(g.nodes.where("status < 400 and not noindex"), g.edges, rounds=10, tol=0.0).select("id", X.grid(F.col("rank"), 9).alias("rank"))
+    return R.pagerank(g.nodes.where(ranked()), g.edges, rounds=10, tol=0.0).select("id", X.grid(F.col("rank"), 9).alias("rank"))
 
 
 @query("g3_pagerank_converged")
 def _(spark, d):
     g = dense(spark, d)
-    return R.pagerank(g.nodes.where("status < 400 and not noindex"), g.edges)
+    return R.pagerank(g.nodes.where(ranked()), g.edges)
 
 
 def hits_sql(rounds: int) -> str:
@@ -399,13 +409,17 @@ def hits_sql(rounds: int) -> str:
 @query("g4_hits", hits_sql(5))
 def _(spark, d):
     g = dense(spark, d)
-    return R.hits(g.nodes.where("status = 200 and not noindex"), g.edges, rounds=5).select("id", X.grid(F.col("auth"), 9).alias("auth"), X.grid(F.col("hub"), 9).alias("hub"))
+    return R.hits(g.nodes.where(hub_pages()), g.edges, rounds=5).select("id", X.grid(F.col("auth"), 9).alias("auth"), X.grid(F.col("hub"), 9).alias("hub"))
 
 
-@query("g4_hits_roles")
+ROLES = f"""SELECT id, CASE WHEN ha AND hh THEN 'power' WHEN ha THEN 'authority' WHEN hh THEN 'hub' WHEN auth > 1e-5 AND hub > 1e-5 THEN 'balanced' ELSE 'peripheral' END AS role FROM (
+    SELECT *, auth > 1e-5 AND (auth > (SELECT list_sort(list(auth))[count(*) // 2 + 1] FROM v) OR auth = (SELECT max(auth) FROM v)) AS ha, hub > 1e-5 AND (hub > (SELECT list_sort(list(hub))[count(*) // 2 + 1] FROM v) OR hub = (SELECT max(hub) FROM v)) AS hh FROM v)"""
+
+
+@query("g4_hits_roles", hits_sql(20).rsplit("\nSELECT", 1)[0] + ",\nv AS (SELECT id, a AS auth, h AS hub FROM a19 JOIN h20 USING (id))\n" + ROLES)
 def _(spark, d):
     g = dense(spark, d)
-    return R.hits(g.nodes.where("status = 200 and not noindex"), g.edges)
+    return R.hits(g.nodes.where(hub_pages()), g.edges).select("id", "role")
 
 
 PAGE_NODES = f"pn AS (SELECT DISTINCT path_url AS id FROM (SELECT {NORM_PATH} AS path_url FROM pages) WHERE path_url IS NOT NULL), pz AS (SELECT p.path_url AS src, z.url AS dst, z.weight FROM {ZONES} z JOIN (SELECT page_id, {NORM_PATH} AS path_url FROM pages) p USING (page_id)), an AS (SELECT id FROM pn UNION SELECT dst FROM pz), pe AS (SELECT src, dst, max(weight) AS weight FROM pz WHERE src <> dst GROUP BY src, dst)"
@@ -462,12 +476,12 @@ def _(spark, d):
     return G.collapse(G.SiteGraph(g.nodes, w), members).edges
 
 
-@query("g14_redirect_edges", "SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS hop, CAST(o_orderkey AS VARCHAR) AS src, CAST(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR) AS dst FROM orders")
+@query("g14_redirect_edges", "SELECT CAST(o_custkey AS VARCHAR) AS page, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS hop, CAST(o_orderkey AS VARCHAR) AS src, CAST(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR) AS dst, CAST(301 + o_orderkey % 2 AS INT) AS status FROM orders")
 def _(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("c"))
     key = lambda x: x.o_orderkey.cast("string")
-    chain = F.transform("c", lambda x, i: F.struct(key(x).alias("url"), F.lit(301).alias("status"), F.try_element_at(F.transform("c", key), i + 2).alias("target")))
-    return o.select("o_custkey", F.posexplode(chain).alias("hop", "r")).select("o_custkey", "hop", F.col("r.url").alias("src"), F.col("r.target").alias("dst"))
+    chain = F.transform("c", lambda x, i: F.struct(key(x).alias("url"), (301 + x.o_orderkey % 2).cast("int").alias("status"), F.try_element_at(F.transform("c", key), i + 2).alias("target")))
+    return G.redirect_edges(o.select(F.col("o_custkey").cast("string").alias("page"), chain.alias("redirect_chain")), keep=("page",))
 
 
 @query("l5_orphans", f"""WITH {PAGE_NODES}, {DEG}, x AS (SELECT *, CAST(length(id) - length(replace(id, '/', '')) AS INT) AS depth, regexp_matches(id, '(?i)[?&](page|p)=\\d+') AS low FROM dg), s AS (SELECT pe.dst AS id, bool_and(x.low) AS all_low FROM pe JOIN x ON x.id = pe.src GROUP BY pe.dst)
@@ -539,7 +553,7 @@ def _(spark, d):
 @query("r2_token_bucket")
 def _(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
-    return L.token_bucket(e, rate=1.0)
+    return L.token_bucket(e.withColumn("delay", F.col("key") % 3), rate=1.0, crawl_delay="delay")
 
 
 @query("r5_event_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -551,14 +565,17 @@ def _(spark, d):
 # -- reports, the rest of the scores, and sinks -------------------------------------------------------
 
 from gossamer.sources import exports  # noqa: E402
-from gossamer.sources.connectors import Robots, fetch_pages, sitemap_urls  # noqa: E402
+from gossamer.sources import fetching  # noqa: E402
+from gossamer.sources.connectors import Robots, sitemap_urls  # noqa: E402
 
 
-@query("p2_enqueue_predicate", "SELECT o_orderkey FROM orders o WHERE o_orderkey % 6 <= 5 AND NOT EXISTS (SELECT 1 FROM orders v WHERE v.o_orderkey = o.o_orderkey - 1 AND v.o_orderstatus = 'F')")
+@query("p2_enqueue_predicate", f"SELECT page_id, CASE WHEN url LIKE '%/fr/%' THEN FALSE WHEN page_id % 7 > 5 THEN FALSE ELSE TRUE END AS enqueue FROM pages")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    seen = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") + 1).alias("o_orderkey"))
-    return o.where(F.col("o_orderkey") % 6 <= 5).join(seen, "o_orderkey", "left_anti").select("o_orderkey")
+    """Two plugins with opinions on some urls; the first that has one decides."""
+    no_french = Plugin("no-french", hooks={"should_enqueue": lambda url, depth: F.when(url.contains("/fr/"), F.lit(False))})
+    shallow = Plugin("shallow", hooks={"should_enqueue": lambda url, depth: F.when(depth > 5, F.lit(False)).when(depth <= 2, F.lit(True))})
+    r = Registry([no_french, shallow])
+    return pages(spark, d).select("page_id", r.should_enqueue(F.col("url"), F.col("page_id") % 7).alias("enqueue"))
 
 
 @query("a12_robots", f"SELECT page_id, CASE WHEN {RAWPATH} LIKE '/fr/8%' THEN TRUE WHEN {RAWPATH} LIKE '/fr%' THEN FALSE ELSE TRUE END AS allowed FROM pages")
@@ -574,21 +591,36 @@ def _(spark, d):
     return pages(spark, d).select("page_id", F.explode(sitemap_urls(xml)).alias("loc"))
 
 
-@query("a11_p18_p20_fetched_orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'ConnectionError' END AS error, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN 200 END AS INT) AS status FROM orders")
+@query("a11_p18_p20_fetched_orders", """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 7 IN (0, 2, 3) THEN NULL WHEN o_orderkey % 7 = 4 THEN 304 ELSE 200 END AS INT) AS status,
+    CASE o_orderkey % 7 WHEN 0 THEN 'network_error' WHEN 2 THEN 'oversized' WHEN 3 THEN 'redirect_loop' END AS state, CAST(CASE o_orderkey % 7 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS INT) AS hops,
+    o_orderkey % 7 = 5 AS html, CASE WHEN o_orderkey % 7 IN (0, 2, 3) THEN 'error' WHEN o_orderkey % 7 = 4 THEN 'cached' ELSE 'parse' END AS route FROM orders""")
 def _(spark, d):
-    def fetch(u):
-        if int(u) % 7 == 0:
-            raise ConnectionError(u)
-        return {"status": 200, "headers": {"content-type": "text/html"}, "body": u}
+    def send(u, headers):
+        k = int(u.rsplit("/", 1)[-1])
+        moved = u.startswith("http://old/")
+        if k % 7 == 0:
+            raise OSError(u)
+        if (k % 7 == 1 and moved) or k % 7 == 3:
+            return {"status": 301, "headers": {"Location": f"http://{'new' if moved else 'old'}/{k}"}}
+        if headers.get("If-None-Match"):
+            return {"status": 304}
+        return {"status": 200, "headers": {"Content-Type": "text/html; charset=utf-8" if k % 7 == 5 else "text/plain"}, "body": "é" * (60 if k % 7 == 2 else 40)}
 
-    urls = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("url"))
-    return fetch_pages(urls, fetch).select(F.col("url").cast("bigint").alias("o_orderkey"), "error", "status")
+    k = F.col("o_orderkey")
+    urls = table(spark, d, "orders").select(F.concat(F.lit("http://old/"), k.cast("string")).alias("url"), F.when(k % 7 == 4, "e1").alias("etag"))
+    got = fetching.fetch_pages(urls, send, max_bytes=100)
+    return got.select(F.substring_index("url", "/", -1).cast("bigint").alias("o_orderkey"), "status", "state", F.size("redirect_chain").alias("hops"), fetching.parsed_as_html(F.col("headers")).alias("html"), O.fetch_route(F.coalesce("status", F.lit(0))).alias("route"))
 
 
-@query("b2_b3_export_tables", f"WITH {PAGE_NODES}, {DEG} SELECT id AS URL, CASE WHEN in_links = 0 THEN 'Pending/Limit' ELSE '200' END AS Status, in_links AS InboundLinks, out_links AS OutboundLinks FROM dg")
+@query("b2_nodes_table", f"WITH {PAGE_NODES}, {DEG} SELECT id AS URL, CAST(length(id) - length(replace(id, '/', '')) AS INT) AS Depth, CASE WHEN in_links = 0 THEN 'Pending/Limit' ELSE '200' END AS Status, in_links AS InboundLinks, out_links AS OutboundLinks, in_links % 101 / 2e0 AS PageRankScore FROM dg")
 def _(spark, d):
-    n = G.degrees(page_graph(spark, d)).select(F.col("id").alias("url"), F.lit(0).alias("depth"), F.when(F.col("in_links") == 0, 0).otherwise(200).alias("status"), "in_links", "out_links", F.lit(0.0).alias("score"))
-    return exports.nodes_table(n).select("URL", "Status", "InboundLinks", "OutboundLinks")
+    n = G.degrees(page_graph(spark, d)).select(F.col("id").alias("url"), (F.length("id") - F.length(F.replace("id", F.lit("/"), F.lit("")))).cast("int").alias("depth"), F.when(F.col("in_links") == 0, 0).otherwise(200).alias("status"), "in_links", "out_links", (F.col("in_links") % 101 / 2.0).alias("score"))
+    return exports.nodes_table(n)
+
+
+@query("b3_edges_table", f"WITH {PAGE_NODES} SELECT src AS Source, dst AS Target, weight AS Weight FROM pe WHERE dst IN (SELECT id FROM an)")
+def _(spark, d):
+    return exports.edges_table(page_graph(spark, d).edges)
 
 
 def analysis(spark, d):
@@ -650,11 +682,45 @@ def _(spark, d):
     return N.heading_summary(heading_rows(spark, d))
 
 
-@query("e23_l9_signals_summary", "SELECT floor(count(*) FILTER (WHERE doc_id % 2 = 0) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS og, floor(count(*) FILTER (WHERE lang IS NOT NULL) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS lang, count(DISTINCT lang) AS types FROM documents")
-def _(spark, d):
+SIGNALS = """r AS (SELECT 'd/' || doc_id AS url, doc_id % 2 = 0 AS og, lang IS NOT NULL AND doc_id % 5 <> 0 AS lang, doc_id % 9 = 0 AS hreflang, doc_id % 3 = 0 AS jsonld, [lang, source] AS schema_types, doc_id % 1000 / 1e3 AS pagerank, doc_id % 77 / 77e0 AS authority,
+    CASE WHEN doc_id % 2 = 0 THEN 'o' || doc_id % 400 END AS og_hash, CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id % 90 ELSE '' END AS schema_hash FROM documents)"""
+
+
+def signal_records(spark, d):
     k = F.col("doc_id")
-    r = table(spark, d, "documents").select((k % 2 == 0).alias("og"), F.col("lang").isNotNull().alias("lang"), F.lit(False).alias("hreflang"), (k % 3 == 0).alias("jsonld"), F.array("lang").alias("schema_types"), (k % 10 / 10).alias("pagerank"), F.lit(0.1).alias("authority"))
-    return C.signals_summary(r).select("og", "lang", "types")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    return table(spark, d, "documents").select(
+        name("d/", k).alias("url"), (k % 2 == 0).alias("og"), (F.col("lang").isNotNull() & (k % 5 != 0)).alias("lang"), (k % 9 == 0).alias("hreflang"), (k % 3 == 0).alias("jsonld"), F.array("lang", "source").alias("schema_types"), (k % 1000 / 1000.0).alias("pagerank"), (k % 77 / 77.0).alias("authority"),
+        F.when(k % 2 == 0, name("o", k % 400)).alias("og_hash"), F.when(k % 3 == 0, name("s", k % 90)).otherwise("").alias("schema_hash"),
+    )
+
+
+@query("e23_l9_signals_summary", f"""WITH {SIGNALS}, c AS (SELECT floor(count(*) FILTER (WHERE og) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS og, floor(count(*) FILTER (WHERE lang) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS lang, floor(count(*) FILTER (WHERE hreflang) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS hreflang, floor(count(*) FILTER (WHERE jsonld) * 1e2 / count(*) * 1e2 + 5e-1) / 1e2 AS jsonld FROM r),
+    g AS (SELECT least(1e2, coalesce(sum(i * 2), 0)) AS gap FROM (SELECT pagerank * 6e-1 + authority * 4e-1 AS i FROM r WHERE NOT jsonld ORDER BY i DESC LIMIT 10)), n AS (SELECT count(DISTINCT t) AS types FROM (SELECT unnest(schema_types) AS t FROM r))
+    SELECT og, lang, hreflang, jsonld, floor(gap * 1e6 + 5e-1) / 1e6 AS gap, types, floor(greatest(0e0, least(1e2, jsonld * 35e-2 + og * 25e-2 + lang * 15e-2 + hreflang * 1e-1 + (1 - gap / 1e2) * 10 + least(1e0, types / 12e0) * 15)) * 1e2 + 5e-1) / 1e2 AS score FROM c, g, n""")
+def _(spark, d):
+    return C.signals_summary(signal_records(spark, d)).select("og", "lang", "hreflang", "jsonld", X.grid(F.col("gap")).alias("gap"), "types", "score")
+
+
+@query("e23_top_schema_types", f"WITH {SIGNALS} SELECT t AS type, count(*) AS n FROM (SELECT unnest(schema_types) AS t FROM r) GROUP BY t ORDER BY n DESC, t LIMIT 10")
+def _(spark, d):
+    return C.top_schema_types(signal_records(spark, d))
+
+
+@query("e23_same_og", f"WITH {SIGNALS} SELECT og_hash, count(*) AS size FROM r WHERE og_hash IS NOT NULL GROUP BY og_hash HAVING count(*) > 1 ORDER BY size DESC, og_hash LIMIT 10")
+def _(spark, d):
+    return C.same_og(signal_records(spark, d))
+
+
+@query("e24_schema_groups", f"WITH {SIGNALS} SELECT schema_hash, count(*) AS size, min(url) AS first FROM r WHERE schema_hash <> '' GROUP BY schema_hash")
+def _(spark, d):
+    return C.schema_groups(signal_records(spark, d))
+
+
+@query("t7_signals_fixes", f"""WITH {SIGNALS} (SELECT 'high' AS impact, 'missing_jsonld' AS type, url FROM r WHERE NOT jsonld ORDER BY pagerank * 6e-1 + authority * 4e-1 DESC, url LIMIT 10)
+    UNION ALL (SELECT 'high', 'missing_og', url FROM r WHERE NOT og ORDER BY authority DESC, url LIMIT 10) UNION ALL (SELECT 'medium', 'missing_lang', url FROM r WHERE NOT lang ORDER BY pagerank * 6e-1 + authority * 4e-1 DESC, url LIMIT 10)""")
+def _(spark, d):
+    return C.signals_fixes(signal_records(spark, d))
 
 
 @query("l8_signals_page_score", "SELECT doc_id, CAST(greatest(0, least(100, CASE WHEN doc_id % 2 = 0 THEN 35 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 25 ELSE 0 END + 20 + CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END - CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 0 END)) AS DOUBLE) AS score FROM documents")
@@ -670,7 +736,7 @@ def _(spark, d):
     return C.og_mismatches(p)
 
 
-@query("e30_cluster_types", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 AND avg(c_custkey % 10 / 1e1) OVER (PARTITION BY c_nationkey) < 3e-1 THEN 'template_heavy' WHEN c_custkey % 2 = 0 THEN 'near' ELSE 'exact' END AS type FROM customer")
+@query("e30_cluster_types", "SELECT c_custkey AS id, CASE WHEN avg(c_custkey % 10 / 1e1) OVER (PARTITION BY c_nationkey) < 3e-1 THEN 'template_heavy' WHEN c_custkey % 2 = 0 THEN 'near' ELSE 'exact' END AS type FROM customer")
 def _(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer").select(k.alias("id"), F.col("c_nationkey").alias("cluster"), F.when(k % 2 == 0, "near").otherwise("exact").alias("kind"), (k % 10 / 10).alias("unique_token_ratio"))
@@ -679,32 +745,60 @@ def _(spark, d):
 
 @query("e6_depth_lists", "SELECT c_nationkey AS depth, string_agg(c_name, ',' ORDER BY c_acctbal DESC, c_name) AS pages FROM customer GROUP BY c_nationkey")
 def _(spark, d):
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("depth")).agg(F.array_sort(F.collect_list(F.struct((-F.col("c_acctbal")).alias("a"), "c_name"))).alias("p"))
-    return c.select("depth", F.array_join(F.transform("p", lambda x: x.c_name), ",").alias("pages"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("depth"), F.col("c_acctbal").alias("score"), F.col("c_name").alias("url"))
+    return O.depth_lists(c).select("depth", F.array_join("pages", ",").alias("pages"))
 
 
-@query("e32_e33_medians_and_scaling", "WITH o AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT max(CASE WHEN i = n // 2 THEN v END) AS upper_median, min(v) AS lo, max(v) AS hi FROM o")
+@query("e32_upper_median", "SELECT v AS upper_median FROM (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) WHERE i = n // 2")
 def _(spark, d):
-    c = table(spark, d, "customer")
-    n = c.count()
-    mid = c.orderBy("c_acctbal", "c_custkey").offset(n // 2).limit(1).select(F.col("c_acctbal").alias("upper_median"))
-    return mid.crossJoin(F.broadcast(c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))))
+    return spark.range(1).select(F.lit(R.upper_median(table(spark, d, "customer"), "c_acctbal", "c_custkey")).alias("upper_median"))
 
 
-@query("g7_duplicate_pipeline")
+@query("e33_scaled_scores", "SELECT c_custkey, floor(100 * (c_acctbal - (SELECT min(c_acctbal) FROM customer)) / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)) * 1e3 + 5e-1) / 1e3 AS score FROM customer")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.col("text"), 256).alias("content_hash"), S.simhash("text").alias("h"))
-    exact = D.exact_clusters(docs)
-    members = docs.join(exact, "content_hash").select("id", F.col("representative").alias("cluster"), F.lit("exact").alias("type"))
-    near = D.near_clusters(docs.join(exact, "content_hash", "left_anti").select("id", "h")).select("id", "cluster", F.lit("near").alias("type"))
-    return members.unionByName(near)
+    return R.scale_column(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", "score")
+
 
+G7 = f"""WITH RECURSIVE {SIMHASH}, f AS (SELECT doc_id AS id, 'd/' || doc_id AS url, sha256(text) AS hash, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'd/' || doc_id ELSE 'd/' || (doc_id - 1) END AS canonical, doc_id % 7 AS n,
+      {grid_sql(f"CASE WHEN len({TOKENS.format(x='text')}) > 0 THEN len(list_distinct({TOKENS.format(x='text')})) / len({TOKENS.format(x='text')}) ELSE 0 END")} AS ratio FROM documents),
+    x AS (SELECT hash, min(id) AS cluster FROM f WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1), rest AS (SELECT s.doc_id, s.u FROM s JOIN f ON f.id = s.doc_id WHERE f.hash IS NULL OR f.hash NOT IN (SELECT hash FROM x)),
+    {PAIRS.format(k=3).replace("FROM s a JOIN s b", "FROM rest a JOIN rest b")}, {COMPONENTS},
+    m AS (SELECT f.id, x.cluster, 'exact' AS kind FROM f JOIN x USING (hash) UNION ALL SELECT id, cluster, 'near' FROM k),
+    dup AS (SELECT m.*, f.url, f.canonical, f.n, CASE WHEN avg(f.ratio) OVER (PARTITION BY m.cluster) < 3e-1 THEN 'template_heavy' ELSE m.kind END AS type FROM m JOIN f USING (id)),
+    rep AS (SELECT cluster, count(*) AS size, arg_min(id, (CASE WHEN canonical = url THEN 0 ELSE 1 END, -n, length(url), id)) AS representative, CASE WHEN count(*) > count(canonical) OR count(DISTINCT canonical) > 1 THEN 'high' WHEN max(type) = 'near' THEN 'medium' ELSE 'low' END AS severity FROM dup GROUP BY cluster)
+    SELECT dup.id, dup.cluster, rep.size, dup.type, rep.severity, rep.representative, dup.id = rep.representative AS is_primary, CASE WHEN dup.id <> rep.representative THEN rep.representative END AS collapse_into FROM dup JOIN rep USING (cluster)"""
 
-@query("g13_m6_incremental_copy", "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 4 = 0 THEN 'cached' ELSE 'fetched' END AS state FROM orders")
+
+@query("g7_duplicate_pipeline", G7)
+def _(spark, d):
+    k = F.col("doc_id")
+    url = lambda x: F.concat(F.lit("d/"), x.cast("string"))
+    nodes = table(spark, d, "documents").select(k.alias("id"), url(k).alias("url"), F.sha2(F.col("text"), 256).alias("content_hash"), S.simhash("text").alias("h"), X.grid(X.unique_token_ratio(F.col("text"))).alias("unique_token_ratio"), F.when(k % 3 == 1, url(k)).when(k % 3 == 2, url(k - 1)).alias("canonical"), (k % 7).alias("in_links"))
+    edges = nodes.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    return D.duplicate_pipeline(G.SiteGraph(nodes, edges))[0]
+
+
+@query("g13_incremental_pages", testbed.for_duckdb("""SELECT p.id, CASE WHEN p.id % 4 = 0 THEN 'cached' ELSE 'fetched' END AS crawl_status, CASE WHEN p.id % 4 = 0 THEN m.word_count ELSE 7 END AS word_count
+    FROM site_pages p LEFT JOIN (SELECT page_id, word_count FROM metrics WHERE snapshot_id = 20) m ON m.page_id = p.id WHERE p.site_id = 1 AND (p.id % 4 <> 0 OR m.page_id IS NOT NULL)"""))
+def _(spark, d):
+    return M.incremental(*recrawl(spark, d))[0].select("id", "crawl_status", "word_count")
+
+
+@query("g13_replayed_links", testbed.for_duckdb("""SELECT DISTINCT source_page_id AS src, target_page_id AS dst, 1e0 AS weight FROM edges WHERE snapshot_id = 20 AND source_page_id % 4 = 0 AND target_page_id IS NOT NULL
+    AND source_page_id IN (SELECT page_id FROM metrics WHERE snapshot_id = 20) UNION ALL SELECT id, id + 2, 5e-1 FROM site_pages WHERE site_id = 1 AND id % 4 <> 0"""))
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    fresh = o.where("o_orderkey % 4 <> 0").withColumn("state", F.lit("fetched"))
-    return M.replace_rows(o.withColumn("state", F.lit("cached")), fresh, ["o_orderkey"])
+    return M.incremental(*recrawl(spark, d))[1]
+
+
+def recrawl(spark, d):
+    """Answers to a second crawl of site 1 (every fourth page unchanged), and what the first one knew."""
+    st = testbed.store(spark, d)
+    p = st.pages.where("site_id = 1").select("id")
+    answers = p.select("id", F.when(F.col("id") % 4 == 0, 304).otherwise(200).alias("status"), F.when(F.col("id") % 4 != 0, F.lit(7)).cast("bigint").alias("word_count"))
+    links = p.where("id % 4 <> 0").select(F.col("id").alias("src"), (F.col("id") + 2).alias("dst"), F.lit(0.5).alias("weight"))
+    before = st.metrics.where("snapshot_id = 20").select(F.col("page_id").alias("id"), "word_count")
+    old = st.edges.where("snapshot_id = 20 and target_page_id is not null").select(F.col("source_page_id").alias("src"), F.col("target_page_id").alias("dst"))
+    return answers, links, before, old
 
 
 @query("g15_followed_redirects", "SELECT 'u' || CAST(p_partkey AS VARCHAR) AS url, CASE WHEN p_partkey % 5 = 0 THEN 'loop' ELSE 'ok' END AS outcome FROM part")
@@ -722,14 +816,51 @@ def _(spark, d):
     return M.cache_through(c, c.where("c_custkey % 3 = 0").withColumn("source", F.lit("cache")), "c_custkey", lambda m: m.withColumn("source", F.lit("computed")))
 
 
-@query("r3_throttle")
+@query("r3_throttle", """WITH RECURSIVE f AS (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts >= f.t + INTERVAL 1 DAY GROUP BY f.user_id)
+    SELECT event_id AS id, e.user_id AS key, e.ts, f.t IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts ORDER BY event_id) = 1 AS emitted FROM events e LEFT JOIN f ON f.user_id = e.user_id AND f.t = e.ts""")
 def _(spark, d):
     return L.throttle(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts"), gap_ms=86_400_000)
 
 
-@query("r4_backoff", "SELECT n_nationkey, 500 * pow(2e0, n_nationkey % 4) AS delay_ms FROM nation")
+@query("r4_backoff", "SELECT n_nationkey, 500 * pow(2e0, n_nationkey % 4) AS delay_ms, 500 * pow(2e0, n_nationkey % 4) * (1 + 1e-1 * (2 * (n_nationkey / 25e0) - 1)) AS jittered_ms FROM nation")
+def _(spark, d):
+    k = F.col("n_nationkey")
+    return table(spark, d, "nation").select("n_nationkey", L.backoff_ms(k % 4).alias("delay_ms"), L.backoff_ms(k % 4, draw=k / 25).alias("jittered_ms"))
+
+
+@query("k7_days_left", "SELECT o_orderkey, CAST(floor(date_diff('hour', TIMESTAMP '1996-01-01 06:00:00', CAST(o_orderdate AS TIMESTAMP)) / 24e0) AS BIGINT) AS days FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", fetching.days_left(F.col("o_orderdate"), F.lit("1996-01-01 06:00:00")).alias("days"))
+
+
+@query("e34_report_authority", f"WITH {PAGE_NODES}, {DEG}, w AS (SELECT id AS url, CASE WHEN in_links > 3 THEN in_links % 101 / 1e2 ELSE ln(1 + in_links) / ln(1 + (SELECT max(in_links) FROM dg)) END AS a FROM dg) SELECT url, {grid_sql('a')} AS authority, {grid_sql('5 + 15 * a')} AS radius FROM w")
+def _(spark, d):
+    n = G.degrees(page_graph(spark, d)).select(F.col("id").alias("url"), "in_links", F.when(F.col("in_links") > 3, (F.col("in_links") % 101).cast("double")).alias("score"))
+    return exports.report_authority(n).select("url", X.grid(F.col("authority")).alias("authority"), X.grid(F.col("radius")).alias("radius"))
+
+
+@query("b7_analysis_table", f"WITH {ANALYSIS} SELECT url || ',' || seo || ',' || thin || ',' || CASE WHEN a2.page_id % 10 = 0 THEN 'Pending/Limit' ELSE '200' END || ',\"' || replace(coalesce(title, ''), '\"', '\"\"') || '\",' || length(coalesce(title, '')) || ',\"\",0,' || words || ',' || links || ',0,' AS line FROM (SELECT page_id, title, words, links, CAST(floor(seo) AS BIGINT) AS seo, CAST(floor(thin) AS BIGINT) AS thin FROM a2) a2 JOIN pages USING (page_id)")
+def _(spark, d):
+    a = analysis(spark, d).select("url", F.floor("seo").alias("seo"), F.floor("thin").alias("thin"), F.when(F.col("page_id") % 10 == 0, 0).otherwise(200).alias("status"), "title", F.lit(None).cast("string").alias("description"), "words", F.col("links").alias("internal_links"), F.lit(0).alias("external_links"), F.lit(None).cast("string").alias("canonical"))
+    return exports.analysis_lines(a)
+
+
+@query("p15_masked_modules", f"WITH {ANALYSIS} SELECT page_id, CAST(NULL AS VARCHAR) AS title, 'missing' AS title_status, words, CAST(0 AS INT) AS images FROM a2")
+def _(spark, d):
+    a = analysis(spark, d).select("page_id", "title", "title_status", "words", F.col("img.total").alias("images"))
+    return exports.mask_modules(a, {"seo": False, "accessibility": False})
+
+
+@query("h7_h8_parsed_counts", f"SELECT page_id, {TITLE} AS title, CAST(len(regexp_extract_all(html, '(?i)(<img[^>]*>)', 1)) AS INT) AS images, CAST(len(list_filter(regexp_extract_all(html, '(?i)(<img[^>]*>)', 1), lambda i: NOT regexp_matches(i, '(?i)\\salt='))) AS INT) AS missing_alts, CAST(len(list_filter(regexp_extract_all(html, '(?i)(<img[^>]*>)', 1), lambda i: regexp_matches(i, '(?i)\\salt=\"\\s*\"'))) AS INT) AS blank_alts, CAST(len({LINKS.format(x='html')}) AS INT) AS links FROM pages")
+def _(spark, d):
+    p = pages(spark, d).select("page_id", parse_html(F.col("html"), F.col("url")).alias("p"))
+    return p.select("page_id", "p.title", "p.images", "p.missing_alts", "p.blank_alts", (F.col("p.internal_links") + F.col("p.external_links")).alias("links"))
+
+
+@query("f18_token_jaccard", "WITH t AS (SELECT page_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(url), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2)) AS w FROM pages) SELECT a.page_id, floor(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) * 1e6 + 5e-1) / 1e6 AS similarity FROM t a JOIN t b ON b.page_id = a.page_id - 1")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", L.backoff_ms(F.col("n_nationkey") % 4).alias("delay_ms"))
+    t = pages(spark, d).select("page_id", X.heading_tokens(F.col("url")).alias("w"))
+    return t.join(t.select((F.col("page_id") + 1).alias("page_id"), F.col("w").alias("v")), "page_id").select("page_id", X.grid(X.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
 
 
 @query("h9_jsonld_types")

@@ -102,23 +102,3 @@ def pagespeed_summary(report: Column) -> Column:
         (F.floor(audit("cumulative-layout-shift") * 1000 + 0.5) / 1000).alias("cls"), F.floor(audit("total-blocking-time") + 0.5).alias("tbt_ms"),
         F.when(get("$.loadingExperience.overall_category") == "FAST", "PASS").otherwise("FAIL").alias("vitals"),
     )
-
-
-FETCHED = "url string, status int, error string, headers map<string,string>, body string"
-
-
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], dict], url: str = "url", max_bytes: int = 2_000_000) -> DataFrame:
-    """Rows of a fetch function over urls, one session a task; an exception becomes ``error``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for u in b[url]:
-                try:
-                    r = fetch(u)
-                    rows.append((u, r.get("status"), None, r.get("headers") or {}, (r.get("body") or "")[:max_bytes]))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((u, None, type(e).__name__, {}, None))
-            yield pd.DataFrame(rows, columns=["url", "status", "error", "headers", "body"])
-
-    return urls.select(url).mapInPandas(run, FETCHED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,37 +22,56 @@ def _accept(times: list[float], held: list[float], limit: int, window: float) ->
     return out, held[head:]
 
 
+def _by_run(rows: DataFrame, key: str, ts: str, order: str, gap_s: float, run, added: str) -> DataFrame:
+    """Apply ``run`` to the stretches of a key's rows that no pause of ``gap_s`` or more cuts.
+
+    Behind such a pause nothing is remembered, so a busy key is many groups.
+    """
+    w = Window.partitionBy(key).orderBy(ts, order)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    fresh = F.coalesce(micros - F.lag(micros).over(w) >= int(gap_s * 1e6), F.lit(True))
+    part = F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    whole = lambda pdf: run(pdf.drop(columns="_run").sort_values([ts, order]))
+    return rows.withColumn("_run", part).groupBy(key, "_run").applyInPandas(whole, f"{kinds}, {added}")
+
+
 def rate_limit(requests: DataFrame, key: str = "key", ts: str = "ts", order: str = "id", limit: int = 60, window_s: int = 60) -> DataFrame:
-    """Adds ``allowed``. A key's requests are taken in order, so they meet in one task."""
+    """Adds ``allowed``: at most ``limit`` accepted requests of a key in any ``window_s``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
-        allowed, _ = _accept((pdf[ts].astype("int64") / 1e6 if str(pdf[ts].dtype).endswith("[us]") else pdf[ts].astype("int64") / 1e9).tolist(), [], limit, window_s)
+        allowed, _ = _accept(pdf[ts].astype("datetime64[us]").astype("int64").div(1e6).tolist(), [], limit, window_s)
         return pdf.assign(allowed=allowed)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.groupBy(key).applyInPandas(run, f"{kinds}, allowed boolean")
+    return _by_run(requests, key, ts, order, window_s, run, "allowed boolean")
+
 
+def token_bucket(requests: DataFrame, key: str = "key", ts: str = "ts", order: str = "id", rate: float = 1.0, crawl_delay: str | None = None) -> DataFrame:
+    """Adds ``wait_s``: how long each request waits for a token.
 
-def token_bucket(requests: DataFrame, key: str = "key", ts: str = "ts", order: str = "id", rate: float = 1.0) -> DataFrame:
-    """Adds ``wait_s``: how long each request waits for a token; capacity and refill are ``rate``."""
+    The bucket of a key holds ``rate`` tokens (one at least) and is full at first. It fills with ``rate`` a
+    second, or with one every ``crawl_delay`` seconds (a column) where that is less. A request
+    without a token waits whole intervals. Requests of a key queue up behind one another, so
+    there is no pause that surely empties the queue, and a key is one group.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, order])
-        tokens, at, waits = rate, None, []
-        for t in pdf[ts]:
+        room = max(1.0, rate)
+        tokens, at, waits = room, None, []
+        times = pdf[ts].astype("datetime64[us]").astype("int64").div(1e6).tolist()
+        delays = pdf[crawl_delay].fillna(0).tolist() if crawl_delay else [0] * len(pdf)
+        for t, delay in zip(times, delays):
+            each = 1 / min(rate, 1 / delay) if delay > 0 else 1 / rate
             now = t if at is None else max(t, at)
             if at is not None:
-                tokens = min(rate, tokens + (now - at).total_seconds() * rate)
-            wait = (now - t).total_seconds()
-            if tokens < 1:
-                more = (1 - tokens) / rate
-                wait += more
-                now = now + pd.Timedelta(seconds=more)
-                tokens = 1.0
+                tokens = min(room, tokens + (now - at) / each)
+            while tokens < 1 - 1e-9:
+                now += each
+                tokens = min(room, tokens + 1)
             tokens -= 1
             at = now
-            waits.append(wait)
+            waits.append(round(now - t, 6))
         return pdf.assign(wait_s=waits)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
@@ -63,16 +82,14 @@ def throttle(events: DataFrame, key: str = "key", ts: str = "ts", order: str = "
     """Adds ``emitted``: at most one event of a key each ``gap_ms``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order])
         last, out = None, []
-        for t in pdf[ts]:
-            ok = last is None or (t - last) >= pd.Timedelta(milliseconds=gap_ms)
+        for t in pdf[ts].astype("datetime64[us]").astype("int64").tolist():
+            ok = last is None or t - last >= gap_ms * 1000
             last = t if ok else last
             out.append(ok)
         return pdf.assign(emitted=out)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return events.groupBy(key).applyInPandas(run, f"{kinds}, emitted boolean")
+    return _by_run(events, key, ts, order, gap_ms / 1000, run, "emitted boolean")
 
 
 def rate_limit_stream(requests: DataFrame, key: str = "key", ts: str = "ts", limit: int = 60, window_s: int = 60) -> DataFrame:
@@ -95,6 +112,7 @@ def event_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", wi
     return src.groupBy(F.window(ts, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def backoff_ms(attempt, base: int = 500):
-    """Delay before a retry, without jitter."""
-    return F.lit(base) * F.pow(F.lit(2.0), attempt)
+def backoff_ms(attempt, base: int = 500, draw=None, jitter: float = 0.1):
+    """Delay before a retry; with a ``draw`` in [0, 1) it is given or taken the jitter."""
+    delay = F.lit(base) * F.pow(F.lit(2.0), attempt)
+    return delay if draw is None else F.greatest(F.lit(0.0), delay + delay * jitter * (2 * draw - 1))

@@ -25,11 +25,20 @@ def test_normalize_url_columns_agree_with_python(spark):
 
 
 def test_simhash_and_fnv():
-    from gossamer.functions.simhash import fnv1a, simhash_one
+    from gossamer.functions.simhash import fnv1a, simhashes
 
     assert hex(int(fnv1a(["hello"])[0])) == "0xa430d84680aabd0b"
-    assert simhash_one("") == 0 and simhash_one(None) == 0
-    assert simhash_one("a b c") == simhash_one("c b a") != simhash_one("a b d")
+    one, none, void, turned, other = simhashes(["a b c", "", None, "c b a", "a b d"]).tolist()
+    assert none == void == 0 and one == turned != other
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 0, 30, 400, 7)]
+    for t, got in zip(texts, simhashes(texts).tolist()):
+        votes = [0] * 64
+        for w in t.split():
+            h = int(fnv1a([w])[0])
+            votes = [v + (1 if h >> i & 1 else -1) for i, v in enumerate(votes)]
+        assert got % (1 << 64) == sum(1 << i for i, v in enumerate(votes) if v > 0)
+    assert simhashes(["a b c d"], cap=5).tolist() == [one]
 
 
 def test_metrics_of_nine_nodes(spark):
@@ -141,7 +150,8 @@ def test_redirects_loop_and_limit(spark):
 
 
 def test_plugins(spark):
-    import pytest
+    import numpy as np
+import pytest
 
     from gossamer.plugins import Plugin, Registry
 
