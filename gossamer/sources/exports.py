@@ -110,7 +110,7 @@ def export_crawl(formats: list[str], path: str, url: str, nodes: DataFrame, edge
             put("nodes.csv", lambda p: write_csv(nodes_table(nodes), p))
             put("edges.csv", lambda p: write_csv(edges_table(edges), p))
         elif f == "markdown":
-            text = crawl_markdown(url, metrics.first().asDict(), [(r["url"], r["in_links"]) for r in top_linked(nodes).collect()], [(r["url"], r["score"]) for r in top_ranked(nodes).collect()])
+            text = crawl_markdown(url, metrics.first().asDict(), [(r["url"], r["in_links"]) for r in top_linked(nodes).collect()], [(r["url"], r["score"]) for r in top_ranked(nodes).collect() if r["score"] is not None])
             put("summary.md", lambda p: write_text(spark, text, p))
         elif f == "html":
             shown = [r.asDict() for r in top_ranked(report_authority(nodes), 2000).collect()]

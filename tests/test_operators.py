@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -150,8 +151,7 @@ def test_redirects_loop_and_limit(spark):
 
 
 def test_plugins(spark):
-    import numpy as np
-import pytest
+    import pytest
 
     from gossamer.plugins import Plugin, Registry
 
