@@ -43,10 +43,10 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def record_uuid(page_id: Column, kind: int, tag: Column) -> Column:
-    """A version-8 UUID that carries the page id (64 bits), the record's kind and a tag of the row."""
+    """A version-8 UUID that carries the page id (64 bits), the record's kind and a tag of the row (32 bits)."""
     h = F.lower(F.lpad(F.hex(F.coalesce(page_id, F.lit(0)).cast("long")), 16, "0"))
     null = F.when(page_id.isNull(), F.lit("8001")).otherwise(F.lit("8000"))
-    t = F.lower(F.lpad(F.hex(F.crc32(tag)), 8, "0"))
+    t = F.lower(F.lpad(F.hex(tag), 8, "0"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit(f"-8{kind:x}00-"), null, F.lit("-"), t, F.substring(h, 13, 4), F.lit(">"))
 
 
@@ -57,32 +57,35 @@ def page_of(record_id: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest, n_bytes, first_id: the smallest page_id of an equal payload.
+    """page_id, url, payload, digest, n_bytes, tag, and first: page_id and tag of the equal payload with the smallest page_id.
 
     Null html is an empty payload, a null url leaves the header out, and a null page_id sorts
-    after all others. Exactly repeated rows are one capture.
+    after all others. Exactly repeated rows get records of equal ids. Columns other than
+    page_id, url and html are not read, so their names do not matter.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("key", F.when(F.col("n_bytes") >= min_bytes, F.concat_ws(":", "digest", "n_bytes")))
-    return attach_groups(rows, "key", {"first_id": F.min("page_id")}, "warc-firsts")
+    rows = rows.withColumn("tag", F.crc32(F.concat_ws(" ", "url", "digest")))
+    return attach_groups(rows, "key", {"first": F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "tag")))}, "warc-firsts")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Three records a page: request, response (or revisit of an equal payload) and metadata.
 
     Request and metadata name the response in WARC-Concurrent-To. Duplicates of a payload of at
-    least ``min_bytes`` become revisit records that keep the HTTP headers, not the payload.
+    least ``min_bytes`` become revisit records that keep the HTTP headers, not the payload; they refer to
+    the record id of the response. A file is one gzip member, whatever the number of its records.
     """
     rows = plan_records(pages, min_bytes)
     crlf = "\r\n"
     url = F.regexp_replace("url", r"[\r\n]", "")
-    tag = F.concat_ws(" ", "url", "digest")
-    rid, qid, mid = (record_uuid(F.col("page_id"), k, tag) for k in (1, 2, 3))
-    revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")))
+    rid, qid, mid = (record_uuid(F.col("page_id"), k, F.col("tag")) for k in (1, 2, 3))
+    first = F.col("first.page_id")
+    revisit = first.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > first))
     target = F.when(url.isNotNull(), F.concat(F.lit("WARC-Target-URI: "), url, F.lit(crlf))).otherwise(F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(crlf * 2))
-    refers = F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{crlf}WARC-Refers-To: "), first_response_id(F.col("first_id")), F.lit(crlf))).otherwise(F.lit(""))
+    refers = F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{crlf}WARC-Refers-To: "), record_uuid(first, 1, F.col("first.tag")), F.lit(crlf))).otherwise(F.lit(""))
 
     def record(kind: Column, ident: Column, extra: Column, mime: str, block: Column) -> Column:
         return F.concat(
@@ -101,11 +104,6 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     rows.select(F.left(text, F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def first_response_id(first_id: Column) -> Column:
-    """Refers-to names the response by its page: the tag digits are zero, the page id is whole."""
-    return F.regexp_replace(record_uuid(first_id, 1, F.lit("")), r"-[0-9a-f]{8}([0-9a-f]{4})>$", "-00000000$1>")
-
-
 def parse_warc(raw: bytes, with_payload: bool = True) -> Iterator[dict]:
     """Records of one archive (plain, or gzip in one or many members), found by Content-Length."""
     if raw[:2] == b"\x1f\x8b":
@@ -178,7 +176,8 @@ def assemble(records: DataFrame) -> DataFrame:
     record that leads to no response is a capture of its own without a response. A capture with
     more than 1,000 attachments is emitted in parts (``part`` 0, 1, ...; the response in part 0),
     so no unbounded group is collected. Records without an id are dropped from no one: they are
-    captures of their own (``capture_id`` null).
+    captures of their own (``capture_id`` null). Records of one id are one capture, and
+    ``n_copies`` counts its responses; an equal request or metadata record is listed once.
     """
     facts = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "declared_bytes", "payload_bytes", "payload"]
     primary = F.col("record_type").isin(*PRIMARY)
@@ -201,17 +200,21 @@ def assemble(records: DataFrame) -> DataFrame:
     return placed.groupBy("capture_id", "part", "lone").agg(
         F.min_by(F.when(primary, F.col("rec")), F.when(primary, F.struct("record_type", "payload_digest", "payload_bytes"))).alias("response"),
         side("request").alias("requests"), side("metadata").alias("metadata"),
-        F.count(F.lit(1)).alias("n_records"),
+        F.count(F.lit(1)).alias("n_records"), F.count_if(primary).alias("n_copies"),
     ).drop("lone")
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a transaction per page, read the archives back, assemble, and describe each capture."""
+    """Write a transaction per page, read the archives back, assemble, and describe each page's capture.
+
+    Rows that are repeated throughout are one capture, and as many rows of the result.
+    """
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     captures = assemble(materialize(read_archives(spark, path, with_payload=False), "warc-records")).where("response is not null")
     r = F.col("response")
-    return captures.select(
+    each = captures.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    return each.select(
         page_of(r.record_id).alias("page_id"), F.when(r.record_type == "revisit", r.declared_bytes).otherwise(r.payload_bytes).alias("payload_bytes"),
         r.payload_digest.alias("payload_digest"), r.record_type.alias("record_type"), page_of(r.refers_to).alias("refers_to"),
         r.target_uri.alias("url"), F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
