@@ -34,21 +34,30 @@ def unit_draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":" + seed))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+#: Wanted shares of a dimension's values; values that are not named get none.
+Targets = dict[str, dict[str, float]]
+
+
+def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, targets: Targets | None = None) -> DataFrame:
     """Iterative proportional fitting of ``tokens`` per cell to one marginal a dimension.
 
     ``cells`` has one row per combination of the dimensions, so its size follows the number of
     sources, languages and topics, not the documents; it is held in one partition, where the
     window sums need no exchange. Null dimension values are a value of their own. Cells without
-    tokens keep weight 0. Adds ``weight`` (sums to 1).
+    tokens keep weight 0. A dimension's marginal is the observed share to the power of its exponent or, where
+    ``targets`` names the dimension, the shares given there over the values that have tokens.
+    Adds ``weight`` (sums to 1).
     """
+    targets = targets or {}
     one = Window.partitionBy()
     by = {d: Window.partitionBy(d) for d in exponents}
     total = F.sum("tokens").over(one)
     out = cells.coalesce(1).withColumn("weight", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
     for d, x in exponents.items():
         share = F.sum("weight").over(by[d])
-        out = out.withColumn(f"_s_{d}", share).withColumn(f"_p_{d}", F.when(F.col(f"_s_{d}") > 0, F.pow(f"_s_{d}", F.lit(x))).otherwise(F.lit(0.0)))
+        wanted = F.create_map(*[F.lit(v) for kv in targets[d].items() for v in kv]) if d in targets else None
+        power = F.pow(f"_s_{d}", F.lit(x)) if wanted is None else F.coalesce(F.try_element_at(wanted, F.col(d).cast("string")), F.lit(0.0))
+        out = out.withColumn(f"_s_{d}", share).withColumn(f"_p_{d}", F.when(F.col(f"_s_{d}") > 0, power).otherwise(F.lit(0.0)))
         part = F.when(F.col(f"_s_{d}") > 0, F.col(f"_p_{d}") * F.col("weight") / F.col(f"_s_{d}")).otherwise(F.lit(0.0))
         out = out.withColumn(f"_t_{d}", F.col(f"_p_{d}") / F.sum(part).over(one)).drop(f"_s_{d}", f"_p_{d}")
     for r in range(rounds):
@@ -60,10 +69,10 @@ def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) ->
     return out.drop(*[f"_t_{d}" for d in exponents])
 
 
-def cell_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+def cell_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET, targets: Targets | None = None) -> DataFrame:
     """The cells with ``tokens``, raked ``weight`` and ``rate``, as ``mixing_rates`` defines it."""
     cells = materialize(docs.groupBy(*exponents).agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
-    raked = rake(cells, exponents, rounds)
+    raked = rake(cells, exponents, rounds, targets)
     # cells by falling ratio: if all before one are taken whole, the rest shares what is left
     order = Window.orderBy(F.col("ratio").desc_nulls_last(), *exponents)
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -74,7 +83,7 @@ def cell_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUND
     return out.withColumn("rate", F.coalesce(F.least(F.lit(1.0), first * F.col("ratio")), F.lit(1.0))).select(*exponents, "tokens", "weight", "rate")
 
 
-def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS, budget: float = BUDGET, targets: Targets | None = None) -> DataFrame:
     """One row per cell with ``rate``: the calibrated inclusion probability of its documents.
 
     The rate is min(1, s * weight / tokens), with the s at which the expected tokens are ``budget``
@@ -82,30 +91,30 @@ def mixing_rates(docs: DataFrame, exponents: dict[str, float], rounds: int = ROU
     scarce cells are taken whole, and the marginals are missed by what they lack: ``marginals``
     tells by how much. Cells without tokens have rate 1.
     """
-    return cell_rates(docs, exponents, rounds, budget).select(*exponents, "rate")
+    return cell_rates(docs, exponents, rounds, budget, targets).select(*exponents, "rate")
 
 
-def marginals(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
-    """(dimension, value, observed, target, reached): shares of all tokens, in the raked weights, and expected of the sample.
+def marginals(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET, targets: Targets | None = None) -> DataFrame:
+    """(dimension, value, observed, target, reached, residual): shares of all tokens, in the raked weights, and expected of the sample.
 
-    ``whole`` is how many of the value's ``cells`` are taken whole.
+    ``residual`` is what the sample lacks of the target. ``whole`` is how many of the value's ``cells`` are taken whole.
     """
     exponents = exponents or EXPONENTS
-    cells = materialize(cell_rates(docs, exponents, rounds, budget), "cell-rates")
+    cells = materialize(cell_rates(docs, exponents, rounds, budget, targets), "cell-rates")
     each = cells.select("tokens", "weight", "rate", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in exponents])).alias("x"))
     sums = each.groupBy("x.dimension", "x.value").agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"), F.sum(F.col("tokens") * F.col("rate")).alias("r"), F.count_if((F.col("rate") >= 1) & (F.col("tokens") > 0)).alias("whole"), F.count_if(F.col("tokens") > 0).alias("cells"))
     part = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy("dimension"))
-    return sums.select("dimension", "value", part("t").alias("observed"), part("w").alias("target"), part("r").alias("reached"), "whole", "cells")
+    return sums.select("dimension", "value", part("t").alias("observed"), part("w").alias("target"), part("r").alias("reached"), (part("w") - part("r")).alias("residual"), "whole", "cells")
 
 
-def mix(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int = ROUNDS, budget: float = BUDGET, id_col: str = "doc_id", targets: Targets | None = None) -> DataFrame:
     """Adds (or replaces) ``rate`` and ``kept``; the dimensions of ``exponents`` and ``n_tokens`` must be columns.
 
     Every row of ``docs`` comes back, also ones with null dimensions or ids; rows of one id share
-    their draw. The hot source costs nothing here: sums are partial, the cells are broadcast.
+    their draw. An empty table stays empty; texts are not read, so their length does not matter. The hot source costs nothing here: sums are partial, the cells are broadcast.
     """
     exponents = exponents or EXPONENTS
-    rates = materialize(mixing_rates(docs, exponents, rounds, budget), "rates")
+    rates = materialize(mixing_rates(docs, exponents, rounds, budget, targets), "rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     side = rates.select(*[F.col(d).alias(f"_k_{d}") for d in exponents], F.col("rate").alias("_mix_rate"))
     on = None
