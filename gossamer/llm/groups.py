@@ -11,6 +11,16 @@ from gossamer.session import materialize
 HEAVY_PARTS = 200
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: a batch function cannot take names with dots in them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def attach_groups(df: DataFrame, key: str, aggs: dict[str, Column], label: str) -> DataFrame:
     """Left-join facts of every repeated key to its rows; keys that occur once get nulls.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gossamer.llm.groups import numbered
 from gossamer.session import bounded_batches, materialize, table, trimmed
 
 #: At most about this many labelled rows are used for fitting (drawn by a hash of the id).
@@ -171,7 +172,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Trees:
-    """Fit on labelled ids whose crc32 modulo 5 is not 0; null labels and ids are left out.
+    """Fit on labelled ids whose crc32 modulo 5 is not 0; null labels and ids are left out, and an id
+    with several labels counts with their mean.
 
     The driver gets at most about ``max_rows`` fixed-width rows, however many labels there are.
     """
@@ -181,7 +183,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROW
     draw = F.conv(F.substring(F.md5(text_id), 1, 8), 16, 10).cast("double") / 4294967296.0
     if n > max_rows:
         usable = usable.where(draw < max_rows / n)
-    got = stats.join(usable.dropDuplicates(["id"]), "id").select("id", "stats", "y").orderBy("id").select("stats", "y").toPandas()
+    got = stats.join(usable.groupBy("id").agg(F.avg("y").alias("y")), "id").select("id", "stats", "y").orderBy("id", "stats").select("stats", "y").toPandas()
     x = np.frombuffer(b"".join(got["stats"]), np.float32).reshape(-1, N_STATS) if len(got) else np.zeros((0, N_STATS), np.float32)
     return fit(x.astype(np.float64), got["y"].to_numpy(np.float64))
 
@@ -196,14 +198,24 @@ def score_stats(stats: DataFrame, model: Trees) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of each whole text, in one pass (no shuffle)."""
+    """All columns of ``docs`` and the score of each whole text, in one pass (no shuffle).
+
+    Null and empty texts have all statistics 0 and the score that the trees give that; every row comes
+    back with a score of its own, also repeated ones; an empty table gives no rows. A column of
+    ``docs`` that is named ``score_col`` is an error: name another.
+    """
+    if score_col in docs.columns:
+        raise ValueError(f"the documents have a column {score_col} already")
+
+    bounded_batches(docs.sparkSession)
+    where, rows = docs.columns.index(text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack([document_stats(t) for t in b.column(text_col).to_pylist()]) if b.num_rows else np.zeros((0, N_STATS), np.float32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x.astype(np.float64)))], [*b.schema.names, score_col])
+            x = np.stack([document_stats(t) for t in b.column(where).to_pylist()]) if b.num_rows else np.zeros((0, N_STATS), np.float32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x.astype(np.float64)))], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return rows.mapInArrow(trimmed(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, score_col)
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
