@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gossamer.llm.groups import numbered, quoted
 from gossamer.session import bounded_batches, table, trimmed
 
+#: Length of the q-grams of items of 40 bytes or more; shorter items have shorter ones (``gram_size``).
 Q = 8
 #: A benchmark item is searched in pieces of this many normalised bytes, one every STRIDE bytes:
 #: a verbatim quote of PIECE bytes lacks at most STRIDE / 2 bytes of a piece, within its budget.
@@ -19,8 +21,9 @@ PIECE = 96
 STRIDE = 16
 #: Edits allowed per byte of a piece.
 EDIT_SHARE = 0.1
-#: Items a pass over the documents holds at once, and so broadcasts; more items take more passes.
+#: Items, and bytes of items, that a pass over the documents holds at once, and so broadcasts; more items take more passes.
 SLICE_ITEMS = 20_000
+SLICE_BYTES = 16 << 20
 _HASH_BITS = 22
 
 
@@ -28,18 +31,24 @@ def normalise(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
 
 
-def grams(raw: bytes) -> np.ndarray:
+def grams(raw: bytes, q: int = Q) -> np.ndarray:
     """Every q-gram of a byte string as an integer, at its start."""
-    n = len(raw) - Q + 1
-    return np.ndarray((n,), "<u8", raw, 0, (1,)) if n > 0 else np.zeros(0, np.uint64)
+    n = len(raw) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if q == 8:
+        return np.ndarray((n,), "<u8", raw, 0, (1,))
+    return np.ndarray((n,), "<u8", raw + bytes(8 - q), 0, (1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 def budget(m: int) -> int:
-    """Edits a piece of m bytes may have: a tenth, and few enough for the lemma to bite.
+    """Edits a piece of m bytes may have: a tenth."""
+    return int(m * EDIT_SHARE)
 
-    Under 32 bytes that is less than a tenth for some: 0 up to 15 bytes, 1 up to 23, 2 up to 31.
-    """
-    return max(0, min(int(m * EDIT_SHARE), (m - Q) // Q))
+
+def gram_size(m: int) -> int:
+    """The longest q-gram, up to Q bytes, of which a piece of m bytes shares one at least with all that is within its budget."""
+    return min(Q, m // (budget(m) + 1))
 
 
 def pieces(raw: bytes) -> list[tuple[int, int]]:
@@ -54,65 +63,104 @@ def pieces(raw: bytes) -> list[tuple[int, int]]:
 
 
 class Index:
-    """Q-grams of the items with their places, and a bit table that tells most others apart."""
+    """Items by length: one ``Grams`` for each length under 40 bytes and one for all others, so that
+    short items, which need few common q-grams, do not weaken the filter of the rest."""
 
     def __init__(self, items: list[tuple[int, str]]):
         raws = [(i, normalise(t)) for i, t in items]
-        raws = [(i, r) for i, r in raws if len(r) >= Q]
+        groups: dict[int, list[tuple[int, bytes]]] = {}
+        for i, r in raws:
+            if len(r) >= Q:
+                groups.setdefault(min(len(r), 5 * Q), []).append((i, r))
+        self.groups = [Grams(g, gram_size(n)) for n, g in sorted(groups.items())]
+
+
+class Grams:
+    """Q-grams of items with their places, and a bit table that tells most others apart."""
+
+    def __init__(self, raws: list[tuple[int, bytes]], q: int):
+        self.q = q
         self.ids = np.array([i for i, _ in raws], np.int64)
         self.raws = [r for _, r in raws]
-        g = [grams(r) for r in self.raws]
-        values = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int64) if g else np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
+        g = [grams(r, q) for r in self.raws]
+        values = np.concatenate(g)
+        item = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int64)
+        at = np.concatenate([np.arange(len(x)) for x in g])
         order = np.argsort(values, kind="stable")
         self.item, self.at = item[order], at[order]
         self.values, self.first, self.count = np.unique(values[order], return_index=True, return_counts=True)
         self.bits = np.zeros(1 << _HASH_BITS, bool)
         self.bits[self.slot(self.values)] = True
-        self.pieces = [(k, s, e, budget(e - s)) for k, r in enumerate(self.raws) for s, e in pieces(r)]
-        self.of_item: dict[int, list[tuple[int, int, int]]] = {}
-        for k, s, e, b in self.pieces:
-            self.of_item.setdefault(k, []).append((s, e, b))
-        need = [(e - s + 1 - Q * (b + 1), e - s + b) for _, s, e, b in self.pieces]
-        self.least = min((x for x, _ in need), default=1)
-        self.span = max((x for _, x in need), default=1)
-        self.band = max((b for *_, b in self.pieces), default=0) + 1
+        self.of_item = [[(s, e, budget(e - s)) for s, e in pieces(r)] for r in self.raws]
+        each = [p for ps in self.of_item for p in ps]
+        self.need = np.array([min(self.shared(*p) for p in ps) for ps in self.of_item], np.int64)
+        self.least = int(self.need.min())
+        self.span = max(e - s + b for s, e, b in each)
+        self.band = max(b for *_, b in each) + 1
+
+    def shared(self, s: int, e: int, b: int) -> int:
+        """Q-grams that a piece shares at least with all that is within its budget."""
+        return e - s + 1 - self.q * (b + 1)
 
     @staticmethod
     def slot(v: np.ndarray) -> np.ndarray:
         return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
 
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """Indexes into ``item`` and ``at`` of all places of some values."""
+        n = self.count[at]
+        return np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
-def candidates(raw: bytes, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(item, piece start, piece end, budget, band start) of regions that share enough q-grams.
 
-    Bands cover 2B diagonals and start every B, B above every budget: an alignment drifts over at
-    most B diagonals, so one band holds it whole, with at least m + 1 - q(k + 1) shared q-grams.
-    """
-    g = grams(raw)
-    if not len(g) or not len(index.values):
-        return []
+def common(raw: bytes, index: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the text, index of the value) of the q-grams that items have, where they are dense enough."""
+    g = grams(raw, index.q)
+    none = np.zeros(0, np.int64)
     hit = index.bits[index.slot(g)]
     if int(hit.sum()) < index.least:
-        return []
+        return none, none
     c = np.concatenate([[0], np.cumsum(hit)])
     # a hit stays if some window of the longest region around it has enough hits
     w = index.span
     hi = np.minimum(np.arange(len(g)) + w, len(g))
     dense = c[hi] - c[:-1] >= index.least
     if not dense.any():
-        return []
+        return none, none
     d = np.concatenate([[0], np.cumsum(dense)])
     lo = np.maximum(np.arange(len(g)) - w + 1, 0)
     pos = np.nonzero(hit & (d[1:] - d[lo] > 0))[0]
     at = np.searchsorted(index.values, g[pos])
     at[at == len(index.values)] = 0
     real = index.values[at] == g[pos]
-    pos, at = pos[real], at[real]
-    n = index.count[at]
-    place = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    item, ipos, tpos = index.item[place], index.at[place], np.repeat(pos, n)
+    return pos[real], at[real]
+
+
+def possible(at: np.ndarray, index: Grams) -> np.ndarray:
+    """Items enough of whose q-grams are in the text, wherever they are."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    seen = np.bincount(index.item[index.places(np.unique(at))], minlength=len(index.raws))
+    return np.nonzero(seen >= index.need)[0]
+
+
+def candidates(pos: np.ndarray, at: np.ndarray, items: np.ndarray, index: Grams) -> list[tuple[int, int, int, int, int]]:
+    """(item, piece start, piece end, budget, band start) of regions that share enough q-grams.
+
+    Bands cover 2B diagonals and start every B, B above every budget: an alignment drifts over at
+    most B diagonals, so one band holds it whole, with at least m + 1 - q(k + 1) shared q-grams.
+    """
+    wanted = np.zeros(len(index.raws), bool)
+    wanted[items] = True
+    # values of wanted items only, before their places in the text are multiplied out
+    useful = np.logical_or.reduceat(wanted[index.item], index.first)
+    keep = useful[at]
+    pos, at = pos[keep], at[keep]
+    if not len(at):
+        return []
+    place = index.places(at)
+    item, ipos, tpos = index.item[place], index.at[place], np.repeat(pos, index.count[at])
+    keep = wanted[item]
+    item, ipos, tpos = item[keep], ipos[keep], tpos[keep]
     width = index.band
     b = (tpos - ipos) // width + (1 << 20)
     keys = np.concatenate([(item << 40) | b, (item << 40) | (b - 1)])
@@ -132,8 +180,8 @@ def candidates(raw: bytes, index: Index) -> list[tuple[int, int, int, int, int]]
         k, start = key >> 40, ((key & ((1 << 40) - 1)) - (1 << 20)) * width
         places = np.sort(ipos[both[part]])
         for s, e, bud in index.of_item[k]:
-            shared = np.searchsorted(places, e - Q, "right") - np.searchsorted(places, s, "left")
-            if shared >= e - s + 1 - Q * (bud + 1):
+            shared = np.searchsorted(places, e - index.q, "right") - np.searchsorted(places, s, "left")
+            if shared >= index.shared(s, e, bud):
                 out.append((k, s, e, bud, start))
     return out
 
@@ -173,30 +221,36 @@ def banded(pieces: list[bytes], regions: list[bytes], limits: list[int]) -> np.n
 def find_items(text: str | None, index: Index) -> list[tuple[int, int, int]]:
     """(item id, start, edits) of each item with a verified piece; the best piece of each."""
     raw = normalise(text)
+    return sorted(x for g in index.groups for x in find_grams(raw, g))
+
+
+def find_grams(raw: bytes, index: Grams) -> list[tuple[int, int, int]]:
+    """As ``find_items``, for one length of q-grams. Beside an exact piece of an item no other can be the
+    best, so exact ones are looked for first, and only what is left is aligned."""
+    pos, at = common(raw, index)
+    items = possible(at, index)
     best: dict[int, tuple[int, int]] = {}
+    for k in items.tolist():
+        found = [raw.find(index.raws[k][s:e]) for s, e, _ in index.of_item[k]]
+        found = [f for f in found if f >= 0]
+        if found:
+            best[k] = (0, min(found))
+    left = np.array([k for k in items.tolist() if k not in best], np.int64)
     tried: set[tuple[int, int, int]] = set()
     inexact: dict[int, list[tuple[int, int, int, bytes, bytes]]] = {}
-    for k, s, e, bud, start in candidates(raw, index):
+    for k, s, e, bud, start in candidates(pos, at, left, index) if len(left) else []:
         lo, hi = max(0, s + start - bud), min(len(raw), e + start + 2 * index.band + bud)
-        if (k, s, lo) in tried or hi <= lo:
-            continue
-        tried.add((k, s, lo))
-        piece, region = index.raws[k][s:e], raw[lo:hi]
-        at = region.find(piece)
-        if at >= 0:
-            best[k] = min(best.get(k, (0, lo + at)), (0, lo + at))
-        else:
-            inexact.setdefault(e - s, []).append((k, lo, bud, piece, region))
+        if (k, s, lo) not in tried and hi > lo:
+            tried.add((k, s, lo))
+            inexact.setdefault(e - s, []).append((k, lo, bud, index.raws[k][s:e], raw[lo:hi]))
     for jobs in inexact.values():
-        # beside an exact piece of the item no other can be the best
-        jobs = [j for j in jobs if best.get(j[0], (1, 0))[0] > 0]
         for x in range(0, len(jobs), 256):
             some = jobs[x : x + 256]
             edits = banded([j[3] for j in some], [j[4] for j in some], [j[2] for j in some])
             for (k, lo, *_), n in zip(some, edits.tolist()):
                 if n >= 0:
                     best[k] = min(best.get(k, (n, lo)), (n, lo))
-    return sorted((int(index.ids[k]), at, edits) for k, (edits, at) in best.items())
+    return [(int(index.ids[k]), at, edits) for k, (edits, at) in best.items()]
 
 
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("edits", T.IntegerType())]))
@@ -208,30 +262,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     Texts and items are compared in lower case with white space collapsed, as bytes. A text holds
     an item if one of the item's pieces (96 bytes every 16, or the whole of a shorter item) is within
-    ``budget`` edits of a stretch of the text. Items of fewer than 8 such bytes, null
-    items and items with a null id match nothing; null texts are empty. Whole texts are searched
-    in one narrow pass for each ``slice_items`` benchmark items; only a slice is ever broadcast.
+    a tenth of its length in edits of a stretch of the text. Items of fewer than 8 such bytes, null
+    items and items with a null id match nothing; null texts are empty. Whole texts, however long, are
+    searched in one narrow pass for each slice of the benchmark (``slice_items``, ``SLICE_BYTES``);
+    only a slice is ever broadcast. Rows that are repeated are searched as often as they occur, and
+    repeated items count once. ``docs`` may have any other columns; a column ``out_col`` is replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    n_slices = max(1, -(-items.count() // slice_items))
-    out = docs if keep is None else docs.select(*keep)
-    merged = None
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_slices = max(1, -(-n // slice_items), -(-size // SLICE_BYTES))
+    names = [c for c in (docs.columns if keep is None else keep) if c != out_col or c == text_col]
+    where = names.index(text_col)
+    out = numbered(docs.select(*[quoted(c) for c in names]))
     for k in range(n_slices):
         part = items if n_slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k)
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()])
-        name = f"_hits_{k}"
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=f"hits{k}") -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
             for b in batches:
-                hits = [[{"item_id": i, "start": s, "edits": e} for i, s, e in find_items(t, index)] for t in b.column(text_col).to_pylist()]
+                hits = [[{"item_id": i, "start": s, "edits": e} for i, s, e in find_items(t, index)] for t in b.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, _HITS_ARROW)], [*b.schema.names, name])
 
-        out = out.mapInArrow(trimmed(run), T.StructType([*out.schema.fields, T.StructField(name, HITS)]))
-        merged = F.col(name) if merged is None else F.concat(merged, F.col(name))
-    return out.withColumn(out_col, F.array_sort(merged)).drop(*[f"_hits_{k}" for k in range(n_slices)])
+        out = out.mapInArrow(trimmed(run), T.StructType([*out.schema.fields, T.StructField(f"hits{k}", HITS)]))
+    merged = F.array_sort(F.concat(*[F.col(f"hits{k}") for k in range(n_slices)]))
+    rest = [(i, c) for i, c in enumerate(names) if c != out_col]
+    return out.select(*[F.col(f"c{i}") for i, _ in rest], merged).toDF(*[c for _, c in rest], out_col)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
