@@ -8,7 +8,8 @@ repeated anchor. The text of such a stretch, from its anchor on, is a suffix to
 sort theirs into runs, front-code them (length of the prefix shared with the one before, and the
 rest), and exchange them by ranges of the anchor's hash; the runs of a range are merged by a loser
 tree that knows how far each string agrees with the last one put out, so no byte of a known common
-prefix is compared again. Suffixes that share an anchor come out next to each other.
+prefix is compared again. Suffixes that share an anchor come out next to each other, and the shared
+prefixes of neighbours tell which of their windows are equal.
 """
 
 from __future__ import annotations
@@ -365,32 +366,74 @@ def suffix_string(value: int, raw: bytes, first: int, last: int, anchor: int) ->
     return value.to_bytes(8, "big") + right + left + len(right).to_bytes(2, "big") + len(left).to_bytes(2, "big")
 
 
-def stretch(s: bytes) -> bytes:
-    """The text of a suffix string's stretch of windows."""
+def sides(s: bytes) -> tuple[int, bytes]:
+    """(bytes from the anchor on, the bytes before the anchor backwards) of a suffix string."""
     left = int.from_bytes(s[-2:], "big")
-    return s[len(s) - 4 - left : len(s) - 4] + s[8 : len(s) - 4 - left]
+    return len(s) - 12 - left, s[len(s) - 4 - left : len(s) - 4][::-1]
 
 
-def repeated_windows(group: list[tuple[bytes, int, int]]) -> Iterator[tuple[int, int, int]]:
+#: Stretches of one anchor up to this many are compared two by two, more by ranks.
+FEW = 10
+
+
+def repeated_windows(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """(document, place, end) of the windows that occur earlier, among stretches with one anchor.
 
-    ``group`` has distinct stretches, each with the earliest place that it occurs at.
+    ``group`` has distinct suffix strings in merged order, each with the prefix it shares with the one
+    before it (as the merge knows it), and the earliest document and place that it occurs at. Two
+    stretches have a window in common that starts l bytes before the anchor exactly if they share
+    WINDOW - l bytes from the anchor on, which is the smallest shared prefix on the way from one to the other,
+    and l bytes before it; no window is looked at again.
     """
-    seen: set[bytes] = set()
-    for s, d, p in sorted(group, key=lambda g: (g[1], g[2])):
-        text = stretch(s)
-        run = None
-        for i in range(len(text) - WINDOW + 1):
-            w = text[i : i + WINDOW]
-            if w in seen:
-                run = i if run is None else run
+    n = len(group)
+    both = [sides(s) for s, *_ in group]
+    right, left = np.array([r for r, _ in both], np.int64), np.array([len(x) for _, x in both], np.int64)
+    share = np.array([lcp - 8 for _, lcp, _, _ in group], np.int64)
+    share[0] = -1
+    order = sorted(range(n), key=lambda i: group[i][2:])
+    gone: dict[int, list[tuple[int, int]]] = {}
+    if n <= FEW:
+        for later in range(1, n):
+            i = order[later]
+            for j in order[:later]:
+                a, b = min(i, j), max(i, j)
+                agree = min(int(share[a + 1 : b + 1].min()), int(right[i]), int(right[j]))
+                low, high = max(0, WINDOW - agree), min(shared_prefix(both[i][1], both[j][1], 0), int(left[i]), int(left[j]))
+                if low <= high:
+                    gone.setdefault(i, []).append((low, high))
+    else:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        back = sorted(range(n), key=lambda i: both[i][1])
+        near = np.array([-1] + [shared_prefix(both[x][1], both[y][1], 0) for x, y in zip(back, back[1:])], np.int64)
+        back = np.array(back)
+        cls = np.empty(n, np.int64)
+        for x in range(int(left.max()) + 1):
+            live = np.nonzero((left >= x) & (right >= WINDOW - x))[0]
+            if len(live) < 2:
+                continue
+            # equal on the right: no smaller shared prefix lies between; likewise on the left
+            run = np.cumsum(share < WINDOW - x)
+            cls[back] = np.cumsum(near < x)
+            live = live[np.argsort(rank[live], kind="stable")]
+            _, first = np.unique(run[live] * (n + 1) + cls[live], return_index=True)
+            again = np.ones(len(live), bool)
+            again[first] = False
+            for i in live[again].tolist():
+                gone.setdefault(i, []).append((x, x))
+    for i, parts in gone.items():
+        _, _, d, p = group[i]
+        # a window that starts x bytes before the anchor is at place p + left - x
+        end = None
+        for low, high in sorted(parts, key=lambda r: -r[1]):
+            s, e = p + int(left[i]) - high, p + int(left[i]) - low + WINDOW
+            if end is not None and s <= end - WINDOW + 1:
+                end = max(end, e)
                 continue
-            seen.add(w)
-            if run is not None:
-                yield d, p + run, p + i - 1 + WINDOW
-                run = None
-        if run is not None:
-            yield d, p + run, p + len(text)
+            if end is not None:
+                yield d, begin, end
+            begin, end = s, e
+        yield d, begin, end
 
 
 RUN, SPAN = 0, 1
@@ -477,7 +520,7 @@ def repeated_spans(docs: DataFrame, shared) -> DataFrame:
             return
         streams = [decode_run([x for _, x in sorted(v, key=lambda t: t[0])]) for v in blocks.values()]
         blocks = {}
-        group: list[tuple[bytes, int, int]] = []
+        group: list[tuple[bytes, int, int, int]] = []
         found: list[tuple[int, int, int]] = []
         for s, lcp, d, p in LoserTree(streams):
             if group and lcp < 8 + KMER:
@@ -485,13 +528,13 @@ def repeated_spans(docs: DataFrame, shared) -> DataFrame:
                     found += repeated_windows(group)
                 group = []
             if group and lcp == len(s) == len(group[-1][0]):
-                _, d0, p0 = group[-1]
+                _, shared_, d0, p0 = group[-1]
                 late = max((d, p), (d0, p0))
                 if (d, p) != (d0, p0):
                     found.append((late[0], late[1], late[1] + len(s) - 12))
-                    group[-1] = (s, *min((d, p), (d0, p0)))
+                    group[-1] = (s, shared_, *min((d, p), (d0, p0)))
             else:
-                group.append((s, d, p))
+                group.append((s, lcp, d, p))
             if len(found) >= 100_000:
                 yield _spans(found)
                 found = []
