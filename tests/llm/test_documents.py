@@ -171,6 +171,51 @@ def test_repeats_across_many_documents(spark):
     assert got == brute_repeats(texts)
 
 
+def group_of(stretches):
+    """Merged order with shared prefixes, as the tree gives it: (text, anchor offset, document, place)."""
+    strings = {}
+    for text, anchor, d, p in stretches:
+        s = suffixes.suffix_string(7, text, 0, len(text) - suffixes.WINDOW, anchor)
+        strings[s] = min(strings.get(s, (d, p)), (d, p))
+    out, before = [], b""
+    for s in sorted(strings):
+        out.append((s, suffixes.shared_prefix(before, s, 0), *strings[s]))
+        before = s
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 10, 1000])
+def test_repeats_are_decided_by_shared_prefixes(monkeypatch, few):
+    monkeypatch.setattr(suffixes, "FEW", few)
+    rng = random.Random(few)
+    for trial in range(60):
+        base = bytes(rng.choice(b"ab") for _ in range(60)) + b"0123456789abcdef" + bytes(rng.choice(b"ab") for _ in range(84))
+        stretches = []
+        for d in range(rng.choice([2, 3, 9, 14])):
+            left, right = rng.randint(0, 60), rng.randint(60, 84)
+            text = bytearray(base[60 - left : 76 + right])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                k = rng.choice([*range(0, max(1, left - 20)), *range(left + 60, len(text))])
+                if not left <= k < left + 16 and k < len(text):
+                    text[k] ^= 1
+            if len(text) >= suffixes.WINDOW:
+                stretches.append((bytes(text), left, d, 1000 * d))
+        group = group_of(stretches)
+        if len(group) < 2:
+            continue
+        seen, want = set(), set()
+        for s, _, d, p in sorted(group, key=lambda g: g[2:]):
+            n, back = suffixes.sides(s)
+            text = back[::-1] + s[8 : 8 + n]
+            for i in range(len(text) - 99):
+                want |= {(d, p + i + j) for j in range(100)} if text[i : i + 100] in seen else set()
+                seen.add(text[i : i + 100])
+        got = {(d, x) for d, s, e in suffixes.repeated_windows(group) for x in range(s, e)}
+        assert got == want
+        # without the merge's shared prefixes nothing would be found
+        assert list(suffixes.repeated_windows([(s, 8, d, p) for s, _, d, p in group])) == []
+
+
 def test_repeats_empty_table(nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
@@ -520,6 +565,16 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert quality.score_documents(nothing, model, score_col="_s").count() == 0
 
 
+def test_several_labels_of_one_id_count_with_their_mean(spark, odd):
+    df, _ = odd
+    stats = quality.features(df)
+    a = [(i, i % 2, 0) for i in range(1, 16)] + [(2, 1, 0)]
+    one, two = (quality.fit_quality(stats, spark.createDataFrame(x, "doc_id long, quality int, toxic int").repartition(n)) for x, n in ((a, 1), (a[::-1], 3)))
+    assert (one.leaf == two.leaf).all() and one.base == two.base
+    with pytest.raises(ValueError):
+        quality.score_documents(df, one)
+
+
 def test_trees_fit_and_flat_traversal_matches_a_walk():
     rng = np.random.default_rng(0)
     x = rng.random((800, 5))
@@ -576,6 +631,13 @@ def test_contamination_matches_brute_force(spark):
             body[50:50] = [" ", *cut, " "]
         texts.append((k, "".join(body)))
     texts += [(100, None), (101, ""), (None, items[5][1])]
+    items += [(30 + n, "".join(rng.choice("abcdefghij") for _ in range(n))) for n in (8, 10, 13, 19, 20, 21, 27, 30, 39, 40, 47)]
+    for k, (_, it) in enumerate(items[12:]):
+        for edits in range(3):
+            cut = list(it)
+            for _ in range(edits):
+                cut[rng.randrange(len(cut))] = rng.choice("klmno")
+            texts.append((200 + 3 * k + edits, "zz " * 9 + "".join(cut) + " zz" * 5))
     index = decontaminate.Index(items)
     for _, t in texts:
         raw = decontaminate.normalise(t)
@@ -586,6 +648,7 @@ def test_contamination_matches_brute_force(spark):
         assert {h[0] for h in decontaminate.find_items(t, index)} == want
     df = spark.createDataFrame(rows_of(texts), DOCS)
     bench = spark.createDataFrame([*items, (50, None), (None, "x" * 100), (51, "tiny")], "item_id long, text string")
+    assert [(i, e) for i, _, e in decontaminate.find_items("... the quiek brawn foxes ...", decontaminate.Index([(1, "the quick brown foxes")]))] == [(1, 2)]
     one = decontaminate.find_contamination(df, bench).select("doc_id", "hits.item_id").collect()
     many = decontaminate.find_contamination(df, bench, slice_items=3).select("doc_id", "hits.item_id").collect()
     key = lambda rows: collections.Counter((r[0], tuple(sorted(r[1]))) for r in rows)
@@ -593,6 +656,24 @@ def test_contamination_matches_brute_force(spark):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0 and decontaminate.find_contamination(df, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_repeated_letters_are_no_quadratic_case():
+    import time
+
+    items = [(i, "a" * (60 + i)) for i in range(60)]
+    index = decontaminate.Index(items)
+    began = time.time()
+    assert len(decontaminate.find_items("a" * 2000, index)) == 60
+    assert time.time() - began < 0.5
+
+
+def test_contamination_takes_any_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([("x" * 3, "the benchmark passage number one is here", 1, 2), ("y", None, 1, 2), ("y", None, 1, 2), ("z", "w" * 200_000 + " the benchmark passage number one is here", 3, 4)], "`a.b` string, text string, hits int, _hits_0 int")
+    bench = spark.createDataFrame([(5, "benchmark passage number one"), (5, "benchmark passage number one")], "item_id long, text string")
+    got = decontaminate.find_contamination(df, bench)
+    assert got.columns == ["a.b", "text", "_hits_0", "hits"]
+    assert sorted((r[0], r[2], [h["item_id"] for h in r["hits"]]) for r in got.collect()) == [("xxx", 2, [5]), ("y", 2, []), ("y", 2, []), ("z", 4, [5])]
+
+
 # -- 2: mixing ------------------------------------------------------------------------------------
 
 
@@ -623,6 +704,16 @@ def test_marginals_tell_what_a_sample_misses(spark):
     assert all(abs(r["reached"] - r["target"]) < 1e-6 for r in low.values() if r["dimension"] == "source")
 
 
+def test_raking_meets_given_targets(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, f"s{rng.choice([0, 0, 0, 1, 2])}", rng.choice(["en", "fr"]), rng.choice("ab"), rng.randint(1, 50)) for i in range(2000)], "doc_id long, source string, lang string, topic string, n_tokens long")
+    targets = {"source": {"s0": 0.2, "s1": 0.2, "s2": 0.4, "gone": 9.0}, "lang": {"en": 3.0, "fr": 1.0}}
+    got = {(r["dimension"], r["value"]): r for r in mixing.marginals(docs, budget=0.2, targets=targets).collect()}
+    assert all(abs(got["source", s]["target"] - w) < 1e-6 for s, w in (("s0", 0.25), ("s1", 0.25), ("s2", 0.5)))
+    assert abs(got["lang", "en"]["target"] - 0.75) < 1e-6 and all(abs(r["residual"] - r["target"] + r["reached"]) < 1e-12 for r in got.values())
+    assert mixing.mix(docs, budget=0.2, targets=targets).count() == 2000
+
+
 def test_mixing_odd_rows(spark, odd, nothing):
     df, texts = odd
     rows = df.withColumn("topic", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") > 3, F.col("source"))).withColumn("n_tokens", mixing.n_words(F.col("text")))

@@ -43,6 +43,11 @@ def test_warc_odd_pages(spark, tmp_path):
         assert (kind, ref) == (("response", None) if first in (None, i) else ("revisit", first))
         assert kind == "revisit" or body == (html or "")
     assert len(got) == 9  # the repeated row is one capture
+    records = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    responses = {r["record_id"] for r in records if r["record_type"] == "response"}
+    assert all(r["refers_to"] in responses for r in records if r["record_type"] == "revisit")
+    copies = [r["n_copies"] for r in warc.assemble(materialize(warc.read_archives(spark, f"file://{tmp_path}/w"), "t")).where("response is not null").collect()]
+    assert sorted(copies) == [1] * 8 + [2]
 
 
 def test_warc_empty_table(spark, tmp_path):
@@ -157,11 +162,23 @@ def test_stages_do_their_work(spark):
 
 
 def test_stages_take_odd_tables(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", None, "s", 1, 1.0, "t"), (1, "a b c d e f", None, "s", 1, 1.0, "t"), (None, None, None, None, None, None, None), (2, "", "en", None, 0, 0.0, "u")], "doc_id long, text string, lang string, source string, n_chars long, rate double, topic string")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, rate double, topic string, quality_score double, _quality_score int, _hits_0 string, benchmark_hits int, `a.b` string, gone_id long, row string, c0 int"
+    more = (0.5, 1, "h", 2, "dot", 3, "r", 4)
+    docs = spark.createDataFrame([(1, "a b c d e f", None, "s", 1, 1.0, "t", *more), (1, "a b c d e f", None, "s", 1, 1.0, "t", *more), (None,) * 15, (2, "", "en", None, 0, 0.0, "u", *more), (3, "w " * 100_000, "en", "s", 0, 0.0, "u", *more)], ddl)
     for rows in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, rows, SF)
             assert out.count() <= rows.count() and (name == "token files" or out.columns == docs.columns)
+            assert name == "token files" or all(r["a.b"] in (None, "dot") for r in out.collect())
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
-    assert collections.Counter(r["doc_id"] for r in kept) == {1: 1, None: 1, 2: 1}
-    assert jaccard.jaccard_classes(docs).count() == 4
+    assert collections.Counter(r["doc_id"] for r in kept) == {1: 1, None: 1, 2: 1, 3: 1}
+    assert jaccard.jaccard_classes(docs).count() == 5
+
+
+def test_rows_of_one_id_leave_the_smallest_text(spark):
+    rows = [(7, "second text of the id", "en"), (7, "first text of the id", "fr"), (7, "first text of the id", "de"), (8, "words that nobody else has", "en")]
+    got = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got.add(frozenset(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()))
+    assert len(got) == 1 and {r[:2] for r in next(iter(got))} == {(7, "first text of the id"), (8, "words that nobody else has")}
