@@ -373,7 +373,7 @@ def sides(s: bytes) -> tuple[int, bytes]:
 
 
 #: Stretches of one anchor up to this many are compared two by two, more by ranks.
-FEW = 10
+FEW = 24
 
 
 def repeated_windows(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int]]:
@@ -383,57 +383,57 @@ def repeated_windows(group: list[tuple[bytes, int, int, int]]) -> Iterator[tuple
     before it (as the merge knows it), and the earliest document and place that it occurs at. Two
     stretches have a window in common that starts l bytes before the anchor exactly if they share
     WINDOW - l bytes from the anchor on, which is the smallest shared prefix on the way from one to the other,
-    and l bytes before it; no window is looked at again.
+    and l bytes before it; no window is looked at again. Spans may overlap.
     """
-    n = len(group)
     both = [sides(s) for s, *_ in group]
-    right, left = np.array([r for r, _ in both], np.int64), np.array([len(x) for _, x in both], np.int64)
-    share = np.array([lcp - 8 for _, lcp, _, _ in group], np.int64)
-    share[0] = -1
-    order = sorted(range(n), key=lambda i: group[i][2:])
-    gone: dict[int, list[tuple[int, int]]] = {}
-    if n <= FEW:
-        for later in range(1, n):
-            i = order[later]
-            for j in order[:later]:
-                a, b = min(i, j), max(i, j)
-                agree = min(int(share[a + 1 : b + 1].min()), int(right[i]), int(right[j]))
-                low, high = max(0, WINDOW - agree), min(shared_prefix(both[i][1], both[j][1], 0), int(left[i]), int(left[j]))
-                if low <= high:
-                    gone.setdefault(i, []).append((low, high))
-    else:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        back = sorted(range(n), key=lambda i: both[i][1])
-        near = np.array([-1] + [shared_prefix(both[x][1], both[y][1], 0) for x, y in zip(back, back[1:])], np.int64)
-        back = np.array(back)
-        cls = np.empty(n, np.int64)
-        for x in range(int(left.max()) + 1):
-            live = np.nonzero((left >= x) & (right >= WINDOW - x))[0]
-            if len(live) < 2:
-                continue
-            # equal on the right: no smaller shared prefix lies between; likewise on the left
-            run = np.cumsum(share < WINDOW - x)
-            cls[back] = np.cumsum(near < x)
-            live = live[np.argsort(rank[live], kind="stable")]
-            _, first = np.unique(run[live] * (n + 1) + cls[live], return_index=True)
-            again = np.ones(len(live), bool)
-            again[first] = False
-            for i in live[again].tolist():
-                gone.setdefault(i, []).append((x, x))
-    for i, parts in gone.items():
+    share = [lcp - 8 for _, lcp, _, _ in group]
+    found = _by_pairs(group, both, share) if len(group) <= FEW else _by_ranks(group, both, share)
+    for i, low, high in found:
         _, _, d, p = group[i]
-        # a window that starts x bytes before the anchor is at place p + left - x
-        end = None
-        for low, high in sorted(parts, key=lambda r: -r[1]):
-            s, e = p + int(left[i]) - high, p + int(left[i]) - low + WINDOW
-            if end is not None and s <= end - WINDOW + 1:
-                end = max(end, e)
-                continue
-            if end is not None:
-                yield d, begin, end
-            begin, end = s, e
-        yield d, begin, end
+        # a window that starts l bytes before the anchor is at place p + left - l
+        at = p + len(both[i][1])
+        yield d, at - high, at - low + WINDOW
+
+
+def _by_pairs(group: list, both: list[tuple[int, bytes]], share: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(stretch, smallest l, largest l) of windows that an earlier stretch has."""
+    for i in range(len(group)):
+        right, left = both[i]
+        agree, mine = WINDOW, group[i][2:]
+        for j in range(i + 1, len(group)):
+            agree = min(agree, share[j])
+            low = WINDOW - min(agree, right, both[j][0])
+            back = both[j][1]
+            if low <= len(left) and low <= len(back) and left[:low] == back[:low]:
+                yield (j if group[j][2:] > mine else i), low, shared_prefix(left, back, low)
+
+
+def _by_ranks(group: list, both: list[tuple[int, bytes]], share: list[int]) -> Iterator[tuple[int, int, int]]:
+    """As ``_by_pairs`` without comparing pairs: stretches are equal on either side if no smaller shared
+    prefix lies between them, in merged order and in the order of the bytes before the anchor."""
+    n = len(group)
+    right, left = np.array([r for r, _ in both], np.int64), np.array([len(x) for _, x in both], np.int64)
+    fore = np.array(share, np.int64)
+    fore[0] = -1
+    order = np.array(sorted(range(n), key=lambda i: group[i][2:]))
+    back = sorted(range(n), key=lambda i: both[i][1])
+    near = np.array([-1] + [shared_prefix(both[x][1], both[y][1], 0) for x, y in zip(back, back[1:])], np.int64)
+    back = np.array(back)
+    cls = np.empty(n, np.int64)
+    again = np.zeros((n, int(left.max()) + 3), np.int8)
+    for x in range(int(left.max()) + 1):
+        live = order[((left >= x) & (right >= WINDOW - x))[order]]
+        if len(live) < 2:
+            continue
+        run = np.cumsum(fore < WINDOW - x)
+        cls[back] = np.cumsum(near < x)
+        _, first = np.unique(run[live] * (n + 1) + cls[live], return_index=True)
+        again[live, x + 1] = 1
+        again[live[first], x + 1] = 0
+    step = np.diff(again, axis=1)
+    rows, low = np.nonzero(step == 1)
+    _, high = np.nonzero(step == -1)
+    yield from zip(rows.tolist(), low.tolist(), (high - 1).tolist())
 
 
 RUN, SPAN = 0, 1
