@@ -25,6 +25,8 @@ EDIT_SHARE = 0.1
 SLICE_ITEMS = 20_000
 SLICE_BYTES = 16 << 20
 _HASH_BITS = 22
+#: Beyond so many pairs of equal q-grams, items that are there exactly are looked for before pairs are made.
+MANY_PAIRS = 1 << 15
 
 
 def normalise(text: str | None) -> bytes:
@@ -143,24 +145,25 @@ def possible(at: np.ndarray, index: Grams) -> np.ndarray:
     return np.nonzero(seen >= index.need)[0]
 
 
-def candidates(pos: np.ndarray, at: np.ndarray, items: np.ndarray, index: Grams) -> list[tuple[int, int, int, int, int]]:
-    """(item, piece start, piece end, budget, band start) of regions that share enough q-grams.
+def candidates(pos: np.ndarray, at: np.ndarray, index: Grams, items: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(item, piece start, piece end, budget, band start) of regions that share enough q-grams, of ``items`` or of all.
 
     Bands cover 2B diagonals and start every B, B above every budget: an alignment drifts over at
     most B diagonals, so one band holds it whole, with at least m + 1 - q(k + 1) shared q-grams.
     """
-    wanted = np.zeros(len(index.raws), bool)
-    wanted[items] = True
-    # values of wanted items only, before their places in the text are multiplied out
-    useful = np.logical_or.reduceat(wanted[index.item], index.first)
-    keep = useful[at]
-    pos, at = pos[keep], at[keep]
+    if items is not None:
+        wanted = np.zeros(len(index.raws), bool)
+        wanted[items] = True
+        # values of wanted items only, before their places in the text are multiplied out
+        keep = np.logical_or.reduceat(wanted[index.item], index.first)[at]
+        pos, at = pos[keep], at[keep]
     if not len(at):
         return []
     place = index.places(at)
     item, ipos, tpos = index.item[place], index.at[place], np.repeat(pos, index.count[at])
-    keep = wanted[item]
-    item, ipos, tpos = item[keep], ipos[keep], tpos[keep]
+    if items is not None:
+        keep = wanted[item]
+        item, ipos, tpos = item[keep], ipos[keep], tpos[keep]
     width = index.band
     b = (tpos - ipos) // width + (1 << 20)
     keys = np.concatenate([(item << 40) | b, (item << 40) | (b - 1)])
@@ -226,24 +229,33 @@ def find_items(text: str | None, index: Index) -> list[tuple[int, int, int]]:
 
 def find_grams(raw: bytes, index: Grams) -> list[tuple[int, int, int]]:
     """As ``find_items``, for one length of q-grams. Beside an exact piece of an item no other can be the
-    best, so exact ones are looked for first, and only what is left is aligned."""
+    best; where a text repeats itself so much that q-grams would pair up without end, exact ones
+    are looked for first, and only the items that are left are paired."""
     pos, at = common(raw, index)
-    items = possible(at, index)
     best: dict[int, tuple[int, int]] = {}
-    for k in items.tolist():
-        found = [raw.find(index.raws[k][s:e]) for s, e, _ in index.of_item[k]]
-        found = [f for f in found if f >= 0]
-        if found:
-            best[k] = (0, min(found))
-    left = np.array([k for k in items.tolist() if k not in best], np.int64)
+    left = None
+    if int(index.count[at].sum()) > MANY_PAIRS:
+        items = possible(at, index)
+        for k in items.tolist():
+            found = [f for f in (raw.find(index.raws[k][s:e]) for s, e, _ in index.of_item[k]) if f >= 0]
+            if found:
+                best[k] = (0, min(found))
+        left = np.array([k for k in items.tolist() if k not in best], np.int64)
     tried: set[tuple[int, int, int]] = set()
     inexact: dict[int, list[tuple[int, int, int, bytes, bytes]]] = {}
-    for k, s, e, bud, start in candidates(pos, at, left, index) if len(left) else []:
+    for k, s, e, bud, start in candidates(pos, at, index, left):
         lo, hi = max(0, s + start - bud), min(len(raw), e + start + 2 * index.band + bud)
-        if (k, s, lo) not in tried and hi > lo:
-            tried.add((k, s, lo))
-            inexact.setdefault(e - s, []).append((k, lo, bud, index.raws[k][s:e], raw[lo:hi]))
+        if (k, s, lo) in tried or hi <= lo:
+            continue
+        tried.add((k, s, lo))
+        piece, region = index.raws[k][s:e], raw[lo:hi]
+        exact = region.find(piece)
+        if exact >= 0:
+            best[k] = min(best.get(k, (0, lo + exact)), (0, lo + exact))
+        else:
+            inexact.setdefault(e - s, []).append((k, lo, bud, piece, region))
     for jobs in inexact.values():
+        jobs = [j for j in jobs if best.get(j[0], (1, 0))[0] > 0]
         for x in range(0, len(jobs), 256):
             some = jobs[x : x + 256]
             edits = banded([j[3] for j in some], [j[4] for j in some], [j[2] for j in some])
