@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gossamer.llm import chat, decontaminate, jaccard, mixing, mixlm, quality, suffixes, tokenbin, warc, webp
+from gossamer.llm import chat, decontaminate, infill, jaccard, mixing, mixlm, periods, quality, subtrees, suffixes, tokenbin, warc, webp
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_query,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_query,
     "op9_jaccard_classes": jaccard.op9_query,
     "op10_suffix_repeats": suffixes.op10_query,
+    "op11_periodic_runs": periods.op11_query,
+    "op12_fill_in_middle": infill.op12_query,
+    "op13_suffix_subtrees": subtrees.op13_query,
 }
 SQL = {
     "op1_warc_transactions": warc.OP1_SQL,
     "op2_source_mixing": mixing.OP2_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
+    "op12_fill_in_middle": infill.OP12_SQL,
+    "op13_suffix_subtrees": subtrees.OP13_SQL,
 }
