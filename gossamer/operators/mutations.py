@@ -48,13 +48,35 @@ def retained(snapshots: DataFrame, keep: int = 5, keep_single: int = 5, protecte
     return snapshots.withColumn("_place", place).where(ok).drop("_place")
 
 
-def delete_snapshot(snapshot_id: int, snapshots: DataFrame, pages: DataFrame, edges: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
-    """The store without a snapshot; pages that only it had go as well."""
-    left = metrics.where(F.col("snapshot_id") != snapshot_id)
-    return {
-        "snapshots": snapshots.where(F.col("id") != snapshot_id), "metrics": left, "edges": edges.where(F.col("snapshot_id") != snapshot_id),
-        "pages": pages.join(left.select(F.col("page_id").alias("id")).distinct(), "id", "left_semi"),
-    }
+def delete_snapshot(snapshot_id: int, snapshots: DataFrame, pages: DataFrame, edges: DataFrame, metrics: DataFrame, plugin_rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The store without a snapshot.
+
+    Pages forget that they were first or last seen in it; pages that no snapshot is named for any more go,
+    and with them and with the snapshot their metrics, edges and plugin rows.
+    """
+    forget = lambda c: F.when(F.col(c) != snapshot_id, F.col(c)).alias(c)
+    cleared = pages.select(*[forget(c) if c in ("first_seen", "last_seen") else F.col(c) for c in pages.columns])
+    gone = F.col("first_seen").isNull() & F.col("last_seen").isNull()
+    ids = cleared.where(gone).select(F.col("id").alias("_gone"))
+
+    def rest(df: DataFrame, *keys: str) -> DataFrame:
+        out = df.where(F.col("snapshot_id") != snapshot_id)
+        for k in keys:
+            out = out.join(ids, F.col(k) == F.col("_gone"), "left_anti")
+        return out
+
+    out = {"snapshots": snapshots.where(F.col("id") != snapshot_id), "pages": cleared.where(~gone), "metrics": rest(metrics, "page_id"), "edges": rest(edges, "source_page_id", "target_page_id")}
+    return out if plugin_rows is None else out | {"plugin_rows": rest(plugin_rows, "url_id")}
+
+
+def may_delete_snapshot(snapshots: DataFrame, site: int, snapshot_id: int) -> None:
+    """Raises unless the snapshot is one of several of its site."""
+    mine = snapshots.where(F.col("site_id") == site)
+    n, there = mine.agg(F.count(F.lit(1)), F.count_if(F.col("id") == snapshot_id)).first()
+    if not there:
+        raise LookupError(f"site {site} has no snapshot {snapshot_id}")
+    if n <= 1:
+        raise ValueError("the only snapshot of a site cannot be deleted")
 
 
 def incremental(answers: DataFrame, links: DataFrame, before: DataFrame, old_links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +84,12 @@ def incremental(answers: DataFrame, links: DataFrame, before: DataFrame, old_lin
 
     ``answers`` has id, status and attributes, ``before`` the attributes of the first crawl. A page
     that answers 304 takes its attributes from ``before`` (crawl_status cached) and its links out
-    from ``old_links``, with weight 1; without a row there it is left out. Others are fetched.
+    from ``old_links``, with weight 1 and without links to itself; without a row there it is left out.
+    Others are fetched.
     """
     same = answers.where(F.col("status") == 304).select("id").join(before, "id").withColumn("crawl_status", F.lit("cached"))
     fresh = answers.where(F.col("status") != 304).withColumn("crawl_status", F.lit("fetched")).drop("status")
-    replayed = old_links.join(same.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").distinct().withColumn("weight", F.lit(1.0))
+    replayed = old_links.join(same.select(F.col("id").alias("src")), "src", "left_semi").where("src <> dst").select("src", "dst").distinct().withColumn("weight", F.lit(1.0))
     return same.unionByName(fresh, allowMissingColumns=True), replayed.unionByName(links.select("src", "dst", "weight"))
 
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gossamer.functions.url import lookup_candidates
 from gossamer.operators.ranking import hits_eligible, rank_eligible
 
 #: Crawl statuses, issue types with their severity and weight, thresholds.
@@ -176,8 +177,11 @@ def hits_pages(st: Store) -> DataFrame:
     return st.pages.where(hits_eligible(F.col("http_status"), F.col("redirect_chain").isNotNull(), F.col("noindex") == 1))
 
 
-def issues(st: Store, snapshot: int, origin: str) -> DataFrame:
-    """(id, url, pagerank_score, last_seen, issue_type, severity, impact_score) of a snapshot's pages: the first issue that holds."""
+def issues(st: Store, snapshot: int, origin: str, search: str | None = None) -> DataFrame:
+    """(id, url, pagerank_score, last_seen, issue_type, severity, impact_score) of a snapshot's internal pages: the first issue that holds.
+
+    Pages are those of the snapshot's site; ``search`` keeps urls that it is a part of, with % and _ as in LIKE.
+    """
     c = F.col
     words = c("word_count") > 0
     rules = [
@@ -186,15 +190,29 @@ def issues(st: Store, snapshot: int, origin: str) -> DataFrame:
     ]
     kind = F.coalesce(*[F.when(rule, name) for name, rule in rules], F.lit("Page"))
     facts = F.create_map(*[x for k, (sev, w) in ISSUES.items() for x in (F.lit(k), F.struct(F.lit(sev).alias("severity"), F.lit(w).alias("weight")))])
-    s = st.snapshots.where(c("id") == snapshot).select(F.col("id").alias("snapshot_id"), F.col("created_at").alias("last_seen_at"))
-    rows = pages_with_metrics(st, snapshot).join(F.broadcast(s), "snapshot_id").withColumn("issue_type", kind).withColumn("_f", F.try_element_at(facts, F.col("issue_type")))
+    s = st.snapshots.where(c("id") == snapshot).select(F.col("id").alias("snapshot_id"), "site_id", F.col("created_at").alias("last_seen_at"))
+    pages = pages_with_metrics(st, snapshot).where("is_internal = 1")
+    if search:
+        pages = pages.where(F.lower("normalized_url").like(f"%{search.lower()}%"))
+    rows = pages.join(F.broadcast(s), ["snapshot_id", "site_id"]).withColumn("issue_type", kind).withColumn("_f", F.try_element_at(facts, F.col("issue_type")))
     impact = F.floor(c("_f.weight") * (0.5 + F.coalesce(c("pagerank_score"), F.lit(0.0)) / 200.0) + 0.5)
     return rows.select("id", c("normalized_url").alias("url"), "pagerank_score", c("last_seen_at").alias("last_seen"), "issue_type", c("_f.severity").alias("severity"), impact.alias("impact_score"))
 
 
-def problems(found: DataFrame) -> DataFrame:
-    """Of ``issues`` what is a problem; information on absolute urls is none."""
-    return found.where((F.col("issue_type") != "Page") & ~(F.col("url").startswith("http") & (F.col("severity") == "Info")))
+def problems(found: DataFrame, domain: str) -> DataFrame:
+    """Of ``issues`` what is a problem; information on absolute urls that do not name the site's domain is none."""
+    foreign = F.col("url").startswith("http") & ~F.contains("url", F.lit(domain)) & (F.col("severity") == "Info")
+    return found.where((F.col("issue_type") != "Page") & ~foreign)
+
+
+def issue_list(st: Store, snapshot: int, origin: str, domain: str, severity: str | None = None, search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the issue list by falling PageRank: of one severity; else all pages that a search finds; else the problems."""
+    found = issues(st, snapshot, origin, search)
+    if severity and severity != "All":
+        found = found.where(F.col("severity") == severity)
+    elif not search:
+        found = problems(found, domain)
+    return found.orderBy(F.col("pagerank_score").desc_nulls_last(), "url").offset(offset).limit(limit)
 
 
 def sorted_issues(found: DataFrame, by: str, descending: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -238,17 +256,22 @@ def page_changes(st: Store, old: int, new: int) -> DataFrame:
     return b.join(a, "page_id", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "page_id", "left_anti").withColumn("change", F.lit("removed")))
 
 
-def _states(st: Store, snapshot: int) -> DataFrame:
-    return pages_with_metrics(st, snapshot).select("id", F.coalesce(broken(), F.lit(False)).alias("bad"))
+def _run_states(st: Store, snapshot: int) -> DataFrame:
+    """(url, bad, well) of a snapshot's pages, by the comparison's own rules."""
+    bad = (F.col("http_status") >= 400) | F.col("crawl_status").isin("network_error", "fetched_error")
+    well = (F.col("http_status") >= 200) & (F.col("http_status") < 400) & (F.col("crawl_status") == "fetched")
+    no = F.lit(False)
+    return pages_with_metrics(st, snapshot).select(F.col("normalized_url").alias("url"), F.coalesce(bad, no).alias("bad"), F.coalesce(well, no).alias("well"))
 
 
 def newly_broken(st: Store, old: int, new: int) -> DataFrame:
-    return _states(st, new).where("bad").join(_states(st, old).where("bad"), "id", "left_anti").select("id")
+    """url of pages broken in the new snapshot that are not there or not broken in the old one."""
+    return _run_states(st, new).where("bad").join(_run_states(st, old).where("bad"), "url", "left_anti").select("url")
 
 
 def resolved(st: Store, old: int, new: int) -> DataFrame:
-    """Pages broken before that are still there and are not broken now."""
-    return _states(st, new).where("not bad").join(_states(st, old).where("bad"), "id", "left_semi").select("id")
+    """url of pages broken in the old snapshot that the new one has fetched well."""
+    return _run_states(st, old).where("bad").join(_run_states(st, new).where("well"), "url", "left_semi").select("url")
 
 
 def site_pages_of(st: Store, snapshot: int) -> DataFrame:
@@ -261,11 +284,15 @@ def edge_targets(st: Store, below: float = 1.0) -> DataFrame:
     return st.edges.where(F.col("weight") < below).join(st.pages.select(F.col("id").alias("target_page_id"), F.col("normalized_url").alias("target_url")), "target_page_id").select("id", "target_url")
 
 
-def trends(st: Store) -> DataFrame:
-    """(id, broken, clusters) of every snapshot; 0 where there are none."""
-    n = pages_with_metrics(st).where(broken()).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("broken"))
+def trends(st: Store, site: int, include_single: bool = False) -> DataFrame:
+    """(id, date, pages, health, orphans, broken, clusters) of a site's snapshots; single pages' runs only if asked for."""
+    runs = st.snapshots.where(F.col("site_id") == site)
+    runs = runs if include_single else runs.where("run_type <> 'single'")
+    n = pages_with_metrics(st).where(F.col("site_id") == site).where(broken()).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("broken"))
     c = st.metrics.groupBy("snapshot_id").agg(F.count_distinct("duplicate_cluster_id").alias("clusters"))
-    return st.snapshots.select(F.col("id").alias("snapshot_id")).join(n, "snapshot_id", "left").join(c, "snapshot_id", "left").select(F.col("snapshot_id").alias("id"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("broken", "clusters")])
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    runs = runs.select(F.col("id").alias("snapshot_id"), F.col("created_at").alias("date"), F.col("node_count").alias("pages"), F.col("health_score").alias("health"), F.col("orphan_count").alias("orphans"))
+    return runs.join(n, "snapshot_id", "left").join(c, "snapshot_id", "left").select(F.col("snapshot_id").alias("id"), "date", "pages", "health", zero("orphans"), zero("broken"), zero("clusters"))
 
 
 def soft_orphans(st: Store) -> DataFrame:
@@ -286,10 +313,67 @@ def previous_snapshots(st: Store) -> DataFrame:
 
 
 def neighbourhood(st: Store, snapshot: int, limit: int = 10) -> DataFrame:
-    """(page, direction, other): the first neighbours of each page in either direction."""
-    e = snapshot_edges(st, snapshot).where("target_page_id is not null").select("source_page_id", "target_page_id").distinct()
-    both = e.select(F.col("target_page_id").alias("page"), F.lit("in").alias("direction"), F.col("source_page_id").alias("other")).unionByName(e.select(F.col("source_page_id").alias("page"), F.lit("out").alias("direction"), F.col("target_page_id").alias("other")))
-    return both.withColumn("_rn", F.row_number().over(Window.partitionBy("page", "direction").orderBy("other"))).where(F.col("_rn") <= limit).drop("_rn")
+    """(page, direction, url, score): the first neighbours of each page over internal links in either direction, by url."""
+    e = snapshot_edges(st, snapshot).where("rel = 'internal'").select("id", "source_page_id", "target_page_id")
+    both = e.select(F.col("target_page_id").alias("page"), F.lit("in").alias("direction"), F.col("source_page_id").alias("other"), "id").unionByName(e.select(F.col("source_page_id").alias("page"), F.lit("out").alias("direction"), F.col("target_page_id").alias("other"), "id"))
+    named = both.where("page is not null").withColumnRenamed("id", "edge").join(st.pages.select(F.col("id").alias("other"), F.col("normalized_url").alias("url")), "other")
+    scored = named.join(snapshot_metrics(st, snapshot).select(F.col("page_id").alias("other"), F.col("pagerank_score").alias("score")), "other", "left")
+    place = F.row_number().over(Window.partitionBy("page", "direction").orderBy("url", "edge"))
+    return scored.withColumn("_rn", place).where(F.col("_rn") <= limit).select("page", "direction", "url", "score")
+
+
+# -- one page -------------------------------------------------------------------------------------
+
+
+def resolve_page(st: Store, site: int, origin: str, url: str) -> DataFrame:
+    """The page of a site that a url stands for (path or address, with or without a slash at the end): one row or none."""
+    mine = st.pages.where(F.col("site_id") == site)
+    forms = st.pages.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.posexplode(lookup_candidates(F.lit(url), F.lit(origin))).alias("pos", "normalized_url"))
+    hit = mine.join(F.broadcast(forms), "normalized_url").groupBy("query_id").agg(F.min_by("id", F.struct("pos", "id")).alias("id"))
+    return mine.join(F.broadcast(hit.select("id")), "id", "left_semi")
+
+
+def inlinks(st: Store, snapshot: int, page: int, limit: int = 50, offset: int = 0) -> DataFrame:
+    """(source_url, source_pagerank, link_type, follow_state) of internal links to a page, by falling PageRank of their source."""
+    e = snapshot_edges(st, snapshot).where((F.col("target_page_id") == page) & (F.col("rel") == "internal")).select("source_page_id", "rel", F.col("id").alias("edge"))
+    rows = e.join(st.pages.select(F.col("id").alias("source_page_id"), F.col("normalized_url").alias("source_url")), "source_page_id")
+    rows = rows.join(snapshot_metrics(st, snapshot).select(F.col("page_id").alias("source_page_id"), F.col("pagerank_score").alias("source_pagerank")), "source_page_id", "left")
+    return rows.orderBy(F.col("source_pagerank").desc_nulls_last(), "source_url", "edge").offset(offset).limit(limit).select("source_url", "source_pagerank", F.col("rel").alias("link_type"), F.lit("Follow").alias("follow_state"))
+
+
+def outlinks(st: Store, snapshot: int, page: int, limit: int = 50, offset: int = 0) -> DataFrame:
+    """(target_url, status, type, follow) of all links from a page, by falling status of their target."""
+    e = snapshot_edges(st, snapshot).where(F.col("source_page_id") == page).select("target_page_id", "rel", F.col("id").alias("edge"))
+    rows = e.join(st.pages.select(F.col("id").alias("target_page_id"), F.col("normalized_url").alias("target_url"), F.col("http_status").alias("status")), "target_page_id")
+    rows = rows.orderBy(F.col("status").desc_nulls_last(), "target_url", "edge").offset(offset).limit(limit)
+    return rows.select("target_url", "status", F.col("rel").alias("type"), F.when(F.col("rel") == "nofollow", 0).otherwise(1).alias("follow"))
+
+
+def page_view(st: Store, snapshot: int, site: int, origin: str, url: str) -> DataFrame:
+    """One row (or none) on the page that a url stands for: id, url, status, depth, scores, internal links in and
+    out, and the latest completed snapshot that has measured any form of the url."""
+    c, zero = F.col, F.lit(0)
+    page = resolve_page(st, site, origin, url)
+    m = snapshot_metrics(st, snapshot).select(c("page_id").alias("id"), "pagerank_score", "auth_score", "hub_score")
+    ids = F.broadcast(page.select("id"))
+    e = snapshot_edges(st, snapshot).where("rel = 'internal'")
+    ins = e.select(c("target_page_id").alias("id")).join(ids, "id").groupBy("id").agg(F.count(F.lit(1)).alias("inlinks"))
+    outs = e.select(c("source_page_id").alias("id")).join(ids, "id").groupBy("id").agg(F.count(F.lit(1)).alias("outlinks"))
+    forms = st.pages.sparkSession.range(1).select(F.explode(lookup_candidates(F.lit(url), F.lit(origin))).alias("normalized_url"))
+    done = st.snapshots.where((c("site_id") == site) & (c("status") == "completed")).select(c("id").alias("snapshot_id"))
+    seen = pages_with_metrics(st).join(F.broadcast(forms), "normalized_url", "left_semi").join(F.broadcast(done), "snapshot_id", "left_semi").agg(F.max("snapshot_id").alias("latest_snapshot"))
+    # every side is one row by now
+    one = page.join(m, "id", "left").join(ins, "id", "left").join(outs, "id", "left").crossJoin(F.broadcast(seen))
+    scores = [F.coalesce(x, F.lit(0.0)).alias(x) for x in ("pagerank_score", "auth_score", "hub_score")]
+    return one.select("id", c("normalized_url").alias("url"), "http_status", F.coalesce("depth", zero).alias("depth"), *scores, F.coalesce("inlinks", zero).alias("inlinks"), F.coalesce("outlinks", zero).alias("outlinks"), "latest_snapshot")
+
+
+def page_cluster(st: Store, snapshot: int, page: int, limit: int = 10) -> DataFrame:
+    """(url) of the first pages, by url, that share a page's duplicate cluster."""
+    m = snapshot_metrics(st, snapshot).where("duplicate_cluster_id is not null").select(F.col("page_id").alias("id"), "duplicate_cluster_id")
+    own = m.where(F.col("id") == page).select("duplicate_cluster_id")
+    others = m.where(F.col("id") != page).join(F.broadcast(own), "duplicate_cluster_id", "left_semi")
+    return st.pages.select("id", F.col("normalized_url").alias("url")).join(others, "id", "left_semi").select("url").orderBy("url").limit(limit)
 
 
 # -- aggregates -----------------------------------------------------------------------------------
@@ -349,8 +433,8 @@ def link_counts(st: Store, snapshot: int, rel: str | None = "internal", distinct
 
 
 def equity(st: Store, snapshot: int) -> DataFrame:
-    """(id, equity): pages linked to by pages linked here, both counted up to 10."""
-    e = link_counts(st, snapshot, None, True)
+    """(id, equity): internal links out to internal links in, either counted up to 10."""
+    e = link_counts(st, snapshot)
     ratio = F.least("out_links", F.lit(10)) * 1e6 / F.least("in_links", F.lit(10))
     return e.select("id", F.when(F.col("in_links") == 0, F.lit(0.0)).otherwise(F.floor(ratio + 0.5) / 1e6).alias("equity"))
 
@@ -385,19 +469,16 @@ def group_severity(st: Store) -> DataFrame:
 
 
 def top_pages(st: Store, snapshot: int, limit: int = 10) -> DataFrame:
-    return pages_with_metrics(st, snapshot).select(F.col("normalized_url").alias("url"), "pagerank_score").orderBy(F.col("pagerank_score").desc_nulls_last(), "url").limit(limit)
-
-
-def link_sources(st: Store, snapshot: int, limit: int = 10, offset: int = 0) -> DataFrame:
-    """(source, id): a page of a snapshot's links by the url of their source."""
-    e = snapshot_edges(st, snapshot).select("id", F.col("source_page_id").alias("page"))
-    return e.join(st.pages.select(F.col("id").alias("page"), F.col("normalized_url").alias("source")), "page").select("source", "id").orderBy("source", "id").offset(offset).limit(limit)
+    """(url, pagerank_score, auth_score, hub_score) of the internal pages of the highest PageRank."""
+    rows = pages_with_metrics(st, snapshot).where("is_internal = 1").select(F.col("normalized_url").alias("url"), "pagerank_score", "auth_score", "hub_score")
+    return rows.orderBy(F.col("pagerank_score").desc_nulls_last(), "url").limit(limit)
 
 
 def depth_places(st: Store, snapshot: int) -> DataFrame:
-    """(depth, url, place): places within a depth by PageRank score."""
+    """(depth, url, status, score, place): places of internal pages within a depth by PageRank score."""
     w = Window.partitionBy("depth").orderBy(F.col("pagerank_score").desc_nulls_last(), "normalized_url")
-    return pages_with_metrics(st, snapshot).select("depth", F.col("normalized_url").alias("url"), F.row_number().over(w).alias("place"))
+    rows = pages_with_metrics(st, snapshot).where("is_internal = 1")
+    return rows.select("depth", F.col("normalized_url").alias("url"), F.col("http_status").alias("status"), F.coalesce("pagerank_score", F.lit(0.0)).alias("score"), F.row_number().over(w).alias("place"))
 
 
 def history(st: Store, site: int) -> DataFrame:
@@ -437,12 +518,25 @@ def metric_deltas(old: DataFrame, new: DataFrame, names: tuple[str, ...] = ("ent
 
 def compare_counts(st: Store, old: int, new: int) -> DataFrame:
     """One row: pages added, removed, newly broken and resolved."""
-    a, b = _states(st, old).withColumnRenamed("bad", "ba"), _states(st, new).withColumnRenamed("bad", "bb")
-    c = F.col
-    return a.join(b, "id", "full_outer").agg(
-        F.count_if(c("ba").isNull()).alias("added"), F.count_if(c("bb").isNull()).alias("removed"),
-        F.count_if(c("bb") & ~F.coalesce(c("ba"), F.lit(False))).alias("newly_broken"), F.count_if(c("ba") & ~c("bb")).alias("resolved"),
-    )
+    a, b = (_run_states(st, s).select("url") for s in (old, new))
+    parts = {"added": b.join(a, "url", "left_anti"), "removed": a.join(b, "url", "left_anti"), "newly_broken": newly_broken(st, old, new), "resolved": resolved(st, old, new)}
+    rows = None
+    for name, df in parts.items():
+        part = df.select(F.lit(name).alias("part"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(*[F.count_if(F.col("part") == k).alias(k) for k in parts])
+
+
+def compare_view(st: Store, site: int, old: int, new: int, limit: int = 50) -> DataFrame:
+    """One row: pages added and removed, the change of the health score, and the first urls newly broken and
+    resolved, as lists by url. No row unless both snapshots are the site's."""
+    health = lambda s: F.max(F.when(F.col("id") == s, F.coalesce("health_score", F.lit(0.0))))
+    both = st.snapshots.where((F.col("site_id") == site) & F.col("id").isin(old, new))
+    delta = both.agg(F.count_distinct("id").alias("_n"), (health(new) - health(old)).alias("health_delta")).where(F.col("_n") == len({old, new})).drop("_n")
+    urls = lambda df, k: df.orderBy("url").limit(limit).agg(F.array_sort(F.collect_list("url")).alias(k))
+    counts = compare_counts(st, old, new).select("added", "removed")
+    # every side is one row
+    return counts.crossJoin(F.broadcast(delta)).crossJoin(F.broadcast(urls(newly_broken(st, old, new), "new_broken"))).crossJoin(F.broadcast(urls(resolved(st, old, new), "resolved_broken")))
 
 
 def missing_pages(st: Store, old: int, new: int) -> DataFrame:

@@ -784,7 +784,7 @@ def _(spark, d):
     return M.incremental(*recrawl(spark, d))[0].select("id", "crawl_status", "word_count")
 
 
-@query("g13_replayed_links", testbed.for_duckdb("""SELECT DISTINCT source_page_id AS src, target_page_id AS dst, 1e0 AS weight FROM edges WHERE snapshot_id = 20 AND source_page_id % 4 = 0 AND target_page_id IS NOT NULL
+@query("g13_replayed_links", testbed.for_duckdb("""SELECT DISTINCT source_page_id AS src, target_page_id AS dst, 1e0 AS weight FROM edges WHERE snapshot_id = 20 AND source_page_id % 4 = 0 AND target_page_id IS NOT NULL AND target_page_id <> source_page_id
     AND source_page_id IN (SELECT page_id FROM metrics WHERE snapshot_id = 20) UNION ALL SELECT id, id + 2, 5e-1 FROM site_pages WHERE site_id = 1 AND id % 4 <> 0"""))
 def _(spark, d):
     return M.incremental(*recrawl(spark, d))[1]

@@ -12,7 +12,7 @@ from gossamer.operators import mutations as M
 from gossamer.operators import scoring as C
 from gossamer.operators import store as O
 from gossamer.plans import testbed
-from gossamer.plans.site_queries import ORIGIN
+from gossamer.plans.site_queries import DOMAIN, ORIGIN
 from gossamer.plugins import blend, roll_up
 from gossamer.session import table
 
@@ -43,6 +43,10 @@ def _side(st: O.Store, snapshot: int) -> DataFrame:
     return O.snapshot_metrics(st, snapshot).select(F.col("page_id").alias("id"), F.col("crawl_status").alias("status"), F.col("duplicate_cluster_id").alias("canonical"))
 
 
+def _without(st: O.Store, snapshot: int) -> dict[str, DataFrame]:
+    return M.delete_snapshot(snapshot, st.snapshots, st.pages, st.edges, st.metrics, st.plugin_rows)
+
+
 OPERATORS: dict[str, Callable[[O.Store], DataFrame]] = {
     "a1_pages_cumulative": lambda st: O.snapshot_pages(st, 20).select("id", "normalized_url", "http_status"),
     "a1_pages_single": lambda st: O.run_pages(st, 21).select("id", "normalized_url", "http_status"),
@@ -67,7 +71,9 @@ OPERATORS: dict[str, Callable[[O.Store], DataFrame]] = {
     "p11_issue_classifier": lambda st: O.issues(st, 40, ORIGIN).select("url", "issue_type", "severity", "impact_score"),
     "p12_canonical_conflicts": lambda st: O.conflicts(st, ORIGIN),
     "p13_search": lambda st: O.search(st, "U/1").select("id", "normalized_url"),
-    "p14_problems_only": lambda st: O.problems(O.issues(st, 40, ORIGIN)).select("url", "severity"),
+    "p11_issues_of_severity": lambda st: O.issue_list(st, 40, ORIGIN, DOMAIN, "Warning", limit=20, offset=5).select("url", "issue_type", "severity", "impact_score"),
+    "p11_issues_searched": lambda st: O.issue_list(st, 40, ORIGIN, DOMAIN, search="U/1_", limit=20).select("url", "issue_type", "severity", "impact_score"),
+    "p14_problems_only": lambda st: O.problems(O.issues(st, 40, ORIGIN), DOMAIN).select("url", "severity"),
     "p16_page_badges": lambda st: O.page_badges(st, 20),
     "p17_health_labels": _health_labels,
     "p20_fetch_routing": lambda st: st.pages.select("id", O.fetch_route(F.col("http_status")).alias("route")),
@@ -78,7 +84,8 @@ OPERATORS: dict[str, Callable[[O.Store], DataFrame]] = {
     "j7_resolved": lambda st: O.resolved(st, 20, 22),
     "j8_scalar_subquery": lambda st: O.site_pages_of(st, 20).select("id"),
     "j10_url_hash_join": O.edge_targets,
-    "j11_trends_default_zero": O.trends,
+    "j11_trends_default_zero": lambda st: O.trends(st, 1),
+    "j11_trends_with_single": lambda st: O.trends(st, 2, include_single=True),
     "j15_soft_orphans": O.soft_orphans,
     "j16_links_to_broken": O.links_to_broken,
     "j17_previous_snapshot": O.previous_snapshots,
@@ -99,7 +106,10 @@ OPERATORS: dict[str, Callable[[O.Store], DataFrame]] = {
     "e26_sites_latest_full": O.sites_latest_full,
     "e29_cluster_severity": O.group_severity,
     "t1_top_pagerank": lambda st: O.top_pages(st, 20, 10),
-    "t3_inlinks_page": lambda st: O.link_sources(st, 20, 10, 20),
+    "t3_inlinks_page": lambda st: O.inlinks(st, 20, 12, 50),
+    "t3_outlinks_page": lambda st: O.outlinks(st, 20, 12, 50),
+    "t3_page_view": lambda st: O.page_view(st, 20, 1, ORIGIN, f"{ORIGIN}/u/12/"),
+    "t3_page_cluster": lambda st: O.page_cluster(st, 20, 12),
     "t4_depth_pages": lambda st: O.depth_places(st, 20),
     "t5_retention": lambda st: st.snapshots.select("id").join(M.retained(st.snapshots).select("id"), "id", "left_anti"),
     "t8_history": lambda st: O.history(st, 1),
@@ -109,8 +119,11 @@ OPERATORS: dict[str, Callable[[O.Store], DataFrame]] = {
     "g10_compare_graphs": lambda st: O.compare_graphs(_side(st, 20), _side(st, 22)),
     "g10_metric_deltas": lambda st: O.metric_deltas(G.graph_metrics(_graph(st, 20)), G.graph_metrics(_graph(st, 22))).select("metric", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("old", "new", "delta")]),
     "g12_compare_counts": lambda st: O.compare_counts(st, 20, 22),
+    "g12_compare_view": lambda st: O.compare_view(st, 1, 20, 22).withColumns({c: F.array_join(c, " ") for c in ("new_broken", "resolved_broken")}),
     "m2_metrics_replace": lambda st: M.replace_rows(O.snapshot_metrics(st, 20).select("page_id", "word_count"), O.snapshot_metrics(st, 22).select("page_id", "word_count"), ["page_id"]),
-    "m4_snapshot_delete": lambda st: M.delete_snapshot(20, st.snapshots, st.pages, st.edges, st.metrics)["pages"].select("id"),
+    "m4_snapshot_delete": lambda st: _without(st, 20)["pages"].select("id", "first_seen", "last_seen"),
+    "m4_metrics_after_delete": lambda st: _without(st, 20)["metrics"].select("snapshot_id", "page_id"),
+    "m4_edges_after_delete": lambda st: _without(st, 20)["edges"].select("id"),
     "m6_snapshot_status": lambda st: O.update_snapshot(O.create_snapshot(st.snapshots, 2, "completed", "running", F.lit("2030-01-01 00:00:00")), 20, status=F.lit("failed")).select("id", "site_id", "run_type", "status"),
     "m7_edges_delete_by_source": lambda st: st.edges.where(~F.coalesce((F.col("snapshot_id") == 20) & (F.col("source_page_id") % 3 == 0), F.lit(False))).select("id"),
     "m8_score_write_back": lambda st: O.write_back_scores(st.snapshots, st.plugin_rows).select("id", "total_score"),

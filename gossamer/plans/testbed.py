@@ -15,7 +15,8 @@ VIEWS: dict[str, str] = {
     "snapshots": """SELECT snapshot_id AS id, site_id, CASE WHEN snapshot_id % 7 = 0 THEN 'single' WHEN snapshot_id % 2 = 0 THEN 'completed' ELSE 'incremental' END AS run_type,
         CASE WHEN snapshot_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, min(ts) AS created_at, count(DISTINCT user_id) AS node_count, count(*) AS edge_count,
         CAST(count(*) % 101 AS DOUBLE) AS health_score, CAST(count(*) % 7 AS BIGINT) AS orphan_count FROM ev GROUP BY snapshot_id, site_id""",
-    "site_pages": """SELECT user_id AS id, site_id, '/u/' || CAST(user_id AS STRING) AS normalized_url, min(snapshot_id) AS first_seen, max(snapshot_id) AS last_seen,
+    "site_pages": """SELECT user_id AS id, site_id, CASE WHEN user_id % 31 = 5 THEN 'https://alpha.example.com/u/' WHEN user_id % 37 = 4 THEN 'https://other.example.net/u/' ELSE '/u/' END || CAST(user_id AS STRING) AS normalized_url,
+        CASE WHEN user_id % 82 = 6 THEN 20 ELSE min(snapshot_id) END AS first_seen, CASE WHEN user_id % 82 = 6 THEN 20 ELSE max(snapshot_id) END AS last_seen,
         CAST(CASE user_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 WHEN 3 THEN 0 ELSE 200 END AS BIGINT) AS http_status,
         CASE WHEN user_id % 7 = 0 THEN '/u/' || CAST(user_id - 1 AS STRING) WHEN user_id % 7 = 1 THEN '/u/' || CAST(user_id AS STRING) || '/'
         WHEN user_id % 7 = 2 THEN 'https://alpha.example.com/u/' || CAST(user_id AS STRING) WHEN user_id % 7 = 3 THEN 'https://alpha.example.com/u/' || CAST(user_id AS STRING) || '/' WHEN user_id % 7 = 4 THEN '/u/' || CAST(user_id AS STRING) END AS canonical_url,
@@ -27,7 +28,8 @@ VIEWS: dict[str, str] = {
         count(*) * 60 AS word_count, CAST(user_id % 101 AS DOUBLE) AS thin_content_score, CAST((user_id * 37 + snapshot_id) % 101 AS DOUBLE) AS pagerank_score,
         CASE WHEN user_id % 4 = 0 THEN 'c' || CAST(user_id % 9 AS STRING) END AS duplicate_cluster_id, CASE WHEN user_id % 4 = 0 THEN 'near' ELSE 'none' END AS duplicate_type,
         CASE WHEN user_id % 8 = 0 THEN 1 ELSE 0 END AS is_cluster_primary, CASE WHEN user_id % 3 = 0 THEN CAST(user_id % 5 AS BIGINT) END AS cluster_id,
-        CASE WHEN user_id % 9 = 0 THEN 'power' WHEN user_id % 9 = 1 THEN 'hub' ELSE 'peripheral' END AS link_role FROM ev GROUP BY snapshot_id, user_id""",
+        CASE WHEN user_id % 9 = 0 THEN 'power' WHEN user_id % 9 = 1 THEN 'hub' ELSE 'peripheral' END AS link_role,
+        CAST((user_id * 13 + snapshot_id) % 17 AS DOUBLE) AS auth_score, CAST((user_id * 5 + snapshot_id) % 19 AS DOUBLE) AS hub_score FROM ev WHERE user_id % 29 <> 7 GROUP BY snapshot_id, user_id""",
     "edges": """SELECT event_id AS id, snapshot_id, user_id AS source_page_id, lead(user_id) OVER (PARTITION BY snapshot_id ORDER BY ts, event_id) AS target_page_id,
         CASE event_type WHEN 'click' THEN 7e-1 WHEN 'view' THEN 4e-1 ELSE 1e0 END AS weight, CASE event_type WHEN 'error' THEN 'external' ELSE 'internal' END AS rel FROM ev""",
     "plugin_rows": """SELECT l.doc_id AS id, CAST(l.doc_id % 5 AS BIGINT) AS snapshot_id, CAST(l.doc_id % 40 AS BIGINT) AS url_id, CASE WHEN l.doc_id % 3 = 0 THEN 'signals' ELSE 'page-speed' END AS plugin,
