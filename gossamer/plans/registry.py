@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.plans import data_queries, site_queries, store_queries, testbed
+from gossamer.plans import data_queries, run_queries, site_queries, store_queries, testbed
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return store_queries.QUERIES | data_queries.QUERIES
+    return store_queries.QUERIES | data_queries.QUERIES | run_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: testbed.for_duckdb(v) for k, v in site_queries.SQL.items()} | data_queries.SQL
+    return {k: testbed.for_duckdb(v) for k, v in site_queries.SQL.items()} | data_queries.SQL | run_queries.SQL

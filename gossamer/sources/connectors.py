@@ -80,7 +80,7 @@ class Robots:
         self.delay = self.delays.get(key)
 
     def allowed(self, path: Column) -> Column:
-        """A path is blocked only if it is so with and without a slash behind it."""
+        """A path is allowed if no rule blocks it as it is, nor with a slash behind it."""
 
         def one(p: Column) -> Column:
             best = F.lit(True)
@@ -89,7 +89,7 @@ class Robots:
                 best = F.when(p.rlike(pattern[:-2] + "$" if rule.endswith("$") else pattern), F.lit(allow)).otherwise(best)
             return best
 
-        return one(path) | one(F.concat(path, F.lit("/")))
+        return one(path) & (path.endswith("/") | one(F.concat(path, F.lit("/"))))
 
 
 def pagespeed_summary(report: Column) -> Column:
