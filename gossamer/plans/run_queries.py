@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gossamer.session import table
-from gossamer.sources import crawling
+from gossamer.plans import testbed
+from gossamer.session import scratch, table
+from gossamer.sources import committed, crawling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +75,65 @@ def site_crawl(spark: SparkSession, d: str, **options) -> crawling.Crawl:
     sitemap = pages.where("page_id % 50 = 3").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("loc"), F.col("page_id").alias("place"))
     chosen = crawling.Options(**({"limit": 1_000_000, "depth": 3} | options))
     return crawling.crawl(spark, f"{SITE}/p/0", crawling.from_archive(site_archive(spark, d)), chosen, ROBOTS, sitemap)
+
+
+# -- the committed store --------------------------------------------------------------------------
+
+
+def committed_testbed(spark: SparkSession, d: str) -> committed.CommittedStore:
+    """The test tables' store as version 1 of a committed one in the shared folder."""
+    st = testbed.store(spark, d)
+    store = committed.CommittedStore(spark, scratch(spark, "store"))
+
+    def fill(c: committed.Change) -> None:
+        for name in committed.SCHEMAS:
+            rows = getattr(st, name)
+            c.put(name, rows.select(*[x for x in rows.columns if x in c.read(name).columns]))
+
+    store.commit(fill, "the test tables")
+    return store
+
+
+def _totals(st, **ids: str) -> DataFrame:
+    """(name, n, total): rows of each table and the sum of one of its columns."""
+    parts = [getattr(st, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(k).cast("bigint").alias("total")).select("name", "n", "total") for name, k in ids.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("m4_committed_delete", testbed.for_duckdb("""WITH gone AS (SELECT id FROM site_pages WHERE nullif(first_seen, 20) IS NULL AND nullif(last_seen, 20) IS NULL)
+    SELECT 'snapshots' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM snapshots WHERE id <> 20
+    UNION ALL SELECT 'pages', count(*), CAST(sum(id) AS BIGINT) FROM site_pages WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'metrics', count(*), CAST(sum(page_id) AS BIGINT) FROM metrics WHERE snapshot_id <> 20 AND page_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'edges', count(*), CAST(sum(id) AS BIGINT) FROM edges e WHERE snapshot_id <> 20 AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.id IN (e.source_page_id, e.target_page_id))
+    UNION ALL SELECT 'plugin_rows', count(*), CAST(sum(id) AS BIGINT) FROM plugin_rows WHERE snapshot_id <> 20 AND url_id NOT IN (SELECT id FROM gone)"""))
+def _(spark, d):
+    store = committed_testbed(spark, d)
+    committed.delete_site_snapshot(store, 1, 20)
+    return _totals(store.load(), snapshots="id", pages="id", metrics="page_id", edges="id", plugin_rows="id")
+
+
+@query("m1_committed_merge", testbed.for_duckdb("""WITH u AS (SELECT normalized_url AS url, CASE WHEN id % 4 = 0 THEN 410 ELSE 0 END AS status, depth + 1 AS depth FROM site_pages WHERE site_id = 1 AND id % 3 = 0
+      UNION ALL SELECT '/new/' || id, 200, 9 FROM site_pages WHERE site_id = 1 AND id % 3 = 1)
+    SELECT coalesce(p.normalized_url, u.url) AS url, p.id, CASE WHEN p.id IS NULL THEN 900 ELSE p.first_seen END AS first_seen, CASE WHEN u.url IS NULL THEN p.last_seen ELSE 900 END AS last_seen,
+      CASE WHEN coalesce(u.status, 0) <> 0 THEN u.status ELSE p.http_status END AS http_status, CAST(least(p.depth, u.depth) AS BIGINT) AS depth
+    FROM (SELECT * FROM site_pages WHERE site_id = 1) p FULL OUTER JOIN u ON u.url = p.normalized_url"""))
+def _(spark, d):
+    """Pages of site 1 after a merge; ids of new pages are not given."""
+    store = committed_testbed(spark, d)
+    mine = store.load().pages.where("site_id = 1")
+    known = mine.where("id % 3 = 0").select(F.col("normalized_url").alias("url"), F.when(F.col("id") % 4 == 0, 410).otherwise(0).alias("status"), (F.col("depth") + 1).alias("depth"))
+    fresh = mine.where("id % 3 = 1").select(F.concat(F.lit("/new/"), F.col("id").cast("string")).alias("url"), F.lit(200).alias("status"), F.lit(9).alias("depth"))
+    store.commit(lambda c: committed.merge_pages(c, 1, 900, known.unionByName(fresh)))
+    out = store.load().pages.where("site_id = 1")
+    return out.select(F.col("normalized_url").alias("url"), F.when(F.col("first_seen") != 900, F.col("id")).alias("id"), "first_seen", "last_seen", "http_status", "depth")
+
+
+@query("b13_replayed_batches", "SELECT event_type AS plugin, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY event_type")
+def _(spark, d):
+    """Events as four batches of a stream, two of which are sent again, one of them late."""
+    events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("plugin"))
+    store = committed.CommittedStore(spark, scratch(spark, "store"))
+    write = store.append_stream("plugin_rows", "events")
+    for batch in (0, 1, 1, 2, 3, 0):
+        write(events.where(F.col("id") % 4 == batch), batch)
+    return store.load().plugin_rows.groupBy("plugin").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
