@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gossamer.plans import testbed
 from gossamer.session import scratch, table
 from gossamer.sources import committed, crawling
+from gossamer.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +138,25 @@ def _(spark, d):
     for batch in (0, 1, 1, 2, 3, 0):
         write(events.where(F.col("id") % 4 == batch), batch)
     return store.load().plugin_rows.groupBy("plugin").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
+
+
+# -- events of runs -------------------------------------------------------------------------------
+
+
+@query("r5_run_sessions", """WITH e AS (SELECT user_id AS run, ts, event_type AS k, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS first FROM events),
+    s AS (SELECT *, sum(first) OVER (PARTITION BY run ORDER BY ts RANGE UNBOUNDED PRECEDING) AS part FROM e),
+    c AS (SELECT run, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS events, count(*) FILTER (WHERE k = 'click') AS enqueued, count(*) FILTER (WHERE k = 'view') AS started, count(*) FILTER (WHERE k = 'purchase') AS succeeded, count(*) FILTER (WHERE k = 'error') AS failed, count(*) FILTER (WHERE k = 'signup') AS limits FROM s GROUP BY run, part)
+    SELECT *, started - succeeded - failed AS active, least(100, CAST(floor(1e2 * (succeeded + failed) / greatest(enqueued, started, succeeded + failed, 1) + 5e-1) AS BIGINT)) AS percent FROM c""")
+def _(spark, d):
+    """Users are runs, and a day without an event ends a session."""
+    kinds = {"enqueued": "click", "started": "view", "succeeded": "purchase", "failed": "error", "limits": "signup"}
+    e = table(spark, d, "events")
+    out = limiter.run_sessions(e.withColumnRenamed("user_id", "run"), kind="event_type", gap="1 day", kinds=kinds)
+    return out.withColumns({c: F.col(c).cast(e.schema["ts"].dataType) for c in ("start", "end")})
+
+
+@query("r5_live_counts", "SELECT user_id AS run, event_type AS type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def _(spark, d):
+    e = table(spark, d, "events")
+    out = limiter.live_counts(e.select(F.col("user_id").alias("run"), F.col("event_type").alias("type"), "ts"), width="1 hour")
+    return out.withColumn("start", F.col("start").cast(e.schema["ts"].dataType))
