@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.session import table
+from gossamer.llm.groups import quoted
+from gossamer.session import materialize, table
 
 #: The control strings of the template. None starts inside another.
 BEGIN, END, SEGMENT = "<s>", "</s>", "<|seg|>"
@@ -26,28 +27,42 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """One row per conversation: ``formatted`` and its turns as the template holds them.
+def format_chats(turns: DataFrame, key: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
+    """One row per conversation: ``formatted``, its turns as the template holds them, and ``loss_spans``, the mask.
 
     Turns are sorted by (turn, role, text). Adjacent turns of one role share a header; the
     segments between them keep the turns apart, so nothing is lost. A run of turns reads
     ``<s>[INST]role[/INST]text<|seg|>text</s>``. Null roles and texts are empty, a null turn
     sorts first, rows that are equal throughout stay, and a null key is one conversation. A
-    conversation is one row of the result, so it has to fit one.
+    conversation is one row of the result, so it has to fit one; time follows its length. ``loss_spans`` is an array of (start, length), in
+    bytes of the formatted text in UTF-8: the escaped text of each turn of ``loss_role``, in order. Other columns are left
+    out, whatever their names; an empty table gives an empty one.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chats = turns.groupBy(F.col(key)).agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    chats = turns.groupBy(quoted(key).alias(key)).agg(F.array_sort(F.collect_list(row)).alias("_turns"))
+    other = lambda t, i: ~t.role.eqNullSafe(F.get("_turns", i).role)
 
-    def merge(runs: Column, t: Column) -> Column:
-        same = (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1)).role == t.role)
-        more = F.struct(t.role.alias("role"), F.concat(F.try_element_at(runs, F.lit(-1)).texts, F.array(t.text)).alias("texts"))
-        return F.when(same, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(runs, F.array(F.struct(t.role.alias("role"), F.array(t.text).alias("texts")))))
+    def piece(t: Column, i: Column) -> Column:
+        head = F.when(other(t, i - 1), F.concat(F.lit(BEGIN + OPEN), escape(t.role), F.lit(CLOSE))).otherwise(SEGMENT)
+        return F.struct(head.alias("head"), escape(t.text).alias("body"), F.when(other(t, i + 1), END).otherwise("").alias("tail"), (t.role == loss_role).alias("loss"))
 
-    runs = F.aggregate("turns", empty, merge)
-    body = lambda r: F.array_join(F.transform(r.texts, escape), SEGMENT)
-    block = lambda r: F.concat(F.lit(BEGIN + OPEN), escape(r.role), F.lit(CLOSE), body(r), F.lit(END))
-    return chats.select(F.col(key), F.array_join(F.transform(runs, block), "").alias("formatted"))
+    n = lambda *parts: sum(F.octet_length(p).cast("long") for p in parts)
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+
+    def advance(a: Column, p: Column) -> Column:
+        span = F.struct((a.at + n(p.head)).alias("start"), n(p.body).alias("length"))
+        return F.struct((a.at + n(p.head, p.body, p.tail)).alias("at"), F.when(p.loss, F.array_append(a.spans, span)).otherwise(a.spans).alias("spans"))
+
+    chats = chats.select(quoted(key), F.transform("_turns", piece).alias("_pieces"))
+    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p.head, p.body, p.tail)), "")
+    return chats.select(quoted(key), text.alias("formatted"), F.aggregate("_pieces", none, advance, lambda a: a.spans).alias("loss_spans"))
+
+
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts under a mask, unescaped, as an array in order. Over output that has been written: expressions
+    that make it would be worked out again for each span."""
+    raw = formatted.cast("binary")
+    return F.transform(spans, lambda s: unescape(F.substring(raw, s.start.cast("int") + 1, s.length.cast("int")).cast("string")))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
@@ -63,9 +78,9 @@ def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    chats = parse_chats(format_chats(rows.unionByName(extra)))
+    chats = parse_chats(materialize(format_chats(rows.unionByName(extra)), "chats"))
     turns = F.array_join(F.transform("parsed", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("parsed", lambda t: t.role == "assistant"), lambda t: t.text), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "")
     return chats.select(
         "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
