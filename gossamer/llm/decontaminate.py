@@ -25,8 +25,8 @@ EDIT_SHARE = 0.1
 SLICE_ITEMS = 20_000
 SLICE_BYTES = 16 << 20
 _HASH_BITS = 22
-#: Beyond so many pairs of equal q-grams, items that are there exactly are looked for before pairs are made.
-MANY_PAIRS = 1 << 15
+#: So many regions of an item are verified at a time; what is found may make the others needless.
+ROUND = 8
 
 
 def normalise(text: str | None) -> bytes:
@@ -95,6 +95,7 @@ class Grams:
         self.bits[self.slot(self.values)] = True
         self.of_item = [[(s, e, budget(e - s)) for s, e in pieces(r)] for r in self.raws]
         each = [p for ps in self.of_item for p in ps]
+        self.length = np.array([len(r) for r in self.raws], np.int64)
         self.need = np.array([min(self.shared(*p) for p in ps) for ps in self.of_item], np.int64)
         self.least = int(self.need.min())
         self.span = max(e - s + b for s, e, b in each)
@@ -137,33 +138,52 @@ def common(raw: bytes, index: Grams) -> tuple[np.ndarray, np.ndarray]:
     return pos[real], at[real]
 
 
-def possible(at: np.ndarray, index: Grams) -> np.ndarray:
-    """Items enough of whose q-grams are in the text, wherever they are."""
-    if not len(at):
-        return np.zeros(0, np.int64)
-    seen = np.bincount(index.item[index.places(np.unique(at))], minlength=len(index.raws))
-    return np.nonzero(seen >= index.need)[0]
+#: A region to be verified: item, piece (start, end, budget), first diagonal of the band, last one, shared q-grams.
+Region = tuple[int, int, int, int, int, int, int]
 
 
-def candidates(pos: np.ndarray, at: np.ndarray, index: Grams, items: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
-    """(item, piece start, piece end, budget, band start) of regions that share enough q-grams, of ``items`` or of all.
+def candidates(pos: np.ndarray, at: np.ndarray, index: Grams, n: int) -> list[Region]:
+    """Regions of a text of n q-grams that share enough of them with a piece.
 
     Bands cover 2B diagonals and start every B, B above every budget: an alignment drifts over at
-    most B diagonals, so one band holds it whole, with at least m + 1 - q(k + 1) shared q-grams.
+    most B diagonals, so one band holds it whole, with at least m + 1 - q(k + 1) shared q-grams. Shared q-grams of a band are
+    counted in the cheaper of two ways, item by item: by pairs of equal q-grams, or, where text and item repeat
+    the same ones so often that pairs multiply, by sums over diagonals, which take time like the
+    item times the text whatever repeats.
     """
-    if items is not None:
-        wanted = np.zeros(len(index.raws), bool)
-        wanted[items] = True
-        # values of wanted items only, before their places in the text are multiplied out
-        keep = np.logical_or.reduceat(wanted[index.item], index.first)[at]
-        pos, at = pos[keep], at[keep]
     if not len(at):
         return []
+    seen, first, times = np.unique(at, return_index=True, return_counts=True)
+    place = index.places(seen)
+    reps = index.count[seen]
+    pairs = np.bincount(index.item[place], np.repeat(times, reps), len(index.raws))
+    there = np.bincount(index.item[place], minlength=len(index.raws))
+    live = there >= index.need
+    many = live & (pairs > index.length * (16 + n // 256))
+    out: list[Region] = []
+    if many.any():
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(times)
+        of_value = {int(v): pos[order[e - t : e]] for v, e, t in zip(seen, ends, times)}
+        value_at = np.repeat(seen, reps)
+        for k in np.nonzero(many)[0].tolist():
+            own = index.item[place] == k
+            out += by_diagonals(k, index.at[place][own], value_at[own], of_value, index, n)
+    light = live & ~many
+    if light.any():
+        # values of wanted items only, before their places in the text are multiplied out
+        keep = np.logical_or.reduceat(light[index.item], index.first)[at]
+        out += by_pairs(pos[keep], at[keep], index, light)
+    return out
+
+
+def by_pairs(pos: np.ndarray, at: np.ndarray, index: Grams, wanted: np.ndarray) -> list[Region]:
     place = index.places(at)
     item, ipos, tpos = index.item[place], index.at[place], np.repeat(pos, index.count[at])
-    if items is not None:
-        keep = wanted[item]
-        item, ipos, tpos = item[keep], ipos[keep], tpos[keep]
+    keep = wanted[item]
+    item, ipos, tpos = item[keep], ipos[keep], tpos[keep]
+    if not len(item):
+        return []
     width = index.band
     b = (tpos - ipos) // width + (1 << 20)
     keys = np.concatenate([(item << 40) | b, (item << 40) | (b - 1)])
@@ -183,9 +203,32 @@ def candidates(pos: np.ndarray, at: np.ndarray, index: Grams, items: np.ndarray
         k, start = key >> 40, ((key & ((1 << 40) - 1)) - (1 << 20)) * width
         places = np.sort(ipos[both[part]])
         for s, e, bud in index.of_item[k]:
-            shared = np.searchsorted(places, e - index.q, "right") - np.searchsorted(places, s, "left")
+            shared = int(np.searchsorted(places, e - index.q, "right") - np.searchsorted(places, s, "left"))
             if shared >= index.shared(s, e, bud):
-                out.append((k, s, e, bud, start))
+                out.append((k, s, e, bud, start, start + 2 * width, shared))
+    return out
+
+
+def by_diagonals(k: int, places: np.ndarray, values: np.ndarray, of_value: dict[int, np.ndarray], index: Grams, n: int) -> list[Region]:
+    """As ``by_pairs``, for one item: a 1 for each place of a value in the text, shifted by its place in the item, and summed."""
+    width, length = index.band, int(index.length[k])
+    marks: dict[int, np.ndarray] = {}
+    for v in set(values.tolist()):
+        marks[v] = np.zeros(n, np.int16)
+        marks[v][of_value[v]] = 1
+    # diagonals from -low on, low a multiple of the bands' width
+    low = -(-length // width) * width
+    total = low + n + 3 * width
+    out: list[Region] = []
+    for s, e, bud in index.of_item[k]:
+        on = np.zeros(total - total % width, np.int32)
+        inside = (places >= s) & (places <= e - index.q)
+        for i, v in zip(places[inside].tolist(), values[inside].tolist()):
+            on[low - i : low - i + n] += marks[v]
+        cells = on.reshape(-1, width).sum(1)
+        shared = cells[:-1] + cells[1:]
+        for c in np.nonzero(shared >= index.shared(s, e, bud))[0].tolist():
+            out.append((k, s, e, bud, c * width - low, (c + 2) * width - low, int(shared[c])))
     return out
 
 
@@ -228,40 +271,50 @@ def find_items(text: str | None, index: Index) -> list[tuple[int, int, int]]:
 
 
 def find_grams(raw: bytes, index: Grams) -> list[tuple[int, int, int]]:
-    """As ``find_items``, for one length of q-grams. Beside an exact piece of an item no other can be the
-    best; where a text repeats itself so much that q-grams would pair up without end, exact ones
-    are looked for first, and only the items that are left are paired."""
+    """As ``find_items``, for one length of q-grams.
+
+    Beside an exact piece of an item no other can be the best. Other regions are verified by falling number of shared q-grams, which
+    bounds their edits from below (each edit spoils at most q), until no region that is left can be better.
+    """
     pos, at = common(raw, index)
     best: dict[int, tuple[int, int]] = {}
-    left = None
-    if int(index.count[at].sum()) > MANY_PAIRS:
-        items = possible(at, index)
-        for k in items.tolist():
-            found = [f for f in (raw.find(index.raws[k][s:e]) for s, e, _ in index.of_item[k]) if f >= 0]
-            if found:
-                best[k] = (0, min(found))
-        left = np.array([k for k in items.tolist() if k not in best], np.int64)
-    tried: set[tuple[int, int, int]] = set()
-    inexact: dict[int, list[tuple[int, int, int, bytes, bytes]]] = {}
-    for k, s, e, bud, start in candidates(pos, at, index, left):
-        lo, hi = max(0, s + start - bud), min(len(raw), e + start + 2 * index.band + bud)
-        if (k, s, lo) in tried or hi <= lo:
+    of_piece: dict[tuple[int, int], list[Region]] = {}
+    for r in candidates(pos, at, index, max(0, len(raw) - index.q + 1)):
+        of_piece.setdefault((r[0], r[1]), []).append(r)
+    waiting: dict[int, list[tuple[int, int, int, Region]]] = {}
+    for (k, s), regions in of_piece.items():
+        piece = index.raws[k][s : regions[0][2]]
+        found = raw.find(piece)
+        if found >= 0:
+            best[k] = min(best.get(k, (0, found)), (0, found))
             continue
-        tried.add((k, s, lo))
-        piece, region = index.raws[k][s:e], raw[lo:hi]
-        exact = region.find(piece)
-        if exact >= 0:
-            best[k] = min(best.get(k, (0, lo + exact)), (0, lo + exact))
-        else:
-            inexact.setdefault(e - s, []).append((k, lo, bud, piece, region))
-    for jobs in inexact.values():
-        jobs = [j for j in jobs if best.get(j[0], (1, 0))[0] > 0]
-        for x in range(0, len(jobs), 256):
-            some = jobs[x : x + 256]
-            edits = banded([j[3] for j in some], [j[4] for j in some], [j[2] for j in some])
-            for (k, lo, *_), n in zip(some, edits.tolist()):
-                if n >= 0:
-                    best[k] = min(best.get(k, (n, lo)), (n, lo))
+        tried: set[tuple[int, int]] = set()
+        for r in regions:
+            _, _, e, bud, start, stop, shared = r
+            lo, hi = max(0, s + start - bud), min(len(raw), e + stop + bud)
+            if hi > lo and (lo, hi) not in tried:
+                tried.add((lo, hi))
+                # no piece is there exactly
+                least = max(1, -(-(e - s + 1 - index.q - shared) // index.q))
+                waiting.setdefault(k, []).append((least, lo, hi, r))
+    for k in [k for k in waiting if k in best]:
+        del waiting[k]
+    for rows in waiting.values():
+        rows.sort(reverse=True)
+    while waiting:
+        jobs: dict[int, list[tuple[int, int, int, bytes, bytes]]] = {}
+        for k, rows in waiting.items():
+            for _ in range(min(ROUND, len(rows))):
+                _, lo, hi, (_, s, e, bud, *_) = rows.pop()
+                jobs.setdefault(e - s, []).append((k, lo, bud, index.raws[k][s:e], raw[lo:hi]))
+        for some in jobs.values():
+            for x in range(0, len(some), 256):
+                part = some[x : x + 256]
+                edits = banded([j[3] for j in part], [j[4] for j in part], [j[2] for j in part])
+                for (k, lo, *_), n in zip(part, edits.tolist()):
+                    if n >= 0:
+                        best[k] = min(best.get(k, (n, lo)), (n, lo))
+        waiting = {k: rows for k, rows in waiting.items() if rows and (k not in best or rows[-1][0] < best[k][0])}
     return [(int(index.ids[k]), at, edits) for k, (edits, at) in best.items()]
 
 
