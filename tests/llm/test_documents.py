@@ -666,6 +666,44 @@ def test_repeated_letters_are_no_quadratic_case():
     assert time.time() - began < 0.5
 
 
+@pytest.mark.parametrize("n, size, seconds", [(60, 2048, 0.6), (60, 8192, 1.0), (600, 2048, 3.0)])
+def test_nearly_repeated_letters_are_no_quadratic_case(n, size, seconds):
+    """One other letter in each item, so that none is there exactly; all are within their budget."""
+    import time
+
+    items = [(k, "".join("a" if i != 7 + k % 50 else "bcdefgh"[k % 7] for i in range(60 + k % 37))) for k in range(n)]
+    index = decontaminate.Index(items)
+    text = "a" * (size // 2) + "b" + "a" * 300 + "cc" + "a" * (size // 2 - 303)
+    for t in ("a" * size, text):
+        began = time.time()
+        got = decontaminate.find_items(t, index)
+        assert time.time() - began < seconds
+        assert len(got) == n
+        if size == 2048 and n == 60:
+            raws = {k: decontaminate.normalise(x) for k, x in items}
+            for k, _, edits in got[::6]:
+                assert edits == min(edit_distance_in(raws[k][s:e], t.encode()) for s, e in decontaminate.pieces(raws[k]))
+
+
+def test_both_ways_of_counting_find_the_same_regions():
+    rng = random.Random(8)
+    for _ in range(60):
+        items = [(k, "".join(rng.choice("ab" if rng.random() < 0.9 else "abc") for _ in range(rng.randint(45, 200)))) for k in range(4)]
+        grams = decontaminate.Grams([(k, decontaminate.normalise(t)) for k, t in items], 8)
+        text = "".join(rng.choice("ab") for _ in range(300)) + items[0][1][:120] + "".join(rng.choice("ab") for _ in range(100))
+        g = decontaminate.grams(text.encode())
+        at = np.searchsorted(grams.values, g)
+        at[at == len(grams.values)] = 0
+        pos = np.nonzero(grams.values[at] == g)[0]
+        at = at[pos]
+        pairs = decontaminate.by_pairs(pos, at, grams, np.ones(4, bool))
+        place = grams.places(np.unique(at))
+        value = np.repeat(np.unique(at), grams.count[np.unique(at)])
+        of_value = {int(v): pos[at == v] for v in np.unique(at)}
+        sums = [r for k in range(4) for r in decontaminate.by_diagonals(k, grams.at[place][grams.item[place] == k], value[grams.item[place] == k], of_value, grams, len(g))]
+        assert sorted(pairs) == sorted(sums)
+
+
 def test_contamination_takes_any_columns_and_repeated_rows(spark):
     df = spark.createDataFrame([("x" * 3, "the benchmark passage number one is here", 1, 2), ("y", None, 1, 2), ("y", None, 1, 2), ("z", "w" * 200_000 + " the benchmark passage number one is here", 3, 4)], "`a.b` string, text string, hits int, _hits_0 int")
     bench = spark.createDataFrame([(5, "benchmark passage number one"), (5, "benchmark passage number one")], "item_id long, text string")
@@ -791,6 +829,8 @@ def test_webp_copies_match_a_plain_decoder():
 
 
 def test_webp_rejects_damage():
+    for n in (0, 1, 63, 64, 65, 127, 128, 129):
+        assert len(webp.payload_of("x" * n)[0]) == {0: 64, 1: 64, 63: 64, 64: 64, 65: 128, 127: 128, 128: 128, 129: 192}[n]
     good = webp.encode_payloads([webp.payload_of("hello " * 50)[0]])[0]
     for bad in (b"RIFF", good[:40], good.replace(b"WEBP", b"WAVE")):
         with pytest.raises((ValueError, IndexError)):
@@ -807,6 +847,8 @@ def test_media_round_trip(spark, odd, nothing):
         by[r["payload_sha256"]].add((r["media_sha256"], r["feature"], r["tail_crc32"], r["media_bytes"]))
         assert r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > r["n_bytes"] - 1 and hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"]
     assert all(len(v) == 1 for v in by.values())
-    want = collections.Counter(hashlib.sha256(webp.payload_of(t)[0]).hexdigest() for _, t in texts)
+    # by hand: zeros up to the least of 64, 128, ... that is no less than the text
+    size = lambda n: next(k for k in range(64, n + 128, 64) if k >= n)
+    want = collections.Counter(hashlib.sha256((t or "").encode().ljust(size(len((t or "").encode())), b"\0")).hexdigest() for _, t in texts)
     assert collections.Counter(r["payload_sha256"] for r in got) == want
     assert webp.media_features(nothing).count() == 0

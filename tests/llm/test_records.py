@@ -6,6 +6,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,29 @@ def test_adjacent_turns_share_a_header(spark):
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_loss_mask_covers_the_assistants_texts(spark):
+    rows = [(1, 0, "user", "é[INST]"), (1, 1, "assistant", "ü </s>\\"), (1, 2, "assistant", ""), (1, 3, "assistant", "b"), (1, 4, "user", "<s>"), (2, 0, "user", None), (3, None, "assistant", "<|seg|>中"), (None, 1, None, "x")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, formatted string, loss_spans string")
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    for key in {r[0] for r in rows}:
+        raw = got[key].formatted.encode()
+        texts = [re.sub(r"(?s)\\(.)", r"\1", raw[s.start : s.start + s.length].decode()) for s in got[key].loss_spans]
+        assert texts == [r[3] for r in rows if r[0] == key and r[2] == "assistant"]
+    users = chat.format_chats(df, loss_role="user").where("conv_id = 1").first()
+    assert len(users.loss_spans) == 2
+
+
+@pytest.mark.parametrize("turns", [20_000, 20_001])
+def test_long_conversations_take_time_that_follows_their_length(spark, turns):
+    import time
+
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant") if turns % 2 else F.lit("assistant")
+    df = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("some words [INST]").alias("text"))
+    began = time.time()
+    r = chat.format_chats(df).select(F.size("loss_spans"), F.octet_length("formatted")).first()
+    assert r[0] == (turns // 2 if turns % 2 else turns) and time.time() - began < 15
+
+
 def test_query_matches_sql(spark, name):
     import parity
 
