@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.plans import testbed
+from gossamer.plugins import Plugin, Registry
 from gossamer.session import scratch, table
-from gossamer.sources import committed, crawling
+from gossamer.sources import committed, crawling, runs
 from gossamer.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,18 @@ def _(spark, d):
     e = table(spark, d, "events")
     out = limiter.live_counts(e.select(F.col("user_id").alias("run"), F.col("event_type").alias("type"), "ts"), width="1 hour")
     return out.withColumn("start", F.col("start").cast(e.schema["ts"].dataType))
+
+
+@query("x2_whole_run", SQL["g2_crawl_site"].split("told AS (")[0].rstrip().rstrip(",") + """
+    SELECT '/p/' || final AS url, 10e0 * depth AS score, 1e0 AS weight FROM v WHERE answers AND final % 11 <> 10""")
+def _(spark, d):
+    """Rows that a plugin keeps of the pages that a whole run has parsed; another plugin fails, a third sets the depth."""
+    keeps = Plugin("keeps", scores=True, hooks={"on_page_parsed": lambda ctx, parsed: parsed.select("url", (F.col("depth") * 10.0).alias("score"))})
+    fails = Plugin("fails", hooks={"on_graph_built": lambda ctx, g: 1 / 0})
+    policy = Plugin("policy", hooks={"on_crawl_start": lambda ctx: ctx.policy.update(depth=3)})
+    store = committed.CommittedStore(spark, scratch(spark, "store"))
+    pages = table(spark, d, "pages")
+    sitemap = pages.where("page_id % 50 = 3").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("loc"), F.col("page_id").alias("place"))
+    runs.run_crawl(spark, store, f"{SITE}/p/0", crawling.from_archive(site_archive(spark, d)), Registry([keeps, fails, policy]), crawling.Options(limit=1_000_000, depth=1), ROBOTS, sitemap)
+    st = store.load()
+    return st.plugin_rows.where("plugin = 'keeps'").join(st.pages.select(F.col("id").alias("url_id"), F.col("normalized_url").alias("url")), "url_id").select("url", "score", "weight")

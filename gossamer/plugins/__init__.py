@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 RESERVED = {"id", "snapshot_id", "url_id", "score", "weight", "created_at"}
 KINDS = {"INTEGER": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType()}
 #: The points of a run at which plugins are called: of a page alone, of a crawl alone, of both.
-PAGE_ONLY, CRAWL_ONLY, ANY = {"on_page"}, {"on_crawl_start", "on_page_parsed", "on_graph_built", "on_metrics", "should_enqueue"}, {"on_init", "on_report", "on_discovery"}
+PAGE_ONLY, CRAWL_ONLY, ANY = {"on_page"}, {"on_crawl_start", "on_page_parsed", "on_graph_built", "on_metrics", "on_report", "should_enqueue"}, {"on_init", "on_discovery"}
 
 
 @dataclass

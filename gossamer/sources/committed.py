@@ -28,7 +28,7 @@ KEEP, KEEP_SINGLE = 5, 5
 
 SCHEMAS = {
     "sites": "id bigint, domain string, created_at timestamp",
-    "snapshots": "id bigint, site_id bigint, run_type string, status string, created_at timestamp, node_count bigint, edge_count bigint, limit_reached int, health_score double, orphan_count bigint",
+    "snapshots": "id bigint, site_id bigint, run_type string, status string, created_at timestamp, node_count bigint, edge_count bigint, limit_reached int, health_score double, orphan_count bigint, total_score double",
     "pages": """id bigint, site_id bigint, normalized_url string, first_seen bigint, last_seen bigint, http_status bigint, canonical_url string, noindex int, nofollow int, content_hash string, simhash bigint, etag string, last_modified string,
         retries int, bytes bigint, security_error string, redirect_chain string, depth bigint, is_internal int, crawl_trap_flag int""",
     "metrics": """snapshot_id bigint, page_id bigint, crawl_status string, word_count bigint, thin_content_score double, external_link_ratio double, pagerank_score double, auth_score double, hub_score double, link_role string,

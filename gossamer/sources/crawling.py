@@ -44,7 +44,8 @@ class Options:
 
 @dataclass(frozen=True)
 class Crawl:
-    """pages by url (path of the site, address elsewhere), edges, metrics of pages, and visits in their order."""
+    """pages by url (path of the site, address elsewhere), edges, metrics of pages, visits in their order, and what was
+    parsed (url, depth, status, parsed)."""
 
     pages: DataFrame
     edges: DataFrame
@@ -53,6 +54,7 @@ class Crawl:
     crawled: int
     limit_reached: bool
     folder: str
+    parsed: DataFrame | None = None
 
 
 def from_archive(responses: DataFrame) -> Fetch:
@@ -185,7 +187,7 @@ def crawl(spark: SparkSession, start: str, fetch: Fetch, options: Options = Opti
         raise ValueError("nothing is in scope")
     done = spark.read.parquet(*[f"{folder}/visited-{k}" for k in range(levels)])
     links = links_of(done)
-    return Crawl(_pages(queued, done, links, site, previous), _edges(done, links, site), _metrics(done, previous), done.select("depth", "place", "url", "blocked"), crawled, reached, folder)
+    return Crawl(_pages(queued, done, links, site, previous), _edges(done, links, site), _metrics(done, previous), done.select("depth", "place", "url", "blocked"), crawled, reached, folder, done.where("parsed is not null").select(F.coalesce("final", "url").alias("url"), "depth", "status", "parsed"))
 
 
 def _hops(done: DataFrame, site: str) -> DataFrame:
