@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer.plans import testbed
+from gossamer.plans.data_queries import NORM
 from gossamer.plugins import Plugin, Registry
 from gossamer.session import scratch, table
-from gossamer.sources import committed, crawling, runs
+from gossamer.sources import committed, crawling, formats, runs
+from gossamer.sources.connectors import expand_sitemaps
 from gossamer.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +178,58 @@ def _(spark, d):
     runs.run_crawl(spark, store, f"{SITE}/p/0", crawling.from_archive(site_archive(spark, d)), Registry([keeps, fails, policy]), crawling.Options(limit=1_000_000, depth=1), ROBOTS, sitemap)
     st = store.load()
     return st.plugin_rows.where("plugin = 'keeps'").join(st.pages.select(F.col("id").alias("url_id"), F.col("normalized_url").alias("url")), "url_id").select("url", "score", "weight")
+
+
+# -- files in their own formats -------------------------------------------------------------------
+
+
+def _as_files(texts: DataFrame, label: str) -> str:
+    """Each text of a one-column table as a file of its own; the folder."""
+    folder = scratch(texts.sparkSession, label)
+    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    formats.register(texts.sparkSession)
+    return folder
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in groups of at most a hundred, each of which becomes a file."""
+    return table(spark, d, "supplier").withColumn("part", F.floor(F.col("s_suppkey") / 100))
+
+
+@query("a10_graph_format", "SELECT 's' || s_suppkey AS source, 'n' || s_nationkey AS target, s_suppkey % 10 / 1e1 AS weight FROM supplier WHERE s_suppkey % 10 >= 5")
+def _(spark, d):
+    """Exported graphs read as a format; the bound on the weight is pushed to the reader."""
+    node, edge = F.concat(F.lit("s"), F.col("s_suppkey")), F.concat(F.lit("n"), F.col("s_nationkey"))
+    nodes = F.collect_list(F.struct(node.alias("url"), F.lit(1).alias("depth"), F.lit(200).alias("status")))
+    edges = F.collect_list(F.struct(node.alias("source"), edge.alias("target"), (F.col("s_suppkey") % 10 / 10).alias("weight")))
+    texts = _suppliers(spark, d).groupBy("part").agg(F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"))).alias("text")).select("text")
+    return spark.read.format("graph-json").load(_as_files(texts, "graphs")).where("kind = 'edge' and weight >= 0.5").select("source", "target", "weight")
+
+
+@query("a12_robots_format", "SELECT 'disallow' AS kind, '/s/' || s_suppkey AS value FROM supplier")
+def _(spark, d):
+    rules = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("Disallow: /s/"), F.col("s_suppkey")))), "\n")
+    texts = _suppliers(spark, d).groupBy("part").agg(F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\n"), rules, F.lit("\nSitemap: http://e/s.xml")).alias("text")).select("text")
+    return spark.read.format("robots").load(_as_files(texts, "robots")).where("agent = '*'").select("kind", "value")
+
+
+@query("a13_sitemap_format", "SELECT 'http://e/' || s_suppkey || '?a=1&b=2' AS loc FROM supplier")
+def _(spark, d):
+    locs = F.array_join(F.collect_list(F.concat(F.lit("<url><loc>http://e/"), F.col("s_suppkey"), F.lit("?a=1&amp;b=2</loc></url>"))), "")
+    texts = _suppliers(spark, d).groupBy("part").agg(F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("text")).select("text")
+    return spark.read.format("sitemap").load(_as_files(texts, "sitemaps")).where("kind = 'url'").select("loc")
+
+
+@query("a13_sitemap_expansion", f"SELECT DISTINCT {NORM} AS url FROM pages WHERE {NORM} IS NOT NULL")
+def _(spark, d):
+    """An index of indexes of the pages' addresses, ten a file and ten files an index, opened to the last."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("k"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
+    loc = lambda tag, x: F.concat(F.lit(f"<{tag}><loc>"), x, F.lit(f"</loc></{tag}>"))
+    whole = lambda root, x: F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list(x), ""), F.lit(f"</{root}>")).alias("xml")
+    named = lambda name, k: F.concat(F.lit(name), k.cast("string"))
+    pages = p.groupBy(F.floor(F.col("k") / 10).alias("f")).agg(whole("urlset", loc("url", F.col("u"))))
+    files = pages.select(named("f", F.col("f")).alias("url"), "xml")
+    middle = pages.groupBy(F.floor(F.col("f") / 10).alias("g")).agg(whole("sitemapindex", loc("sitemap", named("f", F.col("f")))))
+    first = middle.groupBy().agg(whole("sitemapindex", loc("sitemap", named("g", F.col("g"))))).select(F.lit("root").alias("url"), "xml")
+    every = files.unionByName(middle.select(named("g", F.col("g")).alias("url"), "xml")).unionByName(first)
+    return expand_sitemaps(every, ["root"], limit=1_000_000).select("url")

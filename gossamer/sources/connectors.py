@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gossamer.functions.url import normalize_url
 from gossamer.operators.graph import SiteGraph
+from gossamer.session import materialize
 
 
 def read_graph_json(spark: SparkSession, path: str) -> SiteGraph:
@@ -28,20 +28,47 @@ def sitemap_urls(xml: Column) -> Column:
     return F.when(ok, locs).otherwise(F.array().cast("array<string>"))
 
 
+def sitemap_parts(xml: Column) -> Column:
+    """(index, locs): the files of an index, or the urls of any other sitemap; what does not look like XML has none."""
+    looks = F.ltrim(F.regexp_replace(xml, r"^\s+", "")).startswith("<")
+    one = r"(?is)<{tag}\b[^>]*>(?:(?!</{tag}>).)*?<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"
+    locs = lambda tag: F.filter(F.transform(F.regexp_extract_all(xml, F.lit(one.replace("{tag}", tag)), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
+    none = F.array().cast("array<string>")
+    files = F.when(looks, locs("sitemap")).otherwise(none)
+    index = F.coalesce(F.size(files) > 0, F.lit(False))
+    return F.struct(index.alias("index"), F.coalesce(F.when(index, files).when(looks, locs("url")), none).alias("locs"))
+
+
 def expand_sitemaps(files: DataFrame, roots: list[str], limit: int = 50) -> DataFrame:
-    """Pages reachable from sitemaps, level by level; ``files`` is (url, xml). Each file is read once."""
+    """(url, place) of the pages that sitemaps lead to, each once; ``files`` is (url, xml), ``roots`` names the first of them.
+
+    An index leads to its files, level by level in the order of their names there; at most ``limit`` files are opened, first
+    come, and none twice. Every file is told apart and taken to pieces once. ``place`` follows that order; urls are
+    normalised, and what is no address is left out.
+    """
     spark = files.sparkSession
-    seen: set[str] = set()
-    level, pages = list(dict.fromkeys(roots)), None
-    while level and len(seen) < limit:
-        level = [u for u in level if u not in seen][: limit - len(seen)]
-        seen |= set(level)
-        here = files.join(F.broadcast(spark.createDataFrame([(u,) for u in level] or [("",)], "url string")), "url").select("xml", F.explode(sitemap_urls(F.col("xml"))).alias("loc"))
-        index = F.col("xml").rlike(r"(?i)<sitemapindex[\s>]")
-        found = here.where(~index).select(F.col("loc").alias("url"))
-        pages = found if pages is None else pages.unionByName(found)
-        level = [r[0] for r in here.where(index).select("loc").distinct().limit(limit + 1).collect()]
-    return pages.distinct() if pages is not None else spark.createDataFrame([], "url string")
+    one = lambda df: df.groupBy("url").agg(F.first("xml").alias("xml"))
+    parts = materialize(one(files.where("xml is not null")).select("url", sitemap_parts(F.col("xml")).alias("p")).select("url", "p.*"), "sitemaps")
+    names = list(dict.fromkeys(roots))
+    level = spark.createDataFrame([(u, 0, i) for i, u in enumerate(names)], "url string, up long, pos int")
+    seen, opened = None, 0
+    while True:
+        # no level has more rows than the limit leaves
+        fresh = level if seen is None else level.join(seen.select("url"), "url", "left_anti")
+        fresh = fresh.orderBy("up", "pos").limit(limit - opened)
+        now = materialize(fresh.select("url", (F.lit(opened) + F.row_number().over(Window.orderBy("up", "pos"))).cast("long").alias("place")), "sitemap-level")
+        n = now.count()
+        opened += n
+        if n == 0:
+            break
+        read = now.join(parts, "url", "left")
+        seen = read if seen is None else seen.unionByName(read)
+        level = read.where("index").select(F.col("place").alias("up"), F.posexplode("locs").alias("pos", "url")).groupBy("url").agg(F.min(F.struct("up", "pos")).alias("m")).select("url", "m.*")
+    if seen is None:
+        return spark.createDataFrame([], "url string, place long")
+    urls = seen.where("not index").select("place", F.posexplode("locs").alias("pos", "loc"))
+    found = urls.select(normalize_url(F.col("loc")).alias("url"), F.shiftleft("place", 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
+    return found.where("url is not null").groupBy("url").agg(F.min("place").alias("place"))
 
 
 class Robots:
