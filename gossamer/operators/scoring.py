@@ -45,6 +45,24 @@ def site_score(seo: Column, authority: Column, entropy: Column, orphan_share: Co
     return F.when(any_blocked, F.lit(0.0)).otherwise(grid(seo * 0.7 + structure * 0.3, 2))
 
 
+def site_scores(pages: DataFrame, deg: DataFrame, metrics: DataFrame, top: int = 10) -> DataFrame:
+    """One row: seo (mean page score), authority (mean of the first ``top``), entropy, orphan_share and overall.
+
+    ``pages`` has seo and blocked, ``deg`` in_links, ``metrics`` is the row of ``graph.graph_metrics``.
+    """
+    from gossamer.operators.graph import authority
+
+    c = F.col
+    most = deg.agg(F.max("in_links").alias("_most"))
+    # the first pages by links in are the first by authority, which rises with them
+    first = deg.orderBy(c("in_links").desc_nulls_last()).limit(top).crossJoin(F.broadcast(most)).agg(F.coalesce(F.avg(authority(c("in_links"), c("_most"))), F.lit(0.0)).alias("authority"))
+    seo = pages.agg(F.coalesce(F.avg("seo"), F.lit(0.0)).alias("seo"), F.coalesce(F.bool_or("blocked"), F.lit(False)).alias("_blocked"))
+    share = F.coalesce(F.try_divide(c("orphans"), c("pages")), F.lit(0.0))
+    # one row each
+    one = seo.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(metrics.select("entropy", share.alias("orphan_share"))))
+    return one.select("seo", "authority", "entropy", "orphan_share", site_score(c("seo"), c("authority"), c("entropy"), c("orphan_share"), c("_blocked")).alias("overall"))
+
+
 def health(pages: Column, counts: dict[str, Column]) -> Column:
     """score (one digit), label and penalties of a row of issue counts."""
     safe = F.greatest(pages, F.lit(1)).cast("double")

@@ -390,6 +390,24 @@ def overview(st: Store, snapshot: int, origin: str) -> DataFrame:
     return pages_with_metrics(st, snapshot).where("is_internal = 1").agg(F.count(F.lit(1)).alias("total_pages"), *[F.count_if(v).alias(k) for k, v in counts.items()])
 
 
+def issue_facts(st: Store, snapshot: int, origin: str, parsed: DataFrame) -> DataFrame:
+    """What ``scoring.issue_counts`` counts, of a snapshot's pages; ``parsed`` is (id, n_h1, missing_alts) of pages with html."""
+    c = F.col
+    e = snapshot_edges(st, snapshot)
+    outside = e.groupBy(c("source_page_id").alias("id")).agg((F.count_if(c("rel") == "external") / F.count(F.lit(1))).alias("external_ratio"))
+    bad = st.pages.where("http_status >= 400").select(c("id").alias("target_page_id"))
+    to_bad = e.join(bad, "target_page_id", "left_semi").groupBy(c("source_page_id").alias("id")).agg(F.count_distinct("target_page_id").alias("broken_links"))
+    rows = pages_with_metrics(st, snapshot)
+    for more in (link_counts(st, snapshot, None, True), outside, to_bad, parsed):
+        rows = rows.join(more, "id", "left")
+    whole = F.when(c("canonical_url").startswith("/"), F.concat(F.lit(origin), c("canonical_url"))).otherwise(c("canonical_url"))
+    return rows.select(
+        "id", (c("is_internal") == 1).alias("internal"), c("http_status").alias("status"), "crawl_status", (c("crawl_trap_flag") == 1).alias("trap"), F.coalesce(F.json_array_length("redirect_chain"), F.lit(0)).alias("redirects"),
+        whole.alias("canonical"), F.when(c("normalized_url").startswith("/"), F.concat(F.lit(origin), c("normalized_url"))).otherwise(c("normalized_url")).alias("url"), (c("noindex") == 1).alias("noindex"), "in_links", "out_links", "depth", "n_h1", c("word_count").alias("words"),
+        F.coalesce("external_ratio", F.lit(0.0)).alias("external_ratio"), "missing_alts", F.coalesce("broken_links", F.lit(0)).alias("broken_links"),
+    )
+
+
 def duplicate_pages(st: Store) -> DataFrame:
     return st.metrics.groupBy("snapshot_id").agg(F.count_if(F.col("duplicate_cluster_id").isNotNull() & (F.col("is_cluster_primary") == 0)).alias("duplicates"))
 

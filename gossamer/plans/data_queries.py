@@ -20,6 +20,7 @@ from gossamer.operators import ranking as R
 from gossamer.operators import scoring as C
 from gossamer.operators import store as O
 from gossamer.plans import testbed
+from gossamer.plans.site_queries import ORIGIN
 from gossamer.plugins import Plugin, Registry, blend, roll_up, signals_plugin
 from gossamer.session import materialize, table
 from gossamer.sources.connectors import pagespeed_summary
@@ -144,9 +145,15 @@ def _(spark, d):
     return U.trap_flags(rows, "url", "event_id").select("event_id", "trap_risk", "trap_type")
 
 
-@query("f5_j9_lookup_candidates")
+PORT = "regexp_extract(url, '^[A-Za-z]+://[^/?#:]*:([0-9]+)', 1)"
+SITE = f"{SCHEME} || '://' || {HOST} || CASE WHEN {PORT} = '' OR ({SCHEME} = 'http' AND {PORT} = '80') OR ({SCHEME} = 'https' AND {PORT} = '443') THEN '' ELSE ':' || {PORT} END"
+
+
+@query("f5_j9_lookup_candidates", f"""WITH r AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS rest, {SITE} AS site FROM pages), p AS (SELECT *, CASE WHEN rest = '' THEN '/' WHEN rest LIKE '/%' THEN rest ELSE '/' || rest END AS p FROM r),
+    s AS (SELECT *, CASE WHEN length(p) > 1 AND p LIKE '%/' THEN left(p, length(p) - 1) ELSE p END AS short, CASE WHEN p LIKE '%/' THEN p ELSE p || '/' END AS long FROM p), l AS (SELECT page_id, [url, p, short, long, site || short] AS l FROM s)
+    SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS candidates FROM l""")
 def _(spark, d):
-    return pages(spark, d).select("page_id", U.lookup_candidates(F.col("url"), U.origin(F.col("url"))).alias("candidates"))
+    return pages(spark, d).select("page_id", F.array_join(U.lookup_candidates(F.col("url"), U.origin(F.col("url"))), " ").alias("candidates"))
 
 
 # -- text -------------------------------------------------------------------------------------------
@@ -339,11 +346,17 @@ def _(spark, d):
     return pages(spark, d).select("page_id", C.low_value(F.col("url"), F.lit(None).cast("string"), F.col("page_id") % 9 == 0).alias("low"))
 
 
-@query("l11_transport_audit")
+@query("l11_transport_audit", """WITH x AS (SELECT c_custkey AS k, c_acctbal AS b, k % 9 <> 0 AS https, k % 11 <> 0 AS ok, k % 90 AS days, k % 101 AS head FROM (SELECT *, c_custkey AS k FROM customer)),
+    y AS (SELECT *, CASE WHEN https THEN 15 ELSE 0 END + CASE WHEN https AND ok THEN 15 ELSE 0 END - CASE WHEN https AND days BETWEEN 0 AND 29 THEN 5 ELSE 0 END AS transport,
+      CASE WHEN k % 4 = 0 THEN 5 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN b < 800 THEN 10 ELSE 0 END + CASE WHEN k % 6 <= 3 THEN 5 ELSE 0 END + CASE WHEN k * 1000 < 1048576 THEN 5 ELSE 0 END AS speed, CASE WHEN k % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN k % 3 > 1 THEN 10 ELSE 0 END AS base,
+      list_filter([CASE WHEN NOT https THEN 'no-https' END, CASE WHEN https AND days BETWEEN 0 AND 29 THEN 'cert-expiring-soon' END, CASE WHEN https AND NOT ok THEN 'cert-invalid' END, CASE WHEN k % 2 <> 0 THEN 'hsts-missing' END, CASE WHEN k % 3 <> 0 THEN 'csp-missing' END, CASE WHEN k % 4 <> 0 THEN 'no-h2' END,
+        CASE WHEN k % 5 <> 0 THEN 'no-compression' END, CASE WHEN b >= 800 THEN 'slow-ttfb' END, CASE WHEN k % 6 > 3 THEN 'too-many-redirects' END, CASE WHEN k * 1000 >= 1048576 THEN 'large-html' END, CASE WHEN k % 7 <> 0 THEN 'no-ipv6' END, CASE WHEN k % 3 <= 1 THEN 'single-ip' END], lambda i: i IS NOT NULL) AS issues FROM x),
+    z AS (SELECT *, CAST(floor(CASE WHEN NOT https OR NOT ok THEN least(39e0, transport + head / 1e2 * 20 + speed + base) ELSE transport + head / 1e2 * 20 + speed + base END + 5e-1) AS BIGINT) AS score FROM y)
+    SELECT k AS c_custkey, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade, array_to_string(issues, ' ') AS issues FROM z""")
 def _(spark, d):
     k = F.col("c_custkey")
     a = C.transport_audit(F.when(k % 9 != 0, F.lit(1.3)), k % 9 != 0, k % 11 != 0, (k % 90).cast("int"), (k % 101).cast("int"), k % 2 == 0, k % 3 == 0, k % 4 == 0, k % 5 == 0, F.col("c_acctbal"), k % 6, k * 1000, k % 7 == 0, k % 3)
-    return table(spark, d, "customer").select("c_custkey", a.alias("a")).select("c_custkey", "a.*")
+    return table(spark, d, "customer").select("c_custkey", a.alias("a")).select("c_custkey", "a.score", "a.grade", F.array_join("a.issues", " ").alias("issues"))
 
 
 @query("x7_score_roll_up", testbed.for_duckdb("SELECT snapshot_id, sum(score * weight) AS weighted, floor((50 * 100 + sum(score * weight)) / (100 + sum(weight)) * 10 + 5e-1) / 10 AS total FROM plugin_rows WHERE score IS NOT NULL GROUP BY snapshot_id"))
@@ -498,13 +511,19 @@ def _(spark, d):
     return D.representatives(c)
 
 
-@query("e27_shared_prefix")
+@query("e27_shared_prefix", f"""WITH p AS (SELECT page_id, {HOST} AS cluster, list_filter(string_split({PATH}, '/'), lambda s: s <> '') AS l FROM pages), n AS (SELECT cluster, count(*) AS n FROM p GROUP BY cluster),
+    k AS (SELECT cluster, i, min(l[i]) AS lo, max(l[i]) AS hi, count(l[i]) AS k FROM (SELECT cluster, l, unnest(range(1, len(l) + 1)) AS i FROM p) GROUP BY cluster, i),
+    o AS (SELECT k.*, bool_and(lo = hi AND k.k = n.n) OVER (PARTITION BY k.cluster ORDER BY i) AS ok FROM k JOIN n USING (cluster))
+    SELECT n.cluster, (SELECT '/' || string_agg(lo, '/' ORDER BY i) FROM o WHERE o.cluster = n.cluster AND ok) AS prefix FROM n""")
 def _(spark, d):
     p = pages(spark, d).select(U.host(F.col("url")).alias("cluster"), U.path(F.col("url")).alias("path"))
     return D.shared_prefix(p)
 
 
-@query("e28_cluster_risk")
+@query("e28_cluster_risk", f"""WITH m AS (SELECT {HOST} AS cluster, {TITLE} AS title, {H1S}[1] AS h1 FROM pages), b AS (SELECT cluster, count(*) AS n, count(coalesce(title, h1)) AS known FROM m GROUP BY cluster),
+    t AS (SELECT cluster, sum(k) AS r FROM (SELECT cluster, count(*) AS k FROM m WHERE trim(title) <> '' GROUP BY cluster, lower(trim(title)) HAVING count(*) > 1) GROUP BY cluster), h AS (SELECT cluster, sum(k) AS r FROM (SELECT cluster, count(*) AS k FROM m WHERE trim(h1) <> '' GROUP BY cluster, lower(trim(h1)) HAVING count(*) > 1) GROUP BY cluster),
+    x AS (SELECT b.*, greatest(coalesce(t.r, 0), coalesce(h.r, 0)) / CAST(n AS DOUBLE) AS top FROM b LEFT JOIN t USING (cluster) LEFT JOIN h USING (cluster))
+    SELECT cluster, CASE WHEN n <= 1 THEN 'low' WHEN known < n * 5e-1 THEN CASE WHEN n > 5 THEN 'high' WHEN n > 2 THEN 'medium' ELSE 'low' END WHEN top > 3e-1 THEN 'high' WHEN top > 0 OR n > 10 THEN 'medium' ELSE 'low' END AS risk FROM x""")
 def _(spark, d):
     p = pages(spark, d).select(U.host(F.col("url")).alias("cluster"), H.title(F.col("html")).alias("title"), F.try_element_at(H.h1s(F.col("html")), F.lit(1)).alias("h1"))
     return D.cluster_risk(p)
@@ -626,15 +645,22 @@ def _(spark, d):
 
 
 def analysis(spark, d):
-    """One row a page with what the reports count."""
-    h = F.col("html")
-    c = H.content(h)
-    n1 = F.size(H.h1s(h))
-    base = pages(spark, d).select("page_id", "url", H.title(h).alias("title"), H.text_status(H.title(h), 50, 60).alias("title_status"), n1.alias("n_h1"), c.words.alias("words"), X.grid(c.ratio).alias("ratio"), F.size(H.links(h)).alias("links"), F.struct(H.image_alts(h).total.alias("total"), (H.image_alts(h).missing + H.image_alts(h).blank).alias("bad")).alias("img"))
+    """One row a page with what the reports count, from one pass of the parser."""
+    c = H.content(F.col("html"))
+    parsed = pages(spark, d).select("page_id", "url", parse_html(F.col("html"), F.col("url")).alias("p"), c.words.alias("words"), X.grid(c.ratio).alias("ratio"))
+    # written once: the parser would run again for every use
+    parsed = materialize(parsed, "parsed-pages")
+    p = F.col("p")
+    n_links = p.internal_links + p.external_links
+    base = parsed.select(
+        "page_id", "url", p.title.alias("title"), H.text_status(p.title, 50, 60).alias("title_status"), H.text_status(p.description, 140, 160).alias("description_status"), F.size(p.h1s).alias("n_h1"), "words", "ratio", n_links.alias("links"),
+        F.coalesce(F.try_divide(p.external_links, n_links), F.lit(0.0)).alias("external_ratio"), F.when(p.jsonld == 0, "none").when(p.jsonld == p.jsonld_valid, "valid").otherwise("invalid").alias("structured"),
+        F.struct(p.images.alias("total"), (p.missing_alts + p.blank_alts).alias("bad")).alias("img"),
+    )
     base = D.mark_duplicates(base, "title", "same").withColumn("title_status", F.when(F.col("same"), "duplicate").otherwise(F.col("title_status")))
     thin = C.thin_content(F.col("words").cast("double"), F.col("ratio"), F.lit(0.0))
     h1 = F.when(F.col("n_h1") == 1, 100.0).when(F.col("n_h1") > 1, 60.0).otherwise(10.0)
-    return base.withColumn("thin", thin).withColumn("seo", C.page_seo(F.col("title_status"), F.lit("missing"), h1, F.col("words"), F.col("ratio"), F.col("thin"), F.col("img.total"), F.col("img.bad"), F.lit("none"), F.lit(0.0), F.lit(False)))
+    return base.withColumn("thin", thin).withColumn("seo", C.page_seo(F.col("title_status"), F.col("description_status"), h1, F.col("words"), F.col("ratio"), F.col("thin"), F.col("img.total"), F.col("img.bad"), F.col("structured"), F.col("external_ratio"), F.lit(False)))
 
 
 ANALYSIS = f"""a0 AS (SELECT page_id, {TITLE} AS title, CAST(len({H1S}) AS INT) AS n_h1, {WORDS.format(x=body_sql('nav', 'footer'))} AS words, {grid_sql('length(' + body_sql('nav', 'footer') + ') / length(html)')} AS ratio, CAST(len({LINKS.format(x='html')}) AS INT) AS links FROM pages),
@@ -655,19 +681,32 @@ def _(spark, d):
     return analysis(spark, d).agg(n(F.col("title_status") == "missing").alias("missing_titles"), n(F.col("thin") >= 70).alias("severe_thin"), n(F.col("n_h1") == 0).alias("missing_h1"), n(F.col("thin") >= 40).alias("thin"), n(F.col("words") < 300).alias("low_words"), n(F.col("links") < 3).alias("low_links"))
 
 
-@query("e22_l3_site_score")
+@query("e22_l3_site_score", f"""WITH {ANALYSIS}, {PAGE_NODES}, {DEG}, dd AS (SELECT *, length(id) - length(replace(id, '/', '')) AS depth FROM dg), h AS (SELECT out_links, count(*) AS n FROM dd GROUP BY out_links), t AS (SELECT count(*) AS n FROM dd),
+    v AS (SELECT (SELECT avg(seo) FROM a2) AS seo, (SELECT avg(ln(1 + in_links) / ln(1 + (SELECT max(in_links) FROM dd))) FROM (SELECT in_links FROM dd ORDER BY in_links DESC LIMIT 10)) AS authority,
+      (SELECT -sum(h.n / CAST(t.n AS DOUBLE) * log2(h.n / CAST(t.n AS DOUBLE))) FROM h, t) AS entropy, (SELECT count(*) FILTER (WHERE in_links = 0 AND depth > 0) / CAST(count(*) AS DOUBLE) FROM dd) AS orphan_share)
+    SELECT round(seo, 1) AS seo, round(authority, 6) AS authority, round(entropy, 6) AS entropy, round(orphan_share, 6) AS orphan_share, round(seo * 7e-1 + 3e-1 * greatest(0, least(100, authority * 40 + greatest(0, 100 - abs(entropy - 2) * 25) * 35e-2 + (100 - orphan_share * 100) * 25e-2)), 1) AS overall FROM v""")
 def _(spark, d):
-    site = analysis(spark, d).agg(F.avg("seo").alias("seo"))
-    return site.select(C.site_score(F.col("seo"), F.lit(0.7), F.lit(1.8), F.lit(0.05), F.lit(False)).alias("overall"))
-
-
-@query("e15_issue_counters")
-def _(spark, d):
-    deg = G.degrees(page_graph(spark, d)).select(F.col("id").alias("path"), "in_links", "out_links")
-    a = analysis(spark, d).withColumn("path", U.normalize_url(F.col("url"), to_path=True)).join(deg, "path", "left")
-    k = F.col("page_id")
-    full = a.select(F.lit(True).alias("internal"), F.when(k % 10 == 0, 404).otherwise(200).alias("status"), F.lit("fetched").alias("crawl_status"), (k % 19 == 0).alias("trap"), (k % 3).cast("int").alias("redirects"), F.lit(None).cast("string").alias("canonical"), "url", (k % 17 == 0).alias("noindex"), "in_links", "out_links", (k % 5).alias("depth"), "n_h1", "words", F.lit(0.0).alias("external_ratio"), F.col("img.bad").alias("missing_alts"), F.lit(0).alias("broken_links"))
-    return C.issue_counts(full)
+    deg = G.degrees(page_graph(spark, d)).withColumn("depth", (F.length("id") - F.length(F.replace("id", F.lit("/"), F.lit("")))).cast("int"))
+    out = C.site_scores(analysis(spark, d).withColumn("blocked", F.lit(False)), deg, G.graph_metrics(deg))
+    return out.select(*[F.round(c, n).alias(c) for c, n in (("seo", 1), ("authority", 6), ("entropy", 6), ("orphan_share", 6), ("overall", 1))])
+
+
+@query("e15_issue_counters", testbed.for_duckdb(f"""WITH x AS (SELECT p.*, m.crawl_status, m.word_count AS words, coalesce(i.n, 0) AS in_links, coalesce(o.n, 0) AS out_links, coalesce(r.ratio, 0) AS ratio, coalesce(b.n, 0) AS broken_links, h.n_h1, h.missing_alts,
+      CASE WHEN p.normalized_url LIKE '/%' THEN '{ORIGIN}' || p.normalized_url ELSE p.normalized_url END AS url, CASE WHEN p.canonical_url LIKE '/%' THEN '{ORIGIN}' || p.canonical_url ELSE p.canonical_url END AS canonical
+      FROM metrics m JOIN site_pages p ON p.id = m.page_id LEFT JOIN (SELECT target_page_id AS id, count(DISTINCT source_page_id) AS n FROM edges WHERE snapshot_id = 40 GROUP BY 1) i ON i.id = p.id LEFT JOIN (SELECT source_page_id AS id, count(DISTINCT target_page_id) AS n FROM edges WHERE snapshot_id = 40 GROUP BY 1) o ON o.id = p.id
+      LEFT JOIN (SELECT source_page_id AS id, count(*) FILTER (WHERE rel = 'external') / CAST(count(*) AS DOUBLE) AS ratio FROM edges WHERE snapshot_id = 40 GROUP BY 1) r ON r.id = p.id
+      LEFT JOIN (SELECT e.source_page_id AS id, count(DISTINCT e.target_page_id) AS n FROM edges e JOIN site_pages t ON t.id = e.target_page_id WHERE e.snapshot_id = 40 AND t.http_status >= 400 GROUP BY 1) b ON b.id = p.id
+      LEFT JOIN (SELECT page_id AS id, CAST(len({H1S}) AS INT) AS n_h1, len(regexp_extract_all(html, '(?i)(<img[^>]*>)', 1)) - len(regexp_extract_all(html, '(?i)(<img[^>]*\\salt="[^"]*[^"\\s][^"]*"[^>]*>)', 1)) AS missing_alts FROM pages) h ON h.id = p.id
+      WHERE m.snapshot_id = 40 AND p.is_internal = 1)
+    SELECT CAST(count(*) FILTER (WHERE http_status >= 400 OR (http_status = 0 AND crawl_status IN ('network_error', 'failed_after_retries', 'fetched_error'))) + sum(broken_links) AS BIGINT) AS broken_links, count(*) FILTER (WHERE redirect_chain IS NOT NULL AND json_array_length(redirect_chain) > 1) AS redirect_chains,
+      count(*) FILTER (WHERE canonical <> url AND regexp_replace(canonical, '/$', '') <> regexp_replace(url, '/$', '')) AS canonical_conflicts, count(*) FILTER (WHERE noindex = 1 AND http_status BETWEEN 200 AND 299) AS noindex_misuse, count(*) FILTER (WHERE in_links = 1 AND depth > 0) AS low_internal_links,
+      count(*) FILTER (WHERE out_links > 150) AS excessive_links, count(*) FILTER (WHERE n_h1 = 0) AS missing_h1, count(*) FILTER (WHERE words < 200) AS thin_content, count(*) FILTER (WHERE ratio > 6e-1) AS high_external_ratio, count(*) FILTER (WHERE missing_alts > 0) AS image_alt_missing,
+      count(*) FILTER (WHERE crawl_status = 'blocked_by_robots') AS blocked_by_robots, count(*) FILTER (WHERE crawl_trap_flag = 1) AS crawl_traps, count(*) FILTER (WHERE in_links > 5 AND out_links < 3) AS strong_under_linking FROM x"""))
+def _(spark, d):
+    """Of a snapshot of the store; pages of the same ids give first headings and images."""
+    h = F.col("html")
+    parsed = pages(spark, d).select(F.col("page_id").alias("id"), F.size(H.h1s(h)).alias("n_h1"), (H.image_alts(h).missing + H.image_alts(h).blank).alias("missing_alts"))
+    return C.issue_counts(O.issue_facts(testbed.store(spark, d), 40, ORIGIN, parsed))
 
 
 def heading_rows(spark, d):
