@@ -146,14 +146,22 @@ def cluster_risk(members: DataFrame, cluster: str = "cluster") -> DataFrame:
 def similar_titles(pages: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b): texts whose token sets have a Jaccard similarity of ``least`` or more.
 
-    Any similarity above 0 needs a shared token, so candidates come from a join on tokens.
+    Tokens are put in order of their frequency, rare ones first. Sets that are as similar as that share one of their first
+    n - ceil(least * n) + 1 tokens, so only these are joined on: a common word pairs nobody but those who have little else.
     """
     sets = pages.select("id", F.array_distinct("tokens").alias("t")).where(F.size("t") > 0)
-    tok = sets.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    x, y = tok.select("w", F.col("id").alias("a"), F.col("n").alias("na")), tok.select("w", F.col("id").alias("b"), F.col("n").alias("nb"))
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    both = x.join(y, "w").where(close).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    return both.where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= least).select("a", "b")
+    tok = sets.select("id", F.explode("t").alias("w"))
+    often = tok.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    ranked = tok.join(often, "w").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda s: s.w).alias("t"))
+    n = F.size("t")
+    # a share that is a whole number but for rounding is that number
+    need = F.ceil(n * F.lit(least) - 1e-9)
+    first = ranked.select("id", "t", F.explode(F.slice("t", 1, (n - need + 1).cast("int"))).alias("w"))
+    x, y = first.select("w", F.col("id").alias("a"), F.col("t").alias("ta")), first.select("w", F.col("id").alias("b"), F.col("t").alias("tb"))
+    na, nb = F.size("ta"), F.size("tb")
+    both = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least(na, nb) >= F.lit(least) * F.greatest(na, nb)))
+    k = F.size(F.array_intersect("ta", "tb"))
+    return both.where(k / (na + nb - k) >= least).select("a", "b").distinct()
 
 
 def mark_duplicates(df: DataFrame, value: str, out: str) -> DataFrame:

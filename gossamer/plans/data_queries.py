@@ -145,6 +145,41 @@ def _(spark, d):
     return U.trap_flags(rows, "url", "event_id").select("event_id", "trap_risk", "trap_type")
 
 
+@query("f20_calendar_traps", """WITH u AS (SELECT o_orderkey AS id, o_orderkey % 3 AS form, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders)
+    SELECT id, CASE WHEN form < 2 THEN 7e-1 ELSE 0e0 END AS trap_risk, CASE WHEN form < 2 THEN 'calendar_trap' END AS trap_type FROM u""")
+def _(spark, d):
+    """A date within a path, either way round, is a trap; one at the end of it is none."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    form = F.when(k % 3 == 0, F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit("/"))).when(k % 3 == 1, F.concat(F.date_format(day, "dd-MM-yyyy"), F.lit("/x"))).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    rows = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("https://x.example.com/cal/"), form).alias("url"))
+    return U.trap_flags(rows, "url", "id").select("id", "trap_risk", "trap_type")
+
+
+@query("p3_internal_ipv6", """SELECT c_custkey, c_custkey % 8 NOT IN (1, 5, 7) AS internal FROM customer""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    tail = F.lower(F.hex(k))
+    forms = [F.concat(F.lit("fd00::"), tail), F.concat(F.lit("2001:db8::"), tail), F.concat(F.lit("fe80::"), tail), F.lit("::1"), F.concat(F.lit("::ffff:10.0.0."), (k % 256).cast("string")), F.concat(F.lit("::ffff:8.8.8."), (k % 256).cast("string")), F.concat(F.lit("no address "), tail), F.concat(F.lit("8.8.4."), (k % 256).cast("string"))]
+    ip = F.get(F.array(*forms), (k % 8).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", U.is_internal_ip(ip).alias("internal"))
+
+
+@query("f3_site_origin", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'http://www.e' || c_custkey || '.com:8080' WHEN c_custkey % 3 = 1 THEN 'http://e' || c_custkey || '.com' ELSE 'https://e' || c_custkey || '.com' END AS origin FROM customer""")
+def _(spark, d):
+    """The origin that a site prefers, else its domain with or without TLS."""
+    k = F.col("c_custkey")
+    domain = F.concat(F.lit("e"), k.cast("string"), F.lit(".com"))
+    preferred = F.when(k % 3 == 0, F.concat(F.lit("HTTP://www."), domain, F.lit(":8080/a?b")))
+    return table(spark, d, "customer").select("c_custkey", U.site_origin(domain, preferred, F.when(k % 3 == 1, 0).otherwise(1)).alias("origin"))
+
+
+@query("f25_job_keys", """SELECT sha256('{"command":"crawl","url":"https://e' || o_custkey || '.com","depth":' || o_custkey % 3 || '}') AS job, count(*) AS n FROM orders GROUP BY 1""")
+def _(spark, d):
+    k = F.col("o_custkey")
+    job = X.job_key(F.struct(F.lit("crawl").alias("command"), F.concat(F.lit("https://e"), k.cast("string"), F.lit(".com")).alias("url"), (k % 3).alias("depth")))
+    return table(spark, d, "orders").groupBy(job.alias("job")).agg(F.count(F.lit(1)).alias("n"))
+
+
 PORT = "regexp_extract(url, '^[A-Za-z]+://[^/?#:]*:([0-9]+)', 1)"
 SITE = f"{SCHEME} || '://' || {HOST} || CASE WHEN {PORT} = '' OR ({SCHEME} = 'http' AND {PORT} = '80') OR ({SCHEME} = 'https' AND {PORT} = '443') THEN '' ELSE ':' || {PORT} END"
 
@@ -300,6 +335,18 @@ def _(spark, d):
     return pages(spark, d).select("page_id", parse_html(F.col("html"), F.col("url")).alias("p")).select("page_id", "p.*")
 
 
+HREF_PATH = "regexp_replace(regexp_extract(href, '^[^?#]*'), '/+', '/', 'g')"
+HREF_ENCODED = "replace(replace(replace(replace(replace(replace(replace(replace(url_encode(h), '%2F', '/'), '%2C', ','), '%21', '!'), '%3A', ':'), '%3B', ';'), '%26', '&'), '%27', chr(39)), '%25', '%')"
+
+
+@query("h2_parsed_links", f"""WITH z AS (SELECT page_id, url AS href, weight FROM {ZONES} x), p AS (SELECT z.page_id, {SITE} AS site, CASE WHEN length({HREF_PATH}) > 1 THEN regexp_replace({HREF_PATH}, '/$', '') ELSE {HREF_PATH} END AS h, weight FROM z JOIN pages USING (page_id) WHERE href LIKE '/%')
+    SELECT page_id, site || {HREF_ENCODED} AS url, max(weight) AS weight FROM p WHERE NOT regexp_matches(h, '(?i)\\.(pdf|jpg|png|svg|webp|gif|zip|xml|json|mp4|avif|ics)$') GROUP BY 1, 2""")
+def _(spark, d):
+    """Links as the parser sees them: resolved against the page, normalised, each with its largest weight."""
+    p = pages(spark, d).select("page_id", parse_html(F.col("html"), F.col("url")).alias("p"))
+    return p.select("page_id", F.explode("p.links").alias("l")).select("page_id", "l.url", "l.weight")
+
+
 @query("h14_security_headers", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 30 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 THEN 15 ELSE 0 END + 10 AS INT) AS score FROM supplier")
 def _(spark, d):
     k = F.col("s_suppkey")

@@ -118,3 +118,18 @@ def test_replayed_links_leave_out_links_to_oneself(spark):
     before, old = spark.createDataFrame([(1, 5)], "id long, words long"), spark.createDataFrame([(1, 1), (1, 2)], "src long, dst long")
     _, links = M.incremental(answers, none, before, old)
     assert [tuple(r) for r in links.collect()] == [(1, 2, 1.0)]
+
+
+def test_similar_titles_equal_all_pairs(spark):
+    import random
+
+    from gossamer.operators.duplicates import similar_titles
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(14)]
+    rows = [(i, ["common", *rng.sample(words, rng.randint(1, 6))]) for i in range(120)] + [(200, []), (201, ["common"]), (202, ["common"]), (203, None)]
+    sets = [(i, set(t or [])) for i, t in rows]
+    for least in (0.5, 0.7, 0.8):
+        want = {(a, b) for a, x in sets for b, y in sets if a < b and x and y and len(x & y) / len(x | y) >= least}
+        got = [tuple(r) for r in similar_titles(spark.createDataFrame(rows, "id long, tokens array<string>"), least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
