@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import html as _html
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a page of HTML or Markdown.
+SHOWN = 2000
+
 
 def export_formats(option: str | bool | None) -> list[str]:
     return ["json"] if option is True else [x.strip().lower() for x in option.split(",") if x.strip()] if option else []
@@ -94,11 +98,26 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
 
 
-def export_crawl(formats: list[str], path: str, url: str, nodes: DataFrame, edges: DataFrame, metrics: DataFrame, report: DataFrame) -> list[str]:
+def write_pages(rows: DataFrame, order: list[Column], render: Callable[[list[dict]], str], path: str, size: int = SHOWN) -> None:
+    """All rows in their order as texts of at most ``size`` rows each, a file a text, rendered by all tasks."""
+    names = rows.columns
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    lists = placed.groupBy(F.floor(F.col("_at") / size).alias("_page")).agg(F.array_sort(F.collect_list(F.struct("_at", F.to_json(F.struct(*names)).alias("row")))).alias("rows"))
+
+    @F.udf("string")
+    def text(found):
+        # to_json leaves nulls out
+        return render([dict.fromkeys(names) | json.loads(r.row) for r in found])
+
+    lists.sortWithinPartitions("_page").select(text("rows").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+
+
+def export_crawl(formats: list[str], path: str, url: str, nodes: DataFrame, edges: DataFrame, metrics: DataFrame, report: DataFrame, shown: int = SHOWN) -> list[str]:
     """Write a crawl in each format; the folders written.
 
     ``nodes`` has id, url, depth, status, in_links, out_links and score. Tables are written by all tasks; what is rendered by the
-    driver are one-row reports and top-ten lists, and for html a page of at most 2,000 nodes.
+    driver are one-row reports and top-ten lists, and for html a page of the first ``shown`` nodes. If there are more, the folder
+    report-pages has them all, as many a page.
     """
     spark, done = nodes.sparkSession, []
     put = lambda name, write: (write(f"{path}/{name}"), done.append(name))
@@ -113,8 +132,11 @@ def export_crawl(formats: list[str], path: str, url: str, nodes: DataFrame, edge
             text = crawl_markdown(url, metrics.first().asDict(), [(r["url"], r["in_links"]) for r in top_linked(nodes).collect()], [(r["url"], r["score"]) for r in top_ranked(nodes).collect() if r["score"] is not None])
             put("summary.md", lambda p: write_text(spark, text, p))
         elif f == "html":
-            shown = [r.asDict() for r in top_ranked(report_authority(nodes), 2000).collect()]
-            put("report.html", lambda p: write_text(spark, html_report(url, {"nodes": shown, "metrics": metrics.first().asDict()}), p))
+            ranked, whole = report_authority(nodes), metrics.first().asDict()
+            first = [r.asDict() for r in top_ranked(ranked, shown + 1).collect()]
+            put("report.html", lambda p: write_text(spark, html_report(url, {"nodes": first[:shown], "metrics": whole}), p))
+            if len(first) > shown:
+                put("report-pages", lambda p: write_pages(ranked, [F.col("score").desc_nulls_last(), F.col("url")], lambda rows: html_report(url, {"nodes": rows}), p, shown))
         else:
             raise ValueError(f"unknown export format {f}")
     return done
@@ -175,11 +197,13 @@ def analysis_html(summary: dict, rows: list[dict]) -> str:
     return f"<!doctype html><title>Page analysis</title><p>{summary['pages']} pages, mean score {summary['seo']:.1f}</p><table>{body}</table>"
 
 
-def export_analysis(formats: list[str], path: str, pages: DataFrame, modules: dict[str, bool] | None = None, shown: int = 2000) -> list[str]:
-    """Write an analysis in each format; Markdown and HTML list the first ``shown`` pages by url."""
+def export_analysis(formats: list[str], path: str, pages: DataFrame, modules: dict[str, bool] | None = None, shown: int = SHOWN) -> list[str]:
+    """Write an analysis in each format; Markdown and HTML list the first ``shown`` pages by url; if there are more, the
+    folders analysis-md-pages and analysis-html-pages list them all, as many a text."""
     spark, done = pages.sparkSession, []
     summary = pages.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.avg("seo"), F.lit(0.0)).alias("seo"), F.count_if(F.col("thin") >= 70).alias("thin"), F.count_if(F.col("title_status") == "duplicate").alias("same_titles")).first().asDict()
     first = lambda: [r.asDict() for r in pages.orderBy("url").limit(shown).collect()]
+    listed = pages.select("url", "seo", "thin", "title_status", "description_status", "canonical")
     for f in formats:
         if f == "json":
             write_json(drop_modules(pages, modules or {}), f"{path}/analysis.json")
@@ -187,14 +211,25 @@ def export_analysis(formats: list[str], path: str, pages: DataFrame, modules: di
             write_csv(analysis_table(pages), f"{path}/analysis.csv")
         elif f == "markdown":
             write_text(spark, analysis_markdown(summary, first()), f"{path}/analysis.md")
+            if summary["pages"] > shown:
+                write_pages(listed, [F.col("url")], lambda rows: analysis_markdown(summary, rows), f"{path}/analysis-md-pages", shown)
         elif f == "html":
             write_text(spark, analysis_html(summary, first()), f"{path}/analysis.html")
+            if summary["pages"] > shown:
+                write_pages(listed, [F.col("url")], lambda rows: analysis_html(summary, rows), f"{path}/analysis-html-pages", shown)
         else:
             raise ValueError(f"unknown export format {f}")
         done.append(f)
     return done
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Append a stream's batches to a table: the buffered writer of a crawl that is running."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).start()
+def append_batches(stream: DataFrame, path: str, checkpoint: str, query: str = "crawl"):
+    """Append a stream's batches to a table: the buffered writer of a crawl that is running.
+
+    A batch is a partition of its own (query, batch), which a batch that is sent again takes the place of.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()

@@ -142,6 +142,41 @@ def test_analysis_exports(spark, tmp_path):
     assert "| http://e/1 | 88.5 |" in "\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/a/analysis.md").collect())
 
 
+def test_reports_of_many_pages_are_whole(spark, tmp_path):
+    nodes = spark.range(25).select("id", F.concat(F.lit("/"), F.col("id")).alias("url"), F.lit(1).alias("depth"), F.lit(200).alias("status"), F.lit(1).alias("in_links"), F.lit(1).alias("out_links"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).cast("double").alias("score"), F.lit("<p>").alias("html"))
+    metrics = spark.createDataFrame([(25, 3)], "pages long, edges long")
+    path = f"file://{tmp_path}/x"
+    assert exports.export_crawl(["html"], path, "http://e/", nodes, None, metrics, None, shown=10) == ["report.html", "report-pages"]
+    import json
+    import re
+
+    read = lambda folder: [r[0] for r in spark.read.option("wholetext", "true").text(f"{path}/{folder}").collect()]
+    parts = [json.loads(re.search(r"json>(.*?)</script>", t, re.S).group(1))["nodes"] for t in read("report-pages")]
+    assert all(1 <= len(p) <= 10 for p in parts) and sorted(n["id"] for p in parts for n in p) == list(range(25))
+    key = lambda n: (n["score"] is None, -(n["score"] or 0), n["url"])
+    assert all([key(n) for n in p] == sorted(key(n) for n in p) for p in parts) and all("html" not in n for p in parts for n in p)
+    pages = nodes.select("url", F.lit(1.0).alias("seo"), F.lit(2.0).alias("thin"), F.lit("ok").alias("title_status"), F.lit("ok").alias("description_status"), F.lit(None).cast("string").alias("canonical"))
+    exports.export_analysis(["markdown", "html"], path, pages, shown=10)
+    assert sum(t.count("| 1.0 | 2.0 |") for t in read("analysis-md-pages")) == sum(t.count("<tr>") for t in read("analysis-html-pages")) == 25
+
+
+def test_a_batch_that_is_sent_again_is_in_the_table_once(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(src)
+
+    def run(log):
+        q = exports.append_batches(rows(), out, str(tmp_path / log))
+        q.processAllAvailable()
+        q.stop()
+
+    run("log")
+    # the log of the query is lost: all batches are sent again
+    run("other-log")
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))
+
+
 def test_insight_text():
     text = exports.render_insight({"pages": 3, "edges": 2, "max_depth": 1, "broken_links": 4, "redirect_chains": 0, "critical": True}, {"score": 71.25, "label": "Good"}, [("/", 0.5)])
     assert "Health 71.2 (Good)" in text and "broken links: 4" in text and "redirect" not in text and "/   0.500" in text
