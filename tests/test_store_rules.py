@@ -133,3 +133,37 @@ def test_similar_titles_equal_all_pairs(spark):
         want = {(a, b) for a, x in sets for b, y in sets if a < b and x and y and len(x & y) / len(x | y) >= least}
         got = [tuple(r) for r in similar_titles(spark.createDataFrame(rows, "id long, tokens array<string>"), least).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_reset_empties_every_table(st):
+    empty = O.reset(st)
+    assert all(getattr(empty, n).count() == 0 and getattr(empty, n).columns == getattr(st, n).columns for n in ("sites", "snapshots", "pages", "metrics", "edges", "plugin_rows"))
+
+
+def test_graph_files_are_read(spark, tmp_path):
+    import json
+
+    from gossamer.sources.connectors import read_graph_json
+
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps({"nodes": [{"url": "a", "depth": 0, "status": 200}, {"url": "b"}], "edges": [{"source": "a", "target": "b"}, {"source": "b", "target": "a", "weight": 0.4}]}, indent=1))
+    g = read_graph_json(spark, str(path))
+    assert sorted(map(tuple, g.nodes.collect())) == [("a", 0, 200), ("b", None, None)]
+    assert sorted(map(tuple, g.edges.collect())) == [("a", "b", 1.0), ("b", "a", 0.4)]
+    path.write_text('{"nodes": []}')
+    assert read_graph_json(spark, str(path)).edges.collect() == []
+
+
+def test_plugins_are_found_by_their_entry_points(monkeypatch):
+    from gossamer import plugins as P
+
+    class Entry:
+        def load(self):
+            return P.Plugin("found")
+
+    monkeypatch.setattr(P, "entry_points", lambda group: [Entry()] if group == "gossamer.plugins" else [])
+    r = P.Registry()
+    r.discover()
+    assert list(r.plugins) == ["found"]
+    with pytest.raises(ValueError, match="named found"):
+        r.discover()
