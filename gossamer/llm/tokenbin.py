@@ -26,6 +26,8 @@ HEAD = len(MAGIC) + 11 * 8
 BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
 SHARD_IDS = 4_000_000
+#: Shards of a file at most: a file is read as one row, so it has to stay small.
+FILE_SHARDS = 16
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
 MEMO_WORDS = 800_000
 
@@ -303,7 +305,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         if ids:
             yield flush()
 
-    dealt.mapInArrow(trimmed(run), "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    dealt.mapInArrow(trimmed(run), "shard binary").select(F.col("shard").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
