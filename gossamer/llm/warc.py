@@ -22,6 +22,8 @@ from gossamer.session import materialize, scratch, table, trimmed
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 RFC32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+#: Pages of an archive at most: an archive is read as one row, so it has to stay small.
+FILE_PAGES = 1000
 #: A capture with more attachments than this is emitted in several parts.
 PART_SIZE = 1000
 
@@ -101,7 +103,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     metadata = record(F.lit("metadata"), mid, concurrent, "application/warc-fields", F.concat(F.lit("payloadBytes: "), F.col("n_bytes").cast("string"), F.lit(crlf)))
     text = F.concat(request, response, metadata)
     # the writer ends each value with the line feed that ends the last record
-    rows.select(F.left(text, F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select(F.left(text, F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES).text(path)
 
 
 def parse_warc(raw: bytes, with_payload: bool = True) -> Iterator[dict]:
