@@ -111,17 +111,21 @@ def mix(docs: DataFrame, exponents: dict[str, float] | None = None, rounds: int
     """Adds (or replaces) ``rate`` and ``kept``; the dimensions of ``exponents`` and ``n_tokens`` must be columns.
 
     Every row of ``docs`` comes back, also ones with null dimensions or ids; rows of one id share
-    their draw. An empty table stays empty; texts are not read, so their length does not matter. The hot source costs nothing here: sums are partial, the cells are broadcast.
+    their draw. All other columns stay, whatever their names. An empty table stays empty; texts are not read, so their length does not matter. The hot source costs nothing here: sums are partial, the cells are broadcast.
     """
     exponents = exponents or EXPONENTS
     rates = materialize(mixing_rates(docs, exponents, rounds, budget, targets), "rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    side = rates.select(*[F.col(d).alias(f"_k_{d}") for d in exponents], F.col("rate").alias("_mix_rate"))
+    # names that the documents have not, whatever they have
+    mark = "_"
+    while any(c.lower().startswith(f"{mark}mix_") for c in docs.columns):
+        mark += "_"
+    side = rates.select(*[F.col(d).alias(f"{mark}mix_{d}") for d in exponents], F.col("rate").alias(f"{mark}mix_rate"))
     on = None
     for d in exponents:
-        c = docs[d].eqNullSafe(side[f"_k_{d}"])
+        c = docs[d].eqNullSafe(side[f"{mark}mix_{d}"])
         on = c if on is None else on & c
-    out = docs.join(F.broadcast(side) if small else side, on, "inner").withColumn("rate", F.col("_mix_rate")).drop("_mix_rate", *[f"_k_{d}" for d in exponents])
+    out = docs.join(F.broadcast(side) if small else side, on, "inner").withColumn("rate", F.col(f"{mark}mix_rate")).drop(f"{mark}mix_rate", *[f"{mark}mix_{d}" for d in exponents if d != "rate"])
     return out.withColumn("kept", unit_draw(F.col(id_col)) < F.col("rate"))
 
 
