@@ -206,3 +206,30 @@ def test_rows_of_one_id_leave_the_smallest_text(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
         got.add(frozenset(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()))
     assert len(got) == 1 and {r[:2] for r in next(iter(got))} == {(7, "first text of the id"), (8, "words that nobody else has")}
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    from gossamer.llm import mixing
+
+    rows = [(i, f"s{i % 3}", "en", "prose", 10, 0.25, "k", "l", "m") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long, _mix_rate double, _k_lang string, _mix_lang string, __mix_topic string")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "rate", "kept"]
+    assert sorted(tuple(r)[:9] for r in out.collect()) == rows
+
+
+def test_archives_and_token_files_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_PAGES", 10)
+    monkeypatch.setattr(tokenbin, "FILE_SHARDS", 1)
+    pages = spark.range(35).select(F.col("id").alias("page_id"), F.lit("http://e/").alias("url"), F.concat(F.lit("<p>"), F.col("id")).alias("html"))
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages, folder)
+    assert sum(1 for _ in (tmp_path / "w").glob("part-*")) >= 4
+    assert warc.read_archives(spark, folder).where("record_type = 'response'").count() == 35
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text")).coalesce(1)
+    folder = f"file://{tmp_path}/t"
+    tokenbin.write_tokens(docs, folder, tokenbin.default_tokenizer(), 2, shard_ids=20)
+    files = [f.read_bytes() for f in (tmp_path / "t").glob("part-*")]
+    assert files and all(len(list(tokenbin.shards(f))) == 1 for f in files if f)
+    got = tokenbin.with_starts(tokenbin.read_tokens(spark, folder)).orderBy("doc_id").collect()
+    assert [r.start for r in got] == [k * got[0].n_tokens for k in range(40)]
