@@ -187,23 +187,24 @@ def crawl(spark: SparkSession, start: str, fetch: Fetch, options: Options = Opti
         raise ValueError("nothing is in scope")
     done = spark.read.parquet(*[f"{folder}/visited-{k}" for k in range(levels)])
     links = links_of(done)
-    return Crawl(_pages(queued, done, links, site, previous), _edges(done, links, site), _metrics(done, previous), done.select("depth", "place", "url", "blocked"), crawled, reached, folder, done.where("parsed is not null").select(F.coalesce("final", "url").alias("url"), "depth", "status", "parsed"))
+    hops = _hops(done, site, options.strip_query)
+    return Crawl(_pages(queued, done, links, hops, site, previous), _edges(links, hops), _metrics(done, previous), done.select("depth", "place", "url", "blocked"), crawled, reached, folder, done.where("parsed is not null").select(F.coalesce("final", "url").alias("url"), "depth", "status", "parsed"))
 
 
-def _hops(done: DataFrame, site: str) -> DataFrame:
+def _hops(done: DataFrame, site: str, strip_query: bool = False) -> DataFrame:
     """(place, depth, src, dst, status, and whether both are of the site) of every redirect that was followed."""
     hop = done.where("status is null or status <> 304").select("place", "depth", F.posexplode("redirect_chain").alias("hop", "r"))
-    full = lambda c: U.normalize_url_udf(F.col(c), F.lit(site))
+    full = lambda c: U.normalize_url_udf(F.col(c), F.lit(site), strip_query)
     hop = hop.select("place", "depth", "hop", "r.status", full("r.url").alias("a"), full("r.target").alias("b")).where("a is not null and b is not null")
     inside = lambda c: U.is_internal(F.col(c), F.lit(site))
     path = lambda c: U.to_path(F.col(c), F.lit(site))
     return hop.select("place", "depth", "hop", "status", path("a").alias("src"), path("b").alias("dst"), inside("a").alias("src_in"), inside("b").alias("dst_in"))
 
 
-def _edges(done: DataFrame, links: DataFrame, site: str) -> DataFrame:
+def _edges(links: DataFrame, hops: DataFrame) -> DataFrame:
     """(src, dst, weight, rel) of links and redirects."""
     rel = lambda c: F.when(F.col(c), "internal").otherwise("external").alias("rel")
-    return links.select("src", "dst", F.lit(1.0).alias("weight"), rel("internal")).unionByName(_hops(done, site).select("src", "dst", F.lit(1.0).alias("weight"), rel("dst_in")))
+    return links.select("src", "dst", F.lit(1.0).alias("weight"), rel("internal")).unionByName(hops.select("src", "dst", F.lit(1.0).alias("weight"), rel("dst_in")))
 
 
 def _outcome(status: str = "status", state: str = "state") -> tuple[Column, Column]:
@@ -231,7 +232,7 @@ def _metrics(done: DataFrame, previous: tuple[DataFrame, DataFrame] | None) -> D
 KEPT = {"canonical": "string", "nofollow": "int", "content_hash": "string", "simhash": "bigint", "etag": "string", "last_modified": "string", "bytes": "bigint", "security_error": "string"}
 
 
-def _pages(queued: DataFrame, done: DataFrame, links: DataFrame, site: str, previous: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+def _pages(queued: DataFrame, done: DataFrame, links: DataFrame, hops: DataFrame, site: str, previous: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     """All pages that were queued, visited or linked to, folded from what each step tells about them."""
     c = F.col
     error, page = _outcome()
@@ -244,7 +245,6 @@ def _pages(queued: DataFrame, done: DataFrame, links: DataFrame, site: str, prev
 
     p = c("parsed")
     final = F.coalesce("final", "url")
-    hops = _hops(done, site)
     steps = [
         told(queued, 0, c("url"), c("depth")),
         told(hops, 1, c("src"), c("depth"), c("status"), is_internal=c("src_in"), nth=c("hop")),

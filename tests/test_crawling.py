@@ -200,6 +200,14 @@ def test_crawls_over_pages_equal_a_plain_queue(spark):
             assert [r.url for r in got] == want[2]
 
 
+def test_queries_can_be_left_out(spark):
+    table = {f"{SITE}/": {"status": 200, "headers": HTML, "body": '<body><a href="/a?x=1">x</a><a href="/a?x=2">y</a><a href="/r?z=1">z</a></body>'}, f"{SITE}/a": {"status": 200, "headers": HTML, "body": "<body></body>"}, f"{SITE}/r": {"status": 301, "headers": {"location": "/a?from=r"}}}
+    table[f"{SITE}/a?from=r"] = table[f"{SITE}/a"]
+    c = crawling.crawl(spark, f"{SITE}/?q=1", lambda urls: fetch_pages(urls, sender(table), retries=0), crawling.Options(strip_query=True))
+    assert {r.url: (r.depth, r.status) for r in c.pages.collect()} == {"/": (0, 200), "/a": (1, 200), "/r": (1, 301)}
+    assert sorted({(r.src, r.dst) for r in c.edges.collect()}) == [("/", "/a"), ("/", "/r"), ("/r", "/a")]
+
+
 def test_start_that_is_no_address(spark, fetch):
     with pytest.raises(ValueError, match="no address"):
         crawling.crawl(spark, "mailto:x", fetch)
