@@ -610,13 +610,22 @@ def _(spark, d):
     return M.diff_snapshots(side(0), side(1)).select("url", "change")
 
 
-@query("r1_rate_limit")
+#: Requests of a user in order, one recursion a place.
+ORDERED = "o AS MATERIALIZED (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query("r1_rate_limit", f"""WITH RECURSIVE {ORDERED}, f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS TIMESTAMP[]) AS held, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS ts, FALSE AS ok FROM o WHERE n = 1
+      UNION ALL SELECT user_id, n, CASE WHEN len(h) < 5 THEN list_append(h, ts) ELSE h END, event_id, ts, len(h) < 5 FROM (SELECT f.user_id, o.n, o.event_id, o.ts, list_filter(f.held, lambda t: t > o.ts - INTERVAL 1 DAY) AS h FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) x)
+    SELECT id, user_id AS key, ts, ok AS allowed FROM f WHERE n > 0""")
 def _(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
     return L.rate_limit(e, limit=5, window_s=86400)
 
 
-@query("r2_token_bucket")
+@query("r2_token_bucket", f"""WITH RECURSIVE {ORDERED}, f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS since, CAST(NULL AS DOUBLE) AS wait, CAST(NULL AS BIGINT) AS id, CAST(NULL AS TIMESTAMP) AS ts FROM o WHERE n = 1
+      UNION ALL SELECT user_id, n, now + late, round(now + late - t, 6), event_id, ts FROM (SELECT *, CASE WHEN since IS NOT NULL AND (now - since) / each < 1 - 1e-9 THEN each ELSE 0 END AS late FROM (SELECT *, greatest(t, coalesce(since, t)) AS now, CAST(greatest(1, user_id % 3) AS DOUBLE) AS each
+        FROM (SELECT f.user_id, o.n, f.since, o.event_id, o.ts, epoch_us(o.ts) / 1e6 AS t FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1) x) y) z)
+    SELECT id, user_id AS key, ts, user_id % 3 AS delay, wait AS wait_s FROM f WHERE n > 0""")
 def _(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
     return L.token_bucket(e.withColumn("delay", F.col("key") % 3), rate=1.0, crawl_delay="delay")
