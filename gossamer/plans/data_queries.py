@@ -960,6 +960,12 @@ def _(spark, d):
     return t.join(t.select((F.col("page_id") + 1).alias("page_id"), F.col("w").alias("v")), "page_id").select("page_id", X.grid(X.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
 
 
-@query("h9_jsonld_types")
-def _(spark, d):
-    return pages(spark, d).select("page_id", parse_html(F.col("html"), F.col("url")).alias("p")).select("page_id", "p.jsonld", "p.jsonld_valid", "p.schema_types")
+@query("h9_jsonld_types", """SELECT page_id, 1 AS jsonld, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END AS jsonld_valid, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 2 = 0 THEN 'Article Person T' || page_id % 7 ELSE 'Product Offer' END AS schema_types FROM pages""")
+def _(spark, d):
+    """Pages with a record before their own html: torn, nested, or a list with types that come again."""
+    k = F.col("page_id")
+    nested = F.concat(F.lit('{"@type": "Article", "author": {"@type": "Person"}, "x": [{"y": {"@type": "T'), (k % 7).cast("string"), F.lit('"}}]}'))
+    record = F.when(k % 5 == 0, '{"@type": ').when(k % 2 == 0, nested).otherwise('[{"@type": ["Product", "Offer"]}, {"@type": "Product"}]')
+    html = F.concat(F.lit('<script type="application/ld+json">'), record, F.lit("</script>"), F.col("html"))
+    p = pages(spark, d).select("page_id", parse_html(html, F.col("url")).alias("p"))
+    return p.select("page_id", "p.jsonld", "p.jsonld_valid", F.array_join("p.schema_types", " ").alias("schema_types"))
