@@ -181,3 +181,79 @@ def probe_summary(probe: Column) -> Column:
         get("$.timing.ttfb").try_cast("double").alias("ttfb"), F.coalesce(F.json_array_length(get("$.redirects")), F.lit(0)).alias("redirects"), get("$.size").try_cast("bigint").alias("size"),
         (F.coalesce(F.json_array_length(get("$.dns.aaaa")), F.lit(0)) > 0).alias("ipv6"), (F.coalesce(F.json_array_length(get("$.dns.a")), F.lit(0)) + F.coalesce(F.json_array_length(get("$.dns.aaaa")), F.lit(0))).alias("ips"),
     )
+
+
+# -- probes ---------------------------------------------------------------------------------------
+
+#: Fixed value: a probe follows so many redirects.
+PROBE_HOPS = 10
+
+
+def probe_dns(host: str, resolve: Callable[[str, str], list[str]]) -> dict:
+    """Addresses and names of a host. ``resolve(name, kind)`` answers a, aaaa, cname and ptr, or raises; what fails is empty."""
+
+    def ask(name: str, kind: str) -> list[str]:
+        try:
+            return list(resolve(name, kind))
+        except Exception:  # noqa: BLE001 - no answer is an answer
+            return []
+
+    out = {kind: ask(host, kind) for kind in ("a", "aaaa", "cname")}
+    first = next(iter(out["a"] + out["aaaa"]), None)
+    return out | {"reverse": ask(first, "ptr") if first else []}
+
+
+def probe_one(url: str, resolve: Callable[[str, str], list[str]], send: Callable[[str], dict], inside: Callable[[str], bool] | None = None, hops: int = PROBE_HOPS) -> dict:
+    """What DNS, TLS and HTTP tell of a url, in the form that ``probe_summary`` reads.
+
+    ``send(url)`` is one exchange: status, headers, body, version, timings (ttfb and total, ms) and, for https, tls (protocol, authorized, validTo).
+    ``inside(host)`` says that a host must not be asked. ``error`` is blocked_internal_ip, too_many_redirects or network_error, else null.
+    """
+    now, chain, waited = url, [], 0.0
+    out = {"asked": url, "dns": probe_dns(urlsplit(url).hostname or "", resolve), "redirects": chain, "error": None}
+    while True:
+        if inside and inside(urlsplit(now).hostname or ""):
+            return out | {"url": now, "error": "blocked_internal_ip"}
+        try:
+            r = send(now)
+        except Exception:  # noqa: BLE001 - a site that does not answer is a row
+            return out | {"url": now, "error": "network_error"}
+        head = {k.lower(): v for k, v in (r.get("headers") or {}).items()}
+        timings = r.get("timings") or {}
+        if 300 <= r["status"] < 400 and head.get("location"):
+            if len(chain) + 1 >= hops:
+                return out | {"url": now, "error": "too_many_redirects"}
+            target = urljoin(now, head["location"])
+            chain.append({"url": now, "status": r["status"], "location": target})
+            waited += timings.get("total", 0.0)
+            now = target
+            continue
+        body = r.get("body") or b""
+        return out | {
+            "url": now, "status": r["status"], "tls": r.get("tls"), "http": {"version": str(r.get("version", "1.1")).removesuffix(".0"), "encoding": head.get("content-encoding"), "keep_alive": head.get("connection", "").lower() != "close", "server": head.get("server")},
+            "headers": head, "timing": timings | {"redirects": waited, "total": timings.get("total", 0.0) + waited}, "size": len(body.encode() if isinstance(body, str) else body),
+        }
+
+
+def probe_sites(urls: DataFrame, resolve: Callable[[str, str], list[str]], send: Callable[[str], dict], inside: Callable[[str], bool] | None = None, url: str = "url") -> DataFrame:
+    """(url, probe): a probe of each url as JSON, made by all tasks."""
+    import json
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"url": b[url], "probe": [json.dumps(probe_one(u, resolve, send, inside)) for u in b[url]]})
+
+    return urls.select(url).mapInPandas(run, "url string, probe string")
+
+
+def audit_sites(probes: DataFrame, now: Column) -> DataFrame:
+    """(url, error, score, grade, issues) of probes: transport, headers, speed and addresses. A site without an answer has neither score nor grade."""
+    from gossamer.operators.scoring import security_headers, transport_audit
+
+    heads = F.from_json(F.get_json_object("probe", "$.headers"), "map<string,string>")
+    rows = probes.select("url", F.get_json_object("probe", "$.error").alias("error"), probe_summary(F.col("probe")).alias("s"), heads.alias("h"))
+    has = lambda name: F.coalesce(F.try_element_at("h", F.lit(name)).isNotNull(), F.lit(False))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    score = F.coalesce(security_headers(F.coalesce("h", F.create_map().cast("map<string,string>"))).score, F.lit(0))
+    a = transport_audit(F.col("s.tls"), no(F.col("s.https")), no(F.col("s.cert_ok")), days_left(F.col("s.valid_to"), now), score, has("strict-transport-security"), has("content-security-policy"), no(F.col("s.h2")), no(F.col("s.compressed")), F.col("s.ttfb"), F.col("s.redirects"), F.col("s.size"), F.col("s.ipv6"), F.col("s.ips"))
+    return rows.withColumn("a", F.when(F.col("error").isNull(), a)).select("url", "error", "a.score", "a.grade", "a.issues")

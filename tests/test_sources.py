@@ -88,6 +88,41 @@ def test_probe_summary(spark):
     assert r[1]["tls"] is None and r[1]["ips"] == 0 and r[1]["ipv6"] is False
 
 
+def test_probes_of_sites_are_audited(spark):
+    def resolve(name, kind):
+        table = {("a.com", "a"): ["93.1.1.1", "93.1.1.2"], ("a.com", "aaaa"): ["2001:db8::1"], ("93.1.1.1", "ptr"): ["host.a.com"], ("b.com", "a"): ["93.1.1.3"]}
+        if (name, kind) not in table:
+            raise OSError(name)
+        return table[name, kind]
+
+    def send(u):
+        good = {"strict-transport-security": "max-age=63072000; includeSubDomains", "content-security-policy": "default-src 'self'", "x-frame-options": "DENY", "x-content-type-options": "nosniff", "referrer-policy": "no-referrer", "permissions-policy": "x", "content-encoding": "br"}
+        if u == "http://a.com/":
+            return {"status": 301, "headers": {"Location": "https://a.com/"}, "timings": {"total": 40.0}}
+        if u == "https://a.com/":
+            return {"status": 200, "headers": good, "body": "é" * 10, "version": "2.0", "tls": {"protocol": "TLSv1.3", "authorized": True, "validTo": "2030-06-01T00:00:00Z"}, "timings": {"ttfb": 100.0, "total": 120.0}}
+        if u.startswith("http://loop.com"):
+            return {"status": 302, "headers": {"location": u + "x"}}
+        if u == "http://b.com/":
+            return {"status": 200, "headers": {}, "body": "x" * (2 << 20), "timings": {"ttfb": 900.0, "total": 950.0}}
+        if u == "http://c.com/":
+            return {"status": 301, "headers": {"location": "http://10.0.0.1/"}}
+        raise OSError(u)
+
+    urls = spark.createDataFrame([(f"http://{h}.com/",) for h in ("a", "b", "c", "loop", "down")], "url string")
+    probes = fetching.probe_sites(urls, resolve, send, inside=lambda host: host.startswith("10."))
+    import json
+
+    a = json.loads(probes.where("url = 'http://a.com/'").first().probe)
+    assert a["dns"] == {"a": ["93.1.1.1", "93.1.1.2"], "aaaa": ["2001:db8::1"], "cname": [], "reverse": ["host.a.com"]} and a["url"] == "https://a.com/" and a["size"] == 20
+    assert a["redirects"] == [{"url": "http://a.com/", "status": 301, "location": "https://a.com/"}] and a["timing"] == {"ttfb": 100.0, "total": 160.0, "redirects": 40.0}
+    got = {r.url[7:-5]: r for r in fetching.audit_sites(probes, F.lit("2030-01-01 00:00:00")).collect()}
+    assert {k: r.error for k, r in got.items()} == {"a": None, "b": None, "c": "blocked_internal_ip", "loop": "too_many_redirects", "down": "network_error"}
+    assert got["a"].grade == "A" and got["a"].issues == []
+    assert got["b"].score <= 39 and {"no-https", "hsts-missing", "no-h2", "slow-ttfb", "large-html", "no-ipv6", "single-ip"} <= set(got["b"].issues)
+    assert got["down"].score is None and got["down"].issues is None
+
+
 # -- the parser -----------------------------------------------------------------------------------
 
 
