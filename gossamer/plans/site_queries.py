@@ -8,6 +8,9 @@ from __future__ import annotations
 DOMAIN = "alpha.example.com"
 ORIGIN = f"https://{DOMAIN}"
 BROKEN = "(p.http_status >= 400 OR (p.http_status = 0 AND m.crawl_status IN ('network_error', 'failed_after_retries', 'fetched_error')) OR p.security_error IS NOT NULL)"
+#: Pages of a run by url: is it broken, was it fetched well, as the comparison has it.
+RUNS = """runs AS (SELECT m.snapshot_id AS run, p.normalized_url AS url, coalesce(p.http_status >= 400, FALSE) OR coalesce(m.crawl_status IN ('network_error', 'fetched_error'), FALSE) AS bad,
+        coalesce(p.http_status BETWEEN 200 AND 399 AND m.crawl_status = 'fetched', FALSE) AS well FROM metrics m JOIN site_pages p ON p.id = m.page_id)"""
 VISIBLE = "JOIN snapshots s ON s.site_id = p.site_id AND coalesce(p.first_seen, p.last_seen) <= s.id"
 
 ISSUES = f"""SELECT p.id, p.normalized_url AS url, m.pagerank_score, s.created_at AS last_seen,
@@ -65,10 +68,8 @@ SQL: dict[str, str] = {
     "j4_left_join_metrics": "SELECT p.id, m.word_count FROM site_pages p LEFT JOIN metrics m ON m.page_id = p.id AND m.snapshot_id = 20",
     "j5_added_removed": """WITH a AS (SELECT page_id FROM metrics WHERE snapshot_id = 20), b AS (SELECT page_id FROM metrics WHERE snapshot_id = 22)
         SELECT page_id, 'added' AS change FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page_id = b.page_id) UNION ALL SELECT page_id, 'removed' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.page_id = b.page_id)""",
-    "j6_newly_broken": f"""SELECT b.normalized_url AS url FROM site_pages b JOIN metrics mb ON mb.page_id = b.id AND mb.snapshot_id = 22 WHERE (b.http_status >= 400 OR mb.crawl_status IN ('network_error', 'fetched_error'))
-        AND NOT EXISTS (SELECT 1 FROM site_pages a JOIN metrics ma ON ma.page_id = a.id AND ma.snapshot_id = 20 WHERE a.normalized_url = b.normalized_url AND (a.http_status >= 400 OR ma.crawl_status IN ('network_error', 'fetched_error')))""",
-    "j7_resolved": f"""SELECT a.normalized_url AS url FROM site_pages a JOIN metrics ma ON ma.page_id = a.id AND ma.snapshot_id = 20 WHERE (a.http_status >= 400 OR ma.crawl_status IN ('network_error', 'fetched_error'))
-        AND EXISTS (SELECT 1 FROM site_pages b JOIN metrics mb ON mb.page_id = b.id AND mb.snapshot_id = 22 WHERE b.normalized_url = a.normalized_url AND b.http_status >= 200 AND b.http_status < 400 AND mb.crawl_status = 'fetched')""",
+    "j6_newly_broken": f"WITH {RUNS} SELECT url FROM runs WHERE run = 22 AND bad EXCEPT SELECT url FROM runs WHERE run = 20 AND bad",
+    "j7_resolved": f"WITH {RUNS} SELECT url FROM runs WHERE run = 20 AND bad INTERSECT SELECT url FROM runs WHERE run = 22 AND well",
     "j8_scalar_subquery": "SELECT p.id FROM site_pages p WHERE p.site_id = (SELECT max(site_id) FROM snapshots WHERE id = 20)",
     "j10_url_hash_join": "SELECT e.id, b.normalized_url AS target_url FROM edges e JOIN site_pages b ON b.id = e.target_page_id WHERE e.weight < 1",
     "j11_trends_default_zero": f"""SELECT s.id, s.created_at AS date, s.node_count AS pages, s.health_score AS health, coalesce(s.orphan_count, 0) AS orphans, coalesce(b.n, 0) AS broken, coalesce(c.n, 0) AS clusters FROM snapshots s
@@ -109,10 +110,10 @@ SQL: dict[str, str] = {
     "e29_cluster_severity": """SELECT content_hash, CASE WHEN count(*) FILTER (WHERE canonical_url IS NULL) > 0 OR count(DISTINCT canonical_url) > 1 THEN 'high' ELSE 'low' END AS severity FROM site_pages GROUP BY content_hash HAVING count(*) > 1""",
     # order and limits
     "t1_top_pagerank": "SELECT p.normalized_url AS url, m.pagerank_score, m.auth_score, m.hub_score FROM metrics m JOIN site_pages p ON p.id = m.page_id WHERE m.snapshot_id = 20 AND p.is_internal = 1 ORDER BY m.pagerank_score DESC NULLS LAST, p.normalized_url LIMIT 10",
-    "t3_inlinks_page": """SELECT p.normalized_url AS source_url, m.pagerank_score AS source_pagerank, e.rel AS link_type, 'Follow' AS follow_state FROM edges e JOIN site_pages p ON e.source_page_id = p.id
-        LEFT JOIN metrics m ON p.id = m.page_id AND m.snapshot_id = 20 WHERE e.snapshot_id = 20 AND e.target_page_id = 12 AND e.rel = 'internal' ORDER BY m.pagerank_score DESC NULLS LAST, p.normalized_url, e.id LIMIT 50""",
-    "t3_outlinks_page": """SELECT p.normalized_url AS target_url, p.http_status AS status, e.rel AS type, CASE WHEN e.rel = 'nofollow' THEN 0 ELSE 1 END AS follow FROM edges e JOIN site_pages p ON e.target_page_id = p.id
-        WHERE e.snapshot_id = 20 AND e.source_page_id = 12 ORDER BY p.http_status DESC NULLS LAST, p.normalized_url, e.id LIMIT 50""",
+    "t3_inlinks_page": """WITH sources AS (SELECT id, source_page_id AS page_id, rel FROM edges WHERE snapshot_id = 20 AND target_page_id = 12 AND rel = 'internal'), ranks AS (SELECT page_id, pagerank_score FROM metrics WHERE snapshot_id = 20)
+        SELECT p.normalized_url AS source_url, ranks.pagerank_score AS source_pagerank, sources.rel AS link_type, 'Follow' AS follow_state FROM sources JOIN site_pages p ON p.id = sources.page_id LEFT JOIN ranks USING (page_id) ORDER BY 2 DESC NULLS LAST, 1, sources.id LIMIT 50""",
+    "t3_outlinks_page": """WITH targets AS (SELECT id, target_page_id AS page_id, rel FROM edges WHERE snapshot_id = 20 AND source_page_id = 12)
+        SELECT p.normalized_url AS target_url, p.http_status AS status, targets.rel AS type, CAST(targets.rel <> 'nofollow' AS INT) AS follow FROM targets JOIN site_pages p ON p.id = targets.page_id ORDER BY 2 DESC NULLS LAST, 1, targets.id LIMIT 50""",
     "t3_page_view": """SELECT p.id, p.normalized_url AS url, p.http_status, coalesce(p.depth, 0) AS depth, coalesce(m.pagerank_score, 0) AS pagerank_score, coalesce(m.auth_score, 0) AS auth_score, coalesce(m.hub_score, 0) AS hub_score,
         (SELECT count(*) FROM edges e WHERE e.snapshot_id = 20 AND e.target_page_id = p.id AND e.rel = 'internal') AS inlinks, (SELECT count(*) FROM edges e WHERE e.snapshot_id = 20 AND e.source_page_id = p.id AND e.rel = 'internal') AS outlinks,
         (SELECT max(x.snapshot_id) FROM metrics x JOIN site_pages q ON q.id = x.page_id JOIN snapshots s ON s.id = x.snapshot_id WHERE s.site_id = 1 AND s.status = 'completed' AND q.normalized_url IN ('/u/12/', '/u/12', 'https://alpha.example.com/u/12', 'https://alpha.example.com/u/12/')) AS latest_snapshot
@@ -135,15 +136,13 @@ SQL: dict[str, str] = {
         t AS (SELECT s, count(*) AS n FROM g GROUP BY s), h AS (SELECT g.s, -sum(1e0 / t.n * log2(k.c / CAST(t.n AS DOUBLE))) AS entropy FROM g JOIN t ON t.s = g.s JOIN (SELECT s, o, count(*) AS c FROM g GROUP BY s, o) k ON k.s = g.s AND k.o = g.o GROUP BY g.s),
         v AS (SELECT s, 'entropy' AS metric, entropy AS v FROM h UNION ALL SELECT s, 'orphans', CAST(count(*) FILTER (WHERE i = 0 AND depth > 0) AS DOUBLE) FROM g GROUP BY s UNION ALL SELECT s, 'efficiency', count(*) FILTER (WHERE depth <= 3) / CAST(count(*) AS DOUBLE) FROM g GROUP BY s)
         SELECT a.metric, floor(a.v * 1e6 + 5e-1) / 1e6 AS old, floor(b.v * 1e6 + 5e-1) / 1e6 AS new, floor((b.v - a.v) * 1e6 + 5e-1) / 1e6 AS delta FROM v a JOIN v b ON a.metric = b.metric AND a.s = 20 AND b.s = 22""",
-    "g12_compare_counts": """WITH a AS (SELECT p.normalized_url AS url, p.http_status AS s, m.crawl_status AS c FROM site_pages p JOIN metrics m ON m.page_id = p.id WHERE m.snapshot_id = 20), b AS (SELECT p.normalized_url AS url, p.http_status AS s, m.crawl_status AS c FROM site_pages p JOIN metrics m ON m.page_id = p.id WHERE m.snapshot_id = 22),
-        n AS (SELECT url FROM b WHERE (s >= 400 OR c IN ('network_error', 'fetched_error')) AND NOT EXISTS (SELECT 1 FROM a WHERE a.url = b.url AND (a.s >= 400 OR a.c IN ('network_error', 'fetched_error')))),
-        r AS (SELECT url FROM a WHERE (s >= 400 OR c IN ('network_error', 'fetched_error')) AND EXISTS (SELECT 1 FROM b WHERE a.url = b.url AND b.s >= 200 AND b.s < 400 AND b.c = 'fetched'))
-        SELECT (SELECT count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.url = b.url)) AS added, (SELECT count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.url = b.url)) AS removed, (SELECT count(*) FROM n) AS newly_broken, (SELECT count(*) FROM r) AS resolved""",
-    "g12_compare_view": """WITH a AS (SELECT p.normalized_url AS url, p.http_status AS s, m.crawl_status AS c FROM site_pages p JOIN metrics m ON m.page_id = p.id WHERE m.snapshot_id = 20), b AS (SELECT p.normalized_url AS url, p.http_status AS s, m.crawl_status AS c FROM site_pages p JOIN metrics m ON m.page_id = p.id WHERE m.snapshot_id = 22),
-        n AS (SELECT url FROM b WHERE (s >= 400 OR c IN ('network_error', 'fetched_error')) AND NOT EXISTS (SELECT 1 FROM a WHERE a.url = b.url AND (a.s >= 400 OR a.c IN ('network_error', 'fetched_error')))),
-        r AS (SELECT url FROM a WHERE (s >= 400 OR c IN ('network_error', 'fetched_error')) AND EXISTS (SELECT 1 FROM b WHERE a.url = b.url AND b.s >= 200 AND b.s < 400 AND b.c = 'fetched'))
-        SELECT (SELECT count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.url = b.url)) AS added, (SELECT count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.url = b.url)) AS removed,
-        (SELECT coalesce(health_score, 0) FROM snapshots WHERE id = 22) - (SELECT coalesce(health_score, 0) FROM snapshots WHERE id = 20) AS health_delta,
+    "g12_compare_counts": f"""WITH {RUNS}, n AS (SELECT url FROM runs WHERE run = 22 AND bad EXCEPT SELECT url FROM runs WHERE run = 20 AND bad), r AS (SELECT url FROM runs WHERE run = 20 AND bad INTERSECT SELECT url FROM runs WHERE run = 22 AND well),
+        sides AS (SELECT url, bool_or(run = 20) AS before, bool_or(run = 22) AS after FROM runs WHERE run IN (20, 22) GROUP BY url)
+        SELECT (SELECT count(*) FROM sides WHERE after AND NOT before) AS added, (SELECT count(*) FROM sides WHERE before AND NOT after) AS removed, (SELECT count(*) FROM n) AS newly_broken, (SELECT count(*) FROM r) AS resolved""",
+    "g12_compare_view": f"""WITH {RUNS}, n AS (SELECT url FROM runs WHERE run = 22 AND bad EXCEPT SELECT url FROM runs WHERE run = 20 AND bad), r AS (SELECT url FROM runs WHERE run = 20 AND bad INTERSECT SELECT url FROM runs WHERE run = 22 AND well),
+        sides AS (SELECT url, bool_or(run = 20) AS before, bool_or(run = 22) AS after FROM runs WHERE run IN (20, 22) GROUP BY url)
+        SELECT (SELECT count(*) FROM sides WHERE after AND NOT before) AS added, (SELECT count(*) FROM sides WHERE before AND NOT after) AS removed,
+        (SELECT sum(CASE id WHEN 22 THEN 1 ELSE -1 END * coalesce(health_score, 0)) FROM snapshots WHERE id IN (20, 22)) AS health_delta,
         coalesce((SELECT string_agg(url, ' ' ORDER BY url) FROM (SELECT url FROM n ORDER BY url LIMIT 50)), '') AS new_broken, coalesce((SELECT string_agg(url, ' ' ORDER BY url) FROM (SELECT url FROM r ORDER BY url LIMIT 50)), '') AS resolved_broken""",
     # state after changes
     "m2_metrics_replace": "SELECT page_id, word_count FROM metrics WHERE snapshot_id = 22 UNION ALL SELECT page_id, word_count FROM metrics o WHERE snapshot_id = 20 AND NOT EXISTS (SELECT 1 FROM metrics n WHERE n.snapshot_id = 22 AND n.page_id = o.page_id)",
