@@ -653,7 +653,7 @@ def _(spark, d):
     return pages(spark, d).select("page_id", r.should_enqueue(F.col("url"), F.col("page_id") % 7).alias("enqueue"))
 
 
-@query("a12_robots", f"SELECT page_id, CASE WHEN {RAWPATH} LIKE '/fr/8%' THEN TRUE WHEN {RAWPATH} LIKE '/fr%' THEN FALSE WHEN {RAWPATH} LIKE '/en/__' OR {RAWPATH} LIKE '/en/__/' THEN FALSE ELSE TRUE END AS allowed FROM pages")
+@query("a12_robots", f"SELECT page_id, CASE WHEN {RAWPATH} LIKE '/fr/8%' THEN TRUE WHEN {RAWPATH} LIKE '/fr%' THEN FALSE WHEN regexp_matches({RAWPATH}, '^/en/[1-9][0-9]/?$') THEN FALSE ELSE TRUE END AS allowed FROM pages")
 def _(spark, d):
     # the last rules block a path of two digits for what it is with a slash behind it
     two = "\n".join(f"Disallow: /en/{k}/$" for k in range(10, 100))

@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gossamer.functions.url import host
+
 #: Limits of a fetch, and the states that stand for a status where there is none.
 MAX_BYTES, MAX_HOPS, MAX_RETRIES, BASE_MS, JITTER = 2_000_000, 5, 3, 500, 0.1
 STATES = ("oversized", "redirect_loop", "redirect_limit_exceeded", "blocked_internal_ip", "blocked_by_domain_filter", "blocked_subdomain", "proxy_connection_failed", "network_error", "failed_after_retries")
@@ -110,20 +112,42 @@ def fetch_one(url: str, send: Callable[[str, dict], dict], etag: str | None = No
         return close(status=r["status"], headers=head, body=body, bytes=size, etag=head.get("etag"), last_modified=head.get("last-modified"))
 
 
-def fetch_pages(urls: DataFrame, send: Callable[[str, dict], dict], url: str = "url", **limits) -> DataFrame:
-    """A row of ``FETCHED`` for each url; columns ``etag`` and ``last_modified`` make requests conditional."""
+def fetch_pages(urls: DataFrame, send: Callable[[str, dict], dict], url: str = "url", rate: float | None = None, crawl_delay: float = 0.0, clock: Callable[[], float] = time.time, wait: Callable[[float], None] = time.sleep, **limits) -> DataFrame:
+    """A row of ``FETCHED`` for each url; columns ``etag`` and ``last_modified`` make requests conditional.
+
+    With a ``rate`` a host is asked so often a second at most, or once every ``crawl_delay`` seconds: its urls are dealt to one
+    task, which waits for tokens of the host's bucket. Hosts take turns, so that one host's wait is another's time.
+    """
+    from gossamer.streaming.limiter import bucket
+
+    rule = bucket(rate) if rate else None
     names = [x.split()[0] for x in ("url", "status", "state", "final_url", "redirect_chain", "etag", "last_modified", "retries", "bytes", "headers", "body")]
     extra = [c for c in ("etag", "last_modified") if c in urls.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens: dict[str | None, list[float]] = {}
+
+        def one(u: str, e: str | None, m: str | None) -> dict:
+            if rule:
+                pause = rule.step(tokens.setdefault(urlsplit(u).hostname, rule.fresh()), int(clock() * 1e6), crawl_delay)
+                if pause > 0:
+                    wait(pause)
+            return fetch_one(u, send, e, m, **limits)
+
         for b in batches:
             known = [b[c] if c in extra else [None] * len(b) for c in ("etag", "last_modified")]
-            rows = [fetch_one(u, send, e, m, **limits) for u, e, m in zip(b[url], *known)]
+            rows = [one(u, e, m) for u, e, m in zip(b[url], *known)]
             out = pd.DataFrame(rows, columns=names)
             out["status"] = out["status"].astype("Int32")
             yield out
 
-    return urls.select(url, *extra).mapInPandas(run, FETCHED)
+    asked = urls.select(url, *extra)
+    if rule:
+        of = host(F.col(url))
+        n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        turn = F.row_number().over(Window.partitionBy("_host").orderBy(url))
+        asked = asked.withColumn("_host", of).withColumn("_turn", turn).repartition(n, "_host").sortWithinPartitions("_turn", "_host").drop("_host", "_turn")
+    return asked.mapInPandas(run, FETCHED)
 
 
 def parsed_as_html(headers: Column) -> Column:
@@ -139,13 +163,13 @@ def resolve(given: str, send: Callable[[str, dict], dict], preferred: str | None
     """
     if given.startswith(("http://", "https://")):
         return given, preferred or given
-    host = urlsplit(f"https://{given}").hostname
-    if not host:
+    name = urlsplit(f"https://{given}").hostname
+    if not name:
         raise ValueError(f"no url or domain: {given}")
     if preferred:
         return preferred, preferred
     for protocol in ("https", "http"):
-        r = fetch_one(f"{protocol}://{host}/", send, retries=0)
+        r = fetch_one(f"{protocol}://{name}/", send, retries=0)
         if r["status"] is not None and 200 <= r["status"] < 400:
             return r["final_url"], r["final_url"]
     return f"https://{given}", None
@@ -189,16 +213,16 @@ def probe_summary(probe: Column) -> Column:
 PROBE_HOPS = 10
 
 
-def probe_dns(host: str, resolve: Callable[[str, str], list[str]]) -> dict:
+def probe_dns(name: str, resolve: Callable[[str, str], list[str]]) -> dict:
     """Addresses and names of a host. ``resolve(name, kind)`` answers a, aaaa, cname and ptr, or raises; what fails is empty."""
 
-    def ask(name: str, kind: str) -> list[str]:
+    def ask(what: str, kind: str) -> list[str]:
         try:
-            return list(resolve(name, kind))
+            return list(resolve(what, kind))
         except Exception:  # noqa: BLE001 - no answer is an answer
             return []
 
-    out = {kind: ask(host, kind) for kind in ("a", "aaaa", "cname")}
+    out = {kind: ask(name, kind) for kind in ("a", "aaaa", "cname")}
     first = next(iter(out["a"] + out["aaaa"]), None)
     return out | {"reverse": ask(first, "ptr") if first else []}
 

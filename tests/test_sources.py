@@ -74,6 +74,28 @@ def test_resolver_prefers_https_then_http_and_remembers():
     assert fetching.resolve("a.com", answers({"https://a.com/": [OSError()], "http://a.com/": [OSError()]}, [])) == ("https://a.com", None)
 
 
+def test_a_host_is_asked_no_faster_than_its_rate(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def send(u, headers):
+        import time
+
+        with open(log, "a") as f:
+            f.write(f"{time.time():.4f} {u}\n")
+        return {"status": 200, "headers": {}, "body": ""}
+
+    urls = spark.createDataFrame([(f"http://h{k % 2}.com/{k}",) for k in range(10)], "url string").repartition(5)
+    assert fetching.fetch_pages(urls, send, rate=1.0, crawl_delay=0.2).where("status = 200").count() == 10
+    times: dict[str, list[float]] = {}
+    for line in open(log):
+        t, u = line.split()
+        times.setdefault(u[7:9], []).append(float(t))
+    # one second apart: the crawl delay is the shorter of the two
+    assert all(b - a > 0.9 for ts in times.values() for a, b in zip(sorted(ts), sorted(ts)[1:]))
+    both = sorted(t for ts in times.values() for t in ts)
+    assert both[-1] - both[0] < 8
+
+
 def test_pagespeed_is_tried_three_times():
     waits, log = [], []
     url = "https://www.googleapis.com/pagespeedonline/v5/runPagespeed?url=u&key=k&strategy=mobile"
