@@ -87,7 +87,8 @@ def _whole(spark: SparkSession, path: str) -> bool:
 def crawl(spark: SparkSession, start: str, fetch: Fetch, options: Options = Options(), robots: str | None = None, sitemap: DataFrame | None = None, previous: tuple[DataFrame, DataFrame] | None = None, folder: str | None = None) -> Crawl:
     """Pages reachable from ``start`` (an address) over links within its site.
 
-    ``fetch`` maps (url, etag, last_modified) to rows of ``FETCHED``; it is asked once for every url. The queue
+    ``fetch`` maps (url, etag, last_modified) to rows of ``FETCHED``; it is asked once for every url, and again only
+    for urls of a task or level that was lost. The queue
     starts with ``start`` and then the urls of ``sitemap`` (loc, and place for their order), all of depth 0. A page that
     ``robots`` (a robots.txt) blocks is not fetched but counts towards the limit; with ``ignore_robots`` it is fetched
     and marked. Links of a page are queued in their order, each url once, if they are of the site, in scope,
