@@ -226,3 +226,20 @@ def test_windows_of_different_strings_are_found_by_the_tree(monkeypatch):
     assert sorted(subtrees.repeats_of_group(group)) == [(7, 101, 153), (9, 41, 92), (9, 61, 112)]
     monkeypatch.setattr(subtrees, "deep_nodes", lambda strings: iter(()))
     assert list(subtrees.repeats_of_group(group)) == []
+
+
+def test_planted_tails_of_odd_texts(spark):
+    """Ids whose checksum plants a tail, with texts of no, one and some words, and a null id."""
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    kinds = [None, "", " \n", "one", "a b", "a\tb  c d e f g h"]
+    rows = [(i, kinds[k % len(kinds)]) for k, i in enumerate(ids)] + [(None, "a b c"), (next(i for i in range(50) if i not in ids), "kept  as it\nis")]
+    got = {r.doc_id: r.text for r in periods.with_planted_tails(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        if i in ids and w:
+            g = zlib.crc32(str(i).encode()) // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            assert got[i] == " ".join(w[a + (k - a) % p] if k >= a else x for k, x in enumerate(w))
+        else:
+            assert got[i] == t
