@@ -25,9 +25,9 @@ MAGIC = b"GTOKBIN1"
 HEAD = len(MAGIC) + 11 * 8
 BLOCK_IDS = 4096
 #: A shard is closed when it holds this many ids; a longer document is a shard of its own.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 1_000_000
 #: Shards of a file at most: a file is read as one row, so it has to stay small.
-FILE_SHARDS = 16
+FILE_SHARDS = 64
 #: Words whose ids a worker remembers; beyond it the memory is emptied.
 MEMO_WORDS = 800_000
 
