@@ -18,7 +18,7 @@ from gossamer.session import materialize, table
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Words a worker remembers in the last stage: few, as workers hold memory of earlier stages.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 
 
 def free_name(docs: DataFrame, name: str) -> str:
