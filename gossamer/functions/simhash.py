@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gossamer.session import bounded_batches, trimmed
+
 #: Fixed values of FNV-1a with 64 bits.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 _WORD = re.compile(r"[A-Za-z0-9_]+")
@@ -58,10 +61,15 @@ def simhashes(texts: list[str | None], cap: int | None = None) -> np.ndarray:
 
 def simhash(text: Column | str, cap: int | None = None) -> Column:
     """Arrow-batched ``simhashes`` of whole texts (or of their first ``cap`` characters)."""
+    bounded_batches(SparkSession.active())
 
     @F.pandas_udf("bigint")
-    def run(t: pd.Series) -> pd.Series:
-        return pd.Series(simhashes(t.tolist(), cap))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return trimmed(hashed)(batches)
+
+    def hashed(batches):
+        for t in batches:
+            yield pd.Series(simhashes(t.tolist(), cap))
 
     return run(text)
 
