@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from gossamer.session import materialize
+from gossamer.session import BROADCAST_ROWS, materialize, side, spread
 
 LOCAL_EDGES = 5_000_000
 DAMPING, TOLERANCE, ROUNDS, HITS_ROUNDS = 0.85, 1e-5, 40, 20
@@ -32,6 +32,7 @@ def hits_eligible(status: Column, redirected: Column, noindex: Column) -> Column
 def _inner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("id").alias("_n"))
     w = F.when(F.coalesce("weight", F.lit(0.0)) > 0, F.col("weight")).otherwise(F.lit(1.0))
+    ids = side(ids)
     return edges.join(ids, edges["src"] == ids["_n"], "left_semi").join(ids, F.col("dst") == ids["_n"], "left_semi").select("src", "dst", w.alias("weight"))
 
 
@@ -104,10 +105,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tol: floa
     return scale_column(ranks, "rank").select("id", "rank", "score")
 
 
-def upper_median(df: DataFrame, column: str, *ties: str) -> float | None:
-    """The value at place n // 2 of n in rising order; null of an empty table."""
-    n = df.where(F.col(column).isNotNull()).count()
-    got = df.where(F.col(column).isNotNull()).orderBy(column, *ties).offset(n // 2).limit(1).select(column).collect() if n else []
+def upper_median(df: DataFrame, column: str, *ties: str, whole: int = 1_000_000) -> float | None:
+    """The value at place n // 2 of n in rising order; null of an empty table.
+
+    Beyond ``whole`` rows only the values between two approximate quantiles around it are brought together."""
+    some = df.where(F.col(column).isNotNull())
+    n = some.count()
+    k = n // 2
+    if n > whole:
+        lo, hi = some.agg(F.percentile_approx(column, [0.499, 0.501], 10_000)).first()[0]
+        below = some.where(F.col(column) < lo).count()
+        for value, count in some.where(F.col(column).between(lo, hi)).groupBy(column).count().orderBy(column).collect() if below <= k else ():
+            below += count
+            if k < below:
+                return value
+    got = some.orderBy(column, *ties).offset(k).limit(1).select(column).collect() if n else []
     return got[0][0] if got else None
 
 
@@ -117,13 +129,14 @@ def scale_column(df: DataFrame, column: str, out: str = "score", digits: int = 3
     return df.crossJoin(F.broadcast(ends)).withColumn(out, scaled(F.col(column), F.col("_lo"), F.col("_hi"), digits)).drop("_lo", "_hi")  # one row
 
 
-def hits(nodes: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def hits(nodes: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, local_edges: int = LOCAL_EDGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, auth, hub, role): unit-norm scores after fixed rounds, self-loops left out.
 
     A score is high above its upper median or at its maximum (and above 1e-5); both high is power,
     one high authority or hub, else balanced (both above 1e-5) or peripheral.
     """
-    inner = _inner(nodes, edges).where("src <> dst").persist(StorageLevel.MEMORY_AND_DISK)
+    inner = _inner(nodes, edges).where("src <> dst")
+    inner = materialize(inner, "hits-edges")
     if inner.count() <= local_edges:
 
         def run(ids, src, dst, w):
@@ -137,15 +150,27 @@ def hits(nodes: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, local_ed
 
         out = materialize(_local(nodes, inner, run, "auth double, hub double"), "hits")
     else:
-        unit = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("_norm")))).select("id", F.when(F.col("_norm") > 0, F.col(c) / F.col("_norm")).otherwise(F.lit(0.0)).alias(c))
-        hub = nodes.select("id", F.lit(1.0).alias("hub"))
+        # edges are dealt once by either end: a round moves scores to where their sums are, or, of too many nodes, partial sums
+        by = {end: spread(inner, end).persist(StorageLevel.MEMORY_AND_DISK) for end in ("src", "dst")}
+        small = nodes.count() <= broadcast_rows
+
+        def step(score: DataFrame, norm: float, near: str, far: str) -> tuple[DataFrame, float]:
+            """Scores over the edges from ``near`` to ``far`` and their norm; nodes without any are left out."""
+            at = by[far] if small else by[near]
+            score = F.broadcast(score) if small else score.hint("shuffle_hash")
+            got = at.join(score.withColumnRenamed("id", near), near).groupBy(F.col(far).alias("id")).agg(F.sum(F.col("score") / F.lit(norm) * F.col("weight")).alias("score"))
+            got = materialize(got, "hits")
+            return got, got.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+
+        hub, hub_norm = nodes.select("id", F.lit(1.0).alias("score")), 1.0
         for _ in range(rounds):
-            a = inner.join(hub.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hub") * F.col("weight")).alias("auth"))
-            auth = materialize(unit(nodes.select("id").join(materialize(a, "hits"), "id", "left").fillna(0.0), "auth"), "hits")
-            h = inner.join(auth.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("auth") * F.col("weight")).alias("hub"))
-            hub = materialize(unit(nodes.select("id").join(materialize(h, "hits"), "id", "left").fillna(0.0), "hub"), "hits")
-        out = materialize(auth.join(hub, "id"), "hits")
-    inner.unpersist()
+            auth, auth_norm = step(hub, hub_norm, "src", "dst")
+            hub, hub_norm = step(auth, auth_norm, "dst", "src")
+        for end in by.values():
+            end.unpersist()
+        unit = lambda df, norm, c: df.select("id", (F.col("score") / F.lit(norm)).alias(c)).hint("shuffle_hash")
+        out = nodes.select("id").join(unit(auth, auth_norm, "auth"), "id", "left").join(unit(hub, hub_norm, "hub"), "id", "left").fillna(0.0, ["auth", "hub"])
+        out = materialize(out, "hits")
     middle = {c: upper_median(out, c) or 0.0 for c in ("auth", "hub")}
     top = out.agg(F.max("auth"), F.max("hub")).first()
     high = lambda c, m, t: (F.col(c) > 1e-5) & ((F.col(c) > m) | (F.col(c) == F.lit(t)))
