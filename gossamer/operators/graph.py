@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,13 +97,20 @@ def redirect_edges(pages: DataFrame, chain: str = "redirect_chain", keep: tuple[
 def follow_redirects(hops: DataFrame, starts: DataFrame, max_hops: int = 5) -> DataFrame:
     """(url, final, n_hops, outcome) with outcome ok, loop or too_many; fragments do not count."""
     bare = lambda c: F.regexp_replace(c, "#.*$", "")
-    now = starts.select("url", F.col("url").alias("final"), F.array(bare(F.col("url"))).alias("path"), F.lit("").alias("outcome"))
-    table = hops.select(bare(F.col("src")).alias("_from"), F.col("dst").alias("_to"))
+    live = starts.select("url", F.col("url").alias("final"), F.array(bare(F.col("url"))).alias("path"))
+    table = side(materialize(hops.select(bare(F.col("src")).alias("_from"), F.col("dst").alias("_to")), "hops"))
+    ended = []
     for _ in range(max_hops + 1):
-        j = now.join(table, (bare(F.col("final")) == F.col("_from")) & (F.col("outcome") == ""), "left")
+        j = live.join(table, bare(F.col("final")) == F.col("_from"), "left")
         loop = F.array_contains("path", bare(F.col("_to")))
         full = F.size("path") > max_hops
-        state = F.when(F.col("_to").isNull(), F.col("outcome")).when(loop, "loop").when(full, "too_many").otherwise("")
-        go = F.col("_to").isNotNull() & (state == "")
-        now = j.select("url", F.when(go, F.col("_to")).otherwise(F.col("final")).alias("final"), F.when(go, F.concat("path", F.array(bare(F.col("_to"))))).otherwise(F.col("path")).alias("path"), state.alias("outcome"))
-    return now.select("url", "final", (F.size("path") - 1).alias("n_hops"), F.when(F.col("outcome") == "", "ok").otherwise(F.col("outcome")).alias("outcome"))
+        state = F.when(F.col("_to").isNull(), "ok").when(loop, "loop").when(full, "too_many").otherwise("")
+        go = state == ""
+        # what has ended is joined no more
+        step = materialize(j.select("url", F.when(go, F.col("_to")).otherwise(F.col("final")).alias("final"), F.when(go, F.concat("path", F.array(bare(F.col("_to"))))).otherwise(F.col("path")).alias("path"), state.alias("outcome")), "redirects")
+        ended.append(step.where("outcome <> ''"))
+        live = step.where("outcome = ''").drop("outcome")
+        if live.isEmpty():
+            break
+    now = reduce(DataFrame.unionByName, ended)
+    return now.select("url", "final", (F.size("path") - 1).alias("n_hops"), "outcome")

@@ -41,3 +41,26 @@ def test_upper_median_between_quantiles(spark):
     for values in ([5.0] * 90 + [1.0, 2.0], [float(i % 37) for i in range(1000)], [0.0], [float(i) for i in range(5001)]):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
         assert R.upper_median(df, "v", whole=0) == R.upper_median(df, "v") == sorted(values)[len(values) // 2]
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    import gossamer.session as S
+
+    monkeypatch.setattr(S.side, "__defaults__", (0,))
+    monkeypatch.setattr(S.spread, "__kwdefaults__", {"rows": 10})
+    nodes, edges = links(spark)
+    members = nodes.where("id % 2 = 0").select("id", (F.col("id") - F.col("id") % 10).alias("representative"))
+    got = G.collapse(G.SiteGraph(nodes, edges), members).edges
+    assert got.rdd.getNumPartitions() > 4 or edges.count() < 50
+    rep = {r.id: r.representative for r in members.collect()}
+    want = {}
+    for s, d, w in edges.collect():
+        if rep.get(d, d) != s or s == d:
+            want[s, rep.get(d, d)] = max(w, want.get((s, rep.get(d, d)), w))
+    assert {(r.src, r.dst): r.weight for r in got.collect()} == want
+
+    hops = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x#f"), *[(f"n{i}", f"n{i + 1}") for i in range(9)]], "src string, dst string")
+    starts = spark.createDataFrame([("a",), ("x",), ("n0",), ("q",)], "url string")
+    followed = G.follow_redirects(hops, starts)
+    assert sorted(followed.collect()) == [("a", "c", 2, "ok"), ("n0", "n5", 5, "too_many"), ("q", "q", 0, "ok"), ("x", "y", 1, "loop")]
+    assert "BroadcastHashJoin" not in followed._jdf.queryExecution().toString()
