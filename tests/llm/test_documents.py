@@ -486,6 +486,47 @@ def test_lm_scores_match_a_plain_model(spark, odd, monkeypatch):
     assert max(bits[300], bits[301]) < 0.8 * bits[302]
 
 
+def test_lm_every_place_may_match(monkeypatch):
+    """Anchors are at every place; parts, ranges and blocks give what one dictionary gives."""
+    monkeypatch.setattr(mixlm, "HELD_KEYS", 40)
+    rng = np.random.default_rng(3)
+    vocabulary = bytesets.mix64(np.arange(1, 6, dtype=np.uint64))
+    blocks = [[(bool(rng.random() < 0.7), np.append(vocabulary[rng.integers(0, 5, rng.integers(0, 60))], mixlm.END_HASH)) for _ in range(5)] for _ in range(3)]
+    after = collections.defaultdict(dict)
+    for d, (trains, h) in enumerate(x for b in blocks for x in b):
+        for k in range(3, len(h)):
+            if trains:
+                after[tuple(h[k - 3 : k])].setdefault(d, int(h[k]) >> (64 - mixlm.BITS))
+    n_parts, laid, asked = 5, [], []
+    for block, texts in enumerate(blocks):
+        h, off = np.concatenate([t for _, t in texts]), np.cumsum([0, *(len(t) for _, t in texts)])
+        trains = np.array([t for t, _ in texts])
+        at, key = mixlm.anchors(h, off)
+        assert at.tolist() == [int(s) + k for s, (_, t) in zip(off, texts) for k in range(2, len(t) - 1)]
+        row = np.searchsorted(off, at, "right") - 1
+        laid.append((h, off, trains, np.unique(key)))
+        asked += mixlm.asked_rows(block, n_parts, np.unique(h), mixlm.sorted_sums(key, row, mixlm.buckets(h[at + 1]), trains[row]))
+    asked = pa.Table.from_batches(asked)
+    words = np.sort(np.append(vocabulary, mixlm.END_HASH))
+    facts = pa.table({"h": words.view(np.int64), "c": np.arange(1, 7)})
+    got = pa.concat_tables([mixlm.answers(facts, asked.filter(pa.compute.equal(asked["part"], p))) for p in range(n_parts)])
+    d = predicted = 0
+    for block, (h, off, trains, keys) in enumerate(laid):
+        own = np.unique(h)
+        counts, known = mixlm.answered(got.filter(pa.compute.equal(got["block"], block)), len(own), keys, n_parts)
+        assert counts.tolist() == [words.tolist().index(x) + 1 for x in own.tolist()]
+        guess, run = mixlm.matched(h, off, trains, known)
+        for r in range(len(trains)):
+            for k in range(off[r], off[r + 1]):
+                others = after[tuple(h[k - 3 : k])] if k - off[r] >= 3 else {}
+                mine = others.get(d)
+                want = -1 if len(others) <= trains[r] else max(others.values()) if min(others.values()) == mine else min(others.values())
+                assert guess[k] == want and run[k] == 0
+                predicted += want >= 0
+            d += 1
+    assert predicted > 100
+
+
 def test_lm_counts_base_and_normal_scores(spark, odd, nothing):
     df, texts = odd
     got = mixlm.score_corpus(df).collect()
