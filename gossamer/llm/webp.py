@@ -9,6 +9,7 @@ over FRAME_PIXELS) an animation of frames that are decoded alike.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -56,15 +57,23 @@ class Bits:
         return v & ((1 << n) - 1)
 
 
+#: Every number of 15 bits read backwards.
+_REVERSED = sum(((np.arange(1 << MAX_BITS) >> i) & 1) << (MAX_BITS - 1 - i) for i in range(MAX_BITS))
+
+
+def by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols that have a code, their lengths) in the order of their codes."""
+    used = np.nonzero(lengths)[0]
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, lengths[used]
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of a canonical prefix code, bits reversed so that they can be read from the low end."""
     codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, MAX_BITS + 1):
-        for s in np.nonzero(lengths == n)[0].tolist():
-            codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-            code += 1
-        code <<= 1
+    used, n = by_length(lengths)
+    share = 1 << (MAX_BITS - n)
+    codes[used] = _REVERSED[(np.cumsum(share) - share) & ((1 << MAX_BITS) - 1)]
     return codes
 
 
@@ -85,12 +94,9 @@ def lookup(lengths: np.ndarray) -> tuple[np.ndarray, int]:
         width = int(lengths.max())
         if int((1 << (MAX_BITS - lengths[used].astype(np.int64))).sum()) != 1 << MAX_BITS:
             raise ValueError("a prefix code is not complete")
-        t = np.zeros(1 << width, np.int64)
-        codes = canonical(lengths)
-        for s in used.tolist():
-            n = int(lengths[s])
-            t[int(codes[s]) :: 1 << n] = s << 4 | n
-        out = (t, width)
+        used, n = by_length(lengths)
+        t = np.repeat(used << 4 | n, 1 << (width - n))
+        out = (t[_REVERSED[: 1 << width] >> (MAX_BITS - width)], width)
     if len(_LOOKUPS) > 500:
         _LOOKUPS.clear()
     _LOOKUPS[key] = out
@@ -116,30 +122,58 @@ def read_code(bits: Bits, size: int) -> np.ndarray:
         if limit > size:
             raise ValueError("more code lengths than symbols")
     t, width = lookup(inner)
-    s, before = 0, 8
-    while s < size and limit > 0:
+    t, mask = t.tolist(), (1 << width) - 1
+    # a code length takes 14 bits at most
+    first = bits.at >> 3
+    v, p = int.from_bytes(bits.raw[first : first + 2 * size + 2], "little"), bits.at & 7
+    out: list[int] = []
+    before = 8
+    while len(out) < size and limit > 0:
         limit -= 1
-        if width:
-            mark = bits.at
-            have = min(width, 8 * len(bits.raw) - mark)
-            entry = int(t[bits.take(have)])
-            bits.at = mark + (entry & 15)
-        else:
-            entry = int(t[0])
+        entry = t[v >> p & mask]
+        p += entry & 15
         c = entry >> 4
         if c < 16:
-            lengths[s] = c
-            s += 1
+            out.append(c)
             before = c or before
+            continue
+        if c == 16:
+            out += [before] * (3 + (v >> p & 3))
+            p += 2
+        elif c == 17:
+            out += [0] * (3 + (v >> p & 7))
+            p += 3
         else:
-            n, v = (3 + bits.take(2), before) if c == 16 else (3 + bits.take(3), 0) if c == 17 else (11 + bits.take(7), 0)
-            if s + n > size:
-                raise ValueError("a repeat leaves the code")
-            lengths[s : s + n] = v
-            s += n
+            out += [0] * (11 + (v >> p & 127))
+            p += 7
+        if len(out) > size:
+            raise ValueError("a repeat leaves the code")
+    bits.at = 8 * first + p
+    if bits.at > 8 * len(bits.raw):
+        raise ValueError("the frame ends early")
+    lengths[: len(out)] = out
     return lengths
 
 
+def read_codes(bits: Bits, sizes: list[int]) -> list[np.ndarray]:
+    """The codes of a group; one that is written as the one before is not read again."""
+    out: list[np.ndarray] = []
+    n = v = 0
+    for size in sizes:
+        if out and size == len(out[-1]) and bits.at + n <= 8 * len(bits.raw):
+            at = bits.at
+            if bits.take(n) == v:
+                out.append(out[-1])
+                continue
+            bits.at = at
+        at = bits.at
+        out.append(read_code(bits, size))
+        n = bits.at - at
+        bits.at = at
+        v = bits.take(n)
+    return out
+
+
 # -- one entropy-coded image ----------------------------------------------------------------------
 
 
@@ -163,7 +197,7 @@ def read_image_header(bits: Bits, width: int, height: int, main: bool) -> Image:
         meta = (inner >> 8) & 0xFFFF
         n_groups = int(meta.max()) + 1
     sizes = [256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
-    groups = [[read_code(bits, n) for n in sizes] for _ in range(n_groups)]
+    groups = [read_codes(bits, sizes) for _ in range(n_groups)]
     return Image(bits.raw, bits.at, width, height, groups, meta, meta_bits, cache_bits)
 
 
@@ -444,8 +478,8 @@ def unpack_palette(argb: np.ndarray, colours: np.ndarray, width: int, height: in
 # -- frames ---------------------------------------------------------------------------------------
 
 
-#: Headers that have been read: a frame that starts with the same bits is not parsed again.
-_HEADERS: dict[bytes, list[tuple[int, bytes, int, int, tuple]]] = {}
+#: Codes of frames without transforms that have been read: a frame that has the same bits there is not parsed again.
+_HEADERS: dict[bytes, tuple[int, bytes, int, int, tuple]] = {}
 _HEADERS_KEPT = 300
 
 
@@ -453,18 +487,23 @@ class Frame:
     """A frame whose header and transforms have been read; its main image is still coded."""
 
     def __init__(self, raw: bytes):
-        for at, head, mask, tail, parsed in _HEADERS.get(raw[:5], ()):
-            if raw[: at >> 3] == head and (raw[at >> 3] if at >> 3 < len(raw) else 0) & mask == tail:
-                self.width, self.height, self.has_alpha, self.transforms, image = parsed
-                self.image = Image(raw, at, *image)
+        # signature and size are the first five bytes
+        got = _HEADERS.get(raw[5:37])
+        if got is not None and len(raw) > 37 and raw[0] == 0x2F and not raw[4] >> 5:
+            at, head, mask, tail, parsed = got
+            if raw[5 : at >> 3] == head and (raw[at >> 3] if at >> 3 < len(raw) else 0) & mask == tail:
+                v = int.from_bytes(raw[1:5], "little")
+                self.width, self.height, self.has_alpha, self.transforms = (v & 0x3FFF) + 1, (v >> 14 & 0x3FFF) + 1, bool(v >> 28 & 1), []
+                self.image = Image(raw, at, self.width, self.height, *parsed)
                 return
         self._parse(raw)
         at, im = self.image.at, self.image
-        if sum(map(len, _HEADERS.values())) >= _HEADERS_KEPT:
+        if self.transforms or im.meta is not None or at >> 3 < 37:
+            return
+        if len(_HEADERS) >= _HEADERS_KEPT:
             _HEADERS.clear()
         mask = (1 << (at & 7)) - 1
-        parsed = (self.width, self.height, self.has_alpha, self.transforms, (im.width, im.height, im.groups, im.meta, im.meta_bits, im.cache_bits))
-        _HEADERS.setdefault(raw[:5], []).append((at, raw[: at >> 3], mask, (raw[at >> 3] if at >> 3 < len(raw) else 0) & mask, parsed))
+        _HEADERS[raw[5:37]] = at, raw[5 : at >> 3], mask, (raw[at >> 3] if at >> 3 < len(raw) else 0) & mask, (im.groups, None, 0, im.cache_bits)
 
     def _parse(self, raw: bytes) -> None:
         bits = Bits(raw)
@@ -548,26 +587,34 @@ def decode_files(files: list[bytes]) -> list[list[np.ndarray]]:
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     """Huffman code lengths; counts are flattened until none exceeds the limit."""
-    import heapq
-
     counts = counts.astype(np.int64)
     used = np.nonzero(counts)[0]
     out = np.zeros(len(counts), np.int64)
-    if len(used) <= 1:
+    n = len(used)
+    if n <= 1:
         out[used] = 1
         return out
     while True:
-        heap = [(int(counts[s]), i, (int(s),)) for i, s in enumerate(used)]
-        heapq.heapify(heap)
-        out[:] = 0
-        n = len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in (*a[2], *b[2]):
-                out[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], n, a[2] + b[2]))
-            n += 1
-        if out.max() <= limit:
+        order = used[np.argsort(counts[used], kind="stable")]
+        # leaves by weight, then the nodes as they are made: these come by weight, too
+        weight = counts[order].tolist()
+        parent = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, node = node, node + 1
+                parent[at] = new
+                total += weight[at]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= limit:
+            out[order] = depth[:n]
             return out
         counts[used] = (counts[used] + 1) // 2
 
@@ -587,24 +634,24 @@ class Writer:
         self.values.append(np.asarray(values, np.int64).ravel())
         self.widths.append(np.asarray(widths, np.int64).ravel())
 
-    def bits(self) -> np.ndarray:
-        if not self.values:
-            return np.zeros(0, np.uint8)
-        return expand(np.concatenate(self.values), np.concatenate(self.widths))
-
     def done(self) -> bytes:
-        return np.packbits(self.bits(), bitorder="little").tobytes()
+        return joined(self.values, self.widths)
 
 
-def expand(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """The bits of values of given widths, in a row."""
-    keep = widths > 0
-    values, widths = values[keep], widths[keep]
-    if not len(values):
-        return np.zeros(0, np.uint8)
-    top = int(widths.max())
-    bits = ((values[:, None] >> np.arange(top)) & 1).astype(np.uint8)
-    return bits[np.arange(top) < widths[:, None]]
+def joined(values: list[np.ndarray], widths: list[np.ndarray]) -> bytes:
+    """The bits of values of given widths, up to 60, in a row."""
+    n = np.concatenate([np.zeros(0, np.int64), *widths])
+    v = (np.concatenate([np.zeros(0, np.int64), *values]) & ((1 << n) - 1)).astype(np.uint64)
+    end = np.cumsum(n)
+    if not len(n):
+        return b""
+    at = end - n
+    cell, shift = at >> 6, (at & 63).astype(np.uint64)
+    first = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0]
+    out = np.zeros(int(end[-1]) // 64 + 2, np.uint64)
+    out[cell[first]] = np.bitwise_or.reduceat(v << shift, first)
+    out[cell[first] + 1] |= np.bitwise_or.reduceat(v >> np.uint64(1) >> (np.uint64(63) - shift), first)
+    return out.astype("<u8").tobytes()[: (int(end[-1]) + 7) // 8]
 
 
 def write_code(w: Writer, lengths: np.ndarray) -> None:
@@ -622,39 +669,31 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
         return
     w.put(0, 1)
     symbols: list[tuple[int, int, int]] = []
-    i, n = 0, len(lengths)
-    while i < n:
-        j = i
-        while j < n and lengths[j] == lengths[i]:
-            j += 1
-        run = j - i
-        if lengths[i] == 0:
+    edge = np.concatenate([[0], np.nonzero(np.diff(lengths))[0] + 1, [len(lengths)]])
+    for v, run in zip(lengths[edge[:-1]].tolist(), np.diff(edge).tolist()):
+        if v == 0:
             while run >= 3:
                 m = min(run, 138)
                 symbols.append((18, m - 11, 7) if m >= 11 else (17, m - 3, 3))
                 run -= m
         else:
-            symbols.append((int(lengths[i]), 0, 0))
+            symbols.append((v, 0, 0))
             run -= 1
             while run >= 3:
                 m = min(run, 6)
                 symbols.append((16, m - 3, 2))
                 run -= m
-        symbols += [(int(lengths[i]), 0, 0)] * run
-        i = j
-    inner = code_lengths(np.bincount([s for s, *_ in symbols], minlength=19), 7)
-    last = max(i for i in range(19) if inner[LENGTH_ORDER[i]]) + 1
-    last = max(4, last)
+        symbols += [(v, 0, 0)] * run
+    s, value, n = np.array(symbols).T
+    inner = code_lengths(np.bincount(s, minlength=19), 7)
+    last = max(4, max(i for i in range(19) if inner[LENGTH_ORDER[i]]) + 1)
     w.put(last - 4, 4)
-    for i in range(last):
-        w.put(int(inner[LENGTH_ORDER[i]]), 3)
+    w.many(inner[LENGTH_ORDER[:last]], np.full(last, 3))
     w.put(0, 1)
     codes = canonical(inner)
-    lone = (inner > 0).sum() == 1  # a lone symbol takes no bits when it is read
-    for s, v, n in symbols:
-        if not lone:
-            w.put(int(codes[s]), int(inner[s]))
-        w.put(v, n)
+    if (inner > 0).sum() == 1:  # a lone symbol takes no bits when it is read
+        inner = np.zeros(19, np.int64)
+    w.many(np.stack([codes[s], value], 1), np.stack([inner[s], n], 1))
 
 
 def prefix_code(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -672,76 +711,177 @@ class Codes:
 
     def __init__(self, lengths: list[np.ndarray]):
         self.lengths = lengths
-        self.codes = [canonical(x) for x in lengths]
-        self.sizes = [np.where((x > 0).sum() > 1, x, 0) for x in lengths]
+        # codes of equal planes are made once
+        made = {id(x): (canonical(x), x if np.count_nonzero(x) > 1 else np.zeros_like(x)) for x in lengths}
+        self.codes, self.sizes = ([made[id(x)][j] for x in lengths] for j in range(2))
+
+
+def own_codes(counts: list[np.ndarray], one: bool = False) -> Codes:
+    """Codes by counts; ``one``: the planes red, blue and alpha have a code in common, by their sum."""
+    if one:
+        same = code_lengths(counts[1] + counts[2] + counts[3], OWN_BITS)
+        return Codes([code_lengths(counts[0], OWN_BITS), same, same, same, code_lengths(counts[4], OWN_BITS)])
+    return Codes([code_lengths(c, OWN_BITS) for c in counts])
 
 
 def cache_index(argb: np.ndarray, bits: int) -> np.ndarray:
     return ((argb * CACHE_MULTIPLIER) & 0xFFFFFFFF) >> (32 - bits)
 
 
-def plan_symbols(argb: np.ndarray, cache_bits: int, least_run: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, kind, value) of each symbol group: 0 literal, 1 cache (index), 2 run of the pixel before (length).
+#: Pixels of a copy, at least, and at most.
+LEAST_COPY, MOST_COPY = 3, 4096
+
+
+def repeats(argb: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """For every pixel the latest place before, in the same frame, where the same LEAST_COPY pixels start, or -1."""
+    n = len(argb)
+    out = np.full(n, -1, np.int64)
+    m = n - LEAST_COPY + 1
+    if m < 2:
+        return out
+    key = frame[:m].astype(np.uint64)
+    for k in range(LEAST_COPY):
+        key = (key ^ argb[k : m + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    at, before = order[1:][same], order[:-1][same]
+    # hashes may clash, and a frame may end in between
+    sure = (frame[at] == frame[before]) & (frame[at] == frame[at + LEAST_COPY - 1])
+    for k in range(LEAST_COPY):
+        sure &= argb[at + k] == argb[before + k]
+    out[at[sure]] = before[sure]
+    return out
+
+
+def plan_symbols(argb: np.ndarray, cache_bits: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, kind, value, distance) of each symbol group: 0 literal, 1 cache (index), 2 copy (length).
 
     Every pixel goes through the cache, so a pixel is in it iff the last pixel of its slot equals it.
+    A copy goes on from the latest place where its first pixels are; the first copy that is found is taken.
     """
     n = len(argb)
-    same = np.zeros(n, bool)
-    same[1:] = argb[1:] == argb[:-1]
-    edge = np.nonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))[0]
-    starts, ends = edge[::2], edge[1::2]
-    long = ends - starts >= least_run
-    starts, ends = starts[long], ends[long]
-    covered = np.zeros(n + 1, np.int64)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, ends, -1)
-    free = np.cumsum(covered[:-1]) == 0
-    kind = np.zeros(n, np.int64)
-    value = np.zeros(n, np.int64)
+    before = repeats(argb, np.zeros(n, np.int64)) if before is None else before
+    kind, value, distance = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     if cache_bits:
         slot = cache_index(argb, cache_bits)
         order = np.argsort(slot, kind="stable")
         hit = np.zeros(n, bool)
         hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
         kind[hit], value[hit] = 1, slot[hit]
-    kind[starts], value[starts] = 2, ends - starts
-    free[starts] = True
+    free = np.ones(n, bool)
+    end = 0
+    for at in np.nonzero(before >= 0)[0].tolist():
+        if at < end:
+            continue
+        d = at - int(before[at])
+        other = np.nonzero(argb[at : at + MOST_COPY] != argb[at - d : min(n, at + MOST_COPY) - d])[0]
+        length = int(other[0]) if len(other) else min(MOST_COPY, n - at)
+        kind[at], value[at], distance[at] = 2, length, d
+        end = at + length
+        free[at + 1 : end] = False
     place = np.nonzero(free)[0]
-    return place, kind[place], value[place]
-
-
-def write_image(w: Writer, argb: np.ndarray, cache_bits: int, main: bool, codes: Codes | None = None) -> None:
-    """An entropy-coded image with literals, colour cache and runs of the pixel before."""
-    place, kind, value = plan_symbols(argb, cache_bits)
-    px = argb[place]
-    run, extra, n_extra = prefix_code(np.where(kind == 2, value, 1))
-    green = np.where(kind == 0, (px >> 8) & 255, np.where(kind == 1, 280 + value, 256 + run))
-    lit, back = kind == 0, kind == 2
-    planes = [green, ((px >> 16) & 255)[lit], (px & 255)[lit], (px >> 24)[lit]]
-    # distance code 2 is the pixel to the left; its prefix symbol is 1
-    dist = np.full(int(back.sum()), 1)
-    if codes is None:
-        sizes = [280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
-        codes = Codes([code_lengths(np.bincount(p, minlength=n)) for p, n in zip([*planes, dist], sizes)])
+    return place, kind[place], value[place], distance[place]
+
+
+_DISTANCES: dict[int, np.ndarray] = {}
+
+
+def distance_codes(d: np.ndarray, width: int) -> np.ndarray:
+    """The number that stands for each distance: that of a neighbour, or 120 more."""
+    if width not in _DISTANCES:
+        near = np.maximum(1, _NEAR[1:, 0] + _NEAR[1:, 1] * width)
+        t = np.arange(int(near.max()) + 1) + 120
+        for code in range(120, 0, -1):
+            t[near[code - 1]] = code
+        _DISTANCES[width] = t
+    t = _DISTANCES[width]
+    return np.where(d < len(t), t[np.minimum(d, len(t) - 1)], d + 120)
+
+
+class Groups:
+    """The symbol groups of an image: the symbols of the five codes (those of a literal, a cached pixel, a copy) and their extra bits."""
+
+    def __init__(self, argb: np.ndarray, cache_bits: int, width: int, before: np.ndarray | None = None):
+        self.place, kind, value, distance = plan_symbols(argb, cache_bits, before)
+        px = argb[self.place]
+        self.lit, self.back = kind == 0, kind == 2
+        self.lit, self.back = np.nonzero(self.lit)[0], np.nonzero(self.back)[0]
+        self.green = np.where(kind == 0, (px >> 8) & 255, 280 + value)
+        q = px[self.lit]
+        self.planes = [(q >> 16) & 255, q & 255, q >> 24]
+        run, self.extra, self.n_extra = prefix_code(value[self.back])
+        self.green[self.back] = 256 + run
+        self.dist, self.far, self.n_far = prefix_code(distance_codes(distance[self.back], width))
+
+    def counts(self, sizes: list[int], of: np.ndarray | None = None) -> list[np.ndarray]:
+        """How often each symbol of each code occurs, in all groups or those marked in ``of``."""
+        lit, back = (slice(None), slice(None)) if of is None else (of[self.lit], of[self.back])
+        all_ = [self.green if of is None else self.green[of], *(p[lit] for p in self.planes), self.dist[back]]
+        return [np.bincount(x, minlength=n) for x, n in zip(all_, sizes)]
+
+    def words(self, codes: list[Codes], group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(bits, number of bits) of each symbol group under its group's codes; up to 60 bits."""
+        word, size = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64)
+
+        def put(at: np.ndarray | slice, v: np.ndarray, n: np.ndarray) -> None:
+            word[at] |= v << size[at]
+            size[at] += n
+
+        def code(which: int, symbols: np.ndarray, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+            if len(codes) == 1:
+                return codes[0].codes[which][symbols], codes[0].sizes[which][symbols]
+            g = group[at]
+            return tuple(np.stack([x[which] for x in y])[g, symbols] for y in ([c.codes for c in codes], [c.sizes for c in codes]))
+
+        put(slice(None), *code(0, self.green, slice(None)))
+        for j, p in enumerate(self.planes):
+            put(self.lit, *code(j + 1, p, self.lit))
+        put(self.back, self.extra, self.n_extra)
+        put(self.back, *code(4, self.dist, self.back))
+        put(self.back, self.far, self.n_far)
+        return word, size
+
+
+def symbol_sizes(cache_bits: int) -> list[int]:
+    return [280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
+
+
+def write_image(w: Writer, argb: np.ndarray, cache_bits: int, main: bool, codes: Codes | None = None, width: int = 1 << 14, split: tuple[int, np.ndarray] | None = None, groups: Groups | None = None, one: bool = False) -> None:
+    """An entropy-coded image with literals, colour cache and copies.
+
+    With ``split`` (bits of a block, group of each block) it has codes of its own for every group of blocks.
+    """
+    groups = groups or Groups(argb, cache_bits, width)
+    sizes, own = symbol_sizes(cache_bits), None
+    if split is not None:
+        y, x = np.divmod(groups.place, width)
+        own = split[1][y >> split[0], x >> split[0]]
+        used = [own_codes(groups.counts(sizes, own == g), one) for g in range(int(split[1].max()) + 1)]
+    else:
+        used = [codes or own_codes(groups.counts(sizes), one)]
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
     if main:
-        w.put(0, 1)
-    for x in codes.lengths:
-        write_code(w, x)
-    m = len(place)
-    values, widths = np.zeros((m, 5), np.int64), np.zeros((m, 5), np.int64)
-    values[:, 0], widths[:, 0] = codes.codes[0][green], codes.sizes[0][green]
-    for j in (1, 2, 3):
-        values[lit, j], widths[lit, j] = codes.codes[j][planes[j]], codes.sizes[j][planes[j]]
-    values[back, 1], widths[back, 1] = extra[back], n_extra[back]
-    values[back, 2], widths[back, 2] = codes.codes[4][1], codes.sizes[4][1]
-    w.many(values, widths)
-
-
-def encode_frame(argb: np.ndarray, cache_bits: int = 6, transforms: tuple[int, ...] = (), mode: int = 11, codes: Codes | None = None, block_bits: int = 3) -> bytes:
-    """One VP8L frame of a rows x columns ARGB array."""
+        w.put(int(split is not None), 1)
+        if split is not None:
+            w.put(split[0] - 2, 3)
+            write_image(w, (0xFF000000 | split[1] << 8).ravel(), 0, False, width=split[1].shape[1])
+    for c in used:
+        before = None
+        for x in c.lengths:
+            if x is not before:
+                one_code = Writer()
+                write_code(one_code, x)
+                before = x
+            w.values += one_code.values
+            w.widths += one_code.widths
+    w.many(*groups.words(used, own))
+
+
+def encode_frame(argb: np.ndarray, cache_bits: int = 6, transforms: tuple[int, ...] = (), mode: int = 11, codes: Codes | None = None, block_bits: int = 3, crossed: int = 0xFF05FA09, split: tuple[int, np.ndarray] | None = None) -> bytes:
+    """One VP8L frame of a rows x columns ARGB array; ``crossed`` is the pixel of a cross-colour image."""
     h, width = argb.shape
     w = Writer()
     w.put(0x2F, 8)
@@ -761,7 +901,7 @@ def encode_frame(argb: np.ndarray, cache_bits: int = 6, transforms: tuple[int, .
             write_image(w, (0xFF000000 | modes << 8).ravel(), 0, False)
             flat = _argb(predict(_planes(flat), modes, block_bits, False))
         elif t == CROSS_COLOUR:
-            data = np.full((bh, bw), 0xFF000000 | 5 << 16 | 250 << 8 | 9)
+            data = np.full((bh, bw), crossed)
             w.put(block_bits - 2, 3)
             write_image(w, data.ravel(), 0, False)
             flat = _argb(cross_colour(_planes(flat), data, block_bits, False))
@@ -782,7 +922,7 @@ def encode_frame(argb: np.ndarray, cache_bits: int = 6, transforms: tuple[int, .
             packed = (index.reshape(h, -1, 1 << wb) << (np.arange(1 << wb) * depth)).sum(-1)
             flat = 0xFF000000 | packed << 8
     w.put(0, 1)
-    write_image(w, flat.ravel(), cache_bits, True, codes)
+    write_image(w, flat.ravel(), cache_bits, True, codes, flat.shape[1], split)
     return w.done()
 
 
@@ -809,6 +949,12 @@ def riff(frames: list[tuple[bytes, int, int]]) -> bytes:
 ROW_PIXELS = 16
 FRAME_PIXELS = 1 << 11
 CACHE_BITS = 7
+#: Longest codes that are made for a frame.
+OWN_BITS = 11
+#: The text codes are kept unless another way saves a tenth of their bits: a code of its own costs more time than the frame.
+SAVES = 1 / 0.9
+#: Frames that are planned side by side.
+PLANNED = 512
 
 
 def _text_codes() -> Codes:
@@ -824,11 +970,11 @@ def _text_codes() -> Codes:
     weight[[10, 44, 46]] = 90
     green = np.concatenate([weight, np.full(24, 4), np.full(1 << CACHE_BITS, 6)])
     # a cache symbol stands for four bytes
-    return Codes([code_lengths(x) for x in (green, weight, weight, weight, np.array([0, 1] + [0] * 38))])
+    return Codes([code_lengths(x) for x in (green, weight, weight, weight, np.array([4, 400] + [4] * 38))])
 
 
 _TEXT: Codes | None = None
-_HEAD: dict[tuple[int, int], np.ndarray] = {}
+_HEAD: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def text_codes() -> Codes:
@@ -838,30 +984,20 @@ def text_codes() -> Codes:
     return _TEXT
 
 
-def _head_bits(width: int, height: int) -> np.ndarray:
-    """Everything before the pixels of a payload frame; it depends on the frame's size alone."""
-    key = (width, height)
-    if key not in _HEAD:
+def _head() -> tuple[np.ndarray, np.ndarray]:
+    """(values, widths) of everything between the size and the pixels of a frame in the text codes."""
+    if not _HEAD:
         w = Writer()
-        w.put(0x2F, 8)
-        w.put(width - 1, 14)
-        w.put(height - 1, 14)
-        w.put(1, 1)
-        w.put(0, 3)
-        w.put(1, 1)
-        w.put(CROSS_COLOUR, 2)
-        b = 6
-        w.put(b - 2, 3)
-        bw, bh = (width + (1 << b) - 1) >> b, (height + (1 << b) - 1) >> b
-        write_image(w, np.full(bw * bh, 0xFF000000), 0, False)
         w.put(0, 1)
         w.put(1, 1)
         w.put(CACHE_BITS, 4)
         w.put(0, 1)
         for x in text_codes().lengths:
             write_code(w, x)
-        _HEAD[key] = w.bits()
-    return _HEAD[key]
+        n, raw = int(np.concatenate(w.widths).sum()), w.done()
+        v = np.array([int.from_bytes(raw[i : i + 6], "little") for i in range(0, len(raw), 6)])
+        _HEAD.append((v, np.minimum(48, n - 48 * np.arange(len(v)))))
+    return _HEAD[0]
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -870,43 +1006,152 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)), len(raw)
 
 
-def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """Each payload as a WebP file: four bytes a pixel in the order alpha, red, green, blue."""
+_XLOG = np.arange(3 * FRAME_PIXELS + 1) * np.log2(np.maximum(np.arange(3 * FRAME_PIXELS + 1), 1))
+
+
+def entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of symbols that occur so often (last axis), and of a code for them: about 5 for each."""
+    return _XLOG[counts.sum(-1)] - _XLOG[counts].sum(-1) + 5 * np.count_nonzero(counts, -1)
+
+
+def plane_counts(planes: list[np.ndarray], frame: np.ndarray, n: int) -> np.ndarray:
+    """How often each byte occurs in each plane of each frame: n x 4 x 256."""
+    return np.stack([np.bincount(frame << 8 | p, minlength=n << 8).reshape(n, 256) for p in planes], 1)
+
+
+def choices(px: np.ndarray, frame: np.ndarray, start: np.ndarray, before: np.ndarray) -> list[tuple]:
+    """(way, argument, bits) of each frame: the transform, or none with the text codes or its own, for which the
+    fewest bits are expected.
+
+    The bits of a way are the entropy of its four planes with the codes' size (of pixels that no copy covers), or, for the text codes, their
+    lengths; of a palette the entropy of its indices and 22 bits a colour.
+    """
+    n = len(start) - 1
+    first = np.arange(len(px)) - start[:-1][frame]
+    y, x = first // ROW_PIXELS, first % ROW_PIXELS
+    # what a copy repeats costs about the same in any way
+    alone = np.ones(len(px), bool)
+    for k in range(LEAST_COPY):
+        alone[np.nonzero(before >= 0)[0] + k] = False
+    of = frame[alone]
+    alpha, red, green, blue = ((px >> s) & 255 for s in (24, 16, 8, 0))
+    planes = [p[alone] for p in (alpha, red, green, blue)]
+    counts = plane_counts(planes, of, n)
+    three = counts[:, 0] + counts[:, 1] + counts[:, 3]
+    sizes = text_codes().sizes
+    cost = {"text": (counts * np.stack([sizes[3], sizes[1], sizes[0][:256], sizes[2]])).sum((1, 2)), "own": entropy(counts[:, 2]) + entropy(three) + 10 * np.count_nonzero(three, 1) + 100}
+    a, r, g, b = planes
+    cost[SUBTRACT_GREEN] = entropy(plane_counts([a, (r - g) & 255, g, (b - g) & 255], of, n)).sum(1) + 100
+    # multipliers by least squares
+    sg, sr, sb = ((v ^ 128) - 128 for v in (g, r, b))
+    square = np.maximum(1, np.bincount(of, sg * sg, n))
+    times = [np.clip(np.rint(32 * np.bincount(of, sg * v, n) / square), -128, 127).astype(np.int64) for v in (sr, sb)]
+    cost[CROSS_COLOUR] = entropy(plane_counts([a, (r - (times[0][of] * sg >> 5)) & 255, g, (b - (times[1][of] * sg >> 5)) & 255], of, n)).sum(1) + 150
+    whole = np.stack([alpha, red, green, blue], -1).astype(np.int16)
+    black = np.array([255, 0, 0, 0], np.int16)
+    shifted = lambda k: np.concatenate([np.broadcast_to(black, (min(k, len(px)), 4)), whole[:-k]])
+    left, top = shifted(1), shifted(ROW_PIXELS)
+    edge = np.where((y == 0)[:, None], np.where((x == 0)[:, None], black, left), top)
+    at_edge = ((y == 0) | (x == 0))[:, None]
+    modes = {1: left, 2: top, 7: (left + top) >> 1}
+    for mode, guess in modes.items():
+        rest = ((whole - np.where(at_edge, edge, guess)) & 255)[alone].astype(np.int64)
+        cost[PREDICTOR, mode] = entropy(plane_counts(list(rest.T), of, n)).sum(1) + 120
+    # colours: pixels in order, frame by frame
+    colour = np.sort(frame << 32 | px)
+    new = np.concatenate([[True], colour[1:] != colour[:-1]])
+    at = np.nonzero(new)[0]
+    often = np.diff(np.append(at, len(colour)))
+    where = frame[at]
+    n_colours = np.bincount(where, minlength=n)
+    indices = _XLOG[np.diff(start)] - np.bincount(where, _XLOG[often], n)
+    # pixels that copies cover are indices, too: a palette is compared with all pixels in the other ways
+    share = np.diff(start) / np.maximum(1, np.bincount(of, minlength=n))
+    cost[PALETTE] = np.where(n_colours <= 256, (indices + 5 * n_colours) / np.maximum(share, 1) + 22 * n_colours + 200, np.inf)
+    ways = list(cost)
+    bits = np.stack([cost[k] for k in ways])
+    bits[1:] *= SAVES
+    best = np.argmin(bits, 0).tolist()
     out = []
-    codes = text_codes()
-    for payload in payloads:
-        argb = np.frombuffer(payload, ">u4").astype(np.int64)
-        frames = []
-        for at in range(0, len(argb), FRAME_PIXELS):
-            px = argb[at : at + FRAME_PIXELS]
-            height = len(px) // ROW_PIXELS
-            place, kind, value = plan_symbols(px, CACHE_BITS)
-            p = px[place]
-            lit, back = kind == 0, kind == 2
-            run, extra, n_extra = prefix_code(np.where(back, value, 1))
-            green = np.where(lit, (p >> 8) & 255, np.where(kind == 1, 280 + value, 256 + run))
-            m = len(place)
-            values, widths = np.zeros((m, 4), np.int64), np.zeros((m, 4), np.int64)
-            values[:, 0], widths[:, 0] = codes.codes[0][green], codes.sizes[0][green]
-            q = p[lit]
-            for j, s in ((1, 16), (2, 0), (3, 24)):
-                v = (q >> s) & 255
-                values[lit, j], widths[lit, j] = codes.codes[j][v], codes.sizes[j][v]
-            values[back, 1], widths[back, 1] = extra[back], n_extra[back]
-            # the four codes of a pixel fit one 64-bit word
-            shift = np.cumsum(widths, 1) - widths
-            word = (values << shift).sum(1)
-            body = expand_words(word, widths.sum(1))
-            frames.append((np.packbits(np.concatenate([_head_bits(ROW_PIXELS, height), body]), bitorder="little").tobytes(), ROW_PIXELS, height))
-        out.append(riff(frames))
+    for f, k in enumerate(best):
+        way, argument = ways[k] if isinstance(ways[k], tuple) else (ways[k], None)
+        if way == CROSS_COLOUR:
+            argument = 0xFF000000 | (int(times[1][f]) & 255) << 8 | int(times[0][f]) & 255
+        out.append((way, argument, float(cost[ways[k]][f])))
     return out
 
 
-def expand_words(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """As ``expand``, for values of up to 60 bits."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    top = int(widths.max())
-    return bits[:, :top][np.arange(top) < widths[:, None]]
+#: A block of the map of code groups has so many rows (and all columns).
+SPLIT_BITS = 5
+
+
+def split_of(groups: Groups, height: int) -> tuple[tuple[int, np.ndarray] | None, float]:
+    """Where a frame is better cut in two, with codes for either part: the map of its blocks; and the bits expected."""
+    blocks = (height + (1 << SPLIT_BITS) - 1) >> SPLIT_BITS
+    if blocks < 2:
+        return None, math.inf
+    block = groups.place // ROW_PIXELS >> SPLIT_BITS
+    sizes = symbol_sizes(CACHE_BITS)
+    parts = []
+    for k in range(blocks):
+        c = groups.counts(sizes, block == k)
+        parts.append(np.concatenate([c[0], c[1] + c[2] + c[3], c[4]]))
+    sums = np.cumsum(parts, 0)
+    ends = [0, sizes[0], sizes[0] + 256, sums.shape[1]]
+    # the code of three planes is written three times
+    bits = lambda c: sum(entropy(c[:, x:y]) for x, y in zip(ends, ends[1:])) + 10 * np.count_nonzero(c[:, ends[1] : ends[2]], 1)
+    both = bits(np.concatenate([sums, sums[-1] - sums[:-1]]))
+    cost = both[: blocks - 1] + both[blocks:] + 60
+    k = int(np.argmin(cost)) + 1
+    if cost[k - 1] >= both[blocks - 1]:
+        return None, float(both[blocks - 1])
+    return (SPLIT_BITS, (np.arange(blocks)[:, None] >= k).astype(np.int64)), float(cost[k - 1])
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Each payload as a WebP file: four bytes a pixel in the order alpha, red, green, blue.
+
+    Every frame takes the way that is expected to be the shortest: predictor, cross-colour, subtract-green, palette or no
+    transform; the text codes or codes by its own counts, for the whole or for two parts of it; and copies and
+    the colour cache in each of them.
+    """
+    frames: list[list[tuple[bytes, int, int]]] = [[] for _ in payloads]
+    todo = [(i, np.frombuffer(p, ">u4", min(FRAME_PIXELS, len(p) // 4 - at), 4 * at).astype(np.int64)) for i, p in enumerate(payloads) for at in range(0, len(p) // 4, FRAME_PIXELS)]
+    for at in range(0, len(todo), PLANNED):
+        some = todo[at : at + PLANNED]
+        start = np.cumsum([0, *(len(p) for _, p in some)])
+        px, frame = np.concatenate([p for _, p in some]), np.repeat(np.arange(len(some)), np.diff(start))
+        before = repeats(px, frame)
+        for (i, p), s, way in zip(some, start.tolist(), choices(px, frame, start, before)):
+            own = before[s : s + len(p)]
+            frames[i].append((encode_way(p, np.where(own >= 0, own - s, -1), *way), ROW_PIXELS, len(p) // ROW_PIXELS))
+    return [riff(f) for f in frames]
+
+
+def encode_way(px: np.ndarray, before: np.ndarray, way: str | int, argument: int | None = None, bits: float = 0.0) -> bytes:
+    """A frame by one of ``choices``; where two parts with own codes are expected to be shorter than a transform, by these."""
+    height = len(px) // ROW_PIXELS
+    if way in (PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN):
+        split, less = split_of(Groups(px, CACHE_BITS, ROW_PIXELS, before), height)
+        way = "own" if split is not None and less < bits else way
+    if way == PALETTE:
+        return encode_frame(px.reshape(height, ROW_PIXELS), 0, (PALETTE,))
+    if way == PREDICTOR:
+        return encode_frame(px.reshape(height, ROW_PIXELS), CACHE_BITS, (PREDICTOR,), argument, block_bits=6)
+    if way == CROSS_COLOUR:
+        return encode_frame(px.reshape(height, ROW_PIXELS), CACHE_BITS, (CROSS_COLOUR,), block_bits=6, crossed=argument)
+    if way == SUBTRACT_GREEN:
+        return encode_frame(px.reshape(height, ROW_PIXELS), CACHE_BITS, (SUBTRACT_GREEN,))
+    groups = Groups(px, CACHE_BITS, ROW_PIXELS, before)
+    head = Writer()
+    head.many(np.array([0x2F, ROW_PIXELS - 1, height - 1, 1, 0]), np.array([8, 14, 14, 1, 3]))
+    if way == "text":
+        head.many(*_head())
+        head.many(*groups.words([text_codes()]))
+        return head.done()
+    head.put(0, 1)
+    write_image(head, px, CACHE_BITS, True, None, ROW_PIXELS, split_of(groups, height)[0], groups, True)
+    return head.done()
 
 
 def payload_from(frames: list[np.ndarray]) -> bytes:

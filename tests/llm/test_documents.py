@@ -869,6 +869,63 @@ def test_webp_copies_match_a_plain_decoder():
     assert ((webp.decode_files([raw])[0][0].ravel() >> 8) & 255).tolist() == src.tolist()
 
 
+def webp_texts():
+    """Texts for which another step of the method is the shortest."""
+    r = np.random.default_rng(11)
+    text = lambda planes: np.stack(planes, 1).astype(np.uint8).tobytes().decode("ascii")
+    g = r.integers(1, 127, 1600)
+    walk = lambda: 60 + np.abs(np.cumsum(r.integers(-1, 2, 1600)) % 100 - 50)
+    quote = "".join(r.choice(list("abcdefghijklmnop"), 400))
+    return {
+        "green": text([np.full(1600, 65), g, g, g]),
+        "cross": text([np.full(1600, 65), g >> 1, g, g >> 2]),
+        "predictor": text([walk() for _ in range(4)]),
+        "palette": "".join(r.choice(["abcd", "Zq9!", "#~05", "k(X}", "@W;2"], 40)),
+        "split": "".join(r.choice(list("ABCDEFGH"), 4000)) + "".join(r.choice(list("01234567"), 4000)),
+        "copies": quote + "".join(r.choice(list("0123456789"), 400)) + quote,
+        "own": "".join(r.choice(list("{}[]^~"), 3000)),
+        "text": "the same old story is told in other words",
+    }
+
+
+def test_webp_query_files_use_every_step(spark):
+    texts = webp_texts()
+    got = webp.media_features(spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id bigint, text string"), keep_media=True).collect()
+    used, plain = {}, webp.text_codes()
+    for name, r in zip(texts, sorted(got, key=lambda r: r["doc_id"])):
+        raw = texts[name].encode()
+        payload = raw + bytes(-len(raw) % 64)
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["n_bytes"] == len(raw)
+        frames = [webp.Frame(x) for x in webp.frames_of(bytes(r["media"]))]
+        used[name] = {t[0] for f in frames for t in f.transforms}
+        f, px = frames[0], np.frombuffer(payload, ">u4").astype(np.int64)[: webp.FRAME_PIXELS]
+        own = not all((a == b).all() for a, b in zip(f.image.groups[0], plain.lengths) if len(a) == len(b))
+        assert own == (name != "text")
+        assert (f.image.meta is not None) == (name == "split")
+        if name == "copies":
+            _, kind, length, distance = webp.plan_symbols(px, webp.CACHE_BITS)
+            assert 100 in length[kind == 2] and 200 in distance[kind == 2]
+            far = webp.prefix_code(webp.distance_codes(np.array([200]), webp.ROW_PIXELS))[0][0]
+            assert f.image.groups[0][4][far] > 0  # a code by counts has the symbols that occur
+        if own:
+            before = webp.repeats(px, np.zeros(len(px), np.int64))
+            assert len(webp.frames_of(bytes(r["media"]))[0]) < len(webp.encode_way(px, before, "text"))
+    steps = {"green": webp.SUBTRACT_GREEN, "cross": webp.CROSS_COLOUR, "predictor": webp.PREDICTOR, "palette": webp.PALETTE}
+    del used["copies"]  # copies go with any transform
+    assert used == {name: {steps[name]} if name in steps else set() for name in used}
+
+
+def test_webp_joined_bits():
+    r = np.random.default_rng(2)
+    n = r.integers(0, 61, 300)
+    v = np.array([int(r.integers(0, 1 << 60)) & ((1 << int(k)) - 1) for k in n])
+    whole = at = 0
+    for x, k in zip(v.tolist(), n.tolist()):
+        whole |= x << at
+        at += k
+    assert webp.joined([v[:7], v[7:]], [n[:7], n[7:]]) == whole.to_bytes((at + 7) // 8, "little")
+
+
 def test_webp_rejects_damage():
     for n in (0, 1, 63, 64, 65, 127, 128, 129):
         assert len(webp.payload_of("x" * n)[0]) == {0: 64, 1: 64, 63: 64, 64: 64, 65: 128, 127: 128, 128: 128, 129: 192}[n]
