@@ -527,6 +527,32 @@ def test_lm_every_place_may_match(monkeypatch):
     assert predicted > 100
 
 
+def test_lm_large_arrays_are_not_hashed_value_by_value(monkeypatch):
+    """Words and anchors are made distinct by sorting; sums of pieces, byte tables and counted slots are those of plain loops."""
+    unique = np.unique
+
+    def watched(x, **more):
+        assert more, "np.unique without counts hashes every value"
+        return unique(x, **more)
+
+    rng = np.random.default_rng(5)
+    h = bytesets.mix64(rng.integers(0, 300, 1000).astype(np.uint64))
+    with monkeypatch.context() as m:
+        m.setattr(np, "unique", watched)
+        assert mixlm.asked_words([h[:600], h[600:]], np.sort(h[:1])).tolist() == sorted({*h.tolist()} - {int(h[0])})
+        assert mixlm.distinct(h[:0]).tolist() == [] and mixlm.distinct(h[[3, 3]]).tolist() == [h[3]]
+    a = rng.integers(0, 256, 500).astype(np.uint8)
+    assert bytesets.lowered(a).tolist() == list(bytes(a).lower()) and bytesets.lowered(a[:0]).tolist() == []
+    assert bytesets.word_starts(np.arange(256, dtype=np.uint8), np.array([0, 256]))[0].tolist() == [x not in b" \t\n\x0b\x0c\r" for x in range(256)]
+    for starts in ([0], [0, 1, 7, 499], [3, 4, 250]):
+        ends = [*starts[1:], 500]
+        assert bytesets.piece_sums(a > 99, np.array(starts)).tolist() == [int((a[s:e] > 99).sum()) for s, e in zip(starts, ends)]
+        big = a.astype(np.uint64) << np.uint64(56)
+        assert bytesets.piece_sums(big, np.array(starts)).tolist() == [sum(big[s:e].tolist()) % 2**64 for s, e in zip(starts, ends)]
+    bucket = mixlm.buckets(h)
+    assert (mixlm.counted(h, bucket) == (mixlm.slots(h, bucket) * 2 + mixlm._BIT[:, bucket].reshape(mixlm.GROUPS, mixlm.NIBBLE, -1)).ravel()).all()
+
+
 def test_lm_counts_base_and_normal_scores(spark, odd, nothing):
     df, texts = odd
     got = mixlm.score_corpus(df).collect()
