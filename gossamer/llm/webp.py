@@ -36,6 +36,7 @@ CACHE_MULTIPLIER = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 
 MAX_BITS = 15
+_ORDER = np.array(LENGTH_ORDER)
 _NEAR = np.array([(0, 0), *NEAR], np.int64)
 
 
@@ -128,24 +129,34 @@ def read_code(bits: Bits, size: int) -> np.ndarray:
     v, p = int.from_bytes(bits.raw[first : first + 2 * size + 2], "little"), bits.at & 7
     out: list[int] = []
     before = 8
+    # the next bits, in a small number
+    near, left = 0, 0
     while len(out) < size and limit > 0:
         limit -= 1
-        entry = t[v >> p & mask]
-        p += entry & 15
+        if left < 14:
+            near, left = v >> p & 0xFFFFFFFFFFFFFF, 56
+        entry = t[near & mask]
+        n = entry & 15
         c = entry >> 4
+        near >>= n
         if c < 16:
             out.append(c)
             before = c or before
+            p += n
+            left -= n
             continue
         if c == 16:
-            out += [before] * (3 + (v >> p & 3))
-            p += 2
+            out += [before] * (3 + (near & 3))
+            more = 2
         elif c == 17:
-            out += [0] * (3 + (v >> p & 7))
-            p += 3
+            out += [0] * (3 + (near & 7))
+            more = 3
         else:
-            out += [0] * (11 + (v >> p & 127))
-            p += 7
+            out += [0] * (11 + (near & 127))
+            more = 7
+        near >>= more
+        p += n + more
+        left -= n + more
         if len(out) > size:
             raise ValueError("a repeat leaves the code")
     bits.at = 8 * first + p
@@ -233,9 +244,10 @@ def decode_images(images: list[Image]) -> tuple[list[np.ndarray], list[int]]:
             start.append(s5)
             width.append(w5)
     codes = np.concatenate(parts)
-    start, mask = np.array(start, np.int64), (1 << np.array(width, np.int64)) - 1
+    start, mask = np.array(start, np.int64).ravel(), (1 << np.array(width, np.int64).ravel()) - 1
     raw = b"".join(im.raw + b"\0" * 8 for im in images)
-    words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    # the eight bytes from every byte on, aligned
+    words = np.ndarray((len(raw) - 7,), "<i8", raw, 0, (1,)).copy()
     base = 8 * np.concatenate([[0], np.cumsum([len(im.raw) + 8 for im in images])[:-1]])
     limit = base + np.array([8 * len(im.raw) for im in images])
     at = base + np.array([im.at for im in images])
@@ -254,15 +266,19 @@ def decode_images(images: list[Image]) -> tuple[list[np.ndarray], list[int]]:
     any_meta = bool(has_meta.any())
 
     def take(i: np.ndarray, group: np.ndarray, which: int) -> np.ndarray:
-        a = at[i]
-        v = (words[a >> 3] >> (a & 7).astype(np.uint64)).astype(np.int64)
-        e = codes[start[group, which] + (v & mask[group, which])]
+        a = at.take(i)
+        v = words.take(a >> 3)
+        v >>= a & 7
+        code = group * 5 + which
+        v &= mask.take(code)
+        v += start.take(code)
+        e = codes.take(v)
         at[i] = a + (e & 15)
         return e >> 4
 
     def extra(i: np.ndarray, n: np.ndarray) -> np.ndarray:
-        a = at[i]
-        v = (words[a >> 3] >> (a & 7).astype(np.uint64)).astype(np.int64) & ((1 << n) - 1)
+        a = at.take(i)
+        v = words.take(a >> 3) >> (a & 7) & ((1 << n) - 1)
         at[i] = a + n
         return v
 
@@ -271,10 +287,11 @@ def decode_images(images: list[Image]) -> tuple[list[np.ndarray], list[int]]:
         return np.where(code < 4, code + 1, ((2 + (code & 1)) << n) + extra(i, n) + 1)
 
     def remember(i: np.ndarray, p: np.ndarray, argb: np.ndarray) -> None:
-        b = cache_bits[i]
+        b = cache_bits.take(i)
         on = b > 0
         if on.any():
-            i, argb, b = i[on], argb[on], b[on]
+            if not on.all():
+                i, argb, b = i[on], argb[on], b[on]
             cache[cache_at[i] + (((argb * CACHE_MULTIPLIER) & 0xFFFFFFFF) >> (32 - b))] = argb
 
     pos = np.zeros(k, np.int64)
@@ -292,23 +309,24 @@ def decode_images(images: list[Image]) -> tuple[list[np.ndarray], list[int]]:
                 group = group.copy()
                 group[hm] += metas[meta_at[f] + (y >> meta_bits[f]) * meta_wide[f] + (x >> meta_bits[f])]
             green = take(fresh, group, 0)
-            lit = green < 256
+            lit, cached = green < 256, green >= 280
+            argb = np.empty(len(fresh), np.int64)
             i = fresh[lit]
             if len(i):
                 g = group[lit]
                 red, blue, alpha = take(i, g, 1), take(i, g, 2), take(i, g, 3)
-                argb = alpha << 24 | red << 16 | green[lit] << 8 | blue
-                out[origin[i] + pos[i]] = argb
-                remember(i, pos[i], argb)
-                pos[i] += 1
-            cached = green >= 280
+                argb[lit] = alpha << 24 | red << 16 | green[lit] << 8 | blue
             i = fresh[cached]
             if len(i):
-                argb = cache[cache_at[i] + green[cached] - 280]
-                out[origin[i] + pos[i]] = argb
-                remember(i, pos[i], argb)
-                pos[i] += 1
-            back = ~lit & ~cached
+                argb[cached] = cache.take(cache_at.take(i) + green[cached] - 280)
+            one = lit | cached
+            i, argb = fresh[one], argb[one]
+            if len(i):
+                p = pos.take(i)
+                out[origin.take(i) + p] = argb
+                remember(i, p, argb)
+                pos[i] = p + 1
+            back = ~one
             i = fresh[back]
             if len(i):
                 copying[i] = prefix_value(i, green[back] - 256)
@@ -597,24 +615,37 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     while True:
         order = used[np.argsort(counts[used], kind="stable")]
         # leaves by weight, then the nodes as they are made: these come by weight, too
-        weight = counts[order].tolist()
-        parent = [0] * (2 * n - 1)
-        leaf, node = 0, n
-        for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
-                    at, leaf = leaf, leaf + 1
-                else:
-                    at, node = node, node + 1
-                parent[at] = new
-                total += weight[at]
-            weight.append(total)
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth[:n]) <= limit:
-            out[order] = depth[:n]
+        leaves = counts[order].tolist()
+        top = 1 + sum(leaves)
+        leaves += [top, top]
+        # nodes that are not yet made are heavier than any leaf
+        nodes = [top] * (n + 1)
+        leaf_of, node_of = [0] * n, [0] * n
+        leaf = node = 0
+        for new in range(n - 1):
+            if leaves[leaf] <= nodes[node]:
+                total = leaves[leaf]
+                leaf_of[leaf] = new
+                leaf += 1
+            else:
+                total = nodes[node]
+                node_of[node] = new
+                node += 1
+            if leaves[leaf] <= nodes[node]:
+                total += leaves[leaf]
+                leaf_of[leaf] = new
+                leaf += 1
+            else:
+                total += nodes[node]
+                node_of[node] = new
+                node += 1
+            nodes[new] = total
+        depth = [1] * (n - 1)
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[node_of[k]] + 1
+        own = [depth[k] for k in leaf_of]
+        if max(own) <= limit:
+            out[order] = own
             return out
         counts[used] = (counts[used] + 1) // 2
 
@@ -654,6 +685,31 @@ def joined(values: list[np.ndarray], widths: list[np.ndarray]) -> bytes:
     return out.astype("<u8").tobytes()[: (int(end[-1]) + 7) // 8]
 
 
+#: Symbols of the runs of equal code lengths that have been written.
+_RUNS: dict[tuple[int, int], list[int]] = {}
+
+
+def run_symbols(v: int, run: int) -> list[int]:
+    """Symbol, extra bits << 5 and their number << 12 that write the code length ``v`` so often."""
+    symbols: list[tuple[int, int, int]] = []
+    key = v, run
+    if v == 0:
+        while run >= 3:
+            m = min(run, 138)
+            symbols.append((18, m - 11, 7) if m >= 11 else (17, m - 3, 3))
+            run -= m
+    else:
+        symbols.append((v, 0, 0))
+        run -= 1
+        while run >= 3:
+            m = min(run, 6)
+            symbols.append((16, m - 3, 2))
+            run -= m
+    symbols += [(v, 0, 0)] * run
+    _RUNS[key] = [s | value << 5 | n << 12 for s, value, n in symbols]
+    return _RUNS[key]
+
+
 def write_code(w: Writer, lengths: np.ndarray) -> None:
     """One prefix code, in the short form for one or two small symbols."""
     used = np.nonzero(lengths)[0]
@@ -668,27 +724,17 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
             w.put(int(used[1]), 8)
         return
     w.put(0, 1)
-    symbols: list[tuple[int, int, int]] = []
-    edge = np.concatenate([[0], np.nonzero(np.diff(lengths))[0] + 1, [len(lengths)]])
-    for v, run in zip(lengths[edge[:-1]].tolist(), np.diff(edge).tolist()):
-        if v == 0:
-            while run >= 3:
-                m = min(run, 138)
-                symbols.append((18, m - 11, 7) if m >= 11 else (17, m - 3, 3))
-                run -= m
-        else:
-            symbols.append((v, 0, 0))
-            run -= 1
-            while run >= 3:
-                m = min(run, 6)
-                symbols.append((16, m - 3, 2))
-                run -= m
-        symbols += [(v, 0, 0)] * run
-    s, value, n = np.array(symbols).T
+    symbols: list[int] = []
+    edge = np.concatenate([[0], np.nonzero(lengths[1:] != lengths[:-1])[0] + 1, [len(lengths)]])
+    for v, run in zip(lengths[edge[:-1]].tolist(), (edge[1:] - edge[:-1]).tolist()):
+        symbols += _RUNS.get((v, run)) or run_symbols(v, run)
+    packed = np.array(symbols)
+    s, value, n = packed & 31, packed >> 5 & 127, packed >> 12
     inner = code_lengths(np.bincount(s, minlength=19), 7)
-    last = max(4, max(i for i in range(19) if inner[LENGTH_ORDER[i]]) + 1)
+    in_order = inner[_ORDER]
+    last = max(4, int(np.nonzero(in_order)[0][-1]) + 1)
     w.put(last - 4, 4)
-    w.many(inner[LENGTH_ORDER[:last]], np.full(last, 3))
+    w.many(in_order[:last], np.full(last, 3))
     w.put(0, 1)
     codes = canonical(inner)
     if (inner > 0).sum() == 1:  # a lone symbol takes no bits when it is read
@@ -696,9 +742,16 @@ def write_code(w: Writer, lengths: np.ndarray) -> None:
     w.many(np.stack([codes[s], value], 1), np.stack([inner[s], n], 1))
 
 
+#: The prefix codes of all lengths, and of distances as long.
+_PREFIXES: list[np.ndarray] = []
+
+
 def prefix_code(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prefix symbol, extra bits, their number) of lengths or distances of 1 or more."""
-    v = np.asarray(v, np.int64) - 1
+    v = np.asarray(v, np.int64)
+    if _PREFIXES and (not len(v) or v.max() < len(_PREFIXES[0])):
+        return tuple(t.take(v) for t in _PREFIXES)
+    v = v - 1
     high = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
     second = (v >> np.maximum(high - 1, 0)) & 1
     code = np.where(v < 4, v, 2 * high + second)
@@ -706,6 +759,9 @@ def prefix_code(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, np.where(v < 4, 0, v & ((1 << np.maximum(n, 0)) - 1)), n
 
 
+_PREFIXES += prefix_code(np.maximum(1, np.arange(1 << 13)))
+
+
 class Codes:
     """Five prefix codes with what is needed to write symbols by them."""
 
@@ -765,7 +821,7 @@ def plan_symbols(argb: np.ndarray, cache_bits: int, before: np.ndarray | None =
     kind, value, distance = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     if cache_bits:
         slot = cache_index(argb, cache_bits)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         hit = np.zeros(n, bool)
         hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
         kind[hit], value[hit] = 1, slot[hit]
@@ -1016,7 +1072,13 @@ def entropy(counts: np.ndarray) -> np.ndarray:
 
 def plane_counts(planes: list[np.ndarray], frame: np.ndarray, n: int) -> np.ndarray:
     """How often each byte occurs in each plane of each frame: n x 4 x 256."""
-    return np.stack([np.bincount(frame << 8 | p, minlength=n << 8).reshape(n, 256) for p in planes], 1)
+    first = frame << 8
+    return np.stack([np.bincount(first + p, minlength=n << 8).reshape(n, 256) for p in planes], 1)
+
+
+def byte_planes(px: np.ndarray) -> list[np.ndarray]:
+    """Alpha, red, green and blue of pixels, as bytes, whose sums and differences wrap around."""
+    return list(np.ascontiguousarray(px.view(np.uint8).reshape(-1, 4).T[::-1]))
 
 
 def choices(px: np.ndarray, frame: np.ndarray, start: np.ndarray, before: np.ndarray) -> list[tuple]:
@@ -1034,29 +1096,30 @@ def choices(px: np.ndarray, frame: np.ndarray, start: np.ndarray, before: np.nda
     for k in range(LEAST_COPY):
         alone[np.nonzero(before >= 0)[0] + k] = False
     of = frame[alone]
-    alpha, red, green, blue = ((px >> s) & 255 for s in (24, 16, 8, 0))
-    planes = [p[alone] for p in (alpha, red, green, blue)]
+    whole = px.astype("<u4")
+    planes = a, r, g, b = byte_planes(whole[alone])
     counts = plane_counts(planes, of, n)
+    same = entropy(counts[:, 0]) + entropy(counts[:, 2])
     three = counts[:, 0] + counts[:, 1] + counts[:, 3]
     sizes = text_codes().sizes
     cost = {"text": (counts * np.stack([sizes[3], sizes[1], sizes[0][:256], sizes[2]])).sum((1, 2)), "own": entropy(counts[:, 2]) + entropy(three) + 10 * np.count_nonzero(three, 1) + 100}
-    a, r, g, b = planes
-    cost[SUBTRACT_GREEN] = entropy(plane_counts([a, (r - g) & 255, g, (b - g) & 255], of, n)).sum(1) + 100
+    cost[SUBTRACT_GREEN] = same + entropy(plane_counts([r - g, b - g], of, n)).sum(1) + 100
     # multipliers by least squares
-    sg, sr, sb = ((v ^ 128) - 128 for v in (g, r, b))
+    sg, sr, sb = (v.view(np.int8).astype(np.int64) for v in (g, r, b))
     square = np.maximum(1, np.bincount(of, sg * sg, n))
     times = [np.clip(np.rint(32 * np.bincount(of, sg * v, n) / square), -128, 127).astype(np.int64) for v in (sr, sb)]
-    cost[CROSS_COLOUR] = entropy(plane_counts([a, (r - (times[0][of] * sg >> 5)) & 255, g, (b - (times[1][of] * sg >> 5)) & 255], of, n)).sum(1) + 150
-    whole = np.stack([alpha, red, green, blue], -1).astype(np.int16)
-    black = np.array([255, 0, 0, 0], np.int16)
-    shifted = lambda k: np.concatenate([np.broadcast_to(black, (min(k, len(px)), 4)), whole[:-k]])
+    cost[CROSS_COLOUR] = same + entropy(plane_counts([v - (t.take(of) * sg >> 5).astype(np.uint8) for v, t in zip((r, b), times)], of, n)).sum(1) + 150
+    black = np.uint32(0xFF000000)
+    shifted = lambda k: np.concatenate([np.full(min(k, len(px)), black), whole[:-k]])
     left, top = shifted(1), shifted(ROW_PIXELS)
-    edge = np.where((y == 0)[:, None], np.where((x == 0)[:, None], black, left), top)
-    at_edge = ((y == 0) | (x == 0))[:, None]
-    modes = {1: left, 2: top, 7: (left + top) >> 1}
+    edge = np.where(y == 0, np.where(x == 0, black, left), top)
+    at_edge = (y == 0) | (x == 0)
+    own = byte_planes(whole)
+    # the mean of four bytes at once
+    modes = {1: left, 2: top, 7: (left & top) + (((left ^ top) & np.uint32(0xFEFEFEFE)) >> np.uint32(1))}
     for mode, guess in modes.items():
-        rest = ((whole - np.where(at_edge, edge, guess)) & 255)[alone].astype(np.int64)
-        cost[PREDICTOR, mode] = entropy(plane_counts(list(rest.T), of, n)).sum(1) + 120
+        rest = [(p - q)[alone] for p, q in zip(own, byte_planes(np.where(at_edge, edge, guess)))]
+        cost[PREDICTOR, mode] = entropy(plane_counts(rest, of, n)).sum(1) + 120
     # colours: pixels in order, frame by frame
     colour = np.sort(frame << 32 | px)
     new = np.concatenate([[True], colour[1:] != colour[:-1]])
@@ -1161,6 +1224,26 @@ def payload_from(frames: list[np.ndarray]) -> bytes:
 MEDIA = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 #: Files of about so many bytes of payload are encoded and decoded side by side.
 BATCH_BYTES = 6 << 20
+#: Files that are encoded and decoded side by side at most.
+BATCH_FILES = 4000
+
+
+def payload_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[bytes, int]]]]:
+    """(ids, payloads) of about BATCH_BYTES and at most BATCH_FILES rows, across Arrow batches: a step over many frames costs little more than over few."""
+    ids: list[pa.Array] = []
+    todo: list[tuple[bytes, int]] = []
+    size = 0
+    for b in batches:
+        at = 0
+        for k, text in enumerate(b.column(1).to_pylist(), 1):
+            todo.append(payload_of(text))
+            size += len(todo[-1][0])
+            if size >= BATCH_BYTES or len(todo) == BATCH_FILES:
+                yield pa.concat_arrays([*ids, b.column(0).slice(at, k - at)]), todo
+                ids, todo, size, at = [], [], 0, k
+        ids.append(b.column(0).slice(at))
+    if todo:
+        yield pa.concat_arrays(ids), todo
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -1176,28 +1259,20 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, held, todo = at, 0, []
-                while end < len(texts) and (end == at or held < BATCH_BYTES):
-                    todo.append(payload_of(texts[end]))
-                    held += len(todo[-1][0])
-                    end += 1
-                files = encode_payloads([p for p, _ in todo])
-                rows = []
-                for (_, n), raw, frames in zip(todo, files, decode_files(files)):
-                    back = payload_from(frames)
-                    planes = np.frombuffer(back, np.uint8).reshape(-1, 4)
-                    means = planes.mean(0)
-                    colours = len(np.unique(np.frombuffer(back, "<u4")))
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), ",".join(f"{m:.3f}" for m in means) + f";{colours};{len(frames)}", raw))
-                cols = [pa.array(c, t) for c, t in zip(list(zip(*rows))[:7], (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                if keep_media:
-                    cols.append(pa.array([r[7] for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *cols], [id_col, *names, *["media"] * keep_media])
-                at = end
+        for ids, todo in payload_batches(batches):
+            files = encode_payloads([p for p, _ in todo])
+            rows = []
+            for (_, n), raw, frames in zip(todo, files, decode_files(files)):
+                back = payload_from(frames)
+                planes = np.frombuffer(back, np.uint8).reshape(-1, 4)
+                means = [planes[:, c].sum(dtype=np.int64) / len(planes) for c in range(4)]
+                colours = np.sort(np.frombuffer(back, "<u4"))
+                colours = 1 + np.count_nonzero(colours[1:] != colours[:-1])
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), ",".join(f"{m:.3f}" for m in means) + f";{colours};{len(frames)}", raw))
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows))[:7], (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            if keep_media:
+                cols.append(pa.array([r[7] for r in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays([ids, *cols], [id_col, *names, *["media"] * keep_media])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, {MEDIA}" + ", media binary" * keep_media)

@@ -976,3 +976,43 @@ def test_media_round_trip(spark, odd, nothing):
     want = collections.Counter(hashlib.sha256((t or "").encode().ljust(size(len((t or "").encode())), b"\0")).hexdigest() for _, t in texts)
     assert collections.Counter(r["payload_sha256"] for r in got) == want
     assert webp.media_features(nothing).count() == 0
+
+
+def test_webp_files_are_planned_across_arrow_batches(monkeypatch):
+    """Small Arrow batches are joined up to the bounds; ids and texts stay together and in order."""
+    texts = ["a" * (i % 7 * 30) for i in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 5)), pa.array(texts[i : i + 5], pa.string())], ["doc_id", "text"]) for i in range(0, 50, 5)]
+    whole = list(webp.payload_batches(iter(batches)))
+    assert len(whole) == 1 and whole[0][0].to_pylist() == list(range(50)) and whole[0][1] == [webp.payload_of(t) for t in texts]
+    monkeypatch.setattr(webp, "BATCH_FILES", 7)
+    assert [len(todo) for _, todo in webp.payload_batches(iter(batches))] == [7] * 7 + [1]
+    monkeypatch.setattr(webp, "BATCH_BYTES", 300)
+    parts = list(webp.payload_batches(iter(batches)))
+    assert [i for ids, _ in parts for i in ids.to_pylist()] == list(range(50)) and [t for _, todo in parts for t in todo] == [webp.payload_of(t) for t in texts]
+    assert all(sum(len(p) for p, _ in todo[:-1]) < 300 for _, todo in parts) and not list(webp.payload_batches(iter([])))
+
+
+def test_webp_tables_and_codes_are_those_of_plain_rules():
+    """Prefix codes from a table, bytes that wrap around, runs that are written once, and shortest codes."""
+    v = np.array([1, 2, 4, 5, 6, 99, 4096, 8191])
+    far = [x.tolist() for x in webp.prefix_code(np.append(v, 1 << 20))]
+    assert [x.tolist() for x in webp.prefix_code(v)] == [x[:-1] for x in far]
+    for value, code, extra, n in zip([*v.tolist(), 1 << 20], *far):
+        assert value == (code + 1 if code < 4 else ((2 + (code & 1)) << n) + extra + 1)
+    assert [p.tolist() for p in webp.byte_planes(np.array([0x01020304, 0xFF000000], "<u4"))] == [[1, 255], [2, 0], [3, 0], [4, 0]]
+    for run in range(1, 300):
+        for value in (0, 9):
+            out = []
+            for x in webp.run_symbols(value, run):
+                s, more = x & 31, x >> 5 & 127
+                out += [out[-1]] * (3 + more) if s == 16 else [0] * (3 + more) if s == 17 else [0] * (11 + more) if s == 18 else [s]
+            assert out == [value] * run
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 40, 280):
+        counts = rng.integers(0, 50, n) ** 2 + 1
+        heap, bits = counts.tolist(), 0
+        while len(heap) > 1:
+            heap.sort()
+            heap = [heap[0] + heap[1], *heap[2:]]
+            bits += heap[0]
+        assert int((counts * webp.code_lengths(counts, 40)).sum()) == bits
